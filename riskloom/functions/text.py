@@ -57,7 +57,8 @@ def _last_nl(s: Column) -> Column:
     return F.length(s) - F.length(F.substring_index(s, "\n", -1)) - 1
 
 
-def regex_hits(content: Column, pattern: str, groups: dict[str, int] | None = None) -> Column:
+def regex_hits(content: Column, pattern: str, groups: dict[str, int] | None = None,
+               first_per_line: bool = False) -> Column:
     """All non-overlapping matches: start offset, line number, line start, text, groups.
 
     ``split`` and ``regexp_extract_all`` walk the same matches, so the k-th
@@ -79,7 +80,7 @@ def regex_hits(content: Column, pattern: str, groups: dict[str, int] | None = No
          T.StructField("lstart", T.IntegerType()), T.StructField("m", T.StringType())]
         + [T.StructField(name, T.StringType()) for name in groups])
     init = F.struct(F.lit(0).alias("off"), F.lit(1).alias("line"), F.lit(-1).alias("nl"),
-                    F.array().cast(T.ArrayType(hit_type)).alias("out"))
+                    F.lit(0).alias("lh"), F.array().cast(T.ArrayType(hit_type)).alias("out"))
 
     def step(acc, x):
         p, m = x["p"], x["m"]
@@ -89,10 +90,14 @@ def regex_hits(content: Column, pattern: str, groups: dict[str, int] | None = No
         hit = F.struct(start.alias("pos"), line.alias("line"), (nl + 1).alias("lstart"), m.alias("m"),
                        *[x[name].alias(name) for name in groups])
         nl_after = F.when(F.instr(m, "\n") > 0, start + _last_nl(m)).otherwise(nl)
+        out = F.concat(acc["out"], F.array(hit))
+        if first_per_line:
+            out = F.when(line == acc["lh"], acc["out"]).otherwise(out)
         return F.struct((start + F.length(m)).alias("off"),
                         (line + newline_count(m)).alias("line"),
                         nl_after.alias("nl"),
-                        F.concat(acc["out"], F.array(hit)).alias("out"))
+                        line.alias("lh"),
+                        out.alias("out"))
 
     return F.aggregate(F.arrays_zip(*inputs), init, step, lambda acc: acc["out"])
 

@@ -129,7 +129,7 @@ def rule_values(rule_id: str) -> dict[str, Column]:
 
 
 def emit(df: DataFrame, rule_id: str | Column, *, line_start: Column, line_end: Column | None = None,
-         snippet: Column, description: Column) -> DataFrame:
+         snippet: Column, description: Column, confidence: Column | None = None) -> DataFrame:
     """Project detector rows (with repo_id, commit_sha, file_path) onto the finding shape.
 
     ``rule_id`` may be a column naming a rule per row (variants of one rule).
@@ -145,6 +145,8 @@ def emit(df: DataFrame, rule_id: str | Column, *, line_start: Column, line_end:
                 expr = F.when(rule_id == rid, v) if expr is None else expr.when(rule_id == rid, v)
             vals[field] = expr
     line_end = line_start if line_end is None else line_end
+    if confidence is not None:
+        vals["confidence"] = confidence.cast(CONFIDENCE)
     return df.select(
         "repo_id", "commit_sha",
         vals["detector"].alias("detector"), vals["category"].alias("category"),

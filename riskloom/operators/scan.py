@@ -23,7 +23,7 @@ def check_pattern(pattern: str) -> str:
 
 
 def pattern_hits(files: DataFrame, pattern: str, groups: dict[str, int] | None = None,
-                 keep: Sequence[str] = (), with_content: bool = False) -> DataFrame:
+                 keep: Sequence[str] = (), with_content: bool = False, first_per_line: bool = False) -> DataFrame:
     """Explode all matches of ``pattern`` in ``files.content``.
 
     Output: KEYS + ``keep`` + pos, line, lstart, m, <groups>, snippet
@@ -37,7 +37,7 @@ def pattern_hits(files: DataFrame, pattern: str, groups: dict[str, int] | None =
     matched = files.where(content.rlike(pattern))
     exploded = matched.select(
         *KEYS, *keep, "content", tx.other_breaks(content).alias("_ob"),
-        F.explode(tx.regex_hits(content, pattern, groups)).alias("h"))
+        F.explode(tx.regex_hits(content, pattern, groups, first_per_line)).alias("h"))
     h = F.col("h")
     cols: list[Column | str] = [*KEYS, *keep, h["pos"].alias("pos"), h["line"].alias("line"),
                                 h["lstart"].alias("lstart"), h["m"].alias("m")]
