@@ -57,9 +57,17 @@ def _last_nl(s: Column) -> Column:
     return F.length(s) - F.length(F.substring_index(s, "\n", -1)) - 1
 
 
-def regex_hits(content: Column, pattern: str, groups: dict[str, int] | None = None,
-               first_per_line: bool = False) -> Column:
-    """All non-overlapping matches: start offset, line number, line start, text, groups.
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal for ``s`` (backslashes and quotes escaped)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+HIT_DDL = "STRUCT<rule:STRING,pos:INT,line:INT,lstart:INT,m:STRING,g1:STRING,g2:STRING>"
+
+
+def regex_hits_sql(content: str, pattern: str, groups: tuple[int, ...] = (), first_per_line: bool = False,
+                   rule: str = "") -> str:
+    """SQL text of an ARRAY<HIT_DDL> with every match of ``pattern`` in column ``content``.
 
     ``split`` and ``regexp_extract_all`` walk the same matches, so the k-th
     match starts after parts[0..k] and matches[0..k-1]. The arrays are zipped
@@ -67,39 +75,46 @@ def regex_hits(content: Column, pattern: str, groups: dict[str, int] | None = No
     newline position, so the work is linear in the file instead of
     (matches x file), and nothing outside the zipped input is evaluated per
     element. Needs a pattern without zero-width matches (asserted by the rule
-    catalogue). Each hit: pos (0-based), line (1 + "\n" before it), lstart
-    (0-based start of that "\n"-line), m (matched text), plus one field per group.
+    catalogue). Each hit: pos (0-based), line (1 + "\\n" before it), lstart
+    (0-based start of that "\\n"-line), m (match), g1/g2 (capture groups).
+    Built as one SQL expression so the driver parses it once on the JVM side.
+    """
+    p = sql_str(pattern)
+    found = f"regexp_extract_all({content}, {p}, 0)"
+    args = [f"slice(split({content}, {p}, -1), 1, size({found}))", found]
+    args += [f"regexp_extract_all({content}, {p}, {g})" for g in groups[:2]]
+    g1 = "x.`2`" if len(groups) > 0 else "CAST(NULL AS STRING)"
+    g2 = "x.`3`" if len(groups) > 1 else "CAST(NULL AS STRING)"
+
+    def nlc(e):
+        return f"(length({e}) - length(replace({e}, '\\n', '')))"
+
+    def last_nl(e):
+        return f"(length({e}) - length(substring_index({e}, '\\n', -1)) - 1)"
+
+    start = "(acc.off + length(x.`0`))"
+    line = f"(acc.line + {nlc('x.`0`')})"
+    nl_before = f"(CASE WHEN instr(x.`0`, '\\n') > 0 THEN acc.off + {last_nl('x.`0`')} ELSE acc.nl END)"
+    hit = (f"named_struct('rule', {sql_str(rule)}, 'pos', {start}, 'line', {line}, 'lstart', {nl_before} + 1, "
+           f"'m', x.`1`, 'g1', {g1}, 'g2', {g2})")
+    out = f"concat(acc.out, array({hit}))"
+    if first_per_line:
+        out = f"(CASE WHEN {line} = acc.lh THEN acc.out ELSE {out} END)"
+    nl_after = f"(CASE WHEN instr(x.`1`, '\\n') > 0 THEN {start} + {last_nl('x.`1`')} ELSE {nl_before} END)"
+    step = (f"named_struct('off', {start} + length(x.`1`), 'line', {line} + {nlc('x.`1`')}, "
+            f"'nl', {nl_after}, 'lh', {line}, 'out', {out})")
+    init = f"named_struct('off', 0, 'line', 1, 'nl', -1, 'lh', 0, 'out', CAST(array() AS ARRAY<{HIT_DDL}>))"
+    return f"aggregate(arrays_zip({', '.join(args)}), {init}, (acc, x) -> {step}, acc -> acc.out)"
+
+
+def regex_hits(content: Column | str, pattern: str, groups: dict[str, int] | None = None,
+               first_per_line: bool = False) -> Column:
+    """Column form of ``regex_hits_sql`` (``content`` must be a column name).
+
+    Group values land in ``g1``/``g2`` in the order given.
     """
-    groups = groups or {}
-    parts = F.split(content, pattern, -1)
-    found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    inputs = [F.slice(parts, 1, F.size(found)).alias("p"), found.alias("m")]
-    inputs += [F.regexp_extract_all(content, F.lit(pattern), F.lit(idx)).alias(name) for name, idx in groups.items()]
-    hit_type = T.StructType(
-        [T.StructField("pos", T.IntegerType()), T.StructField("line", T.IntegerType()),
-         T.StructField("lstart", T.IntegerType()), T.StructField("m", T.StringType())]
-        + [T.StructField(name, T.StringType()) for name in groups])
-    init = F.struct(F.lit(0).alias("off"), F.lit(1).alias("line"), F.lit(-1).alias("nl"),
-                    F.lit(0).alias("lh"), F.array().cast(T.ArrayType(hit_type)).alias("out"))
-
-    def step(acc, x):
-        p, m = x["p"], x["m"]
-        start = acc["off"] + F.length(p)
-        nl = F.when(F.instr(p, "\n") > 0, acc["off"] + _last_nl(p)).otherwise(acc["nl"])
-        line = acc["line"] + newline_count(p)
-        hit = F.struct(start.alias("pos"), line.alias("line"), (nl + 1).alias("lstart"), m.alias("m"),
-                       *[x[name].alias(name) for name in groups])
-        nl_after = F.when(F.instr(m, "\n") > 0, start + _last_nl(m)).otherwise(nl)
-        out = F.concat(acc["out"], F.array(hit))
-        if first_per_line:
-            out = F.when(line == acc["lh"], acc["out"]).otherwise(out)
-        return F.struct((start + F.length(m)).alias("off"),
-                        (line + newline_count(m)).alias("line"),
-                        nl_after.alias("nl"),
-                        line.alias("lh"),
-                        out.alias("out"))
-
-    return F.aggregate(F.arrays_zip(*inputs), init, step, lambda acc: acc["out"])
+    name = content if isinstance(content, str) else "content"
+    return F.expr(regex_hits_sql(name, pattern, tuple((groups or {}).values()), first_per_line))
 
 
 def other_breaks(content: Column) -> Column:

@@ -137,13 +137,14 @@ def emit(df: DataFrame, rule_id: str | Column, *, line_start: Column, line_end:
     if isinstance(rule_id, str):
         vals = rule_values(rule_id)
     else:
+        # one CASE per field over the catalogue, parsed once as SQL text
+        df = df.withColumn("_rule", rule_id)
         vals = {}
         for i, field in enumerate(["detector", "category", "severity", "confidence", "title", "fix_suggestion"]):
-            expr = None
-            for rid, spec in RULES.items():
-                v = F.lit(spec[i]) if field != "confidence" else F.lit(Decimal(spec[i])).cast(CONFIDENCE)
-                expr = F.when(rule_id == rid, v) if expr is None else expr.when(rule_id == rid, v)
-            vals[field] = expr
+            branches = " ".join(
+                f"WHEN {_q(rid)} THEN " + (f"CAST({spec[i]} AS DECIMAL(3,2))" if field == "confidence" else _q(spec[i]))
+                for rid, spec in RULES.items())
+            vals[field] = F.expr(f"CASE _rule {branches} END")
     line_end = line_start if line_end is None else line_end
     if confidence is not None:
         vals["confidence"] = confidence.cast(CONFIDENCE)
@@ -158,6 +159,10 @@ def emit(df: DataFrame, rule_id: str | Column, *, line_start: Column, line_end:
     )
 
 
+def _q(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def rules_frame(spark: SparkSession) -> DataFrame:
     """The catalogue as a small dimension table (broadcast-sized by construction)."""
     rows = [(rid, d, c, s, Decimal(conf), t, fx) for rid, (d, c, s, conf, t, fx) in RULES.items()]

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.catalog import emit
-from riskloom.operators.scan import pattern_hits
 from riskloom.sources import files as src
 
 # Patterns (Java spelling of the reference's Python regexes).
@@ -32,15 +31,21 @@ def config_scan_files(eligible: DataFrame) -> DataFrame:
                           | F.col("suffix_l").isin(src.SOURCE_SUFFIXES))
 
 
-def config_debug(eligible: DataFrame) -> DataFrame:
-    hits = pattern_hits(config_scan_files(eligible), DEBUG_PATTERN)
-    return emit(hits, "config_debug", line_start=F.col("line"), snippet=F.col("snippet"),
+def config_debug(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Every ``debug = true`` / ``debug: true`` match in config-class files."""
+    from riskloom.operators.textscan import text_hits
+    hits = text_hits(eligible, ["config_debug"]) if hits is None else hits
+    h = hits.where(F.col("rule") == "config_debug")
+    return emit(h, "config_debug", line_start=F.col("line"), snippet=F.col("snippet"),
                 description=F.lit(DEBUG_DESCRIPTION))
 
 
-def config_cors(eligible: DataFrame) -> DataFrame:
-    hits = pattern_hits(config_scan_files(eligible), CORS_PATTERN)
-    return emit(hits, "config_cors", line_start=F.col("line"), snippet=F.col("snippet"),
+def config_cors(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Wildcard origin assignments in config-class files."""
+    from riskloom.operators.textscan import text_hits
+    hits = text_hits(eligible, ["config_cors"]) if hits is None else hits
+    h = hits.where(F.col("rule") == "config_cors")
+    return emit(h, "config_cors", line_start=F.col("line"), snippet=F.col("snippet"),
                 description=F.lit(CORS_DESCRIPTION))
 
 
@@ -75,5 +80,6 @@ def env_committed(eligible: DataFrame, files: DataFrame) -> DataFrame:
                 description=F.lit(ENV_DESCRIPTION))
 
 
-def config_findings(eligible: DataFrame, files: DataFrame) -> DataFrame:
-    return config_debug(eligible).unionByName(config_cors(eligible)).unionByName(env_committed(eligible, files))
+def config_findings(eligible: DataFrame, files: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    return (config_debug(eligible, hits).unionByName(config_cors(eligible, hits))
+            .unionByName(env_committed(eligible, files)))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
 from riskloom.operators.catalog import emit
-from riskloom.operators.scan import pattern_hits
 from riskloom.sources import files as src
 
 # Patterns (Java spelling) and markers.
@@ -49,12 +48,13 @@ def execution_kind(snippet: Column, variables: Column) -> Column:
              .otherwise(F.lit("dynamic")))
 
 
-def js_dynamic_exec(eligible: DataFrame) -> DataFrame:
-    """eval(/new Function( - one finding per line (the first call on it)."""
-    files = js_files(eligible).withColumn("vars", decoded_variables(F.col("content")))
-    # the offset fold keeps the first call of each line (no shuffle)
-    hits = pattern_hits(files, JS_EXEC, {"call": 1}, keep=["vars"], first_per_line=True)
-    per_line = hits.withColumn("kind", execution_kind(F.col("snippet"), F.col("vars")))
+def js_dynamic_exec(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """eval(/new Function( - one finding per line (the first call on it;
+    the offset fold drops later calls of a line, no shuffle)."""
+    from riskloom.operators.textscan import text_hits
+    hits = text_hits(eligible, ["js_exec"]) if hits is None else hits
+    h = hits.where(F.col("rule") == "js_exec").withColumnRenamed("g1", "call")
+    per_line = h.withColumn("kind", execution_kind(F.col("snippet"), F.col("js_vars")))
     rule = F.when(F.col("kind") == "decoded", F.lit("js_exec_decoded")).otherwise(F.lit("js_exec_other"))
     desc = F.concat(F.col("call"), F.lit("() executes "), F.col("kind"), F.lit(EXEC_DESCRIPTION_TAIL))
     return emit(per_line, rule, line_start=F.col("line"), snippet=F.col("snippet"), description=desc)
@@ -68,10 +68,12 @@ def mentions_auth_marker(value: Column) -> Column:
     return tx.contains_any(F.replace(F.lower(value), F.lit("-"), F.lit("_")), AUTH_MARKERS)
 
 
-def js_auth_bypass(eligible: DataFrame) -> DataFrame:
+def js_auth_bypass(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """If (<literal> ==/=== <auth-ish name>) in either order."""
-    hits = pattern_hits(js_files(eligible), JS_AUTH, {"left": 1, "right": 2})
-    left, right = tx.py_strip(F.col("left")), tx.py_strip(F.col("right"))
+    from riskloom.operators.textscan import text_hits
+    hits = text_hits(eligible, ["js_auth"]) if hits is None else hits
+    hits = hits.where(F.col("rule") == "js_auth")
+    left, right = tx.py_strip(F.col("g1")), tx.py_strip(F.col("g2"))
     left_lit, right_lit = is_string_literal(left), is_string_literal(right)
     variable_side = F.when(left_lit, right).otherwise(left)
     flagged = hits.where((left_lit | right_lit) & mentions_auth_marker(variable_side))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
 from riskloom.operators.catalog import CONFIDENCE, emit
-from riskloom.operators.scan import pattern_hits
 
 # Patterns (Java spelling), install script names, safe hosts.
 URL_PATTERN = "(?iU)https?://((?:\\d{1,3}\\.){3}\\d{1,3}|(?:[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?))(?::\\d+)?"
@@ -26,10 +25,12 @@ DOMAIN_TAIL = (" appears only once in the repository and is not referenced by ot
 INSTALL_TAIL = (". Install lifecycle scripts run automatically and can execute a dependency-level backdoor.")
 
 
-def url_refs(eligible: DataFrame) -> DataFrame:
+def url_refs(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Every http(s) URL host in every eligible text file (fact table)."""
-    hits = pattern_hits(eligible, URL_PATTERN, {"host": 1}, keep=["is_source"])
-    host = F.lower(F.col("host"))
+    from riskloom.operators.textscan import text_hits
+    hits = text_hits(eligible, ["url"]) if hits is None else hits
+    hits = hits.where(F.col("rule") == "url")
+    host = F.lower(F.col("g1"))
     return hits.select("repo_id", "commit_sha", "file_path", "is_source", "pos", "line", "snippet",
                        host.alias("host"), tx.is_ipv4(host).alias("is_ip"))
 
@@ -46,10 +47,11 @@ def raw_ip_url(eligible: DataFrame, refs: DataFrame | None = None) -> DataFrame:
                 description=_raw_ip_description("HTTP client URL", F.col("host")))
 
 
-def raw_ip_socket(eligible: DataFrame) -> DataFrame:
+def raw_ip_socket(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """X.connect(("ip", ...) / socket.create_connection(("ip", ...) in source."""
-    hits = pattern_hits(eligible.where("is_source"), SOCKET_PATTERN, {"ip": 1})
-    hits = hits.where(tx.is_ipv4(F.col("ip")))
+    from riskloom.operators.textscan import text_hits
+    hits = text_hits(eligible, ["socket"]) if hits is None else hits
+    hits = hits.where((F.col("rule") == "socket") & tx.is_ipv4(F.col("g1"))).withColumnRenamed("g1", "ip")
     return emit(hits, "raw_ip", line_start=F.col("line"), snippet=F.col("snippet"),
                 description=_raw_ip_description("raw socket connection", F.col("ip")))
 

@@ -11,12 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.functions import text as tx
 from riskloom.operators.catalog import emit
-from riskloom.operators.js_rules import js_files
-from riskloom.operators.scan import check_pattern
 
 # Patterns (Java spelling), markers and distances.
 JS_ASSIGN = "(?iU)\\b(?:const|let|var)\\s+([A-Za-z_$][\\w$]*)\\s*=\\s*([^;\\n]+)"
@@ -58,26 +55,16 @@ def _word_in(text: Column, word: Column) -> Column:
     return (F.instr(text, word) > 0) & F.call_function("rlike", text, pattern)
 
 
-def js_prompt_injection(eligible: DataFrame) -> DataFrame:
-    check_pattern(JS_ASSIGN)
-    check_pattern(JS_LLM_CALL)
-    files = js_files(eligible).where(F.col("content").rlike(JS_LLM_CALL))
-    content = F.col("content")
-    assigns = tx.regex_hits(content, JS_ASSIGN, {"name": 1, "expression": 2})
-    unsafe = F.filter(assigns, lambda a: tx.contains_any(F.lower(a["name"]), PROMPT_NAME_MARKERS)
-                      & unsanitized_source(a["expression"]))
-    unsafe = F.transform(unsafe, lambda a: F.struct(a["name"].alias("name"), a["pos"].alias("pos")))
-    staged = files.select("repo_id", "commit_sha", "file_path", "content", tx.other_breaks(content).alias("_ob"),
-                          unsafe.alias("unsafe"), F.explode(tx.regex_hits(content, JS_LLM_CALL)).alias("h"))
-    pos = F.col("h.pos")
-    window = F.substring(content, pos + 1, WINDOW_CHARS)
-    near = F.exists(F.col("unsafe"), lambda a: (a["pos"] < pos) & (pos - a["pos"] <= NEAR_CHARS)
+def js_prompt_injection(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    from riskloom.operators.textscan import text_hits
+    hits = text_hits(eligible, ["js_llm"]) if hits is None else hits
+    calls = hits.where(F.col("rule") == "js_llm")
+    pos, window = F.col("pos"), F.col("window")
+    unsafe = F.coalesce(F.col("js_unsafe"), F.array().cast("array<struct<name:string,pos:int>>"))
+    near = F.exists(unsafe, lambda a: (a["pos"] < pos) & (pos - a["pos"] <= NEAR_CHARS)
                     & _word_in(window, a["name"]))
     inline = unsanitized_source(window) & prompt_construction(window)
-    flagged = staged.where(near | inline)
-    flagged = flagged.select(
-        "repo_id", "commit_sha", "file_path", F.col("h.line").alias("line"), F.col("h.pos").alias("pos"),
-        tx.hit_snippet(content, F.col("_ob"), F.col("h.pos"), F.col("h.line"), F.col("h.lstart")).alias("snippet"))
+    flagged = calls.where(near | inline)
     # one finding per line: the first flagged call (aggregation by line key)
     per_line = (flagged.groupBy("repo_id", "commit_sha", "file_path", "line")
                 .agg(F.min_by("snippet", "pos").alias("snippet")))

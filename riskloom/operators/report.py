@@ -49,13 +49,12 @@ def _fmt_decimal(col: Column) -> Column:
     return col.cast("string")
 
 
-def executive_summary(counts: DataFrame, scores: DataFrame, top: DataFrame, files_scanned: DataFrame,
-                      scan_col: str = "scan_id") -> DataFrame:
-    """A3: two or three fixed sentences from counts, score and the top finding."""
-    df = (counts.join(scores, scan_col).join(top.select(scan_col, F.col("title").alias("top_title"),
-                                                         F.col("file_path").alias("top_path"),
-                                                         F.col("line_start").alias("top_line")), scan_col, "left")
-                .join(files_scanned, scan_col, "left"))
+def executive_summary(df: DataFrame) -> Column:
+    """A3: two or three fixed sentences from counts, score and the top finding.
+
+    ``df`` carries files_scanned, total, the five counts, overall_risk_score and
+    top_title/top_path/top_line.
+    """
     first = F.format_string(f"{PRODUCT_NAME} scanned %d eligible files and recorded %d security findings.",
                             F.coalesce(F.col("files_scanned"), F.lit(0)), F.col("total"))
     parts = F.filter(F.array(*[F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(" " + s)))
@@ -68,20 +67,26 @@ def executive_summary(counts: DataFrame, scores: DataFrame, top: DataFrame, file
     third = F.concat(F.lit("Prioritize "), F.col("top_title"), location,
                      F.lit(", then review the linked remediation recommendations."))
     empty = F.lit("No static findings were persisted for this scan; continue normal secure-development review.")
-    summary = F.when(F.size(parts) > 0, F.concat_ws(" ", first, second, third)).otherwise(F.concat_ws(" ", first, empty))
-    return df.select(scan_col, summary.alias("summary"))
+    return F.when(F.size(parts) > 0, F.concat_ws(" ", first, second, third)).otherwise(F.concat_ws(" ", first, empty))
 
 
-def scan_reports(findings: DataFrame, files_scanned: DataFrame, scan_col: str = "scan_id") -> DataFrame:
-    """A4: one report row per scan: score, counts map, summary, band."""
+def scan_reports(findings: DataFrame, scans: DataFrame, scan_col: str = "scan_id", tie=None) -> DataFrame:
+    """A4: one report row per scan in ``scans`` (scan_col, files_scanned):
+    zero-filled counts, score, band, summary. Scans without findings still
+    get a report."""
     counts = severity_counts(findings, scan_col)
     scores = risk_score(findings, scan_col)
-    top = fnd.top_finding(findings, scan_col)
-    summary = executive_summary(counts, scores, top, files_scanned, scan_col)
+    top = fnd.top_finding(findings, scan_col, tie=tie).select(
+        scan_col, F.col("title").alias("top_title"), F.col("file_path").alias("top_path"),
+        F.col("line_start").alias("top_line"))
+    df = scans.select(scan_col, "files_scanned").join(counts, scan_col, "left").join(scores, scan_col, "left") \
+        .join(top, scan_col, "left")
+    df = df.na.fill(0, [*SEVERITIES, "total"]).withColumn(
+        "overall_risk_score", F.coalesce(F.col("overall_risk_score"), F.lit(Decimal("0.0")).cast(SCORE)))
     counts_map = F.create_map(*[x for s in SEVERITIES for x in (F.lit(s), F.col(s))])
-    return (counts.join(scores, scan_col).join(summary, scan_col)
-                  .select(scan_col, "overall_risk_score", risk_band(F.col("overall_risk_score")).alias("risk_band"),
-                          counts_map.alias("finding_counts"), *SEVERITIES, "total", "summary"))
+    return df.select(scan_col, "files_scanned", "overall_risk_score",
+                     risk_band(F.col("overall_risk_score")).alias("risk_band"),
+                     counts_map.alias("finding_counts"), *SEVERITIES, "total", executive_summary(df).alias("summary"))
 
 
 def latest_remediation(remediations: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def pattern_hits(files: DataFrame, pattern: str, groups: dict[str, int] | None =
     h = F.col("h")
     cols: list[Column | str] = [*KEYS, *keep, h["pos"].alias("pos"), h["line"].alias("line"),
                                 h["lstart"].alias("lstart"), h["m"].alias("m")]
-    cols += [h[g].alias(g) for g in groups]
+    cols += [h[f"g{i + 1}"].alias(g) for i, g in enumerate(groups)]
     cols.append(tx.hit_snippet(content, F.col("_ob"), h["pos"], h["line"], h["lstart"]).alias("snippet"))
     if with_content:
         cols.append("content")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
 from riskloom.operators.catalog import emit
-from riskloom.operators.scan import pattern_hits
 
 # Our patterns (fixed values).
 SIGNATURES = {
@@ -35,36 +34,35 @@ DESCRIPTION = {
 }
 
 
-def _signature_hits(eligible: DataFrame) -> DataFrame:
-    parts = []
-    for rule, pattern in SIGNATURES.items():
-        h = pattern_hits(eligible, pattern).select("repo_id", "commit_sha", "file_path", "line", "pos", "m",
-                                                  "snippet", F.lit(rule).alias("rule"))
-        parts.append(h)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _signature_hits(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    from riskloom.operators.textscan import text_hits
+    hits = text_hits(eligible, list(SIGNATURES)) if hits is None else hits
+    return hits.where(F.col("rule").isin(list(SIGNATURES))).select(
+        "repo_id", "commit_sha", "file_path", "line", "pos", "m", "snippet", "rule")
 
 
-def _generic_hits(eligible: DataFrame) -> DataFrame:
-    h = pattern_hits(eligible, GENERIC, {"value": 1})
-    h = h.withColumn("entropy", tx.shannon_entropy(F.col("value")))
+def _generic_hits(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    from riskloom.operators.textscan import text_hits
+    hits = text_hits(eligible, ["secret_generic"]) if hits is None else hits
+    h = hits.where(F.col("rule") == "secret_generic").withColumn("entropy", tx.shannon_entropy(F.col("g1")))
     return h.where(F.col("entropy") >= MIN_ENTROPY).select(
-        "repo_id", "commit_sha", "file_path", "line", "pos", F.col("value").alias("m"), "snippet",
+        "repo_id", "commit_sha", "file_path", "line", "pos", F.col("g1").alias("m"), "snippet",
         F.lit("secret_entropy").alias("rule"))
 
 
-def secret_signatures(eligible: DataFrame) -> DataFrame:
-    sig = _signature_hits(eligible)
-    return _emit(sig)
+def secret_signatures(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """One row per signature match (AWS key id, JWT, private key, payment key)."""
+    return _emit(_signature_hits(eligible, hits))
 
 
-def secret_entropy(eligible: DataFrame) -> DataFrame:
-    """Generic assignments whose value passes the entropy test, on lines
-    without a signature hit (left anti join on the line key)."""
-    sig_lines = _signature_hits(eligible).select("repo_id", "commit_sha", "file_path", "line").distinct()
-    gen = _generic_hits(eligible).join(sig_lines, ["repo_id", "commit_sha", "file_path", "line"], "left_anti")
+def secret_entropy(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Generic secret assignments whose value passes the entropy test,
+    on lines without a signature hit (left anti join on the line key)."""
+    if hits is None:
+        from riskloom.operators.textscan import text_hits
+        hits = text_hits(eligible, [*SIGNATURES, "secret_generic"])
+    sig_lines = _signature_hits(eligible, hits).select("repo_id", "commit_sha", "file_path", "line").distinct()
+    gen = _generic_hits(eligible, hits).join(sig_lines, ["repo_id", "commit_sha", "file_path", "line"], "left_anti")
     return _emit(gen)
 
 
@@ -76,5 +74,5 @@ def _emit(hits: DataFrame) -> DataFrame:
     return emit(hits, F.col("rule"), line_start=F.col("line"), snippet=redacted, description=desc)
 
 
-def secret_findings(eligible: DataFrame) -> DataFrame:
-    return secret_signatures(eligible).unionByName(secret_entropy(eligible))
+def secret_findings(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    return secret_signatures(eligible, hits).unionByName(secret_entropy(eligible, hits))
