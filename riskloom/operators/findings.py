@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.catalog import severity_rank
+from riskloom.session import cut_lineage
 
 DEDUPE_KEY = ["category", "file_path", "line_start", "title"]
 # Total order after the semantic keys ("first on tie" needs a unique order;
@@ -60,13 +61,17 @@ def row_number_skew_safe(df: DataFrame, group: Sequence[str], order: Sequence[st
        and turn the counts into starting offsets with a window over that small
        table.
     4. Join the offsets back on (partition, group).
+
+    The numbered rows are checkpointed (reliable checkpoint in the shared
+    folder) because they are read twice and the range sampler is not
+    guaranteed to choose the same bounds on a second evaluation.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_pid", *group).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *group, "_first",

@@ -129,8 +129,9 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    from riskloom.session import ensure_parallelism
+    li = ensure_parallelism(read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
     return spark.sql(FINDINGS_BASE_TEMPLATE, lineitem=li)
 
 
@@ -139,5 +140,6 @@ def reasoning_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remediation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    from riskloom.session import ensure_parallelism
+    ev = ensure_parallelism(read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type"))
     return spark.sql(REMEDIATION_EVENTS_TEMPLATE, events=ev)
