@@ -159,7 +159,8 @@ def is_ipv4(host: Column) -> Column:
 
 def shannon_entropy(value: Column) -> Column:
     """Bits per character of ``value`` (0.0 for empty)."""
-    chars = F.split(value, "(?!^)")  # one element per character
+    # one element per character (a zero-width split also yields a trailing '')
+    chars = F.filter(F.split(value, "(?!^)"), lambda x: x != "")
     n = F.size(chars).cast("double")
     distinct = F.array_distinct(chars)
     counts = F.transform(distinct, lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
