@@ -120,3 +120,23 @@ def register_all() -> None:
 
 
 register_all()
+
+
+def register_remediation() -> None:
+    from riskloom.operators import fixes as fx_
+
+    @register("fix_proposals")
+    def q_fix_proposals(spark, sf_dir):
+        files, el, merged = _merged(spark, sf_dir)
+        p = fx_.fix_proposals(merged, files)
+        return p.select("repo_id", "file_path", "line_start", "category", "title", "tier", "target_file",
+                        "has_change", F.length("updated_content").alias("updated_chars"), "guidance")
+
+    @register("remediation_outcome")
+    def q_remediation_outcome(spark, sf_dir):
+        files, el = corpus(spark, sf_dir)
+        merged = mg.merge_findings(mg.all_findings(files, el))
+        return fx_.remediation_outcomes(fx_.fix_proposals(merged, files))
+
+
+register_remediation()
