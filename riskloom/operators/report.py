@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators import findings as fnd
-from riskloom.operators.catalog import RISK_WEIGHTS, SEVERITIES, severity_rank, severity_weight
+from riskloom.operators.catalog import SEVERITIES, severity_rank, severity_weight
 
 SCORE = T.DecimalType(4, 1)
 # Fixed value: product name used in the executive summary.
@@ -174,9 +174,9 @@ def report_lines(reports: DataFrame, ranked: DataFrame, recs: DataFrame, scan_co
         F.concat(F.lit("  - Remediation status: "), F.coalesce(F.col("remediation_status"), F.lit("not proposed"))),
         F.lit(""))
     fl = ranked.select(scan_col, (F.lit(1) + severity_rank(F.col("severity"))).alias("section"),
-                       F.col("sev_position").alias("sub"), F.posexplode(body).alias("n", "text"))
-    fl = fl.select(scan_col, "section", "sub", (F.col("sub") * 4 + F.col("n") + 2).cast("long").alias("n"), "text")
-    fl = fl.drop("sub").withColumn("sub", F.lit(1))
+                       F.col("sev_position").alias("pos"), F.posexplode(body).alias("k", "text"))
+    fl = fl.select(scan_col, "section", F.lit(1).alias("sub"),
+                   ((F.col("pos") - 1) * 4 + F.col("k")).cast("long").alias("n"), "text")
     rec_head = reports.select(scan_col, F.lit(6).alias("section"), F.lit(0).alias("sub"),
                               F.posexplode(F.array(F.lit("## Recommendations"), F.lit(""))).alias("n", "text"))
     rec_head = rec_head.select(scan_col, "section", "sub", F.col("n").cast("long"), "text")
@@ -193,7 +193,6 @@ def report_lines(reports: DataFrame, ranked: DataFrame, recs: DataFrame, scan_co
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = Window.partitionBy(scan_col).orderBy("section", "sub", "n")
     return out.select(scan_col, "section", "sub", "n", "text")
 
 

@@ -140,3 +140,57 @@ def register_remediation() -> None:
 
 
 register_remediation()
+
+
+def register_context() -> None:
+    from riskloom.operators import enrich as en
+    from riskloom.plans import oracle_parts as op
+
+    ctx_oracle = _merged_sql().rstrip() + ",\n" + op.code_prefix().replace("WITH ", "", 1).rstrip() + f""",
+fl AS (
+  SELECT m.repo_id, m.file_path, m.line_start, m.line_end, m.title, m.detector,
+         coalesce(m.line_start, 1) AS a0, x.line_no, x.ltext,
+         max(x.line_no) OVER (PARTITION BY m.repo_id, m.file_path, m.line_start, m.title, m.detector) AS n
+  FROM merged m JOIN (
+    SELECT repo_id, file_path, unnest(string_split(content, chr(10))) AS ltext,
+           generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM code_files) x
+    ON x.repo_id = m.repo_id AND x.file_path = m.file_path),
+win AS (
+  SELECT *, greatest(1, a0 - 12) AS s, least(n, least(greatest(coalesce(line_end, a0), a0), n) + 12) AS e FROM fl)
+SELECT repo_id, file_path, line_start, title, detector, CAST(s AS INTEGER) AS context_start,
+       CAST(e AS INTEGER) AS context_end,
+       left(string_agg(printf('%5d: %s', line_no, ltext), chr(10) ORDER BY line_no), 12000) AS context
+FROM win WHERE a0 BETWEEN 1 AND n AND line_no BETWEEN s AND e
+GROUP BY repo_id, file_path, line_start, title, detector, s, e"""
+
+    @register("code_context", ctx_oracle)
+    def q_code_context(spark, sf_dir):
+        files, el, merged = _merged(spark, sf_dir)
+        c = en.code_context(merged, files)
+        return c.where(F.col("context").isNotNull()).select(
+            "repo_id", "file_path", "line_start", "title", "detector", F.col("context_start").cast("int"),
+            F.col("context_end").cast("int"), "context")
+
+    @register("reasoning_requests")
+    def q_reasoning_requests(spark, sf_dir):
+        files, el, merged = _merged(spark, sf_dir)
+        return en.reasoning_requests(en.code_context(merged, files))
+
+    @register("report_markdown")
+    def q_report_markdown(spark, sf_dir):
+        from riskloom.operators import findings as fnd
+        files, el, merged = _merged(spark, sf_dir)
+        keyed = merged.withColumn("_det", mg.detector_rank(F.col("detector")))
+        reports = rpt.scan_reports(keyed, src.repo_inventory(el).select("repo_id", "files_scanned"),
+                                   scan_col="repo_id", tie=CORPUS_TIE)
+        ranked = (keyed.withColumn("finding_id", F.xxhash64("file_path", "line_start", "title", "category"))
+                  .withColumn("remediation_status", F.lit(None).cast("string")))
+        ranked = fnd.row_number_skew_safe(
+            ranked.withColumn("_sev", rpt.severity_rank(F.col("severity"))).withColumn("_nc", -F.col("confidence")),
+            ["repo_id", "_sev"], ["_nc", "file_path", "_det", "line_start", "title"], out="sev_position")
+        recs = fnd.recommendations(keyed.withColumn("finding_id", F.lit(0)), scan_col="repo_id",
+                                   tie=["_det", "line_start", "title"])
+        return rpt.report_lines(reports, ranked, recs, scan_col="repo_id")
+
+
+register_context()

@@ -1,4 +1,4 @@
-"""Review-verdict and remediation-state queries (E3, E4, M12, T2 batch twin, R10)."""
+"""Review verdicts, remediation state, URL import and data-quality queries (E3, E4, M12, M16, R10, S14, T2 twin)."""
 
 from __future__ import annotations
 
@@ -108,3 +108,42 @@ def q_recent_events(spark, sf_dir):
     top = fnd.top_k_per_group(ev, ["remediation_id"], [F.col("ts").desc(), F.col("event_id").desc()], 6,
                               tie_cols=["event_id"])
     return top.select("remediation_id", "event_id", "ts", "status", "rank_in_group")
+
+
+_GH = "^https://github\\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\\.git)?/?$"
+
+
+@register("project_import", f"""
+SELECT page_id, url, CASE WHEN ok THEN owner END AS owner, CASE WHEN ok THEN name END AS name,
+       CASE WHEN ok THEN 'https://github.com/' || owner || '/' || name END AS canonical_url, ok AS valid
+FROM (
+  SELECT page_id, url, owner, name,
+         coalesce(regexp_matches(url, '{_GH}') AND owner NOT IN ('.', '..') AND name NOT IN ('.', '..'), FALSE) AS ok
+  FROM (SELECT page_id, url, regexp_extract(url, '{_GH}', 1) AS owner, regexp_extract(url, '{_GH}', 2) AS name
+        FROM pages) p) q""")
+def q_project_import(spark, sf_dir):
+    """Repository URL parsing over every page URL (valid ones become projects)."""
+    from riskloom.sources import files as src
+    pages = fx.read_table(spark, sf_dir, "pages").select("page_id", "url")
+    out = src.project_import(pages)
+    return out.select("page_id", "url", "owner", "name", "canonical_url",
+                      F.coalesce(F.col("valid"), F.lit(False)).alias("valid"))
+
+
+@register("dq_violations", RESP + """, one AS (SELECT finding_id, min(output_text) AS output_text
+  FROM reasoning_responses GROUP BY finding_id)
+SELECT finding_id, 'confidence_out_of_range' AS reason FROM findings_base WHERE confidence < 0 OR confidence > 1
+UNION ALL
+SELECT finding_id, 'unknown_severity' AS reason FROM findings_base
+WHERE severity IS NULL OR severity NOT IN ('critical', 'high', 'medium', 'low', 'info')
+UNION ALL
+SELECT finding_id, 'invalid_review' AS reason FROM one
+WHERE NOT json_valid(output_text) OR json_type(output_text) <> 'OBJECT'""")
+def q_dq_violations(spark, sf_dir):
+    """Rows that break the stored-table checks (plus unreadable review verdicts)."""
+    base = rem.dq_violations(fx.findings_base(spark, sf_dir))
+    resp = en.one_response_per_finding(fx.reasoning_responses(spark, sf_dir))
+    v = F.try_parse_json(F.col("output_text"))
+    bad = resp.where(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT")).select(
+        "finding_id", F.lit("invalid_review").alias("reason"))
+    return base.unionByName(bad)
