@@ -133,30 +133,31 @@ def emit(df: DataFrame, rule_id: str | Column, *, line_start: Column, line_end:
     """Project detector rows (with repo_id, commit_sha, file_path) onto the finding shape.
 
     ``rule_id`` may be a column naming a rule per row (variants of one rule).
+    The catalogue values are spliced in as SQL text (one parse on the JVM
+    side instead of one driver round trip per expression node).
     """
-    if isinstance(rule_id, str):
-        vals = rule_values(rule_id)
-    else:
-        # one CASE per field over the catalogue, parsed once as SQL text
-        df = df.withColumn("_rule", rule_id)
-        vals = {}
-        for i, field in enumerate(["detector", "category", "severity", "confidence", "title", "fix_suggestion"]):
-            branches = " ".join(
-                f"WHEN {_q(rid)} THEN " + (f"CAST({spec[i]} AS DECIMAL(3,2))" if field == "confidence" else _q(spec[i]))
-                for rid, spec in RULES.items())
-            vals[field] = F.expr(f"CASE _rule {branches} END")
     line_end = line_start if line_end is None else line_end
-    if confidence is not None:
-        vals["confidence"] = confidence.cast(CONFIDENCE)
-    return df.select(
-        "repo_id", "commit_sha",
-        vals["detector"].alias("detector"), vals["category"].alias("category"),
-        vals["severity"].alias("severity"), vals["confidence"].alias("confidence"),
-        "file_path",
-        line_start.cast("int").alias("line_start"), line_end.cast("int").alias("line_end"),
-        snippet.alias("code_snippet"), vals["title"].alias("title"),
-        description.alias("description"), vals["fix_suggestion"].alias("fix_suggestion"),
-    )
+    staged = df.select("repo_id", "commit_sha", "file_path",
+                       (rule_id if not isinstance(rule_id, str) else F.lit(rule_id)).alias("_rule"),
+                       line_start.cast("int").alias("line_start"), line_end.cast("int").alias("line_end"),
+                       snippet.alias("code_snippet"), description.alias("description"),
+                       (confidence if confidence is not None else F.lit(None)).cast(CONFIDENCE).alias("_conf"))
+    fields = ["detector", "category", "severity", "confidence", "title", "fix_suggestion"]
+
+    def value(i: int) -> str:
+        if isinstance(rule_id, str):
+            v = RULES[rule_id][i]
+            return f"CAST({v} AS DECIMAL(3,2))" if fields[i] == "confidence" else _q(v)
+        branches = " ".join(
+            f"WHEN {_q(rid)} THEN " + (f"CAST({spec[i]} AS DECIMAL(3,2))" if fields[i] == "confidence" else _q(spec[i]))
+            for rid, spec in RULES.items())
+        return f"CASE _rule {branches} END"
+
+    conf = f"coalesce(_conf, {value(3)})"
+    return staged.selectExpr(
+        "repo_id", "commit_sha", f"{value(0)} AS detector", f"{value(1)} AS category", f"{value(2)} AS severity",
+        f"{conf} AS confidence", "file_path", "line_start", "line_end", "code_snippet", f"{value(4)} AS title",
+        "description", f"{value(5)} AS fix_suggestion")
 
 
 def _q(v: str) -> str:

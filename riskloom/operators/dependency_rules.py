@@ -95,26 +95,26 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     return deps_npm(manifests).unionByName(deps_pip(manifests)).unionByName(deps_go(manifests))
 
 
-def _closest_popular(candidate: Column) -> Column:
-    """struct(dist, name) of the nearest popular package within distance 2, else NULL.
+def _closest_popular_sql(candidate: str) -> str:
+    """SQL: struct(dist, name) of the nearest popular package within distance 2, else NULL.
 
-    Ties go to the alphabetically first name.
+    The 33 names are an array literal; each candidate is compared inside an
+    array expression (length band first), so there is no join. Ties go to the
+    alphabetically first name.
     """
-    popular = F.array(*[F.lit(p) for p in sorted(POPULAR_PACKAGES)])
-    scored = F.transform(popular, lambda p: F.struct(
-        F.when(F.abs(F.length(p) - F.length(candidate)) <= MAX_TYPO_DISTANCE,
-               F.levenshtein(candidate, p, MAX_TYPO_DISTANCE)).otherwise(F.lit(-1)).alias("dist"),
-        p.alias("name")))
-    within = F.filter(scored, lambda x: x["dist"] >= 0)
-    return F.when((candidate != "") & ~candidate.isin(POPULAR_PACKAGES) & (F.size(within) > 0),
-                  F.array_min(within))
+    popular = "array(" + ", ".join(f"'{p}'" for p in sorted(POPULAR_PACKAGES)) + ")"
+    scored = (f"filter(transform({popular}, p -> named_struct('dist', CASE WHEN abs(length(p) - length({candidate}))"
+              f" <= {MAX_TYPO_DISTANCE} THEN levenshtein({candidate}, p, {MAX_TYPO_DISTANCE}) ELSE -1 END, "
+              f"'name', p)), x -> x.dist >= 0)")
+    return (f"CASE WHEN {candidate} <> '' AND NOT array_contains({popular}, {candidate}) AND size({scored}) > 0 "
+            f"THEN array_min({scored}) END")
 
 
 def typosquat_match(dep_name: Column) -> Column:
     """First segment (full name, then last path part) with a close popular name."""
-    full = tx.canonicalize(dep_name)
-    last = tx.canonicalize(F.element_at(F.split(dep_name, "/"), -1))
-    return F.coalesce(_closest_popular(full), _closest_popular(last))
+    full = "regexp_replace(lower(dep_name), '[^a-z0-9]', '')"
+    last = "regexp_replace(lower(element_at(split(dep_name, '/'), -1)), '[^a-z0-9]', '')"
+    return F.expr(f"coalesce({_closest_popular_sql(full)}, {_closest_popular_sql(last)})")
 
 
 def looks_obscure(dep_name: Column) -> Column:
@@ -126,7 +126,7 @@ def looks_obscure(dep_name: Column) -> Column:
 
 
 def dependency_findings(manifests: DataFrame) -> DataFrame:
-    deps = dependencies(manifests).withColumn("typo", typosquat_match(F.col("dep_name")))
+    deps = dependencies(manifests).withColumn("typo", typosquat_match(F.col("dep_name")))  # reads dep_name
     typo = deps.where(F.col("typo").isNotNull())
     typo_desc = F.concat(F.lit("'"), F.col("dep_name"), F.lit("' is a close edit-distance match to '"),
                          F.col("typo.name"), F.lit("', which can indicate typosquatting."))

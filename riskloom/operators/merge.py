@@ -51,14 +51,17 @@ def static_findings(files: DataFrame, eligible: DataFrame, hits: DataFrame | Non
     """
     if hits is None:
         hits = cut_lineage(text_hits(eligible))
-    manifests = src.manifest_files(files)
+    # manifests, .gitignore, env files and package.json: one small checkpointed extract
+    special = cut_lineage(src.special_files(files))
+    special_el = special.where("eligible")
+    manifests = src.manifest_files(special.drop("eligible", "name", "suffix", "suffix_l", "is_source"))
     refs = net.url_refs(eligible, hits)
     backdoor = net.backdoor_dedupe(_union([
         net.raw_ip_url(eligible, refs), net.raw_ip_socket(eligible, hits), net.isolated_domain(eligible, refs),
-        net.install_script(eligible)]))
+        net.install_script(special_el)]))
     return _union([
         sec.secret_findings(eligible, hits),
-        cr.config_findings(eligible, files, hits),
+        cr.config_debug(eligible, hits), cr.config_cors(eligible, hits), cr.env_committed(special_el, special),
         dep.dependency_findings(manifests),
         js.js_dynamic_exec(eligible, hits), js.js_auth_bypass(eligible, hits),
         backdoor,

@@ -60,9 +60,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    The rows are persisted first so the checkpoint write does not recompute
+    the plan a second time after the eager count; the cache is released once
+    the checkpoint files exist.
+    """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    staged = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return staged.checkpoint(eager=True)
+    finally:
+        staged.unpersist()
 
 
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

@@ -93,6 +93,22 @@ def eligible_files(files: DataFrame) -> DataFrame:
     return with_path_columns(out)
 
 
+def special_files(files: DataFrame) -> DataFrame:
+    """The few files whose whole content the cross-file and JSON rules read:
+    manifests, root .gitignore and env files (any size), with an ``eligible``
+    flag for the detectors that respect the text-file filters.
+    """
+    dtype = files.schema["content"].dataType
+    name = tx.path_name(F.col("file_path"))
+    is_env = (name == ".env") | name.startswith(".env.")
+    nul = _binary_has_nul(F.col("content")) if isinstance(dtype, T.BinaryType) else \
+        (F.instr(F.substring("content", 1, BINARY_SNIFF_BYTES), "\u0000") > 0)
+    picked = files.where(name.isin(MANIFEST_NAMES) | is_env | (F.col("file_path") == ".gitignore"))
+    eligible = not_noise(F.col("file_path")) & (F.col("size_bytes") <= MAX_TEXT_FILE_BYTES) & ~nul
+    out = picked.withColumn("eligible", eligible).withColumn("content", _decoded(F.col("content"), dtype))
+    return with_path_columns(out)
+
+
 def with_path_columns(df: DataFrame) -> DataFrame:
     name = tx.path_name(F.col("file_path"))
     suffix = tx.path_suffix(F.col("file_path"))
