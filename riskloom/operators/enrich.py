@@ -27,41 +27,44 @@ MAX_CONTEXT_CHARS = 12_000
 NUMBER_TYPES = "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
-def _field(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
-
-
-def _type(v: Column, name: str) -> Column:
-    return F.schema_of_variant(_field(v, name))
-
-
 def reasoning_valid(responses: DataFrame) -> DataFrame:
-    """Validate each response; output the parsed verdict or a reason."""
-    v = F.try_parse_json(F.col("output_text"))
-    keys = F.array_sort(F.array_distinct(F.json_object_keys(F.col("output_text"))))
-    sev = F.try_variant_get(v, "$.severity", "string")
-    conf_t = _type(v, "confidence")
-    conf = F.try_variant_get(v, "$.confidence", "decimal(38,18)")
+    """Validate each response; output the parsed verdict or a reason.
+
+    The text is parsed to VARIANT once; field values and their variant types
+    are extracted in a second projection (each referenced several times, so
+    Catalyst keeps the parse in its own projection instead of repeating it).
+    """
+    parsed = responses.select(
+        "finding_id", "output_text", F.try_parse_json(F.col("output_text")).alias("v"),
+        F.array_sort(F.array_distinct(F.json_object_keys(F.col("output_text")))).alias("keys"))
+    fields = ["severity", "confidence", *TEXT_FIELDS]
+    typed = parsed.select(
+        "finding_id", "output_text", "keys", F.schema_of_variant(F.col("v")).alias("vt"),
+        (F.col("v").isNull()).alias("bad_json"),
+        *[F.schema_of_variant(F.try_variant_get(F.col("v"), f"$.{f}", "variant")).alias(f"{f}_t") for f in fields],
+        F.try_variant_get(F.col("v"), "$.severity", "string").alias("sev"),
+        F.try_variant_get(F.col("v"), "$.confidence", "decimal(38,18)").alias("conf"),
+        *[tx.py_strip(F.try_variant_get(F.col("v"), f"$.{f}", "string")).alias(f"{f}_s") for f in TEXT_FIELDS])
     texts_ok = F.lit(True)
     for f in TEXT_FIELDS:
-        t = F.try_variant_get(v, f"$.{f}", "string")
-        texts_ok = texts_ok & (_type(v, f) == "STRING") & (tx.py_strip(t) != "")
+        texts_ok = texts_ok & (F.col(f"{f}_t") == "STRING") & (F.col(f"{f}_s") != "")
     reason = (F.when(F.col("output_text").isNull() | (F.col("output_text") == ""), F.lit("missing_output"))
-               .when(v.isNull(), F.lit("not_json"))
-               .when(~F.schema_of_variant(v).startswith("OBJECT") | keys.isNull()
-                     | (keys != F.array(*[F.lit(k) for k in REQUIRED_KEYS])), F.lit("bad_keys"))
-               .when((_type(v, "severity") != "STRING") | ~sev.isin(AI_SEVERITIES), F.lit("bad_severity"))
-               .when(~conf_t.rlike(NUMBER_TYPES), F.lit("confidence_not_number"))
+               .when(F.col("bad_json"), F.lit("not_json"))
+               .when(~F.col("vt").startswith("OBJECT") | F.col("keys").isNull()
+                     | (F.col("keys") != F.array(*[F.lit(k) for k in REQUIRED_KEYS])), F.lit("bad_keys"))
+               .when((F.col("severity_t") != "STRING") | ~F.col("sev").isin(AI_SEVERITIES), F.lit("bad_severity"))
+               .when(~F.col("confidence_t").rlike(NUMBER_TYPES), F.lit("confidence_not_number"))
                .when(~texts_ok, F.lit("empty_text"))
-               .when(conf.isNull() | (conf < 0) | (conf > 1), F.lit("confidence_out_of_range")))
+               .when(F.col("conf").isNull() | (F.col("conf") < 0) | (F.col("conf") > 1),
+                     F.lit("confidence_out_of_range")))
     valid = reason.isNull()
-    return responses.select(
+    return typed.select(
         "finding_id", valid.alias("valid"), reason.alias("reason"),
-        F.when(valid, sev).alias("ai_severity"),
-        F.when(valid, F.round(conf, 2).cast(CONFIDENCE)).alias("ai_confidence"),
-        F.when(valid, tx.py_strip(F.try_variant_get(v, "$.explanation", "string"))).alias("explanation"),
-        F.when(valid, tx.py_strip(F.try_variant_get(v, "$.fix_suggestion", "string"))).alias("ai_fix"),
-        F.when(valid, tx.py_strip(F.try_variant_get(v, "$.exploitability_notes", "string"))).alias("notes"))
+        F.when(valid, F.col("sev")).alias("ai_severity"),
+        F.when(valid, F.round(F.col("conf"), 2).cast(CONFIDENCE)).alias("ai_confidence"),
+        F.when(valid, F.col("explanation_s")).alias("explanation"),
+        F.when(valid, F.col("fix_suggestion_s")).alias("ai_fix"),
+        F.when(valid, F.col("exploitability_notes_s")).alias("notes"))
 
 
 def one_response_per_finding(responses: DataFrame) -> DataFrame:
