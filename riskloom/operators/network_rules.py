@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
@@ -59,13 +59,16 @@ def raw_ip_socket(eligible: DataFrame, hits: DataFrame | None = None) -> DataFra
 def isolated_domain(eligible: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """A non-IP host referenced exactly once in the repository, in source.
 
-    Counting is a window over (repo, host) on the small URL fact table; the
-    host key spreads a big repository across tasks.
+    References are counted per (repo, host) with an aggregation, which
+    combines map-side, so a host referenced millions of times costs one
+    partial count per task, not one task holding all its rows; only hosts
+    seen once are joined back to their single reference.
     """
     refs = url_refs(eligible) if refs is None else refs
+    key = ["repo_id", "commit_sha", "host"]
     domains = refs.where(~F.col("is_ip") & ~F.col("host").isin(SAFE_DESTINATIONS))
-    counted = domains.withColumn("refs", F.count(F.lit(1)).over(Window.partitionBy("repo_id", "commit_sha", "host")))
-    hits = counted.where((F.col("refs") == 1) & F.col("is_source"))
+    once = domains.groupBy(*key).agg(F.count(F.lit(1)).alias("refs")).where(F.col("refs") == 1).select(*key)
+    hits = domains.where(F.col("is_source")).join(once, key, "left_semi")
     return emit(hits, "isolated_domain", line_start=F.col("line"), snippet=F.col("snippet"),
                 description=F.concat(F.col("host"), F.lit(DOMAIN_TAIL)))
 
