@@ -179,10 +179,12 @@ GROUP BY repo_id, file_path, line_start, title, detector, s, e"""
     @register("report_markdown")
     def q_report_markdown(spark, sf_dir):
         from riskloom.operators import findings as fnd
+        from riskloom.session import cut_lineage
         files, el, merged = _merged(spark, sf_dir)
-        keyed = merged.withColumn("_det", mg.detector_rank(F.col("detector")))
-        reports = rpt.scan_reports(keyed, src.repo_inventory(el).select("repo_id", "files_scanned"),
-                                   scan_col="repo_id", tie=CORPUS_TIE)
+        # merged findings and the per-scan report rows are read by many branches: materialise once
+        keyed = cut_lineage(merged.withColumn("_det", mg.detector_rank(F.col("detector"))))
+        reports = cut_lineage(rpt.scan_reports(keyed, src.repo_inventory(el).select("repo_id", "files_scanned"),
+                                               scan_col="repo_id", tie=CORPUS_TIE))
         ranked = (keyed.withColumn("finding_id", F.xxhash64("file_path", "line_start", "title", "category"))
                   .withColumn("remediation_status", F.lit(None).cast("string")))
         ranked = fnd.row_number_skew_safe(

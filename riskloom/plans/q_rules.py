@@ -185,11 +185,17 @@ cls AS (
                  OR NOT regexp_matches(c_last, '[aeiou]')) AS is_obscure FROM near)"""
 
 
+def _manifests(spark, sf_dir):
+    """Manifests feed three parsers: materialise the small extract once."""
+    from riskloom.session import cut_lineage
+    files, _ = corpus(spark, sf_dir)
+    return cut_lineage(src.manifest_files(files))
+
+
 @register("dependencies", op.code_prefix(_MANIFESTS, _MAN_LINES, _NPM, _DEPS) + """
 SELECT repo_id, file_path, dep_name, CAST(line_no AS INTEGER) AS line, snip AS snippet FROM deps""")
 def q_dependencies(spark, sf_dir):
-    files, _ = corpus(spark, sf_dir)
-    d = dep.dependencies(src.manifest_files(files))
+    d = dep.dependencies(_manifests(spark, sf_dir))
     return d.select("repo_id", "file_path", "dep_name", F.col("line").cast("int"), "snippet")
 
 
@@ -197,16 +203,14 @@ def q_dependencies(spark, sf_dir):
           + op.rule_select("cls", "dependency_audit", "typosquatted_dependency", "'high'", "0.86",
                            "Dependency name resembles a popular package", where="is_typo"))
 def q_typosquat(spark, sf_dir):
-    files, _ = corpus(spark, sf_dir)
-    return rule_out(dep.typosquat(src.manifest_files(files)))
+    return rule_out(dep.typosquat(_manifests(spark, sf_dir)))
 
 
 @register("obscure_dependency", op.code_prefix(_MANIFESTS, _MAN_LINES, _NPM, _DEPS, _TYPO)
           + op.rule_select("cls", "dependency_audit", "unrecognized_dependency", "'low'", "0.35",
                            "Dependency name has a low-recognizability pattern", where="NOT is_typo AND is_obscure"))
 def q_obscure_dependency(spark, sf_dir):
-    files, _ = corpus(spark, sf_dir)
-    return rule_out(dep.obscure_dependency(src.manifest_files(files)))
+    return rule_out(dep.obscure_dependency(_manifests(spark, sf_dir)))
 
 
 # -------------------------------------------------------------- secrets -----
