@@ -178,3 +178,18 @@ def contains_any(col: Column, markers: list[str]) -> Column:
 
 def redact(text: Column, secret: Column) -> Column:
     return F.substring(F.replace(text, secret, F.lit("[redacted]")), 1, SNIPPET_CHARS)
+
+
+def duration_ms(started: Column, completed: Column) -> Column:
+    """max(0, milliseconds between two timestamps), NULL when the start is unknown."""
+    return F.when(started.isNotNull(), F.greatest(F.lit(0), F.unix_millis(completed) - F.unix_millis(started)))
+
+
+def error_text(kind: Column, message: Column) -> Column:
+    """``Type: message`` cut at 1,000 characters."""
+    return F.substring(F.concat(kind, F.lit(": "), message), 1, 1000)
+
+
+def warnings_text(warnings: Column) -> Column:
+    """detector warnings joined with '; ' and cut at 900 characters."""
+    return F.substring(F.array_join(warnings, "; "), 1, 900)

@@ -48,7 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
     is. Only when it is unset (local tests) do we create one under /tmp.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", "") or ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -84,8 +87,8 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     regex detector in one task.
     """
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
     try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()
     except Exception:  # no RDD view (e.g. a remote session): leave the plan alone
         return df

@@ -75,3 +75,23 @@ def test_path_suffix(spark):
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     got = [r[0] for r in df.select(tx.path_suffix(F.col("p"))).collect()]
     assert got == [".PY", "", ".local", "", ".gz"]
+
+
+def test_duration_and_error_text(spark):
+    df = spark.createDataFrame([("2024-01-01 00:00:00", "2024-01-01 00:00:01.5"), (None, "2024-01-01 00:00:00"),
+                                ("2024-01-01 00:00:05", "2024-01-01 00:00:00")], "a string, b string")
+    df = df.selectExpr("CAST(a AS TIMESTAMP) AS a", "CAST(b AS TIMESTAMP) AS b")
+    assert [r[0] for r in df.select(tx.duration_ms(F.col("a"), F.col("b"))).collect()] == [1500, None, 0]
+    e = spark.createDataFrame([("ValueError", "x" * 2000)], "k string, m string")
+    assert len(e.select(tx.error_text(F.col("k"), F.col("m"))).first()[0]) == 1000
+
+
+def test_findings_sink_is_idempotent(spark, tmp_path):
+    from riskloom.sources.sinks import write_findings
+    df = spark.createDataFrame([("r", "a.py", 1)], "repo_id string, file_path string, line_start int")
+    out = str(tmp_path / "findings")
+    write_findings(df, out, "2024-01-01")
+    write_findings(df, out, "2024-01-01")
+    write_findings(df, out, "2024-01-02")
+    got = sorted((str(r.scan_date), r.repo_id) for r in spark.read.parquet(out).collect())
+    assert got == [("2024-01-01", "r"), ("2024-01-02", "r")]
