@@ -28,6 +28,10 @@ RULE_OUTPUT = ["repo_id", "file_path", "line_start", "line_end", "detector", "ca
 # Severities, weights, ranks.
 # ---------------------------------------------------------------------------
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
+
+# Product name printed in summaries, report titles, guidance and generated
+# patches. A parameter: set it to the name your users should see.
+PRODUCT_NAME = "riskloom"
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}
 UNKNOWN_SEVERITY_RANK = 99
 RISK_WEIGHTS = {"critical": 35, "high": 18, "medium": 8, "low": 3, "info": 0}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import findings as fnd
+from riskloom.operators.catalog import PRODUCT_NAME
 
 # Category -> remediation tier.
 TIER_ONE = ["hardcoded_secret", "insecure_config", "typosquatted_dependency", "committed_env_file"]
@@ -18,7 +19,7 @@ TIER_THREE = ["suspicious_outbound_connection", "suspicious_install_script"]
 
 # Tier guidance sentences.
 TIER_GUIDANCE = {
-    1: "A deterministic patch can be prepared on an isolated Sentinel branch.",
+    1: f"A deterministic patch can be prepared on an isolated {PRODUCT_NAME} branch.",
     2: "This fix is proposed only and requires explicit human approval before verification or PR creation.",
     3: "This finding is flagged-only because automated changes could disrupt valid business behavior.",
 }

@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators import findings as fnd
-from riskloom.operators.catalog import SEVERITIES, severity_rank, severity_weight
+from riskloom.operators.catalog import PRODUCT_NAME, SEVERITIES, severity_rank, severity_weight
 
 SCORE = T.DecimalType(4, 1)
-# Fixed value: product name used in the executive summary.
-PRODUCT_NAME = "Sentinel AI"
 
 
 def severity_counts(findings: DataFrame, scan_col: str = "scan_id") -> DataFrame:
@@ -144,7 +142,7 @@ def report_lines(reports: DataFrame, ranked: DataFrame, recs: DataFrame, scan_co
     sev_pos = {s: i for i, s in enumerate(SEVERITIES)}
     # header block (lines 0..13)
     header = reports.select(scan_col, F.posexplode(F.array(
-        F.lit("# Sentinel AI Security Report"), F.lit(""), F.lit("## Executive Summary"), F.lit(""),
+        F.lit(f"# {PRODUCT_NAME} Security Report"), F.lit(""), F.lit("## Executive Summary"), F.lit(""),
         F.col("summary"), F.lit(""), F.lit("## Risk Score"), F.lit(""),
         F.concat(F.lit("**"), F.col("overall_risk_score").cast("string"), F.lit("/100**")), F.lit(""),
         F.lit("Formula: `min(100, Σ severity weight × confidence)` using critical=35, high=18, "

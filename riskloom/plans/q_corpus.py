@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import merge as mg
 from riskloom.operators import report as rpt
-from riskloom.operators.catalog import RULE_OUTPUT
+from riskloom.operators.catalog import PRODUCT_NAME, RULE_OUTPUT
 from riskloom.plans.q_code import corpus, rule_out
 from riskloom.plans.registry import ORACLES, register
 from riskloom.sources import files as src
@@ -74,7 +74,7 @@ SELECT repo_id, files_scanned, overall_risk_score,
        CASE WHEN overall_risk_score >= 70 THEN 'high' WHEN overall_risk_score >= 40 THEN 'medium' ELSE 'low' END
          AS risk_band,
        critical, high, medium, low, info, total,
-       'Sentinel AI scanned ' || files_scanned || ' eligible files and recorded ' || total || ' security findings.'
+       '{PRODUCT_NAME} scanned ' || files_scanned || ' eligible files and recorded ' || total || ' security findings.'
        || CASE WHEN total > 0 THEN
             ' The overall risk score is ' || CAST(overall_risk_score AS VARCHAR) || '/100, with '
             || concat_ws(', ', CASE WHEN critical > 0 THEN critical || ' critical' END,

@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     # Rows in the corpus are whole files (up to 1 MB); keep Arrow batches small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # local runs only: the driver JVM is the whole cluster (ignored once a JVM exists)
+    "spark.driver.memory": "8g",
 }
 
 

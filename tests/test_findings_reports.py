@@ -10,6 +10,7 @@ from riskloom.operators import enrich as en
 from riskloom.operators import findings as fnd
 from riskloom.operators import remediate as rem
 from riskloom.operators import report as rpt
+from riskloom.operators.catalog import PRODUCT_NAME
 
 SCHEMA = ("finding_id BIGINT, scan_id BIGINT, detector STRING, category STRING, severity STRING, "
           "confidence DECIMAL(3,2), file_path STRING, line_start INT, title STRING, fix_suggestion STRING")
@@ -64,7 +65,7 @@ def test_reports_cover_scans_without_findings(spark):
     df = findings(spark, [row(1, 1, "critical", "1.00", path="a.py", line=3, title="Top")])
     scans = spark.createDataFrame([(1, 5), (2, 0)], "scan_id BIGINT, files_scanned BIGINT")
     reps = {r.scan_id: r for r in rpt.scan_reports(df, scans).collect()}
-    assert reps[1].summary == ("Sentinel AI scanned 5 eligible files and recorded 1 security findings. "
+    assert reps[1].summary == (f"{PRODUCT_NAME} scanned 5 eligible files and recorded 1 security findings. "
                                "The overall risk score is 35.0/100, with 1 critical findings. "
                                "Prioritize Top in a.py line 3, then review the linked remediation recommendations.")
     assert reps[2].total == 0 and reps[2].overall_risk_score == Decimal("0.0") and reps[2].risk_band == "low"
