@@ -209,3 +209,28 @@ def test_merge_keeps_highest_confidence_and_is_idempotent(make_files):
     once = sorted(map(tuple, merged.collect()))
     twice = sorted(map(tuple, mg.merge_findings(merged).collect()))
     assert once == twice and len(once) == 2
+
+
+def test_python_scope_rules(make_files):
+    files = make_files({"sc": {
+        "a.py": (
+            "import joblib, subprocess\n"
+            "@register(joblib.load(x))\n"                       # decorator: not seen by the model rules
+            "def outer(path, user):\n"
+            "    def inner(other):\n"
+            "        joblib.load(path)\n"                      # 'path' is not inner's parameter: unknown name -> flagged
+            "    joblib.load(path)\n"                          # parameter -> flagged
+            "    model_file = 'x.txt'\n"
+            "    joblib.load(model_file)\n"                    # bound to a non-model string -> not flagged
+            "    note: str = 'm.pkl'\n"
+            "    name2 = note\n"
+            "    cmd: str = 'ls ' + user\n"                     # annotated assignment counts for the shell rule
+            "    subprocess.run(cmd)\n"
+            "    prompt = user.strip()\n"                      # receiver of a call is not tainted
+            "    return llm.generate(prompt)\n")}})
+    facts = pf.py_facts(src.eligible_files(files)).cache()
+    jl = sorted(r.line_start for r in prl.model_joblib(facts).collect())
+    assert jl == [5, 6]
+    shell = [(r.line_start, r.severity) for r in prl.py_shell_exec(facts).collect()]
+    assert shell == [(12, "high")]
+    assert prl.py_prompt_injection(facts).collect() == []
