@@ -54,28 +54,29 @@ def env_committed(eligible: DataFrame, files: DataFrame) -> DataFrame:
 
     Patterns are scanned in order; the first *decisive* one settles the file:
     ``.env`` ignores only files named .env, ``.env*``/``.env.*`` ignore every
-    env file, an exact path ignores that path. Patterns are small per repo, so
-    they are folded into one ordered array per repository (a groupBy on the
-    repo key) and joined to the env files on the same key.
+    env file, an exact path ignores that path. A generic pattern is decisive
+    for every env file of the repository, an exact path only for its own file,
+    so the earliest decisive pattern is the earlier of
+    - the first generic pattern of the repository (an aggregation), and
+    - the first pattern equal to the file's path (an equi-join + aggregation).
+    No pattern list is gathered and no (file, pattern) pairs are formed.
     """
-    env = eligible.where(is_env_file(F.col("name"))).select("repo_id", "commit_sha", "file_path", "name")
-    pats = (src.gitignore_patterns(files)
-            .groupBy("repo_id", "commit_sha")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "pattern"))).alias("patterns")))
-    joined = env.join(pats, ["repo_id", "commit_sha"], "left")
-    normalized = F.regexp_replace("file_path", "^/+", "")
-
-    def decisive(p):
-        cleaned = F.regexp_replace(p["pattern"], "^/+", "")
-        return (cleaned == ".env") | cleaned.isin(".env*", ".env.*") | (cleaned == normalized)
-
-    first = F.get(F.filter(F.coalesce("patterns", F.array()), decisive), 0)
-    cleaned_first = F.regexp_replace(first["pattern"], "^/+", "")
-    ignored = (F.when(first.isNull(), F.lit(False))
-               .when(cleaned_first == ".env", F.col("name") == ".env")
-               .when(cleaned_first.isin(".env*", ".env.*"), F.col("name").startswith(".env"))
-               .otherwise(F.lit(True)))
-    flagged = joined.where(~ignored)
+    keys = ["repo_id", "commit_sha"]
+    env = (eligible.where(is_env_file(F.col("name"))).select(*keys, "file_path", "name")
+                   .withColumn("normalized", F.regexp_replace("file_path", "^/+", "")))
+    pats = src.gitignore_patterns(files).withColumn("cleaned", F.regexp_replace("pattern", "^/+", ""))
+    generic = (pats.where(F.col("cleaned").isin(".env", ".env*", ".env.*"))
+               .groupBy(*keys).agg(F.min_by("cleaned", "pos").alias("g_pat"), F.min("pos").alias("g_pos")))
+    exact = (env.select(*keys, "file_path", "normalized")
+             .join(pats.select(*keys, F.col("cleaned").alias("normalized"), "pos"), [*keys, "normalized"])
+             .groupBy(*keys, "file_path").agg(F.min("pos").alias("e_pos")))
+    j = env.join(generic, keys, "left").join(exact, [*keys, "file_path"], "left")
+    generic_first = F.col("g_pos").isNotNull() & (F.col("e_pos").isNull() | (F.col("g_pos") < F.col("e_pos")))
+    ignored = (F.when(generic_first & (F.col("g_pat") == ".env"), F.col("name") == ".env")
+                .when(generic_first, F.col("name").startswith(".env"))
+                .when(F.col("e_pos").isNotNull(), F.lit(True))
+                .otherwise(F.lit(False)))
+    flagged = j.where(~ignored)
     return emit(flagged, "env_committed", line_start=F.lit(1), snippet=F.lit(ENV_SNIPPET),
                 description=F.lit(ENV_DESCRIPTION))
 

@@ -124,12 +124,16 @@ def recommendations(findings: DataFrame, scan_col: str = "scan_id", tie: Sequenc
     One row per (scan, fix) first (aggregation), then numbering over those few
     rows per scan (bounded by the rule catalogue).
     """
+    tie_cols = _tie(findings, tie)
     key = F.struct(severity_rank(F.col("severity")).alias("r"), (-F.col("confidence")).alias("c"),
-                   F.col("file_path").alias("p"), *[F.col(c) for c in _tie(findings, tie)])
+                   F.col("file_path").alias("p"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie_cols)])
     firsts = (findings.where(F.col("fix_suggestion").isNotNull() & (F.col("fix_suggestion") != ""))
               .groupBy(scan_col, "fix_suggestion").agg(F.min(key).alias("k")))
-    w = Window.partitionBy(scan_col).orderBy("k")
-    return firsts.select(scan_col, F.row_number().over(w).alias("rec_no"), "fix_suggestion")
+    # reviewer-written fix texts make the distinct fixes of a scan unbounded: number them skew-safely
+    order = ["r", "c", "p", *[f"t{i}" for i in range(len(tie_cols))]]
+    flat = firsts.select(scan_col, "fix_suggestion", *[F.col(f"k.{o}").alias(f"_{o}") for o in order])
+    numbered = row_number_skew_safe(flat, [scan_col], [f"_{o}" for o in order], out="rec_no")
+    return numbered.select(scan_col, F.col("rec_no").cast("int").alias("rec_no"), "fix_suggestion")
 
 
 def mark_false_positive(findings: DataFrame, marks: DataFrame) -> DataFrame:
