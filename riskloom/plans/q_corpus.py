@@ -196,3 +196,44 @@ GROUP BY repo_id, file_path, line_start, title, detector, s, e"""
 
 
 register_context()
+
+
+def register_remediation_views() -> None:
+    from riskloom.operators import fixes as fx_
+    from riskloom.operators import remediate as rem
+    from riskloom.session import cut_lineage
+
+    def _outcomes(spark, sf_dir):
+        files, el = corpus(spark, sf_dir)
+        merged = cut_lineage(mg.merge_findings(mg.all_findings(files, el)))
+        outcomes = fx_.remediation_outcomes(fx_.fix_proposals(merged, files))
+        return merged, outcomes
+
+    @register("report_findings")
+    def q_report_findings(spark, sf_dir):
+        """Every merged finding with its latest remediation (left outer join)."""
+        merged, outcomes = _outcomes(spark, sf_dir)
+        key = ["repo_id", "file_path", "line_start", "title"]
+        rems = outcomes.select(*key, F.col("status"), F.col("tier"),
+                               F.xxhash64(*key).alias("remediation_id"),
+                               F.lit(None).cast("timestamp_ntz").alias("created_at"))
+        latest = (rems.groupBy(*key)
+                  .agg(F.max_by(F.struct("status", "tier", "remediation_id"),
+                                F.struct(F.coalesce("created_at", F.lit("0001-01-01").cast("timestamp_ntz")),
+                                         "remediation_id")).alias("r"))
+                  .select(*key, F.col("r.status").alias("remediation_status"),
+                          F.col("r.tier").alias("remediation_tier")))
+        return merged.join(latest, key, "left").select(*RULE_OUTPUT, "description", "fix_suggestion",
+                                                       "remediation_status", "remediation_tier")
+
+    @register("approvable")
+    def q_approvable(spark, sf_dir):
+        """Tier-2 proposals waiting for approval, with their branch name."""
+        _, outcomes = _outcomes(spark, sf_dir)
+        pending = rem.approvable(outcomes)
+        return pending.select("repo_id", "file_path", "line_start", "title", "tier", "status",
+                              rem.branch_name("riskloom", F.col("repo_id"),
+                                              F.xxhash64("file_path", "line_start", "title")).alias("branch"))
+
+
+register_remediation_views()
