@@ -81,6 +81,13 @@ def q_language_counts(spark, sf_dir):
     return src.language_counts(el).select("repo_id", "language", "files")
 
 
+@register("language_histogram")
+def q_language_histogram(spark, sf_dir):
+    """S11 as the snapshot's ``languages`` map per repository (rows-only: map column)."""
+    _, el = corpus(spark, sf_dir)
+    return src.language_histogram(el).select("repo_id", "languages")
+
+
 # ----------------------------------------------------------------- config ---
 
 _CFG = (f"cfg AS (SELECT * FROM eligible WHERE lower(name) IN {op.CONFIG_NAMES} OR name = '.env' "
