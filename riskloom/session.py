@@ -97,3 +97,19 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     if current >= target:
         return df
     return df.repartition(target)
+
+
+# Rows handed to a Python worker at once by mapInArrow: rows are whole files
+# (up to 1 MB after eligibility), so a batch stays well under a gigabyte.
+MAX_ARROW_FILES_PER_BATCH = 256
+
+
+def bound_arrow_batches(spark: SparkSession, limit: int = MAX_ARROW_FILES_PER_BATCH) -> None:
+    """Lower ``spark.sql.execution.arrow.maxRecordsPerBatch`` to ``limit`` if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        current = int(spark.conf.get(key, "10000"))
+    except (TypeError, ValueError):
+        current = 10000
+    if current <= 0 or current > limit:
+        spark.conf.set(key, str(limit))
