@@ -73,7 +73,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     from pyspark import StorageLevel
 
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    # a union of many branches arrives with the sum of their partitions: fold it
+    # back to the shuffle width (sized for the data) without a shuffle
+    try:
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if df.rdd.getNumPartitions() > 2 * width:
+            df = df.coalesce(width)
+    except Exception:  # noqa: BLE001 - no RDD view in a remote session
+        pass
     staged = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return staged.checkpoint(eager=True)
@@ -113,3 +122,21 @@ def bound_arrow_batches(spark: SparkSession, limit: int = MAX_ARROW_FILES_PER_BA
         current = 10000
     if current <= 0 or current > limit:
         spark.conf.set(key, str(limit))
+
+
+def ship_package_code() -> None:
+    """Make functions of this package travel with the tasks that run them.
+
+    The two Python jobs (``mapInArrow``) execute package functions on the
+    executors; pickling the package by value means executors need no
+    installed copy (the same effect as ``--py-files`` with a zip).
+    """
+    import sys as _sys
+
+    from pyspark import cloudpickle
+
+    pkg = _sys.modules[__name__.split(".")[0]]
+    try:
+        cloudpickle.register_pickle_by_value(pkg)
+    except ValueError:  # already registered
+        pass
