@@ -7,13 +7,14 @@ from riskloom.plans.registry import ORACLES, register
 from riskloom.sources import fixtures as fx
 from riskloom.streaming import incremental as inc
 
-ROW_LOCAL_KEYS = ["config_debug", "config_cors", "js_dynamic_exec", "js_auth_bypass", "raw_ip_url", "raw_ip_socket",
-                  "install_script", "secret_signatures", "secret_entropy", "js_prompt_injection"]
+STREAM_KEYS = ["config_debug", "config_cors", "js_dynamic_exec", "js_auth_bypass", "raw_ip_url", "raw_ip_socket",
+                  "install_script", "secret_signatures", "secret_entropy", "js_prompt_injection",
+                  "env_committed", "isolated_domain"]
 
 
 def _stream_findings_oracle() -> str:
     cols = ", ".join(RULE_OUTPUT)
-    body = "\nUNION ALL\n".join(f"SELECT {cols} FROM ({ORACLES[k]}) s_{i}" for i, k in enumerate(ROW_LOCAL_KEYS))
+    body = "\nUNION ALL\n".join(f"SELECT {cols} FROM ({ORACLES[k]}) s_{i}" for i, k in enumerate(STREAM_KEYS))
     return f"SELECT DISTINCT * FROM ({body}) u"
 
 

@@ -1,11 +1,11 @@
 """Structured Streaming operators.
 
 T1 ``stream_findings``: files arrive as parquet rows; each micro-batch runs
-the row-local detectors (one text scan per batch) and appends the findings to
-a parquet sink under ``<out>/epoch=<id>`` with overwrite, so a retried batch
-replaces its own output instead of duplicating it. Multi-file rules (env
-coverage, isolated domains, repository size) need the whole repository and
-are re-run by the batch job for the repositories a batch touched.
+the row-local detectors (one text scan per batch) and writes the findings to
+``<out>/rows/epoch=<id>`` with overwrite, so a retried batch replaces its own
+output instead of duplicating it. Multi-file rules (env coverage, isolated
+domains) need the whole repository: each batch re-reads the repositories it
+touched and replaces their ``<out>/repos/repo_id=<r>`` partitions.
 
 T2 ``stream_status``: latest status per key as a streaming aggregation
 (Spark-managed state; ``max_by`` over (ts, event_id)).
@@ -50,8 +50,27 @@ def row_local_findings(files: DataFrame, hits: DataFrame | None = None) -> DataF
     return out
 
 
-def start_findings_stream(stream: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
-    """Run the row-local detectors per micro-batch into ``out_dir``."""
+def repo_level_findings(files: DataFrame) -> DataFrame:
+    """Detectors that need the whole repository: env-file coverage, isolated domains."""
+    from riskloom.operators import config_rules as cr
+    from riskloom.operators import network_rules as net
+    from riskloom.sources import files as src
+
+    el = src.eligible_files(files)
+    return cr.env_committed(el, files).unionByName(net.isolated_domain(el))
+
+
+def start_findings_stream(stream: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True,
+                          state_reader=None):
+    """Run the detectors per micro-batch into ``out_dir``.
+
+    Row-local findings go to ``<out>/rows/epoch=<id>`` (overwrite: a retried
+    batch replaces itself). When ``state_reader()`` returns the current full
+    file table, the repositories the batch touched are re-read from it and
+    their repository-level findings replace ``<out>/repos/repo_id=<r>``
+    (dynamic partition overwrite), so late files of a repository update its
+    multi-file results.
+    """
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         from pyspark import StorageLevel
@@ -62,15 +81,34 @@ def start_findings_stream(stream: DataFrame, out_dir: str, checkpoint: str, avai
         # the batch's hit table feeds ten detectors: keep it for this epoch only
         hits = text_hits(src.eligible_files(batch)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            row_local_findings(batch, hits).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}")
+            row_local_findings(batch, hits).write.mode("overwrite").parquet(f"{out_dir}/rows/epoch={epoch_id}")
         finally:
             hits.unpersist()
+        if state_reader is not None:
+            spark = batch.sparkSession
+            touched = batch.select("repo_id", "commit_sha").distinct()
+            state = state_reader().join(touched, ["repo_id", "commit_sha"], "left_semi")
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+            (repo_level_findings(state).repartition("repo_id").write.mode("overwrite")
+             .partitionBy("repo_id").parquet(f"{out_dir}/repos"))
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
+def read_stream_output(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Row-level and repository-level findings written by the stream."""
+    from riskloom.operators.catalog import FINDING_COLUMNS
+
+    rows = spark.read.parquet(f"{out_dir}/rows").select(*FINDING_COLUMNS)
+    try:
+        repos = spark.read.parquet(f"{out_dir}/repos").select(*FINDING_COLUMNS)
+    except Exception:  # noqa: BLE001 - no repository-level output yet
+        return rows
+    return rows.unionByName(repos)
+
+
 def stream_findings(spark: SparkSession, docs_dir: str, files_builder, docs_glob: str = "documents.parquet",
                     docs_schema: str = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
                     ) -> DataFrame:
@@ -78,9 +116,14 @@ def stream_findings(spark: SparkSession, docs_dir: str, files_builder, docs_glob
     work = _work_dir(spark, "findings")
     stream = (spark.readStream.format("parquet").schema(docs_schema)
               .option("pathGlobFilter", docs_glob).option("maxFilesPerTrigger", 1).load(docs_dir))
-    q = start_findings_stream(files_builder(stream), f"{work}/out", f"{work}/ckpt")
+
+    def state():
+        return files_builder(spark.read.format("parquet").schema(docs_schema)
+                             .option("pathGlobFilter", docs_glob).load(docs_dir))
+
+    q = start_findings_stream(files_builder(stream), f"{work}/out", f"{work}/ckpt", state_reader=state)
     q.awaitTermination()
-    return spark.read.parquet(f"{work}/out")
+    return read_stream_output(spark, f"{work}/out")
 
 
 def latest_status(events: DataFrame, key: str) -> DataFrame:

@@ -15,7 +15,7 @@ def test_stream_findings_and_status(spark):
     work = tempfile.mkdtemp(prefix="riskloom-stream-out-")
     q = inc.start_findings_stream(stream, os.path.join(work, "out"), os.path.join(work, "ckpt"))
     q.awaitTermination()
-    got = sorted((r.file_path, r.title) for r in spark.read.parquet(os.path.join(work, "out")).collect())
+    got = sorted((r.file_path, r.title) for r in inc.read_stream_output(spark, os.path.join(work, "out")).collect())
     assert got == [("k.py", "AWS access key ID committed"), ("settings.py", "Debug mode enabled in configuration")]
 
     ev_dir = tempfile.mkdtemp(prefix="riskloom-stream-ev-")
