@@ -59,20 +59,31 @@ def static_findings(files: DataFrame, eligible: DataFrame, hits: DataFrame | Non
     backdoor = net.backdoor_dedupe(_union([
         net.raw_ip_url(eligible, refs), net.raw_ip_socket(eligible, hits), net.isolated_domain(eligible, refs),
         net.install_script(special_el)]))
-    return _union([
+    return gate(_union([
         sec.secret_findings(eligible, hits),
         cr.config_debug(eligible, hits), cr.config_cors(eligible, hits), cr.env_committed(special_el, special),
         dep.dependency_findings(manifests),
         js.js_dynamic_exec(eligible, hits), js.js_auth_bypass(eligible, hits),
         backdoor,
         pr.js_prompt_injection(eligible, hits),
-    ])
+    ]), files)
 
 
 def all_findings(files: DataFrame, eligible: DataFrame) -> DataFrame:
     """Every detector, including the Python AST rules."""
     facts = cut_lineage(pf.py_facts(eligible))  # read by seven rules: materialise once
-    return static_findings(files, eligible).unionByName(prl.python_findings(facts))
+    return static_findings(files, eligible).unionByName(gate(prl.python_findings(facts), files))
+
+
+def over_limit_repos(files: DataFrame) -> DataFrame:
+    """S9 gate: repositories whose non-noise files exceed the size cap (an
+    aggregation over sizes only)."""
+    return src.repo_over_limit(files).where("over_limit").select(*SCAN_KEY)
+
+
+def gate(df: DataFrame, files: DataFrame) -> DataFrame:
+    """Drop rows of rejected repositories; the anti join moves only the small side."""
+    return df.join(over_limit_repos(files), SCAN_KEY, "left_anti")
 
 
 def merge_findings(findings: DataFrame) -> DataFrame:

@@ -90,8 +90,11 @@ SELECT repo_id, files_scanned, overall_risk_score,
 FROM r"""
 
 
-def _reports(findings, el):
-    inv = src.repo_inventory(el).select("repo_id", "files_scanned")
+def _reports(findings, el, files=None):
+    inv = src.repo_inventory(el).select("repo_id", "commit_sha", "files_scanned")
+    if files is not None:  # rejected (over-size) repositories get no report
+        inv = mg.gate(inv, files)
+    inv = inv.drop("commit_sha")
     keyed = findings.withColumn("_det", mg.detector_rank(F.col("detector")))
     out = rpt.scan_reports(keyed, inv, scan_col="repo_id", tie=CORPUS_TIE)
     return out.drop("finding_counts")
@@ -105,8 +108,8 @@ def register_all() -> None:
 
     @register("scan_reports_static", scan_reports_oracle())
     def q_scan_reports_static(spark, sf_dir):
-        _, el, merged = _merged(spark, sf_dir)
-        return _reports(merged, el)
+        files, el, merged = _merged(spark, sf_dir)
+        return _reports(merged, el, files)
 
     @register("all_findings")
     def q_all_findings(spark, sf_dir):
@@ -116,7 +119,7 @@ def register_all() -> None:
     @register("scan_reports")
     def q_scan_reports(spark, sf_dir):
         files, el = corpus(spark, sf_dir)
-        return _reports(mg.merge_findings(mg.all_findings(files, el)), el)
+        return _reports(mg.merge_findings(mg.all_findings(files, el)), el, files)
 
 
 register_all()

@@ -234,3 +234,13 @@ def test_python_scope_rules(make_files):
     shell = [(r.line_start, r.severity) for r in prl.py_shell_exec(facts).collect()]
     assert shell == [(12, "high")]
     assert prl.py_prompt_injection(facts).collect() == []
+
+
+def test_size_gate_drops_oversized_repositories(make_files):
+    files = make_files({"big": {"a.py": "DEBUG = True\n", "blob.bin": "x"}, "ok": {"a.py": "DEBUG = True\n"}})
+    from pyspark.sql import functions as F
+    files = files.withColumn("size_bytes", F.when(F.col("file_path") == "blob.bin", F.lit(600 * 1024 * 1024))
+                             .otherwise(F.col("size_bytes")))
+    el = src.eligible_files(files)
+    repos = {r.repo_id for r in mg.static_findings(files, el).collect()}
+    assert repos == {"ok"}
