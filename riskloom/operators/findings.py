@@ -43,11 +43,6 @@ def dedupe_findings(findings: DataFrame, scan_cols: Sequence[str] = ("scan_id",)
     return findings.groupBy(*keys).agg(best.alias("w")).select("w.*")
 
 
-def rank_order(findings: DataFrame) -> list[Column]:
-    """Ranking order inside a scan: severity, confidence desc, path; id breaks ties."""
-    return [severity_rank(F.col("severity")), F.col("confidence").desc(), F.col("file_path"), F.col("finding_id")]
-
-
 def row_number_skew_safe(df: DataFrame, group: Sequence[str], order: Sequence[str],
                          out: str = "position", num_partitions: int | None = None) -> DataFrame:
     """Exact ``row_number() OVER (PARTITION BY group ORDER BY order ASC)`` that
