@@ -110,3 +110,35 @@ def test_entry_contract(spark):
     assert set(oracles) <= set(qs)
     df = entry.entry(spark)
     assert df.count() >= 0 and "summary" in df.columns
+
+
+def test_library_views(spark):
+    f = spark.createDataFrame([(1, 10, "2024-01-02"), (2, 10, "2024-01-01"), (3, 11, "2024-01-01")],
+                              "finding_id BIGINT, scan_id BIGINT, created_at STRING")
+    scans = spark.createDataFrame([(10, 100), (11, 101), (12, 100)], "scan_id BIGINT, project_id BIGINT")
+    projects = spark.createDataFrame([(100, 7, "2024-01-01"), (101, 8, "2024-02-01"), (102, 7, "2024-03-01")],
+                                     "project_id BIGINT, owner_id BIGINT, created_at STRING")
+    assert [r.finding_id for r in fnd.list_findings(f, scans, projects, 7).collect()] == [2, 1]
+    assert [r.project_id for r in fnd.list_projects(projects, 7).collect()] == [102, 100]
+    marks = spark.createDataFrame([(2, True)], "finding_id BIGINT, is_false_positive BOOLEAN")
+    assert {r.finding_id: r.is_false_positive for r in fnd.mark_false_positive(f, marks).collect()} == \
+        {1: False, 2: True, 3: False}
+    rems = spark.createDataFrame([(1, 50, "2024-01-01 00:00:00", "failed"), (1, 51, None, "proposed"),
+                                  (1, 52, "2024-01-02 00:00:00", "pending_approval")],
+                                 "finding_id BIGINT, remediation_id BIGINT, created_at STRING, status STRING") \
+        .withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    latest = rpt.latest_remediation(rems).collect()
+    assert [(r.finding_id, r.remediation_id, r.status) for r in latest] == [(1, 52, "pending_approval")]
+    rf = {r.finding_id: r.remediation_status for r in rpt.report_findings(f, rems).collect()}
+    assert rf == {1: "pending_approval", 2: None, 3: None}
+    reports = spark.createDataFrame([(10,)], "scan_id BIGINT")
+    assert sorted(r.scan_id for r in rpt.pending_reports(scans, reports).collect()) == [11, 12]
+    latest2 = spark.createDataFrame([(1, 2, "pending_approval"), (2, 1, "pending_approval"), (3, 2, "approved")],
+                                    "id BIGINT, tier INT, status STRING")
+    assert [r.id for r in rem.approvable(latest2).collect()] == [1]
+    b = spark.range(1).select(rem.branch_name("riskloom", F.lit(5), F.lit(9)).alias("b")).first().b
+    assert b == "riskloom/5/9"
+    v = spark.createDataFrame([('{"notes": "  ", "error": "boom"}',)], "j string") \
+        .select(rem.failure_reason(F.parse_json("j")).alias("r")).first().r
+    assert v == "boom"
+    assert spark.range(1).select(rpt.scan_progress(F.lit("static_scan")).alias("p")).first().p == 40
