@@ -43,7 +43,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def static_findings(files: DataFrame, eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+def static_findings(files: DataFrame, eligible: DataFrame, hits: DataFrame | None = None,
+                    rejected: DataFrame | None = None) -> DataFrame:
     """Regex/JSON/text detectors (everything except the Python AST rules).
 
     The content of the corpus is scanned once (``text_hits``); the hit table
@@ -51,6 +52,8 @@ def static_findings(files: DataFrame, eligible: DataFrame, hits: DataFrame | Non
     """
     if hits is None:
         hits = cut_lineage(text_hits(eligible))
+    if rejected is None:
+        rejected = rejected_repos(files)
     # manifests, .gitignore, env files and package.json: one small checkpointed extract
     special = cut_lineage(src.special_files(files))
     special_el = special.where("eligible")
@@ -66,13 +69,15 @@ def static_findings(files: DataFrame, eligible: DataFrame, hits: DataFrame | Non
         js.js_dynamic_exec(eligible, hits), js.js_auth_bypass(eligible, hits),
         backdoor,
         pr.js_prompt_injection(eligible, hits),
-    ]), files)
+    ]), rejected=rejected)
 
 
-def all_findings(files: DataFrame, eligible: DataFrame) -> DataFrame:
+def all_findings(files: DataFrame, eligible: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """Every detector, including the Python AST rules."""
+    rejected = rejected_repos(files) if rejected is None else rejected
     facts = cut_lineage(pf.py_facts(eligible))  # read by seven rules: materialise once
-    return static_findings(files, eligible).unionByName(gate(prl.python_findings(facts), files))
+    return (static_findings(files, eligible, rejected=rejected)
+            .unionByName(gate(prl.python_findings(facts), rejected=rejected)))
 
 
 def over_limit_repos(files: DataFrame) -> DataFrame:
@@ -81,9 +86,15 @@ def over_limit_repos(files: DataFrame) -> DataFrame:
     return src.repo_over_limit(files).where("over_limit").select(*SCAN_KEY)
 
 
-def gate(df: DataFrame, files: DataFrame) -> DataFrame:
+def rejected_repos(files: DataFrame) -> DataFrame:
+    """The over-limit set, materialised once per query (a handful of keys)."""
+    return cut_lineage(over_limit_repos(files))
+
+
+def gate(df: DataFrame, files: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
     """Drop rows of rejected repositories; the anti join moves only the small side."""
-    return df.join(over_limit_repos(files), SCAN_KEY, "left_anti")
+    rejected = over_limit_repos(files) if rejected is None else rejected
+    return df.join(rejected, SCAN_KEY, "left_anti")
 
 
 def merge_findings(findings: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ merged AS (
 
 def _merged(spark, sf_dir):
     files, el = corpus(spark, sf_dir)
-    return files, el, mg.merge_findings(mg.static_findings(files, el))
+    rejected = mg.rejected_repos(files)
+    return files, el, mg.merge_findings(mg.static_findings(files, el, rejected=rejected)), rejected
 
 
 def static_merged_oracle() -> str:
@@ -90,10 +91,10 @@ SELECT repo_id, files_scanned, overall_risk_score,
 FROM r"""
 
 
-def _reports(findings, el, files=None):
+def _reports(findings, el, rejected=None):
     inv = src.repo_inventory(el).select("repo_id", "commit_sha", "files_scanned")
-    if files is not None:  # rejected (over-size) repositories get no report
-        inv = mg.gate(inv, files)
+    if rejected is not None:  # rejected (over-size) repositories get no report
+        inv = mg.gate(inv, rejected=rejected)
     inv = inv.drop("commit_sha")
     keyed = findings.withColumn("_det", mg.detector_rank(F.col("detector")))
     out = rpt.scan_reports(keyed, inv, scan_col="repo_id", tie=CORPUS_TIE)
@@ -103,13 +104,13 @@ def _reports(findings, el, files=None):
 def register_all() -> None:
     @register("static_findings", static_merged_oracle())
     def q_static_findings(spark, sf_dir):
-        _, _, merged = _merged(spark, sf_dir)
+        _, _, merged, _ = _merged(spark, sf_dir)
         return rule_out(merged)
 
     @register("scan_reports_static", scan_reports_oracle())
     def q_scan_reports_static(spark, sf_dir):
-        files, el, merged = _merged(spark, sf_dir)
-        return _reports(merged, el, files)
+        files, el, merged, rejected = _merged(spark, sf_dir)
+        return _reports(merged, el, rejected)
 
     @register("all_findings")
     def q_all_findings(spark, sf_dir):
@@ -119,7 +120,8 @@ def register_all() -> None:
     @register("scan_reports")
     def q_scan_reports(spark, sf_dir):
         files, el = corpus(spark, sf_dir)
-        return _reports(mg.merge_findings(mg.all_findings(files, el)), el, files)
+        rejected = mg.rejected_repos(files)
+        return _reports(mg.merge_findings(mg.all_findings(files, el, rejected)), el, rejected)
 
 
 register_all()
@@ -130,7 +132,7 @@ def register_remediation() -> None:
 
     @register("fix_proposals")
     def q_fix_proposals(spark, sf_dir):
-        files, el, merged = _merged(spark, sf_dir)
+        files, el, merged, _ = _merged(spark, sf_dir)
         p = fx_.fix_proposals(merged, files)
         return p.select("repo_id", "file_path", "line_start", "category", "title", "tier", "target_file",
                         "has_change", F.length("updated_content").alias("updated_chars"), "guidance")
@@ -168,7 +170,7 @@ GROUP BY repo_id, file_path, line_start, title, detector, s, e"""
 
     @register("code_context", ctx_oracle)
     def q_code_context(spark, sf_dir):
-        files, el, merged = _merged(spark, sf_dir)
+        files, el, merged, _ = _merged(spark, sf_dir)
         c = en.code_context(merged, files)
         return c.where(F.col("context").isNotNull()).select(
             "repo_id", "file_path", "line_start", "title", "detector", F.col("context_start").cast("int"),
@@ -176,18 +178,18 @@ GROUP BY repo_id, file_path, line_start, title, detector, s, e"""
 
     @register("reasoning_requests")
     def q_reasoning_requests(spark, sf_dir):
-        files, el, merged = _merged(spark, sf_dir)
+        files, el, merged, _ = _merged(spark, sf_dir)
         return en.reasoning_requests(en.code_context(merged, files))
 
     @register("report_markdown")
     def q_report_markdown(spark, sf_dir):
         from riskloom.operators import findings as fnd
         from riskloom.session import cut_lineage
-        files, el, merged = _merged(spark, sf_dir)
+        files, el, merged, rejected = _merged(spark, sf_dir)
         # merged findings and the per-scan report rows are read by many branches: materialise once
         keyed = cut_lineage(merged.withColumn("_det", mg.detector_rank(F.col("detector"))))
-        reports = cut_lineage(rpt.scan_reports(keyed, src.repo_inventory(el).select("repo_id", "files_scanned"),
-                                               scan_col="repo_id", tie=CORPUS_TIE))
+        inv = mg.gate(src.repo_inventory(el), rejected=rejected).select("repo_id", "files_scanned")
+        reports = cut_lineage(rpt.scan_reports(keyed, inv, scan_col="repo_id", tie=CORPUS_TIE))
         ranked = (keyed.withColumn("finding_id", F.xxhash64("file_path", "line_start", "title", "category"))
                   .withColumn("remediation_status", F.lit(None).cast("string")))
         ranked = fnd.row_number_skew_safe(
