@@ -87,8 +87,9 @@ def over_limit_repos(files: DataFrame) -> DataFrame:
 
 
 def rejected_repos(files: DataFrame) -> DataFrame:
-    """The over-limit set, materialised once per query (a handful of keys)."""
-    return cut_lineage(over_limit_repos(files))
+    """The over-limit set, built once per query and shared by every gate (identical
+    sub-plans, so Spark reuses one exchange; it reads only sizes on a stored corpus)."""
+    return over_limit_repos(files)
 
 
 def gate(df: DataFrame, files: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
