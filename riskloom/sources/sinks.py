@@ -13,10 +13,9 @@ def write_findings(findings: DataFrame, path: str, scan_date=None) -> None:
     so re-running a day's scan is idempotent and never touches other days.
     Rows are clustered by repository inside each partition for pruning.
     """
-    spark = findings.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     date = F.current_date() if scan_date is None else F.lit(scan_date).cast("date")
     (findings.withColumn("scan_date", date)
              .repartition("scan_date", "repo_id")
              .sortWithinPartitions("repo_id", "file_path", "line_start")
-             .write.mode("overwrite").partitionBy("scan_date").parquet(path))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("scan_date").parquet(path))

@@ -85,12 +85,10 @@ def start_findings_stream(stream: DataFrame, out_dir: str, checkpoint: str, avai
         finally:
             hits.unpersist()
         if state_reader is not None:
-            spark = batch.sparkSession
             touched = batch.select("repo_id", "commit_sha").distinct()
             state = state_reader().join(touched, ["repo_id", "commit_sha"], "left_semi")
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
             (repo_level_findings(state).repartition("repo_id").write.mode("overwrite")
-             .partitionBy("repo_id").parquet(f"{out_dir}/repos"))
+             .option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{out_dir}/repos"))
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
