@@ -238,6 +238,22 @@ def parse_errors(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("kind") == "parse_error").select(*FILE, "error")
 
 
+def detector_warnings(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Per repository and detector, the files a detector had to skip
+    (Python syntax errors; package.json that is not a JSON object). Other
+    detectors are unaffected: a bad file only drops itself."""
+    from riskloom.sources import files as src
+
+    errs = parse_errors(facts).select("repo_id", "file_path", F.lit("python_ast").alias("detector"))
+    pkg = src.manifest_files(files).where(F.col("name") == "package.json")
+    v = F.try_parse_json(F.col("content"))
+    bad = (pkg.where(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"))
+              .select("repo_id", "file_path",
+                      F.explode(F.array(F.lit("dependency_audit"), F.lit("backdoor_heuristics"))).alias("detector")))
+    return (errs.unionByName(bad).groupBy("repo_id", "detector")
+                .agg(F.count(F.lit(1)).alias("files"), F.min("file_path").alias("first_file")))
+
+
 def python_findings(facts: DataFrame) -> DataFrame:
     parts = [py_dynamic_exec(facts), py_shell_exec(facts), py_auth_bypass(facts), model_pickle(facts),
              model_torch(facts), model_joblib(facts), py_prompt_injection(facts)]

@@ -58,16 +58,6 @@ def q_py_prompt_injection(spark, sf_dir):
 
 @register("scan_warnings")
 def q_scan_warnings(spark, sf_dir):
-    """Per repository and detector, files the detector could not read
-    (Python syntax errors; package.json that is not a JSON object). The other
-    detectors' findings are unaffected: a bad file only drops itself."""
-    from riskloom.sources import files as src
+    """Per repository and detector, files the detector could not read."""
     files, el = corpus(spark, sf_dir)
-    errs = prl.parse_errors(pf.py_facts(el)).select("repo_id", "file_path", F.lit("python_ast").alias("detector"))
-    pkg = src.manifest_files(files).where(F.col("name") == "package.json")
-    v = F.try_parse_json(F.col("content"))
-    bad_json = pkg.where(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"))
-    bad = bad_json.select("repo_id", "file_path", F.explode(F.array(F.lit("dependency_audit"),
-                                                                    F.lit("backdoor_heuristics"))).alias("detector"))
-    return (errs.unionByName(bad).groupBy("repo_id", "detector")
-                .agg(F.count(F.lit(1)).alias("files"), F.min("file_path").alias("first_file")))
+    return prl.detector_warnings(files, pf.py_facts(el))

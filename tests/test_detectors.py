@@ -244,3 +244,12 @@ def test_size_gate_drops_oversized_repositories(make_files):
     el = src.eligible_files(files)
     repos = {r.repo_id for r in mg.static_findings(files, el).collect()}
     assert repos == {"ok"}
+
+
+def test_detector_warnings(make_files):
+    files = make_files({"w": {"bad.py": "def f(:\n", "package.json": "[1]", "ok.py": "x = 1\n",
+                              "sub/package.json": '{"dependencies": {}}'}})
+    facts = pf.py_facts(src.eligible_files(files))
+    got = sorted((r.detector, r.files, r.first_file) for r in prl.detector_warnings(files, facts).collect())
+    assert got == [("backdoor_heuristics", 1, "package.json"), ("dependency_audit", 1, "package.json"),
+                   ("python_ast", 1, "bad.py")]
