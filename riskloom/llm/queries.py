@@ -31,3 +31,42 @@ def _op3(spark, sf_dir):
     from riskloom.llm.common import table
     from riskloom.llm.token_counts import histogram, lengths
     return histogram(lengths(table(spark, sf_dir, "documents")))
+
+
+# word rules of the contract as DuckDB text: A-Z lower-cased, words by a character class
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP5_SQL = f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_ALNUM} AS w FROM benchmark),
+bs AS (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM bs),
+ks AS (SELECT DISTINCT k FROM bw),
+d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+ds AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, ks WHERE len(w) >= k),
+dw AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS g FROM ds),
+hit AS (SELECT doc_id, s, k, item FROM dw JOIN bw USING (k, g)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hit) GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+@query("op5_benchmark_decontamination", _OP5_SQL)
+def _op5(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from riskloom.llm.common import table
+    from riskloom.llm.decontaminate import hits
+    return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op10_license_scan")
+def _op10(spark, sf_dir):
+    from riskloom.llm.common import table
+    from riskloom.llm.licenses import scan
+    return scan(table(spark, sf_dir, "documents")).drop("spans")

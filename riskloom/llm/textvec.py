@@ -105,13 +105,19 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 def window_min_positions(v: np.ndarray, w: int) -> np.ndarray:
     """Positions of the leftmost minimum of every window of ``w`` values (each once, ascending).
 
-    Fewer than ``w`` values give one window. Block prefix/suffix minima: linear, no loop.
+    Values are compared by their upper 40 bits, so equal windows choose the same place wherever they
+    stand. Fewer than ``w`` values give one window. Block prefix/suffix minima: linear, no loop.
     """
     n = len(v)
     if n == 0:
         return np.zeros(0, np.int64)
     w = min(w, n)
-    shift = U(max(1, int(n - 1).bit_length()))
+    shift = U(24)
+    most = 1 << 24
+    if n > most:  # positions take 24 bits: longer texts go in overlapping parts
+        step = most - w + 1
+        return np.unique(np.concatenate([window_min_positions(v[i:i + most], w) + i
+                                         for i in range(0, n - w + 1, step)]))
     key = ((v >> shift) << shift) | np.arange(n, dtype=np.uint64)
     if w == 1:
         return np.arange(n)
