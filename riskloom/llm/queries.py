@@ -70,3 +70,17 @@ def _op10(spark, sf_dir):
     from riskloom.llm.common import table
     from riskloom.llm.licenses import scan
     return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op4_toxicity")
+def _op4(spark, sf_dir):
+    from riskloom.llm.common import table
+    from riskloom.llm.toxicity import score
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_language_id")
+def _op6(spark, sf_dir):
+    from riskloom.llm.common import table
+    from riskloom.llm.language import identify
+    return identify(table(spark, sf_dir, "documents")).drop("spans")

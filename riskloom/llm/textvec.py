@@ -67,13 +67,16 @@ def to_bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text)
 
 
-def word_hashes(buf: bytes, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, end byte) of the words of lower-cased ``buf``, in order."""
+def word_hashes(buf: bytes, sep: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash, start byte, end byte) of the words of lower-cased ``buf``, in order.
+
+    ``heads``: one more array each, the hash of the words' first so many bytes.
+    """
     raw = LOWER[np.frombuffer(buf, np.uint8)]
     n = len(raw)
     if n == 0:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z
+        return (np.zeros(0, np.uint64), z, z, *(np.zeros(0, np.uint64) for _ in heads))
     inside = np.empty(n + 2, np.int8)
     inside[0] = inside[-1] = 0
     np.logical_not(sep[raw], out=inside[1:-1].view(bool))
@@ -83,7 +86,8 @@ def word_hashes(buf: bytes, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     h = np.empty(n + 1, np.uint64)
     h[0] = 0
     np.cumsum(_BYTE[raw] * p[:n], out=h[1:])
-    return mix((h[end] - h[start]) * q[start] + (end - start).astype(np.uint64)), start, end
+    first = [mix((h[np.minimum(end, start + c)] - h[start]) * q[start] + U(c << 32)) for c in heads]
+    return mix((h[end] - h[start]) * q[start] + (end - start).astype(np.uint64)), start, end, *first
 
 
 def hash_words(words: list[str], sep: np.ndarray) -> np.ndarray:
