@@ -84,3 +84,21 @@ def _op6(spark, sf_dir):
     from riskloom.llm.common import table
     from riskloom.llm.language import identify
     return identify(table(spark, sf_dir, "documents")).drop("spans")
+
+
+_OP9_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS answer FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, payload_bytes, payload_digest, CASE WHEN answer <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN answer <> page_id THEN answer END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+
+@query("op9_warc", _OP9_SQL)
+def _op9(spark, sf_dir):
+    from riskloom.llm.common import table
+    from riskloom.llm.warc import archive, lookup, read
+    pages = table(spark, sf_dir, "pages")
+    _, top, folder = archive(pages)
+    return read(lookup(pages, top, folder), folder).drop("url", "payload")
