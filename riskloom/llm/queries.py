@@ -102,3 +102,10 @@ def _op9(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     _, top, folder = archive(pages)
     return read(lookup(pages, top, folder), folder).drop("url", "payload")
+
+
+@query("op2_nearest_neighbours")
+def _op2(spark, sf_dir):
+    from riskloom.llm.ann import search
+    from riskloom.llm.common import table
+    return search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
