@@ -41,3 +41,61 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
 def held_out(col: str = "doc_id"):
     """crc32 of the id as text, modulo 4, is 2; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+BITMAP_BITS = 25
+
+
+def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS):
+    """A fixed-size bit set (4 MB) of a column of longs, built by aggregation.
+
+    A filter only: it may let more through, never less, so it thins rows before an exact join. Its
+    size does not grow with the data; when it fills up it merely stops helping.
+    """
+    import numpy as np
+    h = hashes.select(F.col(hashes.columns[0]).alias("h"))
+    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = h.select((slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, CAST(h & 63 AS INT))").alias("b")).groupBy("w").agg(
+        F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(bits_set, h):
+    """Mask of uint64 hashes that may be in the set."""
+    import numpy as np
+    slot = h & np.uint64(len(bits_set) * 64 - 1)
+    return (bits_set[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component) of an edge list (u, v): alternating large-star and small-star rounds.
+
+    Every round is a grouped minimum and an equi-join; only edges move and each round is cut into the
+    shared folder. Stops when a round changes nothing.
+    """
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both if large else both.filter("v <= u")
+        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        out = near.join(low, "u")
+        if large:
+            return out.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return out.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+
+    def state(e: DataFrame) -> tuple:
+        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).collect()[0]
+        return r["n"], r["s"]
+
+    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    seen = state(now)
+    for _ in range(max_rounds):
+        if not seen[0]:
+            break
+        now = cut(star(star(now, True), False).filter("u <> v").distinct())
+        then, seen = seen, state(now)
+        if then == seen:
+            break
+    return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

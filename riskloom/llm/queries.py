@@ -109,3 +109,25 @@ def _op2(spark, sf_dir):
     from riskloom.llm.ann import search
     from riskloom.llm.common import table
     return search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+_SPACE = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
+_OP7_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_SPACE} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS cnt FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * cnt >= 90 * (nx.n + ny.n - cnt)),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT r.x AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x
+"""
+
+
+@query("op7_ngram_jaccard_join", _OP7_SQL)
+def _op7(spark, sf_dir):
+    from riskloom.llm.common import table
+    from riskloom.llm.ngram_join import join
+    return join(table(spark, sf_dir, "documents")).drop("n_copies")
