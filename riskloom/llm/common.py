@@ -69,6 +69,32 @@ def in_bitmap(bits_set, h):
     return (bits_set[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
+# the first eight bytes of a text key as a long
+TEXT_HASH = "CAST(conv(hex(substring(text_key, 1, 8)), 16, -10) AS LONG)"
+
+
+def split_by_text(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose text is surely not among ``wanted`` (text_key), the other rows with their ``text_key``).
+
+    Only the second part has to meet ``wanted`` in a join; the first never moves.
+    """
+    import numpy as np
+
+    from riskloom.llm import textvec as tv
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.expr(TEXT_HASH))))
+
+    def part(hit: bool):
+        def run(batches):
+            for pdf in batches:
+                keys = [tv.digest16(tv.to_bytes(t)) for t in pdf["text"].tolist()]
+                ok = in_bitmap(held.value, np.array([int.from_bytes(x[:8], "big") for x in keys], np.uint64)) if keys else np.zeros(0, bool)
+                yield pdf.assign(text_key=keys)[ok] if hit else pdf[~ok]
+        return run
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return docs.mapInPandas(part(False), schema), docs.mapInPandas(part(True), schema + ", text_key binary")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an edge list (u, v): alternating large-star and small-star rounds.
 

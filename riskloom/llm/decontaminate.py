@@ -82,15 +82,10 @@ def item_fingerprints(items: DataFrame, window: int, gram: int) -> DataFrame:
         "item_id", "x.fp", "x.size", "x.ctx").distinct()
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM,
-         more: list[str] | None = None) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, items (sorted string ids), spans (merged word ranges).
-
-    ``more`` names further document columns to carry along.
-    """
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """One row per document row: doc_id, text_key, n_words, n_hit, items (sorted string ids), spans (merged word ranges)."""
     spark = docs.sparkSession
     prepare(spark)
-    more = list(more or [])
     tests = cut(item_fingerprints(items, window, gram))
     short = sorted(r["size"] for r in tests.filter(F.col("size") < window).select("size").distinct().collect())
     # size check of what every task would hold: 8 bytes a fingerprint
@@ -105,13 +100,11 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
             words = tv.batch_words(texts, tv.ALNUM_SEP)
             rows = [_collect(fingerprints(h, window, gram, pad=2, short=short), held.value) for h, _, _ in words]
             ids = pdf["doc_id"].tolist()
-            yield pdf.drop(columns="text").assign(
-                row=[tv.row_key(d, t) for d, t in zip(ids, texts)], n_words=[len(h) for h, _, _ in words],
+            yield pdf[["doc_id"]].assign(
+                row=[tv.row_key(d, t) for d, t in zip(ids, texts)], text_key=[tv.digest16(t) for t in texts], n_words=[len(h) for h, _, _ in words],
                 **{c: [r[i] for r in rows] for i, c in enumerate(("fp", "pos", "size", "ctx"))})
 
-    carried = ", ".join(f"`{c}` {t}" for c, t in docs.select(*more).dtypes) if more else ""
-    seen = cut(id_text(docs, *more).mapInPandas(
-        run, "doc_id long, " + (carried + ", " if carried else "") + "row binary, n_words long, " + PRINT_SCHEMA))
+    seen = cut(id_text(docs).mapInPandas(run, "doc_id long, row binary, text_key binary, n_words long, " + PRINT_SCHEMA))
     found = seen.filter(F.size("fp") > 0).select("row", F.explode(F.arrays_zip("fp", "pos", "size", "ctx")).alias("x")).select(
         "row", "x.fp", "x.pos", "x.size", "x.ctx")
     same = found.alias("d").join(tests.alias("t"), (F.col("d.fp") == F.col("t.fp")) & (F.col("d.size") == F.col("t.size")))
@@ -132,7 +125,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
                            array(named_struct('lo', element_at(acc, -1).lo, 'hi', greatest(element_at(acc, -1).hi, x.hi))))
                ELSE concat(acc, array(named_struct('lo', x.lo, 'hi', x.hi))) END)""").alias("spans"))
     return seen.drop("fp", "pos", "size", "ctx").join(per_row, "row", "left").select(
-        "doc_id", *more, "n_words",
+        "doc_id", "text_key", "n_words",
         F.expr("CAST(coalesce(aggregate(spans, 0, (a, x) -> a + x.hi - x.lo), 0) AS LONG)").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<lo: int, hi: int>>")).alias("spans"))

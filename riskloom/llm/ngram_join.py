@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import textvec as tv
-from riskloom.llm.common import bitmap, components, cut, id_text, in_bitmap, prepare
+from riskloom.llm.common import TEXT_HASH, bitmap, components, cut, id_text, in_bitmap, prepare
 
 SHINGLE = 3
 PERCENT = 90
@@ -116,8 +116,7 @@ def digest_sets(docs: DataFrame, heavy: tuple, k: int, percent: int) -> DataFram
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(key, s): whole sorted sets of the wanted nodes (key, text_key). The texts are read again; a fixed-size
     bit set of text keys passes few others, an equi-join is exact."""
-    first = F.expr("CAST(conv(hex(substring(text_key, 1, 8)), 16, -10) AS LONG)")
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(first)))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.expr(TEXT_HASH))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -241,7 +240,8 @@ def rest_pairs(rows: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int,
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document row, and ``n_copies`` (rows with an equal set)."""
+    """doc_id, n_shingles, component_id of every document row, and ``n_copies`` (rows with an equal set),
+    ``text_key`` and ``component`` (key of the class; null without shingles)."""
     prepare(docs.sparkSession)
     docs = id_text(docs)
     seen = cut(digest_sets(docs, heavy_shingles(docs, k), k, percent))
@@ -264,7 +264,7 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, cell: int =
     named = nodes.select("key", "doc_id", "n_copies").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("key", "component_id", "n_copies")
-    return seen.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left").select(
+    named = named.join(least, "component").select("key", "component", "component_id", "n_copies")
+    return seen.select("doc_id", F.col("n").alias("n_shingles"), "key", "text_key").join(named, "key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+        F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "text_key", "component")

@@ -130,4 +130,11 @@ FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x
 def _op7(spark, sf_dir):
     from riskloom.llm.common import table
     from riskloom.llm.ngram_join import join
-    return join(table(spark, sf_dir, "documents")).drop("n_copies")
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op8_substring_dedup")
+def _op8(spark, sf_dir):
+    from riskloom.llm.common import table
+    from riskloom.llm.substrings import remove
+    return remove(table(spark, sf_dir, "documents"))
