@@ -261,9 +261,10 @@ def read(captures: DataFrame, folder: str) -> DataFrame:
     return spread.mapInPandas(run, schema)
 
 
-def archive(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, folder: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+def archive(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES, block: int = BLOCK,
+            folder: str | None = None) -> tuple[DataFrame, DataFrame, str]:
     """Write archives and index; returns (captures, top level of the index, folder)."""
     prepare(pages.sparkSession)
     folder = folder or archive_folder(pages.sparkSession, "warc")
-    captures = write(pages, folder, revisit_bytes)
-    return captures, build_index(captures, folder), folder
+    captures = write(pages, folder, revisit_bytes, file_bytes)
+    return captures, build_index(captures, folder, block), folder
