@@ -120,31 +120,62 @@ def _matrix(col: pd.Series, d: int) -> np.ndarray:
     return np.stack(col.to_list()).astype(float) if len(col) else np.zeros((0, d))
 
 
-def best_pairs(q_ids, q, v_ids, v, k: int) -> pd.DataFrame:
-    """The ``k`` best vectors for each query of one product, by exact score, ties to the smaller id."""
-    order = np.argsort(v_ids, kind="stable")
-    v_ids, v = v_ids[order], np.ascontiguousarray(v[order])
-    copies = pd.Series([r.tobytes() for r in v + 0.0])
-    keep = (copies.groupby(copies).cumcount() <= k).to_numpy()
-    v_ids, v = v_ids[keep], v[keep]
-    parts = []
-    for lo in range(0, len(q_ids), 1024):
-        s = q[lo:lo + 1024] @ v.T
-        s[q_ids[lo:lo + 1024, None] == v_ids[None, :]] = -np.inf
-        if s.shape[1] > k:
-            edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            # rounding of the product never decides: everything near the edge is scored exactly
-            ok = s >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None]
-        else:
-            ok = np.ones(s.shape, bool)
-        a, b = np.nonzero(ok & (s > -np.inf))
-        for i in range(0, len(a), 1 << 17):
-            x, y = a[i:i + (1 << 17)], b[i:i + (1 << 17)]
-            parts.append(pd.DataFrame({"query_id": q_ids[lo + x], "vec_id": v_ids[y], "score": (q[lo + x] * v[y]).sum(axis=1)}))
-    if not parts:
+def best_pairs(q_ids, q, v_ids, v, k: int, leaf=None, asked=None) -> pd.DataFrame:
+    """The ``k`` best vectors for each query of one product, by exact score, ties to the smaller id.
+
+    ``leaf`` numbers the vectors' leaves and ``asked`` lists, per query, the leaves to look into; without
+    them every query meets every vector. Leaves are taken one after the other against the query's best so
+    far; rounding of the product never decides: everything near the edge is scored exactly at the end.
+    """
+    if not len(q_ids) or not len(v_ids):
         return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-    out = pd.concat(parts).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-    return out[out.groupby("query_id").cumcount() < k]
+    order = np.argsort(v_ids, kind="stable")
+    copies = pd.Series([r.tobytes() for r in np.ascontiguousarray(v[order]) + 0.0])
+    order = order[(copies.groupby(copies).cumcount() <= k).to_numpy()]
+    leaf = np.zeros(len(v_ids), np.int64) if leaf is None else leaf
+    order = order[np.argsort(leaf[order], kind="stable")]
+    v_ids, v, leaf = v_ids[order], np.ascontiguousarray(v[order]), leaf[order]
+    place = dict(zip(v_ids.tolist(), range(len(v_ids))))
+    own = np.array([place.get(i, -1) for i in q_ids.tolist()])
+    if asked is None:
+        which, wanted = np.arange(len(q_ids)), np.zeros(len(q_ids), np.int64)
+    else:
+        which, wanted = np.repeat(np.arange(len(q_ids)), [len(x) for x in asked]), np.concatenate(asked)
+        by = np.argsort(wanted, kind="stable")
+        which, wanted = which[by], wanted[by]
+    best, edge = np.full((len(q_ids), k), -np.inf), np.full(len(q_ids), -np.inf)
+    held: list[tuple] = []
+    n_held = 0
+    for x, lo, hi in zip(*(lambda u, i: (u, i, np.append(i[1:], len(leaf))))(*np.unique(leaf, return_index=True))):
+        rows_q = which[np.searchsorted(wanted, x):np.searchsorted(wanted, x, side="right")]
+        for a in range(lo, hi, CELL):
+            b = min(hi, a + CELL)
+            for at in range(0, len(rows_q), 1024):
+                r = rows_q[at:at + 1024]
+                s = q[r] @ v[a:b].T
+                mine = np.flatnonzero((own[r] >= a) & (own[r] < b))
+                s[mine, own[r[mine]] - a] = -np.inf
+                i, j = np.nonzero(s > (edge[r] - 1e-9 * (1 + np.abs(np.where(np.isfinite(edge[r]), edge[r], 0))))[:, None])
+                held.append((r[i], a + j, s[i, j]))
+                n_held += len(i)
+                both = np.concatenate([best[r], s], axis=1)
+                best[r] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                edge[r] = best[r].min(axis=1)
+                if n_held > 1_000_000:
+                    held = [_near(held, edge)]
+                    n_held = len(held[0][0])
+    x, y, _ = _near(held, edge) if held else (np.zeros(0, np.int64),) * 3
+    score = np.concatenate([(q[x[i:i + (1 << 17)]] * v[y[i:i + (1 << 17)]]).sum(axis=1) for i in range(0, len(x), 1 << 17)] or [np.zeros(0)])
+    out = pd.DataFrame({"query_id": q_ids[x], "vec_id": v_ids[y], "score": score})
+    return out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+
+def _near(held: list[tuple], edge: np.ndarray) -> tuple:
+    """The pairs that still reach their query's edge."""
+    x, y, s = (np.concatenate(c) for c in zip(*held))
+    e = edge[x]
+    ok = s >= e - 1e-9 * (1 + np.abs(np.where(np.isfinite(e), e, 0)))
+    return x[ok], y[ok], s[ok]
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
@@ -239,24 +270,8 @@ def search(rows: DataFrame, query_filter, k: int = K, target: float = TARGET, fi
             yield pd.DataFrame(out, columns=["grp", "block", "query_id", "q", "leaves"])
 
     def product(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(q):
-            return best_pairs(np.zeros((0,), np.int64), np.zeros((0, d)), np.zeros(0, np.int64), np.zeros((0, d)), k)
-        xv, xq = _matrix(v["embedding"], d), _matrix(q["q"], d)
-        v_ids, q_ids, leaf = v["vec_id"].to_numpy(np.int64), q["query_id"].to_numpy(np.int64), v["leaf"].to_numpy()
-        which, asked = np.repeat(np.arange(len(q)), [len(x) for x in q["leaves"]]), np.concatenate(q["leaves"].to_list())
-        parts, held_rows = [], 0
-        for x in np.unique(leaf):
-            rows_v, rows_q = np.flatnonzero(leaf == x), which[asked == x]
-            if len(rows_q):
-                parts.append(best_pairs(q_ids[rows_q], xq[rows_q], v_ids[rows_v], xv[rows_v], k))
-                held_rows += len(parts[-1])
-                if held_rows > 500_000:  # keep the best only, as bounded memory
-                    parts = [pd.concat(parts).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)]
-                    held_rows = 0
-        if not parts:
-            return best_pairs(np.zeros((0,), np.int64), np.zeros((0, d)), np.zeros(0, np.int64), np.zeros((0, d)), k)
-        out = pd.concat(parts).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return out.groupby("query_id").head(k)
+        return best_pairs(q["query_id"].to_numpy(np.int64), _matrix(q["q"], d), v["vec_id"].to_numpy(np.int64),
+                          _matrix(v["embedding"], d), k, v["leaf"].to_numpy(np.int64), [np.asarray(x, np.int64) for x in q["leaves"]])
 
     left = placed.mapInPandas(to_groups, "vec_id long, embedding array<double>, leaf int, grp int, block int")
     right = queries.mapInPandas(to_visits, "grp int, block int, query_id long, q array<double>, leaves array<int>")
