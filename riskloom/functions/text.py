@@ -7,9 +7,10 @@ catalogue adds to every pattern.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Line breaks recognised by Python's str.splitlines() ("\r\n" first).
 SPLITLINES_PATTERN = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
@@ -20,10 +21,6 @@ STRIP_PATTERN = f"(?U)^{_WS}+|{_WS}+$"
 
 SNIPPET_CHARS = 500
 
-# Breaks other than "\n" / "\r\n" make splitlines() indices differ from "\n" counts.
-OTHER_BREAKS = "\r(?!\n)|[\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
-
-
 def py_strip(col: Column) -> Column:
     return F.regexp_replace(col, STRIP_PATTERN, "")
 
@@ -52,17 +49,15 @@ def newline_count(s: Column) -> Column:
     return F.length(s) - F.length(F.regexp_replace(s, "\n", ""))
 
 
-def _last_nl(s: Column) -> Column:
-    """0-based index of the last "\n" in ``s`` (-1 if none)."""
-    return F.length(s) - F.length(F.substring_index(s, "\n", -1)) - 1
-
-
 def sql_str(s: str) -> str:
     """A Spark SQL string literal for ``s`` (backslashes and quotes escaped)."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-HIT_DDL = "STRUCT<rule:STRING,pos:INT,line:INT,lstart:INT,m:STRING,g1:STRING,g2:STRING>"
+HIT_DDL = "STRUCT<rule:STRING,pos:INT,line:INT,m:STRING,g1:STRING,g2:STRING>"
+LINE_HIT_DDL = HIT_DDL[:-1] + ",snippet:STRING,whole:STRING,window:STRING>"
+# matches folded at once: the running state copies at most this many, then one append per chunk
+FOLD_CHUNK = 128
 
 
 def regex_hits_sql(content: str, pattern: str, groups: tuple[int, ...] = (), first_per_line: bool = False,
@@ -71,12 +66,11 @@ def regex_hits_sql(content: str, pattern: str, groups: tuple[int, ...] = (), fir
 
     ``split`` and ``regexp_extract_all`` walk the same matches, so the k-th
     match starts after parts[0..k] and matches[0..k-1]. The arrays are zipped
-    once and one left fold carries the running offset, newline count and last
-    newline position, so the work is linear in the file instead of
-    (matches x file), and nothing outside the zipped input is evaluated per
-    element. Needs a pattern without zero-width matches (asserted by the rule
-    catalogue). Each hit: pos (0-based), line (1 + "\\n" before it), lstart
-    (0-based start of that "\\n"-line), m (match), g1/g2 (capture groups).
+    once and a left fold carries the running offset and newline count. The
+    fold goes in chunks: within a chunk the hits gathered so far are copied at
+    every step, across chunks once per chunk. Needs a pattern without
+    zero-width matches (asserted by the rule catalogue). Each hit: pos
+    (0-based), line (1 + "\\n" before it), m (match), g1/g2 (capture groups).
     Built as one SQL expression so the driver parses it once on the JVM side.
     """
     p = sql_str(pattern)
@@ -89,50 +83,44 @@ def regex_hits_sql(content: str, pattern: str, groups: tuple[int, ...] = (), fir
     def nlc(e):
         return f"(length({e}) - length(replace({e}, '\\n', '')))"
 
-    def last_nl(e):
-        return f"(length({e}) - length(substring_index({e}, '\\n', -1)) - 1)"
-
     start = "(acc.off + length(x.`0`))"
     line = f"(acc.line + {nlc('x.`0`')})"
-    nl_before = f"(CASE WHEN instr(x.`0`, '\\n') > 0 THEN acc.off + {last_nl('x.`0`')} ELSE acc.nl END)"
-    hit = (f"named_struct('rule', {sql_str(rule)}, 'pos', {start}, 'line', {line}, 'lstart', {nl_before} + 1, "
-           f"'m', x.`1`, 'g1', {g1}, 'g2', {g2})")
+    hit = f"named_struct('rule', {sql_str(rule)}, 'pos', {start}, 'line', {line}, 'm', x.`1`, 'g1', {g1}, 'g2', {g2})"
     out = f"concat(acc.out, array({hit}))"
     if first_per_line:
         out = f"(CASE WHEN {line} = acc.lh THEN acc.out ELSE {out} END)"
-    nl_after = f"(CASE WHEN instr(x.`1`, '\\n') > 0 THEN {start} + {last_nl('x.`1`')} ELSE {nl_before} END)"
-    step = (f"named_struct('off', {start} + length(x.`1`), 'line', {line} + {nlc('x.`1`')}, "
-            f"'nl', {nl_after}, 'lh', {line}, 'out', {out})")
-    init = f"named_struct('off', 0, 'line', 1, 'nl', -1, 'lh', 0, 'out', CAST(array() AS ARRAY<{HIT_DDL}>))"
-    return f"aggregate(arrays_zip({', '.join(args)}), {init}, (acc, x) -> {step}, acc -> acc.out)"
-
-
-def regex_hits(content: Column | str, pattern: str, groups: dict[str, int] | None = None,
-               first_per_line: bool = False) -> Column:
-    """Column form of ``regex_hits_sql`` (``content`` must be a column name).
-
-    Group values land in ``g1``/``g2`` in the order given.
-    """
-    name = content if isinstance(content, str) else "content"
-    return F.expr(regex_hits_sql(name, pattern, tuple((groups or {}).values()), first_per_line))
-
-
-def other_breaks(content: Column) -> Column:
-    return content.rlike(OTHER_BREAKS)
-
-
-def hit_snippet(content: Column, has_other_breaks: Column, pos: Column, line: Column, lstart: Column) -> Column:
-    """``line_at(content, line)`` for one hit without re-splitting the file.
-
-    For files whose only breaks are "\n"/"\r\n" the line is cut out between
-    the line start carried by the fold and the next "\n" (cost: one line);
-    files with other breaks fall back to indexing ``splitlines()``.
+    step = (f"named_struct('off', {start} + length(x.`1`), 'line', {line} + {nlc('x.`1`')}, 'lh', {line}, 'out', {out})")
+    empty = f"CAST(array() AS ARRAY<{HIT_DDL}>)"
+    init = f"named_struct('off', 0, 'line', 1, 'lh', 0, 'out', {empty})"
+    inner = (f"aggregate(chunk, named_struct('off', whole.off, 'line', whole.line, 'lh', whole.lh, 'out', {empty}), "
+             f"(acc, x) -> {step})")
+    joined = "named_struct('off', r.off, 'line', r.line, 'lh', r.lh, 'out', concat(w.out, r.out))"
+    # array(...) binds the chunk's result once
+    outer = f"aggregate(array({inner}), whole, (w, r) -> {joined})"
+    chunks = (f"transform(sequence(0, CAST((size(z) - 1) DIV {FOLD_CHUNK} AS INT)), i -> slice(z, i * {FOLD_CHUNK} + 1, {FOLD_CHUNK}))")
+    return (f"flatten(transform(array(arrays_zip({', '.join(args)})), z -> CASE WHEN size(z) = 0 THEN {empty} ELSE "
+            f"aggregate({chunks}, {init}, (whole, chunk) -> {outer}, whole -> whole.out) END))")
+
+
+def line_hits_sql(content: str, hits: str, whole_rules: Iterable[str] = (), window_rule: str | None = None,
+                  window_chars: int = 0) -> str:
+    """SQL text of an ARRAY<LINE_HIT_DDL>: each hit with its line, cut out of the file's line array.
+
+    The file is split into lines once (only if it has a hit) and a hit's line
+    is an array element. ``snippet`` is the stripped line cut to 500
+    characters; ``whole`` is the uncut line for ``whole_rules``; ``window`` is
+    the text from the match on for ``window_rule``.
     """
-    nxt = F.call_function("locate", F.lit("\n"), content, pos + 1)
-    stop = F.when(nxt > 0, nxt).otherwise(F.length(content) + 1)
-    text = F.substring(content, lstart + 1, stop - lstart - 1)
-    fast = F.coalesce(F.substring(py_strip(text), 1, SNIPPET_CHARS), F.lit(""))
-    return F.when(has_other_breaks, line_at(splitlines(content), line)).otherwise(fast)
+    line = f"regexp_replace(CASE WHEN h.line <= size(ls) THEN element_at(ls, h.line) ELSE '' END, {sql_str(STRIP_PATTERN)}, '')"
+    whole = [sql_str(r) for r in whole_rules]
+    keep = f"CASE WHEN h.rule IN ({', '.join(whole)}) THEN t END" if whole else "CAST(NULL AS STRING)"
+    window = (f"CASE WHEN h.rule = {sql_str(window_rule)} THEN substring({content}, h.pos + 1, {window_chars}) END"
+              if window_rule else "CAST(NULL AS STRING)")
+    one = (f"transform(array({line}), t -> named_struct('rule', h.rule, 'pos', h.pos, 'line', h.line, 'm', h.m, 'g1', h.g1, "
+           f"'g2', h.g2, 'snippet', substring(t, 1, {SNIPPET_CHARS}), 'whole', {keep}, 'window', {window}))[0]")
+    lines = f"split({content}, {sql_str(SPLITLINES_PATTERN)}, -1)"
+    return (f"flatten(transform(array({hits}), hs -> CASE WHEN size(hs) = 0 THEN CAST(array() AS ARRAY<{LINE_HIT_DDL}>) "
+            f"ELSE flatten(transform(array({lines}), ls -> transform(hs, h -> {one}))) END))")
 
 
 def path_name(path: Column) -> Column:
@@ -176,8 +164,11 @@ def contains_any(col: Column, markers: list[str]) -> Column:
     return cond
 
 
-def redact(text: Column, secret: Column) -> Column:
-    return F.substring(F.replace(text, secret, F.lit("[redacted]")), 1, SNIPPET_CHARS)
+def redact(line: Column, patterns: Iterable[tuple[str, str]]) -> Column:
+    """the whole line with every secret in it replaced, then cut to 500 characters."""
+    for pattern, replacement in patterns:
+        line = F.regexp_replace(line, pattern, replacement)
+    return F.substring(line, 1, SNIPPET_CHARS)
 
 
 def duration_ms(started: Column, completed: Column) -> Column:

@@ -21,7 +21,7 @@ FINDING_COLUMNS = [
 ]
 
 # Projection used by per-rule queries and their SQL oracles.
-RULE_OUTPUT = ["repo_id", "file_path", "line_start", "line_end", "detector", "category",
+RULE_OUTPUT = ["repo_id", "commit_sha", "file_path", "line_start", "line_end", "detector", "category",
                "severity", "confidence", "title", "code_snippet"]
 
 # ---------------------------------------------------------------------------
@@ -133,9 +133,11 @@ def rule_values(rule_id: str) -> dict[str, Column]:
 
 
 def emit(df: DataFrame, rule_id: str | Column, *, line_start: Column, line_end: Column | None = None,
-         snippet: Column, description: Column, confidence: Column | None = None) -> DataFrame:
+         snippet: Column, description: Column, confidence: Column | None = None,
+         order: Column | None = None) -> DataFrame:
     """Project detector rows (with repo_id, commit_sha, file_path) onto the finding shape.
 
+    ``order`` (optional) is carried along as ``_order``: the place of the row among its detector's rows.
     ``rule_id`` may be a column naming a rule per row (variants of one rule).
     The catalogue values are spliced in as SQL text (one parse on the JVM
     side instead of one driver round trip per expression node).
@@ -145,7 +147,8 @@ def emit(df: DataFrame, rule_id: str | Column, *, line_start: Column, line_end:
                        (rule_id if not isinstance(rule_id, str) else F.lit(rule_id)).alias("_rule"),
                        line_start.cast("int").alias("line_start"), line_end.cast("int").alias("line_end"),
                        snippet.alias("code_snippet"), description.alias("description"),
-                       (confidence if confidence is not None else F.lit(None)).cast(CONFIDENCE).alias("_conf"))
+                       (confidence if confidence is not None else F.lit(None)).cast(CONFIDENCE).alias("_conf"),
+                       *([order.cast("long").alias("_order")] if order is not None else []))
     fields = ["detector", "category", "severity", "confidence", "title", "fix_suggestion"]
 
     def value(i: int) -> str:
@@ -161,7 +164,7 @@ def emit(df: DataFrame, rule_id: str | Column, *, line_start: Column, line_end:
     return staged.selectExpr(
         "repo_id", "commit_sha", f"{value(0)} AS detector", f"{value(1)} AS category", f"{value(2)} AS severity",
         f"{conf} AS confidence", "file_path", "line_start", "line_end", "code_snippet", f"{value(4)} AS title",
-        "description", f"{value(5)} AS fix_suggestion")
+        "description", f"{value(5)} AS fix_suggestion", *(["_order"] if order is not None else []))
 
 
 def _q(v: str) -> str:

@@ -67,9 +67,21 @@ def reasoning_valid(responses: DataFrame) -> DataFrame:
         F.when(valid, F.col("exploitability_notes_s")).alias("notes"))
 
 
-def one_response_per_finding(responses: DataFrame) -> DataFrame:
-    """A finding is reviewed once; keep one deterministic response per id."""
-    return responses.groupBy("finding_id").agg(F.min("output_text").alias("output_text"))
+# order in which several valid verdicts of one finding are preferred
+VERDICT_COLUMNS = ["ai_severity", "ai_confidence", "explanation", "ai_fix", "notes"]
+
+
+def best_verdicts(responses: DataFrame) -> DataFrame:
+    """One valid verdict per finding, whatever other responses it has.
+
+    Responses are validated first. Among several valid ones the most severe
+    wins, then the most confident, then the texts (a total order).
+    """
+    valid = reasoning_valid(responses).where("valid")
+    rank = F.array_position(F.array(*[F.lit(s) for s in AI_SEVERITIES]), F.col("ai_severity"))
+    order = F.struct(rank.alias("r"), (-F.col("ai_confidence")).alias("c"), "explanation", "ai_fix", "notes")
+    return (valid.groupBy("finding_id").agg(F.min_by(F.struct(*VERDICT_COLUMNS), order).alias("v"))
+                 .select("finding_id", "v.*"))
 
 
 def enrich_findings(findings: DataFrame, responses: DataFrame) -> DataFrame:
@@ -79,8 +91,7 @@ def enrich_findings(findings: DataFrame, responses: DataFrame) -> DataFrame:
     explanation and notes are joined; the fix text is replaced. A left outer
     join on the finding key: the row count is unchanged by construction.
     """
-    verdicts = reasoning_valid(one_response_per_finding(responses)).where("valid").drop("valid", "reason")
-    j = findings.join(verdicts, "finding_id", "left")
+    j = findings.join(best_verdicts(responses), "finding_id", "left")
     hit = F.col("ai_severity").isNotNull()
     move = F.abs(F.col("ai_confidence") - F.col("confidence")) >= F.lit(CONFIDENCE_UPDATE_DELTA)
     out = (j.withColumn("severity", F.when(hit, F.col("ai_severity")).otherwise(F.col("severity")))

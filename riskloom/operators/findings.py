@@ -71,7 +71,11 @@ def row_number_skew_safe(df: DataFrame, group: Sequence[str], order: Sequence[st
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *group, "_first",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    joined = ranged.join(offsets, ["_pid", *group])
+    # null-safe on the group: rows of a null group are numbered like any other group
+    same = F.col("r._pid") == F.col("o._pid")
+    for g in group:
+        same = same & F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}"))
+    joined = ranged.alias("r").join(offsets.alias("o"), same).select("r.*", "o._first", "o._before")
     result = joined.withColumn(out, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
     return result.drop("_pid", "_mid", "_first", "_before")
 

@@ -16,6 +16,8 @@ INSTALL_SCRIPT_NAMES = ["preinstall", "install", "postinstall"]
 REMOTE_DOWNLOAD = "(?iU)\\b(?:curl|wget)\\b[^\\n]*(?:https?://)|\\bfetch\\s*\\("
 INLINE_NODE = "(?iU)\\bnode\\s+(?:-e|--eval)\\b"
 SHELL_COMMAND = "(?iU)\\b(?:sh|bash|zsh|cmd(?:\\.exe)?|powershell)\\b"
+# socket rows come after all URL rows of a file
+AFTER_URLS = 1 << 40
 SAFE_DESTINATIONS = ["localhost", "127.0.0.1", "0.0.0.0"]
 
 RAW_IP_TAIL = (" Raw destinations can indicate exfiltration or command-and-control, but require "
@@ -44,7 +46,7 @@ def raw_ip_url(eligible: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     refs = url_refs(eligible) if refs is None else refs
     hits = refs.where(F.col("is_ip") & F.col("is_source"))
     return emit(hits, "raw_ip", line_start=F.col("line"), snippet=F.col("snippet"),
-                description=_raw_ip_description("HTTP client URL", F.col("host")))
+                description=_raw_ip_description("HTTP client URL", F.col("host")), order=F.col("pos"))
 
 
 def raw_ip_socket(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
@@ -53,7 +55,7 @@ def raw_ip_socket(eligible: DataFrame, hits: DataFrame | None = None) -> DataFra
     hits = text_hits(eligible, ["socket"]) if hits is None else hits
     hits = hits.where((F.col("rule") == "socket") & tx.is_ipv4(F.col("g1"))).withColumnRenamed("g1", "ip")
     return emit(hits, "raw_ip", line_start=F.col("line"), snippet=F.col("snippet"),
-                description=_raw_ip_description("raw socket connection", F.col("ip")))
+                description=_raw_ip_description("raw socket connection", F.col("ip")), order=F.col("pos") + AFTER_URLS)
 
 
 def isolated_domain(eligible: DataFrame, refs: DataFrame | None = None) -> DataFrame:
@@ -70,7 +72,7 @@ def isolated_domain(eligible: DataFrame, refs: DataFrame | None = None) -> DataF
     once = domains.groupBy(*key).agg(F.count(F.lit(1)).alias("refs")).where(F.col("refs") == 1).select(*key)
     hits = domains.where(F.col("is_source")).join(once, key, "left_semi")
     return emit(hits, "isolated_domain", line_start=F.col("line"), snippet=F.col("snippet"),
-                description=F.concat(F.col("host"), F.lit(DOMAIN_TAIL)))
+                description=F.concat(F.col("host"), F.lit(DOMAIN_TAIL)), order=F.col("pos"))
 
 
 def install_script(eligible: DataFrame) -> DataFrame:
@@ -104,12 +106,14 @@ def install_script(eligible: DataFrame) -> DataFrame:
     rows = rows.withColumn("snippet", tx.line_at(tx.splitlines(F.col("content")), F.col("line")))
     desc = F.concat(F.lit("The "), F.col("script"), F.lit(" script "), F.col("reason"), F.lit(INSTALL_TAIL))
     return emit(rows, "install_script", line_start=F.col("line"), snippet=F.col("snippet"), description=desc,
-                confidence=F.col("conf"))
+                confidence=F.col("conf"), order=F.array_position(F.array(*[F.lit(n) for n in INSTALL_SCRIPT_NAMES]), F.col("script")))
 
 
 def backdoor_dedupe(findings: DataFrame) -> DataFrame:
-    """Detector-local merge on (category, path, line, title); the final
+    """Detector-local merge on (category, path, line, title): the last
+    match stays (URLs in text order, then sockets; ``_order``). The final
     merge (R1) repeats it across detectors."""
     keys = ["repo_id", "commit_sha", "category", "file_path", "line_start", "title"]
-    return findings.groupBy(*keys).agg(F.max_by(F.struct(*findings.columns), F.col("description")).alias("f")) \
-        .select("f.*")
+    cols = [c for c in findings.columns if c != "_order"]
+    return (findings.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct("_order", "description")).alias("f"))
+                    .select("f.*"))

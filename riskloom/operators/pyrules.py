@@ -1,8 +1,10 @@
 """Python rules over the fact tables.
 
 - dynamic exec, pickle, torch: filters on call facts;
-- shell exec and joblib string values: as-of lookups (equi-join on file and
-  name, earlier ``seq`` only, ``max_by`` the latest);
+- external input (P9) and taint leaves (P8): array predicates over the
+  ``mentions`` and ``reads`` of an expression;
+- shell exec and joblib string values: as-of lookups (assignments and uses of
+  a name in one ordered window, last assignment seen so far);
 - joblib parameters: a left-semi join against the scope's parameters;
 - prompt injection: an ordered fold of one scope's assignments and LLM calls
   (bounded: a scope lives in one file of at most 1 MB).
@@ -10,7 +12,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +29,14 @@ PROMPT_KEYWORDS = ["prompt", "messages", "message", "content", "input", "query",
 LLM_SUFFIXES = ["chat.completions.create", "messages.create", "generate_content"]
 LLM_MARKERS = ["llm.", "model.", "openai.", "anthropic.", "genai."]
 LLM_METHOD_SUFFIXES = [".generate", ".complete", ".chat"]
+EXTERNAL_NAMES = ["request", "input", "argv", "args", "query", "params", "form", "user"]
+EXTERNAL_CALLS = ["input", "request.args.get", "request.form.get"]
+SANITIZERS = ["sanitize", "escape", "validate", "allowlist", "whitelist", "normalize"]
+TAINT_CALLS = ["input", "os.getenv", "os.environ.get"]
+REQUEST_ROOTS = ["request", "req"]
+REQUEST_PARTS = ["body", "form", "json", "data", "args", "query", "params"]
+SHELL_KEYWORDS = ["args", "command", "cmd"]
+JOBLIB_KEYWORDS = ["file", "filename", "path"]
 
 FILE = ["repo_id", "commit_sha", "file_path"]
 
@@ -50,19 +60,67 @@ def is_decode_call(call_name: Column) -> Column:
     return tx.contains_any(F.lower(call_name), DECODE_MARKERS)
 
 
+def first_argument(keywords: list[str] | None = None) -> Column:
+    """The call's first positional argument, else its first keyword argument among ``keywords``."""
+    first = F.get(F.filter("args", lambda a: a["positional"]), 0)["value"]
+    if not keywords:
+        return first
+    return F.coalesce(first, F.get(F.filter("args", lambda a: a["kw"].isin(keywords)), 0)["value"])
+
+
+def external(e: Column) -> Column:
+    """The expression mentions outside input anywhere."""
+    return F.exists(e["mentions"], lambda m: F.when(m["kind"] == "call", F.lower(m["text"]).isin(EXTERNAL_CALLS)).otherwise(
+        F.lower(m["text"]).isin(EXTERNAL_NAMES)))
+
+
+def _clean(read: Column) -> Column:
+    """No sanitising call encloses the read."""
+    return ~F.exists(read["via"], lambda c: tx.contains_any(F.lower(c), SANITIZERS))
+
+
+def taint_names(e: Column) -> Column:
+    """Names whose taint the value takes over."""
+    return F.array_distinct(F.transform(F.filter(e["reads"], lambda r: (r["kind"] == "name") & _clean(r)), lambda r: r["text"]))
+
+
+def taint_source(e: Column) -> Column:
+    """The value holds a source of its own: request data, user input, the environment."""
+    def source(r: Column) -> Column:
+        low = F.lower(r["text"])
+        parts = F.split(low, "\\.")
+        request = F.get(parts, 0).isin(REQUEST_ROOTS) & F.exists(F.slice(parts, 2, 1_000_000), lambda p: p.isin(REQUEST_PARTS))
+        call = ~tx.contains_any(low, SANITIZERS) & (low.isin(TAINT_CALLS) | (F.instr(low, "request") > 0))
+        return F.when(r["kind"] == "attr", request).when(r["kind"] == "call", call).otherwise(F.lit(False))
+
+    return F.exists(e["reads"], lambda r: source(r) & _clean(r))
+
+
 def value_kind(e: Column) -> Column:
     """Command value: decoded call, or '+' concatenation with external input."""
-    return (F.when((e["kind"] == "call") & is_decode_call(e["call_name"]), F.lit("decoded"))
-             .when((e["kind"] == "add") & e["external"], F.lit("concatenated external")))
+    return (F.when((e["kind"] == "call") & is_decode_call(e["text"]), F.lit("decoded"))
+             .when((e["kind"] == "add") & external(e), F.lit("concatenated external")))
+
+
+def latest_before(uses: DataFrame, assigns: DataFrame, value: str) -> DataFrame:
+    """``uses`` with the ``value`` of the latest earlier assignment of ``arg_name`` in the file (null if none).
+
+    One ordered window over both: a row per assignment and per use, no pairs.
+    """
+    w = Window.partitionBy(*FILE, "arg_name").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = assigns.select(*FILE, "arg_name", "seq", value).withColumn("use", F.lit(None).cast(uses.schema.simpleString()))
+    both = uses.select(*FILE, "arg_name", "seq", F.lit(None).cast("string").alias(value), F.struct(*uses.columns).alias("use")).unionByName(rows)
+    seen = both.withColumn("found", F.last(value, ignorenulls=True).over(w)).where(F.col("use").isNotNull())
+    return seen.select("use.*", F.col("found").alias(value))
 
 
 def py_dynamic_exec(facts: DataFrame) -> DataFrame:
     """Bare eval/exec whose first argument is a decode call or a '+'."""
     calls = _ast_scope(facts).where((F.col("kind") == "call") & F.col("func_is_name")
-                                    & F.col("name").isin(DYNAMIC_FUNCTIONS) & F.col("arg0").isNotNull())
-    a = F.col("arg0")
+                                    & F.col("name").isin(DYNAMIC_FUNCTIONS))
+    a = first_argument()
     kind = (F.when(a["kind"] == "add", F.lit("concatenated"))
-             .when((a["kind"] == "call") & is_decode_call(a["call_name"]), F.lit("decoded")))
+             .when((a["kind"] == "call") & is_decode_call(a["text"]), F.lit("decoded")))
     hits = calls.withColumn("exec_kind", kind).where(F.col("exec_kind").isNotNull())
     rule = F.when(F.col("exec_kind") == "decoded", "py_exec_decoded").otherwise("py_exec_concat")
     desc = F.concat(F.col("name"), F.lit("() executes "), F.col("exec_kind"),
@@ -75,21 +133,15 @@ def py_shell_exec(facts: DataFrame) -> DataFrame:
     """Shell calls fed by decoded or external data; a Name argument takes
     the kind of its latest earlier tracked assignment (as-of join)."""
     f = _ast_scope(facts)
-    calls = f.where((F.col("kind") == "call") & F.lower(F.col("name")).isin(SHELL_FUNCTIONS)
-                    & F.col("shell_arg").isNotNull())
+    calls = (f.where((F.col("kind") == "call") & F.lower(F.col("name")).isin(SHELL_FUNCTIONS))
+              .withColumn("arg", first_argument(SHELL_KEYWORDS)).where(F.col("arg").isNotNull()))
     tracked = (f.where(F.col("kind") == "assign")
-               .select(*FILE, F.col("name").alias("arg_name"), F.col("seq").alias("a_seq"),
-                       value_kind(F.col("value")).alias("a_kind"))
-               .where(F.col("a_kind").isNotNull()))
-    named = calls.where(F.col("shell_arg.kind") == "name").withColumn("arg_name", F.col("shell_arg.name"))
-    resolved = (named.join(tracked, [*FILE, "arg_name"], "left")
-                .where(F.col("a_seq").isNull() | (F.col("a_seq") < F.col("seq")))
-                .groupBy(*FILE, "seq")
-                .agg(F.max_by("a_kind", F.col("a_seq")).alias("cmd_kind")))
-    named = named.join(resolved, [*FILE, "seq"], "left")
-    direct = calls.where(F.col("shell_arg.kind") != "name").withColumn("cmd_kind", value_kind(F.col("shell_arg")))
-    cols = [*FILE, "seq", "name", "line", "end_line", "snippet", "cmd_kind"]
-    hits = named.select(*cols).unionByName(direct.select(*cols)).where(F.col("cmd_kind").isNotNull())
+               .select(*FILE, F.col("name").alias("arg_name"), "seq", value_kind(F.col("value")).alias("cmd_kind"))
+               .where(F.col("cmd_kind").isNotNull()))
+    cols = [*FILE, "seq", "name", "line", "end_line", "snippet"]
+    named = latest_before(calls.where(F.col("arg.kind") == "name").select(*cols, F.col("arg.text").alias("arg_name")), tracked, "cmd_kind")
+    direct = calls.where(F.col("arg.kind") != "name").withColumn("cmd_kind", value_kind(F.col("arg")))
+    hits = named.select(*cols, "cmd_kind").unionByName(direct.select(*cols, "cmd_kind")).where(F.col("cmd_kind").isNotNull())
     rule = F.when(F.col("cmd_kind") == "decoded", "py_shell_decoded").otherwise("py_shell_external")
     desc = F.concat(F.lower(F.col("name")), F.lit("() executes "), F.col("cmd_kind"),
                     F.lit(" command content, a common obfuscated backdoor pattern."))
@@ -97,15 +149,16 @@ def py_shell_exec(facts: DataFrame) -> DataFrame:
                 description=desc)
 
 
-def mentions_auth(idents: Column) -> Column:
-    return F.exists(idents, lambda i: tx.contains_any(F.replace(F.lower(i), F.lit("-"), F.lit("_")), AUTH_MARKERS))
+def mentions_auth(operands: Column) -> Column:
+    return F.exists(operands, lambda o: F.exists(o["mentions"], lambda m: (m["kind"] != "call") & tx.contains_any(
+        F.replace(F.lower(m["text"]), F.lit("-"), F.lit("_")), AUTH_MARKERS)))
 
 
 def py_auth_bypass(facts: DataFrame) -> DataFrame:
     """A comparison in an ``if`` test against a string constant that
     mentions an auth-like identifier; one finding per if-line."""
-    cmp = _ast_scope(facts).where((F.col("kind") == "if_compare") & F.col("has_str_const")
-                                  & mentions_auth(F.col("idents")))
+    cmp = _ast_scope(facts).where((F.col("kind") == "if_compare") & F.exists("operands", lambda o: o["kind"] == "str")
+                                  & mentions_auth(F.col("operands")))
     first = (cmp.groupBy(*FILE, "line")
              .agg(F.min_by(F.struct("end_line", "snippet"), F.col("seq")).alias("f"))
              .select(*FILE, "line", "f.*"))
@@ -130,7 +183,8 @@ def model_pickle(facts: DataFrame) -> DataFrame:
 
 def model_torch(facts: DataFrame) -> DataFrame:
     """P5: torch.load without a literal weights_only=True."""
-    hits = _model_calls(facts).where((F.col("name") == "torch.load") & ~F.col("weights_only_true"))
+    safe = F.exists("args", lambda a: (a["kw"].eqNullSafe(F.lit("weights_only"))) & (a["value"]["kind"] == "const") & (a["value"]["text"] == "True"))
+    hits = _model_calls(facts).where((F.col("name") == "torch.load") & ~safe)
     desc = F.lit("torch.load() is called without weights_only=True, which can permit unsafe pickle-based "
                  "deserialization when a model artifact is not fully trusted.")
     return emit(hits, "model_torch", line_start=F.col("line"), snippet=F.col("snippet"), description=desc)
@@ -145,18 +199,15 @@ def model_joblib(facts: DataFrame) -> DataFrame:
     model-like string (latest earlier assignment), an unknown name, or any
     other expression."""
     f = _body_scope(facts)
-    calls = _model_calls(facts).where((F.col("name") == "joblib.load") & F.col("joblib_arg").isNotNull())
-    arg = F.col("joblib_arg")
+    calls = (_model_calls(facts).where(F.col("name") == "joblib.load")
+             .withColumn("arg", first_argument(JOBLIB_KEYWORDS)).where(F.col("arg").isNotNull()))
+    arg = F.col("arg")
     params = f.where(F.col("kind") == "param").select(*FILE, "scope", F.col("name").alias("arg_name")).distinct()
     strings = (f.where((F.col("kind") == "assign") & ~F.col("annotated") & (F.col("value.kind") == "str"))
-               .select(*FILE, F.col("name").alias("arg_name"), F.col("seq").alias("a_seq"),
-                       F.col("value.text").alias("a_text")))
-    named = calls.where(arg["kind"] == "name").withColumn("arg_name", arg["name"])
-    is_param = named.join(params, [*FILE, "scope", "arg_name"], "left_semi").select(*FILE, "seq")
-    latest = (named.join(strings, [*FILE, "arg_name"], "inner").where(F.col("a_seq") < F.col("seq"))
-              .groupBy(*FILE, "seq").agg(F.max_by("a_text", "a_seq").alias("bound_text")))
-    named = (named.join(is_param.withColumn("is_param", F.lit(True)), [*FILE, "seq"], "left")
-                  .join(latest, [*FILE, "seq"], "left"))
+               .select(*FILE, F.col("name").alias("arg_name"), "seq", F.col("value.text").alias("bound_text")))
+    uses = calls.where(arg["kind"] == "name").select(*FILE, "seq", "scope", "line", "snippet", arg["text"].alias("arg_name"))
+    named = latest_before(uses, strings, "bound_text").join(
+        params.withColumn("is_param", F.lit(True)), [*FILE, "scope", "arg_name"], "left")
     named_flag = (F.when(F.col("is_param"), F.lit(True))
                    .when(F.col("bound_text").isNotNull(), _model_suffix(F.col("bound_text")))
                    .otherwise(F.lit(True)))
@@ -193,19 +244,17 @@ def py_prompt_injection(facts: DataFrame) -> DataFrame:
     """LLM calls whose prompt arguments are tainted, by an ordered fold of
     each scope's events starting from the scope's parameters."""
     f = _body_scope(facts)
-    prompt_args = F.filter(F.coalesce(F.col("prompt_args"), F.array().cast(T.ArrayType(facts.schema["prompt_args"]
-                                                                                     .dataType.elementType))),
-                           lambda a: a["kw"].isNull() | a["kw"].isin(PROMPT_KEYWORDS))
+    prompt_args = F.filter("args", lambda a: a["kw"].isNull() | a["kw"].isin(PROMPT_KEYWORDS))
     calls = (f.where((F.col("kind") == "call") & is_llm_call(F.col("name")))
               .select(*FILE, "scope", F.struct(
                   F.col("seq"), F.lit(True).alias("is_call"), F.col("name"),
-                  F.array_distinct(F.flatten(F.transform(prompt_args, lambda a: a["deps"]))).alias("deps"),
-                  F.exists(prompt_args, lambda a: a["const_taint"]).alias("const_taint"),
+                  F.array_distinct(F.flatten(F.transform(prompt_args, lambda a: taint_names(a["value"])))).alias("deps"),
+                  F.exists(prompt_args, lambda a: taint_source(a["value"])).alias("const_taint"),
                   F.col("line"), F.col("snippet")).alias("ev")))
     assigns = (f.where(F.col("kind") == "assign")
                 .select(*FILE, "scope", F.struct(
-                    F.col("seq"), F.lit(False).alias("is_call"), F.col("name"), F.col("value.deps").alias("deps"),
-                    F.col("value.const_taint").alias("const_taint"), F.col("line"), F.col("snippet")).alias("ev")))
+                    F.col("seq"), F.lit(False).alias("is_call"), F.col("name"), taint_names(F.col("value")).alias("deps"),
+                    taint_source(F.col("value")).alias("const_taint"), F.col("line"), F.col("snippet")).alias("ev")))
     # only scopes that contain an LLM call need folding
     scopes_with_calls = calls.select(*FILE, "scope").distinct()
     events = (calls.unionByName(assigns).join(scopes_with_calls, [*FILE, "scope"], "left_semi")

@@ -1,14 +1,7 @@
-"""Shared regex scan: one row per pattern match, with line and snippet."""
+"""Shared parts of the regex scan."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from riskloom.functions import text as tx
-
 KEYS = ["repo_id", "commit_sha", "file_path"]
 
 
@@ -20,29 +13,3 @@ def check_pattern(pattern: str) -> str:
     if re.compile(probe).fullmatch(""):
         raise ValueError(f"pattern matches the empty string: {pattern}")
     return pattern
-
-
-def pattern_hits(files: DataFrame, pattern: str, groups: dict[str, int] | None = None,
-                 keep: Sequence[str] = (), with_content: bool = False, first_per_line: bool = False) -> DataFrame:
-    """Explode all matches of ``pattern`` in ``files.content``.
-
-    Output: KEYS + ``keep`` + pos, line, lstart, m, <groups>, snippet
-    (+ content when asked). Files without a match are dropped by a single
-    ``rlike`` before any array is built; the content column only rides along
-    into the exploded rows of files that matched.
-    """
-    check_pattern(pattern)
-    groups = groups or {}
-    content = F.col("content")
-    matched = files.where(content.rlike(pattern))
-    exploded = matched.select(
-        *KEYS, *keep, "content", tx.other_breaks(content).alias("_ob"),
-        F.explode(tx.regex_hits(content, pattern, groups, first_per_line)).alias("h"))
-    h = F.col("h")
-    cols: list[Column | str] = [*KEYS, *keep, h["pos"].alias("pos"), h["line"].alias("line"),
-                                h["lstart"].alias("lstart"), h["m"].alias("m")]
-    cols += [h[f"g{i + 1}"].alias(g) for i, g in enumerate(groups)]
-    cols.append(tx.hit_snippet(content, F.col("_ob"), h["pos"], h["line"], h["lstart"]).alias("snippet"))
-    if with_content:
-        cols.append("content")
-    return exploded.select(*cols)

@@ -4,7 +4,8 @@ The reference names the families (cloud keys, tokens, private keys, payment
 keys, generic assignments with an entropy test) but its rule file is absent;
 the patterns below are our own. All signatures are found in one projection
 over the scan; a signature hit suppresses a generic hit on the same line.
-Snippets are redacted: the matched secret never leaves the detector.
+Snippets are redacted: every secret of the line is replaced in the whole
+line before it is cut, so none leaves the detector, not even in part.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ SIGNATURES = {
     "secret_private_key": "-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----",
     "secret_stripe": "(?U)\\bsk_(?:live|test|demo)_[A-Za-z0-9]{16,}",
 }
-GENERIC = ("(?iU)\\b[\\w.-]*(?:api[_-]?key|secret|token|password)[\\w.-]*\\s*[:=]\\s*[\"']([^\"'\\s]{16,})[\"']")
+_ASSIGN = "\\b[\\w.-]*(?:api[_-]?key|secret|token|password)[\\w.-]*\\s*[:=]\\s*[\"']"
+GENERIC = f"(?iU){_ASSIGN}([^\"'\\s]{{16,}})[\"']"
+GENERIC_VALUE = f"(?iU)({_ASSIGN})([^\"'\\s]{{16,}})([\"'])"
 MIN_ENTROPY = 3.5
 
 DESCRIPTION = {
@@ -38,7 +41,7 @@ def _signature_hits(eligible: DataFrame, hits: DataFrame | None = None) -> DataF
     from riskloom.operators.textscan import text_hits
     hits = text_hits(eligible, list(SIGNATURES)) if hits is None else hits
     return hits.where(F.col("rule").isin(list(SIGNATURES))).select(
-        "repo_id", "commit_sha", "file_path", "line", "pos", "m", "snippet", "rule")
+        "repo_id", "commit_sha", "file_path", "line", "pos", "whole", "rule")
 
 
 def _generic_hits(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
@@ -46,7 +49,7 @@ def _generic_hits(eligible: DataFrame, hits: DataFrame | None = None) -> DataFra
     hits = text_hits(eligible, ["secret_generic"]) if hits is None else hits
     h = hits.where(F.col("rule") == "secret_generic").withColumn("entropy", tx.shannon_entropy(F.col("g1")))
     return h.where(F.col("entropy") >= MIN_ENTROPY).select(
-        "repo_id", "commit_sha", "file_path", "line", "pos", F.col("g1").alias("m"), "snippet",
+        "repo_id", "commit_sha", "file_path", "line", "pos", "whole",
         F.lit("secret_entropy").alias("rule"))
 
 
@@ -70,7 +73,7 @@ def _emit(hits: DataFrame) -> DataFrame:
     desc = F.lit(None).cast("string")
     for rule, text in DESCRIPTION.items():
         desc = F.when(F.col("rule") == rule, F.lit(text)).otherwise(desc)
-    redacted = tx.redact(F.col("snippet"), F.col("m"))
+    redacted = tx.redact(F.col("whole"), [*((p, "[redacted]") for p in SIGNATURES.values()), (GENERIC_VALUE, "$1[redacted]$3")])
     return emit(hits, F.col("rule"), line_start=F.col("line"), snippet=redacted, description=desc)
 
 

@@ -3,9 +3,11 @@
 Each eligible file is read once; for every rule that applies to the file
 (by suffix/name class) and whose pattern occurs in it, the offset fold
 produces that rule's matches, all tagged with the rule id and flattened into
-one array that is exploded once. The result - the *hit table* - is tiny
-compared with the corpus, so a multi-detector query checkpoints it (shared
-checkpoint folder) and every detector reads the hits instead of the content.
+one array. Lines are cut out of the file's line array before the array is
+exploded, so an exploded row carries its line and never the content. The
+result - the *hit table* - is tiny compared with the corpus, so a
+multi-detector query checkpoints it (shared checkpoint folder) and every
+detector reads the hits instead of the content.
 """
 
 from __future__ import annotations
@@ -66,8 +68,8 @@ def _unsafe_assignments_sql() -> str:
 
 def text_hits(eligible: DataFrame, rules: Iterable[str] | None = None) -> DataFrame:
     """One row per match of any selected rule: KEYS, name, suffix_l, is_source,
-    rule, pos, line, lstart, m, g1, g2, snippet, window (LLM-call rows),
-    js_vars / js_unsafe (per-file JS facts, on JS rows only)."""
+    rule, pos, line, m, g1, g2, snippet, whole (uncut line of secret rows),
+    window (LLM-call rows), js_vars / js_unsafe (per-file JS facts, on JS rows only)."""
     rules = list(rules or TEXT_RULES)
     content = F.col("content")
     is_js = F.col("suffix_l").isin(src.JS_SUFFIXES)
@@ -78,13 +80,9 @@ def text_hits(eligible: DataFrame, rules: Iterable[str] | None = None) -> DataFr
                                f"THEN {_unsafe_assignments_sql()} END").alias("js_unsafe"))
     else:
         per_file.append(F.lit(None).cast("array<struct<name:string,pos:int>>").alias("js_unsafe"))
-    all_hits = F.expr("flatten(array(" + ", ".join(_rule_hits_sql(r) for r in rules) + "))")
-    exploded = eligible.select(*KEYS, "name", "suffix_l", "is_source", "content",
-                               tx.other_breaks(content).alias("_ob"), *per_file,
-                               F.explode(all_hits).alias("h"))
-    h = F.col("h")
-    snippet = tx.hit_snippet(content, F.col("_ob"), h["pos"], h["line"], h["lstart"])
-    window = F.when(h["rule"] == "js_llm", F.substring(content, h["pos"] + 1, pr.WINDOW_CHARS))
-    return exploded.select(*KEYS, "name", "suffix_l", "is_source", "h.rule", "h.pos", "h.line", "h.lstart",
-                           "h.m", "h.g1", "h.g2", snippet.alias("snippet"), window.alias("window"),
-                           "js_vars", "js_unsafe")
+    hits = "flatten(array(" + ", ".join(_rule_hits_sql(r) for r in rules) + "))"
+    secrets = [r for r in rules if r in sec.SIGNATURES or r == "secret_generic"]
+    lined = tx.line_hits_sql("content", hits, secrets, "js_llm" if "js_llm" in rules else None, pr.WINDOW_CHARS)
+    exploded = eligible.select(*KEYS, "name", "suffix_l", "is_source", *per_file, F.explode(F.expr(lined)).alias("h"))
+    return exploded.select(*KEYS, "name", "suffix_l", "is_source", "h.rule", "h.pos", "h.line", "h.m", "h.g1", "h.g2",
+                           "h.snippet", "h.whole", "h.window", "js_vars", "js_unsafe")

@@ -55,7 +55,7 @@ def code_prefix(*more: str) -> str:
     return ",\n".join(parts) + "\n"
 
 
-RULE_COLS = ("repo_id, file_path, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, "
+RULE_COLS = ("repo_id, commit_sha, file_path, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, "
              "detector, category, severity, CAST(confidence AS DECIMAL(3,2)) AS confidence, title, code_snippet")
 
 
@@ -63,7 +63,7 @@ def rule_select(source: str, detector: str, category: str, severity: str, confid
                 line: str = "line_no", snippet: str = "snip", line_end: str | None = None,
                 where: str = "TRUE") -> str:
     t = title.replace("'", "''")
-    return (f"SELECT repo_id, file_path, CAST({line} AS INTEGER) AS line_start, "
+    return (f"SELECT repo_id, commit_sha, file_path, CAST({line} AS INTEGER) AS line_start, "
             f"CAST({line_end or line} AS INTEGER) AS line_end, '{detector}' AS detector, '{category}' AS category, "
             f"{severity} AS severity, CAST({confidence} AS DECIMAL(3,2)) AS confidence, '{t}' AS title, "
             f"{snippet} AS code_snippet FROM {source} WHERE {where}")

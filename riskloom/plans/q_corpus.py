@@ -32,7 +32,7 @@ def _merged_sql() -> str:
     return f"""WITH u AS ({_static_union_sql()}),
 merged AS (
   SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY repo_id, category, file_path, line_start, title
+    SELECT *, row_number() OVER (PARTITION BY repo_id, commit_sha, category, file_path, line_start, title
                                  ORDER BY confidence DESC, {_DET_RANK_SQL}, code_snippet) AS rn FROM u) x
   WHERE rn = 1)
 """
@@ -50,28 +50,28 @@ def static_merged_oracle() -> str:
 
 def scan_reports_oracle() -> str:
     from riskloom.plans import oracle_parts as op
-    inv = op.code_prefix().rstrip() + "\nSELECT repo_id, count(*) AS files_scanned FROM eligible GROUP BY repo_id"
+    inv = op.code_prefix().rstrip() + "\nSELECT repo_id, commit_sha, count(*) AS files_scanned FROM eligible GROUP BY repo_id, commit_sha"
     return _merged_sql() + f""",
 inv AS ({inv}),
 agg AS (
-  SELECT repo_id, CAST(count_if(severity = 'critical') AS BIGINT) AS critical,
+  SELECT repo_id, commit_sha, CAST(count_if(severity = 'critical') AS BIGINT) AS critical,
          CAST(count_if(severity = 'high') AS BIGINT) AS high, CAST(count_if(severity = 'medium') AS BIGINT) AS medium,
          CAST(count_if(severity = 'low') AS BIGINT) AS low, CAST(count_if(severity = 'info') AS BIGINT) AS info,
          CAST(count(*) AS BIGINT) AS total,
          CAST(round(least(sum({_WEIGHT_SQL} * confidence), 100), 1) AS DECIMAL(4,1)) AS score
-  FROM merged GROUP BY repo_id),
+  FROM merged GROUP BY repo_id, commit_sha),
 top AS (
-  SELECT repo_id, title AS top_title, file_path AS top_path, line_start AS top_line FROM (
-    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {_SEV_RANK_SQL}, confidence DESC, file_path,
+  SELECT repo_id, commit_sha, title AS top_title, file_path AS top_path, line_start AS top_line FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id, commit_sha ORDER BY {_SEV_RANK_SQL}, confidence DESC, file_path,
                                  {_DET_RANK_SQL}, line_start NULLS FIRST, title, code_snippet) AS rn FROM merged) t
   WHERE rn = 1),
 r AS (
-  SELECT inv.repo_id, CAST(inv.files_scanned AS BIGINT) AS files_scanned,
+  SELECT inv.repo_id, inv.commit_sha, CAST(inv.files_scanned AS BIGINT) AS files_scanned,
          coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium,
          coalesce(low, 0) AS low, coalesce(info, 0) AS info, coalesce(total, 0) AS total,
          coalesce(score, CAST(0 AS DECIMAL(4,1))) AS overall_risk_score, top_title, top_path, top_line
-  FROM inv LEFT JOIN agg USING (repo_id) LEFT JOIN top USING (repo_id))
-SELECT repo_id, files_scanned, overall_risk_score,
+  FROM inv LEFT JOIN agg USING (repo_id, commit_sha) LEFT JOIN top USING (repo_id, commit_sha))
+SELECT repo_id, commit_sha, files_scanned, overall_risk_score,
        CASE WHEN overall_risk_score >= 70 THEN 'high' WHEN overall_risk_score >= 40 THEN 'medium' ELSE 'low' END
          AS risk_band,
        critical, high, medium, low, info, total,
@@ -95,10 +95,19 @@ def _reports(findings, el, rejected=None):
     inv = src.repo_inventory(el).select("repo_id", "commit_sha", "files_scanned")
     if rejected is not None:  # rejected (over-size) repositories get no report
         inv = mg.gate(inv, rejected=rejected)
-    inv = inv.drop("commit_sha")
     keyed = findings.withColumn("_det", mg.detector_rank(F.col("detector")))
-    out = rpt.scan_reports(keyed, inv, scan_col="repo_id", tie=CORPUS_TIE)
-    return out.drop("finding_counts")
+    out = rpt.scan_reports(with_scan(keyed), with_scan(inv), scan_col="scan", tie=CORPUS_TIE)
+    return split_scan(out).drop("finding_counts")
+
+
+def with_scan(df):
+    """The scan key as one column, for operators that group by a single key."""
+    return df.withColumn("scan", F.struct("repo_id", "commit_sha"))
+
+
+def split_scan(df):
+    rest = [c for c in df.columns if c not in ("scan", "repo_id", "commit_sha")]
+    return df.select("scan.repo_id", "scan.commit_sha", *rest)
 
 
 def register_all() -> None:
@@ -134,7 +143,7 @@ def register_remediation() -> None:
     def q_fix_proposals(spark, sf_dir):
         files, el, merged, _ = _merged(spark, sf_dir)
         p = fx_.fix_proposals(merged, files)
-        return p.select("repo_id", "file_path", "line_start", "category", "title", "tier", "target_file",
+        return p.select("repo_id", "commit_sha", "file_path", "line_start", "category", "title", "tier", "target_file",
                         "has_change", F.length("updated_content").alias("updated_chars"), "guidance")
 
     @register("remediation_outcome")
@@ -153,27 +162,27 @@ def register_context() -> None:
 
     ctx_oracle = _merged_sql().rstrip() + ",\n" + op.code_prefix().replace("WITH ", "", 1).rstrip() + f""",
 fl AS (
-  SELECT m.repo_id, m.file_path, m.line_start, m.line_end, m.title, m.detector,
+  SELECT m.repo_id, m.commit_sha, m.file_path, m.line_start, m.line_end, m.title, m.detector,
          coalesce(m.line_start, 1) AS a0, x.line_no, x.ltext,
-         max(x.line_no) OVER (PARTITION BY m.repo_id, m.file_path, m.line_start, m.title, m.detector) AS n
+         max(x.line_no) OVER (PARTITION BY m.repo_id, m.commit_sha, m.file_path, m.line_start, m.title, m.detector) AS n
   FROM merged m JOIN (
-    SELECT repo_id, file_path, unnest(string_split(content, chr(10))) AS ltext,
+    SELECT repo_id, commit_sha, file_path, unnest(string_split(content, chr(10))) AS ltext,
            generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM code_files) x
-    ON x.repo_id = m.repo_id AND x.file_path = m.file_path),
+    ON x.repo_id = m.repo_id AND x.commit_sha = m.commit_sha AND x.file_path = m.file_path),
 win AS (
   SELECT *, greatest(1, a0 - 12) AS s, least(n, least(greatest(coalesce(line_end, a0), a0), n) + 12) AS e FROM fl)
-SELECT repo_id, file_path, line_start, title, detector, CAST(s AS INTEGER) AS context_start,
+SELECT repo_id, commit_sha, file_path, line_start, title, detector, CAST(s AS INTEGER) AS context_start,
        CAST(e AS INTEGER) AS context_end,
        left(string_agg(printf('%5d: %s', line_no, ltext), chr(10) ORDER BY line_no), 12000) AS context
 FROM win WHERE a0 BETWEEN 1 AND n AND line_no BETWEEN s AND e
-GROUP BY repo_id, file_path, line_start, title, detector, s, e"""
+GROUP BY repo_id, commit_sha, file_path, line_start, title, detector, s, e"""
 
     @register("code_context", ctx_oracle)
     def q_code_context(spark, sf_dir):
         files, el, merged, _ = _merged(spark, sf_dir)
         c = en.code_context(merged, files)
         return c.where(F.col("context").isNotNull()).select(
-            "repo_id", "file_path", "line_start", "title", "detector", F.col("context_start").cast("int"),
+            "repo_id", "commit_sha", "file_path", "line_start", "title", "detector", F.col("context_start").cast("int"),
             F.col("context_end").cast("int"), "context")
 
     @register("reasoning_requests")
@@ -187,17 +196,17 @@ GROUP BY repo_id, file_path, line_start, title, detector, s, e"""
         from riskloom.session import cut_lineage
         files, el, merged, rejected = _merged(spark, sf_dir)
         # merged findings and the per-scan report rows are read by many branches: materialise once
-        keyed = cut_lineage(merged.withColumn("_det", mg.detector_rank(F.col("detector"))))
-        inv = mg.gate(src.repo_inventory(el), rejected=rejected).select("repo_id", "files_scanned")
-        reports = cut_lineage(rpt.scan_reports(keyed, inv, scan_col="repo_id", tie=CORPUS_TIE))
+        keyed = cut_lineage(with_scan(merged.withColumn("_det", mg.detector_rank(F.col("detector")))))
+        inv = with_scan(mg.gate(src.repo_inventory(el), rejected=rejected)).select("scan", "files_scanned")
+        reports = cut_lineage(rpt.scan_reports(keyed, inv, scan_col="scan", tie=CORPUS_TIE))
         ranked = (keyed.withColumn("finding_id", F.xxhash64("file_path", "line_start", "title", "category"))
                   .withColumn("remediation_status", F.lit(None).cast("string")))
         ranked = fnd.row_number_skew_safe(
             ranked.withColumn("_sev", rpt.severity_rank(F.col("severity"))).withColumn("_nc", -F.col("confidence")),
-            ["repo_id", "_sev"], ["_nc", "file_path", "_det", "line_start", "title"], out="sev_position")
-        recs = fnd.recommendations(keyed.withColumn("finding_id", F.lit(0)), scan_col="repo_id",
+            ["scan", "_sev"], ["_nc", "file_path", "_det", "line_start", "title"], out="sev_position")
+        recs = fnd.recommendations(keyed.withColumn("finding_id", F.lit(0)), scan_col="scan",
                                    tie=["_det", "line_start", "title"])
-        return rpt.report_lines(reports, ranked, recs, scan_col="repo_id")
+        return split_scan(rpt.report_lines(reports, ranked, recs, scan_col="scan"))
 
 
 register_context()
@@ -218,7 +227,7 @@ def register_remediation_views() -> None:
     def q_report_findings(spark, sf_dir):
         """Every merged finding with its latest remediation (left outer join)."""
         merged, outcomes = _outcomes(spark, sf_dir)
-        key = ["repo_id", "file_path", "line_start", "title"]
+        key = ["repo_id", "commit_sha", "file_path", "line_start", "title"]
         rems = outcomes.select(*key, F.col("status"), F.col("tier"),
                                F.xxhash64(*key).alias("remediation_id"),
                                F.lit(None).cast("timestamp_ntz").alias("created_at"))
@@ -228,7 +237,11 @@ def register_remediation_views() -> None:
                                          "remediation_id")).alias("r"))
                   .select(*key, F.col("r.status").alias("remediation_status"),
                           F.col("r.tier").alias("remediation_tier")))
-        return merged.join(latest, key, "left").select(*RULE_OUTPUT, "description", "fix_suggestion",
+        same = F.lit(True)
+        for k in key:
+            same = same & F.col(f"m.{k}").eqNullSafe(F.col(f"l.{k}"))
+        joined = merged.alias("m").join(latest.alias("l"), same, "left").select("m.*", "l.remediation_status", "l.remediation_tier")
+        return joined.select(*RULE_OUTPUT, "description", "fix_suggestion",
                                                        "remediation_status", "remediation_tier")
 
     @register("approvable")
@@ -236,9 +249,9 @@ def register_remediation_views() -> None:
         """Tier-2 proposals waiting for approval, with their branch name."""
         _, outcomes = _outcomes(spark, sf_dir)
         pending = rem.approvable(outcomes)
-        return pending.select("repo_id", "file_path", "line_start", "title", "tier", "status",
+        return pending.select("repo_id", "commit_sha", "file_path", "line_start", "title", "tier", "status",
                               rem.branch_name("riskloom", F.col("repo_id"),
-                                              F.xxhash64("file_path", "line_start", "title")).alias("branch"))
+                                              F.xxhash64("commit_sha", "file_path", "line_start", "title")).alias("branch"))
 
 
 register_remediation_views()

@@ -52,15 +52,17 @@ def q_reasoning_valid(spark, sf_dir):
     return v.select("finding_id", "valid", "reason", "ai_severity", "ai_confidence")
 
 
-@register("enrich_findings", RESP + """, one AS (SELECT finding_id, min(output_text) AS output_text
-  FROM reasoning_responses GROUP BY finding_id), """ + VALIDATED.format(src="one") + f""",
-ok AS (
+@register("enrich_findings", RESP + ", " + VALIDATED.format(src="reasoning_responses") + f""",
+verdicts AS (
   SELECT finding_id, json_extract_string(output_text, '$.severity') AS ai_sev,
          CAST(round(CAST(json_extract_string(output_text, '$.confidence') AS DECIMAL(38,18)), 2) AS DECIMAL(3,2)) AS ai_conf,
          trim(json_extract_string(output_text, '$.explanation'), {WS}) AS expl,
          trim(json_extract_string(output_text, '$.fix_suggestion'), {WS}) AS fix,
          trim(json_extract_string(output_text, '$.exploitability_notes'), {WS}) AS notes
-  FROM validated WHERE reason IS NULL)
+  FROM validated WHERE reason IS NULL),
+ok AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY
+    list_position(['critical', 'high', 'medium', 'low'], ai_sev), ai_conf DESC, expl, fix, notes) AS rn FROM verdicts) x WHERE rn = 1)
 SELECT f.finding_id, f.scan_id, f.category, f.file_path, f.line_start, f.title, f.created_at,
        coalesce(ok.ai_sev, f.severity) AS severity,
        CASE WHEN ok.ai_sev IS NOT NULL AND abs(ok.ai_conf - f.confidence) >= 0.15 THEN ok.ai_conf
@@ -110,7 +112,7 @@ def q_recent_events(spark, sf_dir):
     return top.select("remediation_id", "event_id", "ts", "status", "rank_in_group")
 
 
-_GH = "^https://github\\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\\.git)?/?$"
+_GH = "^https://github\\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\\.git)?/?\\z"
 
 
 @register("project_import", f"""
@@ -130,20 +132,19 @@ def q_project_import(spark, sf_dir):
                       F.coalesce(F.col("valid"), F.lit(False)).alias("valid"))
 
 
-@register("dq_violations", RESP + """, one AS (SELECT finding_id, min(output_text) AS output_text
-  FROM reasoning_responses GROUP BY finding_id)
+@register("dq_violations", RESP + """
 SELECT finding_id, 'confidence_out_of_range' AS reason FROM findings_base WHERE confidence < 0 OR confidence > 1
 UNION ALL
 SELECT finding_id, 'unknown_severity' AS reason FROM findings_base
 WHERE severity IS NULL OR severity NOT IN ('critical', 'high', 'medium', 'low', 'info')
 UNION ALL
-SELECT finding_id, 'invalid_review' AS reason FROM one
+SELECT DISTINCT finding_id, 'invalid_review' AS reason FROM reasoning_responses
 WHERE NOT json_valid(output_text) OR json_type(output_text) <> 'OBJECT'""")
 def q_dq_violations(spark, sf_dir):
     """Rows that break the stored-table checks (plus unreadable review verdicts)."""
     base = rem.dq_violations(fx.findings_base(spark, sf_dir))
-    resp = en.one_response_per_finding(fx.reasoning_responses(spark, sf_dir))
+    resp = fx.reasoning_responses(spark, sf_dir)
     v = F.try_parse_json(F.col("output_text"))
     bad = resp.where(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT")).select(
-        "finding_id", F.lit("invalid_review").alias("reason"))
+        "finding_id", F.lit("invalid_review").alias("reason")).distinct()
     return base.unionByName(bad)

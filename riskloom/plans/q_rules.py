@@ -193,10 +193,10 @@ def _manifests(spark, sf_dir):
 
 
 @register("dependencies", op.code_prefix(_MANIFESTS, _MAN_LINES, _NPM, _DEPS) + """
-SELECT repo_id, file_path, dep_name, CAST(line_no AS INTEGER) AS line, snip AS snippet FROM deps""")
+SELECT repo_id, commit_sha, file_path, dep_name, CAST(line_no AS INTEGER) AS line, snip AS snippet FROM deps""")
 def q_dependencies(spark, sf_dir):
     d = dep.dependencies(_manifests(spark, sf_dir))
-    return d.select("repo_id", "file_path", "dep_name", F.col("line").cast("int"), "snippet")
+    return d.select("repo_id", "commit_sha", "file_path", "dep_name", F.col("line").cast("int"), "snippet")
 
 
 @register("typosquat", op.code_prefix(_MANIFESTS, _MAN_LINES, _NPM, _DEPS, _TYPO)
@@ -237,10 +237,16 @@ _TITLE_SQL = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{sec_title}'" for r, sec
     ("secret_aws", "AWS access key ID committed"), ("secret_jwt", "JSON Web Token committed"),
     ("secret_private_key", "Private key committed"), ("secret_stripe", "Payment API secret key committed"),
     ("secret_entropy", "High-entropy secret assigned in source")]) + " END"
-_SECRET_SELECT = (f"SELECT repo_id, file_path, CAST(line_no AS INTEGER) AS line_start, CAST(line_no AS INTEGER) AS line_end, "
+# the whole stripped line with every secret in it replaced
+_REDACTED = f"trim(ltext, {WS})"
+for _, _pat in _SIGS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pat}', '[redacted]', 'g')"
+_REDACTED = (f"regexp_replace({_REDACTED}, '(?i)(\\b[\\w.-]*(?:api[_-]?key|secret|token|password)[\\w.-]*\\s*[:=]\\s*[\"''])"
+             f"([^\"''\\s]{{16,}})([\"''])', '\\1[redacted]\\3', 'g')")
+_SECRET_SELECT = (f"SELECT repo_id, commit_sha, file_path, CAST(line_no AS INTEGER) AS line_start, CAST(line_no AS INTEGER) AS line_end, "
                   f"'secret_scan' AS detector, 'hardcoded_secret' AS category, {_SEV_SQL} AS severity, "
                   f"CAST({_CONF_SQL} AS DECIMAL(3,2)) AS confidence, {_TITLE_SQL} AS title, "
-                  f"left(replace(snip, m, '[redacted]'), 500) AS code_snippet FROM ")
+                  f"left({_REDACTED}, 500) AS code_snippet FROM ")
 
 
 @register("secret_signatures", op.code_prefix(_sig_cte()) + _SECRET_SELECT + "sig")
@@ -260,7 +266,7 @@ _GEN_RE = "(?i)\\b[\\w.-]*(?:api[_-]?key|secret|token|password)[\\w.-]*\\s*[:=]\
   SELECT g.*, (SELECT -sum((cnt / length(g.m)) * log2(cnt / length(g.m))) FROM (
       SELECT count(*) AS cnt FROM unnest(string_split(g.m, '')) t(ch) GROUP BY ch) c) AS entropy FROM gen g)""",
     """kept AS (SELECT * FROM ent e WHERE entropy >= 3.5 AND NOT EXISTS (
-  SELECT 1 FROM sig s WHERE s.repo_id = e.repo_id AND s.file_path = e.file_path AND s.line_no = e.line_no))""")
+  SELECT 1 FROM sig s WHERE s.repo_id = e.repo_id AND s.commit_sha = e.commit_sha AND s.file_path = e.file_path AND s.line_no = e.line_no))""")
     + _SECRET_SELECT + "kept")
 def q_secret_entropy(spark, sf_dir):
     _, el = corpus(spark, sf_dir)

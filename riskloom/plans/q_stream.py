@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from riskloom.operators.catalog import RULE_OUTPUT
 from riskloom.plans.registry import ORACLES, register
+from riskloom.session import ensure_checkpoint_dir
 from riskloom.sources import fixtures as fx
 from riskloom.streaming import incremental as inc
 
 STREAM_KEYS = ["config_debug", "config_cors", "js_dynamic_exec", "js_auth_bypass", "raw_ip_url", "raw_ip_socket",
                   "install_script", "secret_signatures", "secret_entropy", "js_prompt_injection",
-                  "env_committed", "isolated_domain"]
+                  "env_committed", "isolated_domain", "typosquat", "obscure_dependency"]
 
 
 def _stream_findings_oracle() -> str:
@@ -18,6 +21,11 @@ def _stream_findings_oracle() -> str:
     return f"SELECT DISTINCT * FROM ({body}) u"
 
 
+def _work_dir(spark, name: str) -> str:
+    """A folder of this run in the session's shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def _code_files_stream(spark):
     def build(docs_stream):
         return spark.sql(fx.CODE_FILES_TEMPLATE, documents=docs_stream.select("doc_id", "text"))
@@ -27,7 +35,8 @@ def _code_files_stream(spark):
 def register_all() -> None:
     @register("stream_findings", _stream_findings_oracle())
     def q_stream_findings(spark, sf_dir):
-        out = inc.stream_findings(spark, sf_dir, _code_files_stream(spark))
+        # the Python rules have no SQL form: tests hold the full stream to the batch operators
+        out = inc.stream_findings(spark, sf_dir, _code_files_stream(spark), _work_dir(spark, "findings"), python=False)
         return out.select(*RULE_OUTPUT).distinct()
 
     @register("stream_scan_status", ORACLES["remediation_status_current"])
@@ -37,7 +46,7 @@ def register_all() -> None:
                           "props STRING")
                   .option("pathGlobFilter", "events.parquet").load(sf_dir))
         stream = spark.sql(fx.REMEDIATION_EVENTS_TEMPLATE, events=events)
-        return inc.stream_status(spark, stream, "remediation_id")
+        return inc.stream_status(spark, stream, "remediation_id", _work_dir(spark, "status"))
 
 
 register_all()

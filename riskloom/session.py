@@ -48,7 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) do we create one under /tmp.
+    is. Only a local session (tests) without one gets a folder under /tmp; a
+    cluster session without one is an error, because a driver-local folder
+    would be invisible to the executors.
     """
     try:
         sc = spark.sparkContext
@@ -59,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -67,45 +71,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss).
 
-    The rows are persisted first so the checkpoint write does not recompute
-    the plan a second time after the eager count; the cache is released once
-    the checkpoint files exist.
+    The plan runs once, with the partitions it has: the write itself is the
+    only job of an eager checkpoint.
     """
-    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    # a union of many branches arrives with the sum of their partitions: fold it
-    # back to the shuffle width (sized for the data) without a shuffle
-    try:
-        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if df.rdd.getNumPartitions() > 2 * width:
-            df = df.coalesce(width)
-    except Exception:  # noqa: BLE001 - no RDD view in a remote session
-        pass
-    staged = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return staged.checkpoint(eager=True)
-    finally:
-        staged.unpersist()
 
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that arrived in fewer splits than the cluster has cores.
-
-    A cluster scan of a large table yields thousands of splits and this is a
-    no-op; a single-row-group test file yields one split, which would run every
-    regex detector in one task.
-    """
-    spark = df.sparkSession
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote session): leave the plan alone
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target)
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Repartition to the caller's ``partitions``; None leaves the input's splits."""
+    return df if partitions is None else df.repartition(partitions)
 
 
 # Rows handed to a Python worker at once by mapInArrow: rows are whole files

@@ -93,6 +93,17 @@ def eligible_files(files: DataFrame) -> DataFrame:
     return with_path_columns(out)
 
 
+def skipped_files(files: DataFrame) -> DataFrame:
+    """Files that the reference's limits keep from the detectors, with the first reason that holds."""
+    dtype = files.schema["content"].dataType
+    nul = _binary_has_nul(F.col("content")) if isinstance(dtype, T.BinaryType) else \
+        (F.instr(F.substring("content", 1, BINARY_SNIFF_BYTES), "\u0000") > 0)
+    reason = (F.when(~not_noise(F.col("file_path")), F.lit("noise_directory"))
+               .when(F.col("size_bytes") > MAX_TEXT_FILE_BYTES, F.lit("too_large"))
+               .when(nul, F.lit("binary")))
+    return files.select("repo_id", "commit_sha", "file_path", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def special_files(files: DataFrame) -> DataFrame:
     """The few files whose whole content the cross-file and JSON rules read:
     manifests, root .gitignore and env files (any size), with an ``eligible``
@@ -190,7 +201,7 @@ def language_histogram(eligible: DataFrame) -> DataFrame:
 
 
 # Fixed value: accepted repository URL shape.
-GH_URL = "^https://github\\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\\.git)?/?$"
+GH_URL = "^https://github\\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\\.git)?/?\\z"
 
 
 def project_import(urls: DataFrame, url_col: str = "url") -> DataFrame:

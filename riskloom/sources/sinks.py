@@ -1,21 +1,52 @@
-"""Sinks: the findings table (S12) and report text."""
+"""Sinks: tables whose rows are replaced by key (S12, streaming state)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
 
-def write_findings(findings: DataFrame, path: str, scan_date=None) -> None:
-    """Append-or-replace findings partitioned by scan date.
+SCAN = ["repo_id", "commit_sha"]
+BUCKETS = 64
 
-    Dynamic partition overwrite replaces only the partitions being written,
-    so re-running a day's scan is idempotent and never touches other days.
-    Rows are clustered by repository inside each partition for pruning.
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; None before the first write."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def replace_rows(rows: DataFrame, path: str, key: list[str], days: list[str] | None = None, order: list[str] | None = None,
+                 buckets: int = BUCKETS) -> None:
+    """Write ``rows``; every key value among them loses its earlier rows, all others keep theirs.
+
+    The table is partitioned by ``days`` and a hash bucket of the key, so there
+    is a bounded number of folders. Rows of other keys in the touched buckets
+    are carried over (through the shared checkpoint folder), then dynamic
+    partition overwrite swaps those buckets: repeating a write changes nothing.
+    Rows are range-partitioned, so one key with very many rows is written by
+    many tasks.
     """
+    days = list(days or [])
+    new = cut_lineage(rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+    old = read_table(rows.sparkSession, path)
+    if old is not None:
+        part = [*days, "bucket"]
+        kept = (old.join(new.select(*part).distinct(), part, "left_semi")
+                   .join(new.select(*days, *key).distinct(), [*days, *key], "left_anti"))
+        new = cut_lineage(new.unionByName(kept.select(*new.columns)))
+    cols = [*days, "bucket", *key, *(order or [])]
+    (new.repartitionByRange(*cols).sortWithinPartitions(*cols)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*days, "bucket").parquet(path))
+
+
+def write_findings(findings: DataFrame, path: str, scan_date=None, buckets: int = BUCKETS) -> None:
+    """Replace the given scans' findings of a day; other scans and days stay."""
     date = F.current_date() if scan_date is None else F.lit(scan_date).cast("date")
-    (findings.withColumn("scan_date", date)
-             .repartition("scan_date", "repo_id")
-             .sortWithinPartitions("repo_id", "file_path", "line_start")
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("scan_date").parquet(path))
+    replace_rows(findings.withColumn("scan_date", date), path, SCAN, ["scan_date"], ["file_path", "line_start"], buckets)

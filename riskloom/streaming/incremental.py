@@ -1,127 +1,79 @@
-"""Structured Streaming operators.
+"""Structured Streaming: findings of arriving files, current remediation status.
 
-T1 ``stream_findings``: files arrive as parquet rows; each micro-batch runs
-the row-local detectors (one text scan per batch) and writes the findings to
-``<out>/rows/epoch=<id>`` with overwrite, so a retried batch replaces its own
-output instead of duplicating it. Multi-file rules (env coverage, isolated
-domains) need the whole repository: each batch re-reads the repositories it
-touched and replaces their ``<out>/repos/repo_id=<r>`` partitions.
-
-T2 ``stream_status``: latest status per key as a streaming aggregation
-(Spark-managed state; ``max_by`` over (ts, event_id)).
-
-Checkpoint and output folders live under the session's shared checkpoint
-folder, never a machine-local path.
+Both sinks are tables keyed by what a micro-batch replaces (a scan, a
+remediation), so a retried batch repeats its own result. Output and checkpoint
+folders come from the caller; on a cluster they are shared folders.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.session import ensure_checkpoint_dir
-
+from riskloom.operators.catalog import FINDING_COLUMNS
+from riskloom.session import cut_lineage
+from riskloom.sources.sinks import SCAN, read_table, replace_rows
 
-def _work_dir(spark: SparkSession, name: str) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/stream-{name}-{uuid.uuid4().hex[:12]}"
 
-
-def row_local_findings(files: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """Detectors that need only the file itself (no cross-file state)."""
-    from riskloom.operators import config_rules as cr
-    from riskloom.operators import js_rules as js
-    from riskloom.operators import network_rules as net
-    from riskloom.operators import prompt_rules as pr
-    from riskloom.operators import secret_rules as sec
-    from riskloom.operators.textscan import text_hits
-    from riskloom.sources import files as src
-
-    el = src.eligible_files(files)
-    hits = text_hits(el) if hits is None else hits
-    parts = [cr.config_debug(el, hits), cr.config_cors(el, hits), js.js_dynamic_exec(el, hits),
-             js.js_auth_bypass(el, hits), net.raw_ip_url(el, net.url_refs(el, hits)), net.raw_ip_socket(el, hits),
-             net.install_script(el), sec.secret_findings(el, hits), pr.js_prompt_injection(el, hits)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def repo_level_findings(files: DataFrame) -> DataFrame:
-    """Detectors that need the whole repository: env-file coverage, isolated domains."""
-    from riskloom.operators import config_rules as cr
-    from riskloom.operators import network_rules as net
+def scan_findings(files: DataFrame, python: bool = True) -> DataFrame:
+    """Every detector over whole scans, with the size gate (the batch operators, unmerged)."""
+    from riskloom.operators import merge as mg
     from riskloom.sources import files as src
 
     el = src.eligible_files(files)
-    return cr.env_committed(el, files).unionByName(net.isolated_domain(el))
+    return (mg.all_findings(files, el) if python else mg.static_findings(files, el)).select(*FINDING_COLUMNS)
 
 
-def start_findings_stream(stream: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True,
-                          state_reader=None):
-    """Run the detectors per micro-batch into ``out_dir``.
+def start_findings_stream(stream: DataFrame, out_dir: str, checkpoint: str, state_reader=None, python: bool = True,
+                          trigger: dict | None = None):
+    """Keep ``out_dir`` equal to the findings of all scans seen.
 
-    Row-local findings go to ``<out>/rows/epoch=<id>`` (overwrite: a retried
-    batch replaces itself). When ``state_reader()`` returns the current full
-    file table, the repositories the batch touched are re-read from it and
-    their repository-level findings replace ``<out>/repos/repo_id=<r>``
-    (dynamic partition overwrite), so late files of a repository update its
-    multi-file results.
+    A micro-batch names the scans it touches. Their files are read from
+    ``state_reader(touched)``, the current file table cut down to those scans
+    (a table partitioned by scan prunes here); without it the batch itself is
+    taken for the whole scans. Their findings replace the earlier ones in a
+    table keyed by scan, so a late .gitignore removes findings and a retried
+    batch repeats its result. A scan without findings keeps one row with a null
+    detector, which is how its earlier findings disappear.
     """
-
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        from pyspark import StorageLevel
-
-        from riskloom.operators.textscan import text_hits
-        from riskloom.sources import files as src
-
-        # the batch's hit table feeds ten detectors: keep it for this epoch only
-        hits = text_hits(src.eligible_files(batch)).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            row_local_findings(batch, hits).write.mode("overwrite").parquet(f"{out_dir}/rows/epoch={epoch_id}")
-        finally:
-            hits.unpersist()
-        if state_reader is not None:
-            touched = batch.select("repo_id", "commit_sha").distinct()
-            state = state_reader().join(touched, ["repo_id", "commit_sha"], "left_semi")
-            (repo_level_findings(state).repartition("repo_id").write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{out_dir}/repos"))
+        touched = cut_lineage(batch.select(*SCAN).distinct())
+        files = batch if state_reader is None else state_reader(touched)
+        found = scan_findings(files.join(touched, SCAN, "left_semi"), python)
+        marks = touched.select(*[F.col(c) if c in SCAN else F.lit(None).cast(t).alias(c) for c, t in found.dtypes])
+        replace_rows(found.unionByName(marks), out_dir, SCAN)
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_stream_output(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Row-level and repository-level findings written by the stream."""
-    from riskloom.operators.catalog import FINDING_COLUMNS
-
-    rows = spark.read.parquet(f"{out_dir}/rows").select(*FINDING_COLUMNS)
-    try:
-        repos = spark.read.parquet(f"{out_dir}/repos").select(*FINDING_COLUMNS)
-    except Exception:  # noqa: BLE001 - no repository-level output yet
-        return rows
-    return rows.unionByName(repos)
-
-
-def stream_findings(spark: SparkSession, docs_dir: str, files_builder, docs_glob: str = "documents.parquet",
-                    docs_schema: str = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
-                    ) -> DataFrame:
-    """T1 end to end on a folder: stream, drain (availableNow), return the sink."""
-    work = _work_dir(spark, "findings")
-    stream = (spark.readStream.format("parquet").schema(docs_schema)
-              .option("pathGlobFilter", docs_glob).option("maxFilesPerTrigger", 1).load(docs_dir))
-
-    def state():
-        return files_builder(spark.read.format("parquet").schema(docs_schema)
-                             .option("pathGlobFilter", docs_glob).load(docs_dir))
-
-    q = start_findings_stream(files_builder(stream), f"{work}/out", f"{work}/ckpt", state_reader=state)
+    """Findings written by the stream (without the rows that only mark a scan as seen)."""
+    out = read_table(spark, out_dir)
+    if out is None:
+        raise FileNotFoundError(f"no batch has been written to {out_dir}")
+    return out.where(F.col("detector").isNotNull()).select(*FINDING_COLUMNS)
+
+
+def stream_findings(spark: SparkSession, docs_dir: str, files_builder, work_dir: str, docs_glob: str = "documents.parquet",
+                    docs_schema: str = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+                    max_files: int | None = None, python: bool = True) -> DataFrame:
+    """T1 end to end on a folder: stream, drain (availableNow), return the sink.
+
+    ``work_dir`` holds the output and the stream's checkpoint: a second call
+    with the same folder goes on where the first one stopped.
+    """
+    reader = spark.readStream.format("parquet").schema(docs_schema).option("pathGlobFilter", docs_glob)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+
+    def state(touched: DataFrame) -> DataFrame:
+        files = files_builder(spark.read.format("parquet").schema(docs_schema).option("pathGlobFilter", docs_glob).load(docs_dir))
+        return files.join(touched, SCAN, "left_semi")
+
+    q = start_findings_stream(files_builder(reader.load(docs_dir)), f"{work_dir}/out", f"{work_dir}/ckpt", state, python)
     q.awaitTermination()
-    return read_stream_output(spark, f"{work}/out")
+    return read_stream_output(spark, f"{work_dir}/out")
 
 
 def latest_status(events: DataFrame, key: str) -> DataFrame:
@@ -130,17 +82,13 @@ def latest_status(events: DataFrame, key: str) -> DataFrame:
                        F.max("ts").alias("updated_at"), F.count(F.lit(1)).alias("events")))
 
 
-def stream_status(spark: SparkSession, events_stream: DataFrame, key: str) -> DataFrame:
-    """Drain a stream of status events into a stateful aggregation and return its result."""
-    work = _work_dir(spark, "status")
-    out = f"{work}/out"
-
+def stream_status(spark: SparkSession, events_stream: DataFrame, key: str, work_dir: str) -> DataFrame:
+    """A stateful aggregation of status events; every micro-batch merges only its changed keys by key."""
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        # complete mode hands every epoch the full current state: overwrite
-        batch.write.mode("overwrite").parquet(out)
+        replace_rows(batch, f"{work_dir}/out", [key])
 
-    q = (latest_status(events_stream, key).writeStream.outputMode("complete")
-         .foreachBatch(write_batch).option("checkpointLocation", f"{work}/ckpt")
+    q = (latest_status(events_stream, key).writeStream.outputMode("update")
+         .foreachBatch(write_batch).option("checkpointLocation", f"{work_dir}/ckpt")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(f"{work_dir}/out").drop("bucket")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
-from riskloom.operators.scan import check_pattern, pattern_hits
+from conftest import pattern_hits
+from riskloom.operators.scan import check_pattern
 
 CASES = [
     "DEBUG = True\nx = 1\n  debug: true  \n",
@@ -86,12 +87,59 @@ def test_duration_and_error_text(spark):
     assert len(e.select(tx.error_text(F.col("k"), F.col("m"))).first()[0]) == 1000
 
 
-def test_findings_sink_is_idempotent(spark, tmp_path):
+def test_findings_sink_replaces_scans_and_keeps_others(spark, tmp_path):
     from riskloom.sources.sinks import write_findings
-    df = spark.createDataFrame([("r", "a.py", 1)], "repo_id string, file_path string, line_start int")
+    schema = "repo_id string, commit_sha string, file_path string, line_start int"
     out = str(tmp_path / "findings")
-    write_findings(df, out, "2024-01-01")
-    write_findings(df, out, "2024-01-01")
-    write_findings(df, out, "2024-01-02")
-    got = sorted((str(r.scan_date), r.repo_id) for r in spark.read.parquet(out).collect())
-    assert got == [("2024-01-01", "r"), ("2024-01-02", "r")]
+
+    def write(day, *rows):
+        write_findings(spark.createDataFrame(rows, schema), out, day, buckets=1)
+
+    write("2024-01-01", ("a", "c1", "a.py", 1), ("a", "c1", "a.py", 2))
+    write("2024-01-01", ("b", "c1", "b.py", 1))
+    write("2024-01-02", ("a", "c1", "a.py", 1))
+    write("2024-01-01", ("a", "c1", "a.py", 3), ("a", "c2", "a.py", 9))
+    got = sorted((str(r.scan_date), r.repo_id, r.commit_sha, r.line_start) for r in spark.read.parquet(out).collect())
+    assert got == [("2024-01-01", "a", "c1", 3), ("2024-01-01", "a", "c2", 9), ("2024-01-01", "b", "c1", 1), ("2024-01-02", "a", "c1", 1)]
+
+
+def test_cut_lineage_keeps_partitions_and_null_groups_are_numbered(spark):
+    from riskloom.operators.findings import row_number_skew_safe
+    from riskloom.session import cut_lineage
+    assert cut_lineage(spark.range(0, 640, 1, 64)).rdd.getNumPartitions() == 64
+    rows = spark.createDataFrame([("a", 1), (None, 2), (None, 1), ("a", 3)], "g string, v int")
+    got = {(r.g, r.v): r.position for r in row_number_skew_safe(rows, ["g"], ["v"]).collect()}
+    assert got == {("a", 1): 1, ("a", 3): 2, (None, 1): 1, (None, 2): 2}
+
+
+def test_repository_url_must_match_whole(spark):
+    from riskloom.sources.files import project_import
+    urls = ["https://github.com/a/b", "https://github.com/a/b.git", "https://github.com/a/b/", "https://github.com/a/b\n", "https://github.com/../b"]
+    got = {r.url: r.valid for r in project_import(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+    assert [got[u] for u in urls] == [True, True, True, False, False]
+
+
+def test_snippets_are_linear_in_matches(spark, make_files):
+    import time
+
+    from riskloom.operators.textscan import text_hits
+    from riskloom.sources.files import eligible_files
+
+    def seconds(n):
+        text = "".join(f"see https://host{i}.example.com/a/b/c\n" for i in range(n))
+        el = eligible_files(make_files({"u": {"a.md": text}}))
+        t0 = time.time()
+        assert text_hits(el, ["url"]).agg(F.count("snippet")).collect()[0][0] == n
+        return time.time() - t0
+
+    seconds(100)
+    assert seconds(16_000) < 12 * max(0.5, seconds(2_000))
+
+
+def test_redaction_reaches_the_cut(spark, make_files):
+    from riskloom.operators.secret_rules import secret_signatures
+    from riskloom.sources.files import eligible_files
+    key, other = "AKIA" + "A" * 16, "AKIA" + "B" * 16
+    line = "x" * 480 + f" {key} {other}"
+    rows = secret_signatures(eligible_files(make_files({"r": {"k.txt": line}}))).collect()
+    assert len(rows) == 2 and not any("AKIA" in r.code_snippet for r in rows)
