@@ -293,13 +293,13 @@ def detector_warnings(files: DataFrame, facts: DataFrame) -> DataFrame:
     detectors are unaffected: a bad file only drops itself."""
     from riskloom.sources import files as src
 
-    errs = parse_errors(facts).select("repo_id", "file_path", F.lit("python_ast").alias("detector"))
+    errs = parse_errors(facts).select("repo_id", "commit_sha", "file_path", F.lit("python_ast").alias("detector"))
     pkg = src.manifest_files(files).where(F.col("name") == "package.json")
     v = F.try_parse_json(F.col("content"))
     bad = (pkg.where(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"))
-              .select("repo_id", "file_path",
+              .select("repo_id", "commit_sha", "file_path",
                       F.explode(F.array(F.lit("dependency_audit"), F.lit("backdoor_heuristics"))).alias("detector")))
-    return (errs.unionByName(bad).groupBy("repo_id", "detector")
+    return (errs.unionByName(bad).groupBy("repo_id", "commit_sha", "detector")
                 .agg(F.count(F.lit(1)).alias("files"), F.min("file_path").alias("first_file")))
 
 

@@ -119,6 +119,18 @@ def remediation_outcome(proposals: DataFrame) -> DataFrame:
     return proposals.withColumn("status", status)
 
 
+def dq_table_violations(reports: DataFrame, remediations: DataFrame, scans: DataFrame) -> DataFrame:
+    """M16, the other stored tables: (table, id, reason) of rows outside their allowed values."""
+    def broken(df: DataFrame, table: str, key: str, reason: str, ok: Column) -> DataFrame:
+        return df.where(~F.coalesce(ok, F.lit(False))).select(
+            F.lit(table).alias("table"), F.col(key).cast("string").alias("id"), F.lit(reason).alias("reason"))
+
+    return (broken(reports, "reports", "scan_id", "score_out_of_range", F.col("overall_risk_score").between(0, 100))
+            .unionByName(broken(remediations, "remediations", "remediation_id", "unknown_tier", F.col("tier").isin(1, 2, 3)))
+            .unionByName(broken(remediations, "remediations", "remediation_id", "unknown_status", F.col("status").isin(REMEDIATION_STATUSES)))
+            .unionByName(broken(scans, "scans", "scan_id", "unknown_status", F.col("status").isin(SCAN_STATUSES))))
+
+
 def dq_violations(findings: DataFrame) -> DataFrame:
     """Rows breaking the stored-table checks, with a reason."""
     from riskloom.operators.catalog import SEVERITIES

@@ -195,6 +195,7 @@ def report_lines(reports: DataFrame, ranked: DataFrame, recs: DataFrame, scan_co
 
 
 def write_markdown(lines: DataFrame, path: str, scan_col: str = "scan_id") -> None:
-    """Text sink: one folder per scan, lines in report order."""
-    (lines.repartition(scan_col).sortWithinPartitions(scan_col, "section", "sub", "n")
-          .select(scan_col, "text").write.mode("overwrite").partitionBy(scan_col).text(path))
+    """Report sink: lines in report order, range-partitioned, so a scan with very many findings spans many files
+    and the number of files follows the data, not the number of scans."""
+    order = [scan_col, "section", "sub", "n"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)

@@ -23,13 +23,17 @@ _WEIGHT_SQL = ("CASE severity WHEN 'critical' THEN 35 WHEN 'high' THEN 18 WHEN '
 CORPUS_TIE = ["file_path", "_det", "line_start", "title", "code_snippet"]
 
 
-def _static_union_sql() -> str:
+PYTHON_KEYS = ["py_dynamic_exec", "py_shell_exec", "py_auth_bypass", "model_pickle", "model_torch", "model_joblib",
+               "py_prompt_injection"]
+
+
+def _union_sql(keys: list[str]) -> str:
     cols = ", ".join(RULE_OUTPUT)
-    return "\nUNION ALL\n".join(f"SELECT {cols} FROM ({ORACLES[k]}) q_{i}" for i, k in enumerate(STATIC_KEYS))
+    return "\nUNION ALL\n".join(f"SELECT {cols} FROM ({ORACLES[k]}) q_{i}" for i, k in enumerate(keys))
 
 
-def _merged_sql() -> str:
-    return f"""WITH u AS ({_static_union_sql()}),
+def _merged_sql(keys: list[str] | None = None) -> str:
+    return f"""WITH u AS ({_union_sql(keys or STATIC_KEYS)}),
 merged AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY repo_id, commit_sha, category, file_path, line_start, title
@@ -44,14 +48,14 @@ def _merged(spark, sf_dir):
     return files, el, mg.merge_findings(mg.static_findings(files, el, rejected=rejected)), rejected
 
 
-def static_merged_oracle() -> str:
-    return _merged_sql() + "SELECT * FROM merged"
+def merged_oracle(keys: list[str] | None = None) -> str:
+    return _merged_sql(keys) + "SELECT * FROM merged"
 
 
-def scan_reports_oracle() -> str:
+def scan_reports_oracle(keys: list[str] | None = None) -> str:
     from riskloom.plans import oracle_parts as op
     inv = op.code_prefix().rstrip() + "\nSELECT repo_id, commit_sha, count(*) AS files_scanned FROM eligible GROUP BY repo_id, commit_sha"
-    return _merged_sql() + f""",
+    return _merged_sql(keys) + f""",
 inv AS ({inv}),
 agg AS (
   SELECT repo_id, commit_sha, CAST(count_if(severity = 'critical') AS BIGINT) AS critical,
@@ -111,7 +115,7 @@ def split_scan(df):
 
 
 def register_all() -> None:
-    @register("static_findings", static_merged_oracle())
+    @register("static_findings", merged_oracle())
     def q_static_findings(spark, sf_dir):
         _, _, merged, _ = _merged(spark, sf_dir)
         return rule_out(merged)
@@ -121,12 +125,12 @@ def register_all() -> None:
         files, el, merged, rejected = _merged(spark, sf_dir)
         return _reports(merged, el, rejected)
 
-    @register("all_findings")
+    @register("all_findings", merged_oracle(STATIC_KEYS + PYTHON_KEYS))
     def q_all_findings(spark, sf_dir):
         files, el = corpus(spark, sf_dir)
         return rule_out(mg.merge_findings(mg.all_findings(files, el)))
 
-    @register("scan_reports")
+    @register("scan_reports", scan_reports_oracle(STATIC_KEYS + PYTHON_KEYS))
     def q_scan_reports(spark, sf_dir):
         files, el = corpus(spark, sf_dir)
         rejected = mg.rejected_repos(files)
@@ -215,6 +219,7 @@ register_context()
 def register_remediation_views() -> None:
     from riskloom.operators import fixes as fx_
     from riskloom.operators import remediate as rem
+    from riskloom.plans import oracle_parts as op
     from riskloom.session import cut_lineage
 
     def _outcomes(spark, sf_dir):
@@ -244,14 +249,21 @@ def register_remediation_views() -> None:
         return joined.select(*RULE_OUTPUT, "description", "fix_suggestion",
                                                        "remediation_status", "remediation_tier")
 
-    @register("approvable")
+    # fixed values: categories whose fixes need approval
+    tier_two = op.sql_in(["hardcoded_auth_bypass", "auth_bypass", "obfuscated_dynamic_execution", "obfuscated_code",
+                          "suspicious_dynamic_execution"])
+
+    @register("approvable", _merged_sql(STATIC_KEYS + PYTHON_KEYS) + f"""
+SELECT repo_id, commit_sha, file_path, line_start, title, 2 AS tier, 'pending_approval' AS status,
+       'riskloom/' || repo_id || '/' || md5(concat_ws('|', commit_sha, file_path, CAST(line_start AS VARCHAR), title)) AS branch
+FROM merged WHERE category IN {tier_two}""")
     def q_approvable(spark, sf_dir):
         """Tier-2 proposals waiting for approval, with their branch name."""
         _, outcomes = _outcomes(spark, sf_dir)
         pending = rem.approvable(outcomes)
         return pending.select("repo_id", "commit_sha", "file_path", "line_start", "title", "tier", "status",
                               rem.branch_name("riskloom", F.col("repo_id"),
-                                              F.xxhash64("commit_sha", "file_path", "line_start", "title")).alias("branch"))
+                                              F.md5(F.concat_ws("|", "commit_sha", "file_path", F.col("line_start").cast("string"), "title"))).alias("branch"))
 
 
 register_remediation_views()

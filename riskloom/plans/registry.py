@@ -1,9 +1,8 @@
 """Query registry: key -> (Spark builder, DuckDB oracle SQL or None).
 
 Every builder takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
-driver tables (no sampling, no row caps). Keys without an oracle are the
-non-SQL-expressible operators (Python AST facts, streaming); tests check them
-against hand-computed results on small fixtures.
+driver tables (no sampling, no row caps). Keys without an oracle are checked
+by tests against hand-computed results on small fixtures.
 """
 
 from __future__ import annotations

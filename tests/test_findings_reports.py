@@ -142,3 +142,39 @@ def test_library_views(spark):
         .select(rem.failure_reason(F.parse_json("j")).alias("r")).first().r
     assert v == "boom"
     assert spark.range(1).select(rpt.scan_progress(F.lit("static_scan")).alias("p")).first().p == 40
+
+
+def test_stored_table_checks(spark):
+    reports = spark.createDataFrame([(1, Decimal("100.0")), (2, Decimal("100.1")), (3, None)], "scan_id BIGINT, overall_risk_score DECIMAL(4,1)")
+    rems = spark.createDataFrame([(1, 1, "approved"), (2, 4, "failed"), (3, 2, "lost")], "remediation_id BIGINT, tier INT, status STRING")
+    scans = spark.createDataFrame([(1, "complete"), (2, "paused")], "scan_id BIGINT, status STRING")
+    got = sorted((r.table, r.id, r.reason) for r in rem.dq_table_violations(reports, rems, scans).collect())
+    assert got == [("remediations", "2", "unknown_tier"), ("remediations", "3", "unknown_status"), ("reports", "2", "score_out_of_range"),
+                   ("reports", "3", "score_out_of_range"), ("scans", "2", "unknown_status")]
+
+
+def test_two_commits_of_a_repository_are_two_scans(spark, make_files):
+    from riskloom.operators import merge as mg
+    from riskloom.plans.q_corpus import _reports
+    from riskloom.sources.files import eligible_files
+    one = make_files({"r": {"a.py": "DEBUG = True\n", "b.py": "x = 1\n"}})
+    files = one.union(make_files({"r": {"a.py": "x = 1\n"}}).withColumn("commit_sha", F.lit("other")))
+    el = eligible_files(files)
+    rows = {(r.repo_id, r.commit_sha): (r.files_scanned, r.total) for r in _reports(mg.merge_findings(mg.static_findings(files, el)), el).collect()}
+    assert rows == {("r", "sha-r"): (2, 1), ("r", "other"): (1, 0)}
+
+
+def test_a_valid_verdict_wins_over_other_responses(spark):
+    good = '{"severity":"high","confidence":0.9,"explanation":"e","fix_suggestion":"f","exploitability_notes":"n"}'
+    worse = good.replace("high", "low")
+    responses = spark.createDataFrame([(1, "Sorry, retry"), (1, worse), (1, good), (2, "no")], "finding_id BIGINT, output_text STRING")
+    got = {r.finding_id: r.ai_severity for r in en.best_verdicts(responses).collect()}
+    assert got == {1: "high"}
+
+
+def test_last_address_of_a_line_stays(spark, make_files):
+    from riskloom.operators import network_rules as net
+    from riskloom.sources.files import eligible_files
+    el = eligible_files(make_files({"r": {"a.py": "a('http://9.9.9.9/x'); b('http://10.0.0.1/y')\n"}}))
+    got = net.backdoor_dedupe(net.raw_ip_url(el)).collect()
+    assert len(got) == 1 and "10.0.0.1" in got[0].description
