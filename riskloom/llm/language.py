@@ -1,13 +1,14 @@
 """Language spans of mixed texts (operator 6).
 
 Letters are grouped into words; a word's script (Unicode ranges) narrows the languages it can be: those
-that showed the script in training. Each candidate scores the word by its letter trigrams and bigrams
-(log probabilities over ``BUCKETS`` hashed n-grams). Viterbi over the words, with a penalty for every
+that showed the script in training. Each candidate scores the word by its letter trigrams, word ends included
+(log probabilities over ``BUCKETS`` hashed trigrams). Viterbi over the words, with a penalty for every
 change of language, gives the spans; the language with the most letters is the text's.
 
-A text in which no run of words could pay for one switch is settled without the recursion: if the best
-sum of (best language - leading language) over any run of words is below the penalty, the constant path
-is optimal. That is an exact test, so it changes no result.
+A text in which no run of words could pay for a switch is settled without the recursion: let G be the best
+sum, over all other languages and runs of words, of (that language - leading language). A path of m + 1
+spans gains at most G in each span and pays m penalties, so with 2 G < penalty the constant path is best
+(and a constant path of another language is worse by the choice of the leading one). An exact test.
 
 Learned from the text and lang of about ``FIT_ROWS`` rows (hash of the id; a documented bound) that are
 not held out. lang, source and doc_id are never inputs of a prediction. Null texts and texts without a
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from riskloom.llm import textvec as tv
 from riskloom.llm.common import held_out, prepare
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 FIT_ROWS = 20_000
-PENALTY = 12.0
+PENALTY = 20.0
 LEAST_SHARE = 0.005
 
 # fixed values: first and last code points of scripts
@@ -56,23 +57,23 @@ def script_table() -> np.ndarray:
 
 
 def letter_words(texts: list) -> tuple[np.ndarray, ...]:
-    """Of a batch: n-gram buckets per letter (two columns), word starts (in letters), word's text, script and size."""
+    """Of a batch: trigram bucket per letter, word starts (in letters), the word's text, script and size."""
     low = [t.lower() if isinstance(t, str) else "" for t in texts]
     code = np.frombuffer("\x00".join(low + [""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    script = script_table()[np.minimum(code, 0x10FFFF)]
-    letter = script > 0
-    prev, nxt = np.zeros(len(code), np.uint64), np.zeros(len(code), np.uint64)
-    c = np.where(letter, code, 0).astype(np.uint64)
-    prev[1:], nxt[:-1] = c[:-1], c[1:]
-    at = np.flatnonzero(letter)
-    two = tv.mix(c[at] * tv.U(0x100000001B3) + prev[at] + tv.U(1 << 60))
-    three = tv.mix(two * tv.U(0x9E3779B97F4A7C15) + nxt[at])
-    mask = tv.U(BUCKETS - 1)
+    script = script_table()[code]
+    at = np.flatnonzero(script)
+    c = np.where(script > 0, code, np.uint32(0))
+    h = c * np.uint32(0x9E3779B1)
+    h[1:] ^= c[:-1] * np.uint32(0x85EBCA77)
+    h[:-1] ^= c[1:] * np.uint32(0xC2B2AE3D)
+    h = h[at]
+    h ^= h >> np.uint32(15)
+    three = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
     first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
     begin = np.cumsum([0] + [len(t) + 1 for t in low])
     which = np.searchsorted(begin, at[first], side="right") - 1
     sizes = np.diff(np.append(first, len(at)))
-    return (two & mask).astype(np.int64), (three & mask).astype(np.int64), first, which, script[at[first]], sizes
+    return three, first, which, script[at[first]], sizes
 
 
 def batches_of(texts: list) -> Iterator[tuple[int, int]]:
@@ -92,37 +93,37 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         found: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
-                total = found.setdefault(lang, np.zeros(2 * BUCKETS + len(NAMES), np.int64))
+                total = found.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
                 texts = part["text"].tolist()
                 for lo, hi in batches_of(texts):
-                    two, three, _, _, script, sizes = letter_words(texts[lo:hi])
-                    total[:BUCKETS] += np.bincount(two, minlength=BUCKETS)
-                    total[BUCKETS:2 * BUCKETS] += np.bincount(three, minlength=BUCKETS)
-                    total[2 * BUCKETS:] += np.bincount(script, sizes, len(NAMES)).astype(np.int64)
+                    three, _, _, script, sizes = letter_words(texts[lo:hi])
+                    total[:BUCKETS] += np.bincount(three, minlength=BUCKETS)
+                    total[BUCKETS:] += np.bincount(script, sizes, len(NAMES)).astype(np.int64)
         for lang, total in found.items():
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "slot": at, "n": total[at]})
 
-    # languages * (2 * BUCKETS + scripts) rows at most, whatever the corpus size
+    # languages * (BUCKETS + scripts) rows at most, whatever the corpus size
     got = rows.filter(share).select("text", "lang").mapInPandas(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(
         F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
-    count = np.zeros((2 * BUCKETS + len(NAMES), len(langs)))
+    count = np.zeros((BUCKETS + len(NAMES), len(langs)))
     number = {x: i for i, x in enumerate(langs)}
     count[got["slot"].to_numpy(), got["lang"].map(number).to_numpy(np.int64)] = got["n"].to_numpy()
-    two, three, script = count[:BUCKETS], count[BUCKETS:2 * BUCKETS], count[2 * BUCKETS:]
-    logs = [np.log((x + 0.3) / (x.sum(axis=0) + 0.3 * BUCKETS)) if langs else x for x in (two, three)]
+    three, script = count[:BUCKETS], count[BUCKETS:]
+    logs = np.log((three + 0.3) / (three.sum(axis=0) + 0.3 * BUCKETS)) if langs else three
     shown = script / np.maximum(1, script.sum(axis=0)) >= LEAST_SHARE
     shown[~shown.any(axis=1)] = True
-    return {"langs": langs, "two": logs[0].astype(np.float32), "three": logs[1].astype(np.float32), "shown": shown}
+    return {"langs": langs, "three": np.ascontiguousarray(logs.T, np.float32), "shown": shown}
 
 
 def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of each word of one text (rows of ``s``) under a penalty per change."""
     n, k = s.shape
     lead = int(s.sum(axis=0).argmax())
-    run = np.cumsum(s.max(axis=1) - s[:, lead])
-    if (run - np.minimum.accumulate(np.append(0.0, run[:-1]))).max() < penalty:
+    run = np.zeros((n + 1, k))
+    np.cumsum(s - s[:, lead:lead + 1], axis=0, out=run[1:])
+    if 2 * (run[1:] - np.minimum.accumulate(run[:-1], axis=0)).max() < penalty:
         return np.full(n, lead)
     back = np.empty((n, k), np.int16)
     stay = np.arange(k)
@@ -153,11 +154,11 @@ def spans(docs: DataFrame, model: dict, penalty: float = PENALTY) -> DataFrame:
             texts = pdf["text"].tolist()
             pred, score, part = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             for lo, hi in batches_of(texts) if langs else ():
-                two, three, first, which, script, sizes = letter_words(texts[lo:hi])
+                three, first, which, script, sizes = letter_words(texts[lo:hi])
                 if not len(first):
                     continue
-                s = np.add.reduceat(m["two"][two] + m["three"][three], first, axis=0)
-                s = np.where(m["shown"][script], s, -1e6).astype(float)
+                s = np.stack([np.add.reduceat(log[three], first) for log in m["three"]], axis=1).astype(float)
+                s = np.where(m["shown"][script], s, -1e6)
                 at = np.searchsorted(which, np.arange(hi - lo + 1))
                 for i in range(hi - lo):
                     a, b = at[i], at[i + 1]
