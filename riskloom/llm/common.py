@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.session import ensure_checkpoint_dir, ship_package_code
 
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:

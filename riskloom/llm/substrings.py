@@ -8,8 +8,10 @@ A byte is removed if a 400-byte string that covers it also starts anywhere else,
    with a hash of their context; nothing else of the texts moves.
 2. Anchors that occur once are dropped (nothing they anchor repeats). Equal contexts are one context with a
    count: each of their strings repeats, so they are removed whole; copies of any number cost one row.
-3. Where an anchor has different contexts, one text of each is cut out, sorted into shards by anchor, and a
-   suffix array (induced sorting) with permuted common prefixes finds the strings that repeat.
+3. Where an anchor has different contexts, one text of each is cut out and sorted into shards by anchor. A
+   context is first trimmed to what some other context of its anchor can share with it (sorted left and right
+   sides bound the reach); equal trimmed contexts are one with a count. A suffix array (induced sorting) with
+   permuted common prefixes over the shard then finds the strings that repeat.
 4. An anchor with more than ``GROUP_CONTEXTS`` different contexts (a passage that very many different texts
    share) is not put into one shard: its strings are counted one by one by an aggregation, with the same result.
 5. Removed ranges are merged per distinct text; a second pass cuts them out.
@@ -34,7 +36,8 @@ from riskloom.llm.suffix import common_prefixes, suffix_array
 
 SPAN = 400
 GRAM = 128
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
+CONTEXT = ["h", "text_key", "n", "lo", "a", "data"]
 GROUP_CONTEXTS = 8192
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -128,86 +131,151 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame, places: DataFrame, span: int, gram: int) -> DataFrame:
-    """Cut out the context of each place (h, text_key, pos, n): adds lo and the bytes."""
+    """Cut out the context of each place (h, text_key, pos, n): adds where it starts (lo), the anchor in it (a) and the bytes."""
     reach = span - gram
     wanted = cut(places.groupBy("text_key").agg(F.collect_set(F.struct("h", "pos", "n")).alias("at")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            h, key, n, lo, data = [], [], [], [], []
+            rows = []
             for k, t, at in zip(pdf["text_key"], pdf["text"], pdf["at"]):
                 for x in at:
-                    a = max(0, x["pos"] - reach)
-                    h.append(x["h"]), key.append(k), n.append(x["n"]), lo.append(a), data.append(t[a:x["pos"] + span])
-                    if len(h) == 4096:
-                        yield pd.DataFrame({"h": h, "text_key": key, "n": n, "lo": lo, "data": data})
-                        h, key, n, lo, data = [], [], [], [], []
-            yield pd.DataFrame({"h": h, "text_key": key, "n": n, "lo": lo, "data": data})
+                    lo = max(0, x["pos"] - reach)
+                    rows.append((x["h"], k, x["n"], lo, x["pos"] - lo, t[lo:x["pos"] + span]))
+                    if len(rows) == 4096:
+                        yield pd.DataFrame(rows, columns=CONTEXT)
+                        rows = []
+            yield pd.DataFrame(rows, columns=CONTEXT)
 
     got = texts_of(docs, wanted)
-    return got.select("text_key", "text", "at").mapInPandas(run, "h long, text_key binary, n long, lo long, data binary")
+    return got.select("text_key", "text", "at").mapInPandas(run, "h long, text_key binary, n long, lo long, a int, data binary")
+
+
+def _common(x: bytes, y: bytes) -> int:
+    """Length of the common prefix."""
+    lo, hi = 0, min(len(x), len(y))
+    if x[:hi] == y[:hi]:
+        return hi
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if x[lo:mid] == y[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def _reach(sides: list[bytes]) -> list[int]:
+    """For each string the longest prefix it shares with any other: its neighbours in sorted order decide."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    both = [0, *(_common(sides[i], sides[j]) for i, j in zip(order, order[1:])), 0]
+    out = [0] * len(sides)
+    for i, p, q in zip(order, both, both[1:]):
+        out[i] = max(p, q)
+    return out
+
+
+def trim(h: np.ndarray, at: list[int], n: list[int], data: list[bytes], span: int, gram: int) -> tuple[list, list, list, list, list]:
+    """Contexts (rows sorted by anchor) cut to what another context of the anchor can share.
+
+    Returns (row, start in the context, bytes, count) of each different trimmed context and, per input row, which
+    of them it is (-1: no string of it can repeat).
+    """
+    rows, starts, parts, counts = [], [], [], []
+    of = [-1] * len(data)
+    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else []
+    for lo, hi in zip(edge, edge[1:]):
+        if hi - lo < 2 and n[lo] < 2:
+            continue
+        left = _reach([data[i][at[i] - 1::-1] if at[i] else b"" for i in range(lo, hi)])
+        right = _reach([data[i][at[i] + gram:] for i in range(lo, hi)])
+        seen: dict[tuple[int, bytes], int] = {}
+        for i, p, q in zip(range(lo, hi), left, right):
+            if p + gram + q < span:
+                continue
+            part = data[i][at[i] - p:at[i] + gram + q]
+            x = seen.get((p, part))
+            if x is None:
+                x = seen[p, part] = len(rows)
+                rows.append(i), starts.append(at[i] - p), parts.append(part), counts.append(0)
+            counts[x] += n[i]
+            of[i] = x
+    return rows, starts, parts, counts, of
 
 
 def shard_repeats(keys: list[bytes], lo: np.ndarray, n: np.ndarray, data: list[bytes], span: int) -> tuple[list, list, list]:
-    """Ranges (text_key, lo, hi) of one shard's contexts that strings of ``span`` bytes repeating in it cover."""
+    """Ranges (context, from, to) of one shard's contexts that strings of ``span`` bytes repeating in it cover."""
+    if not data:
+        return [], [], []
     sizes = np.array([len(d) for d in data], np.int64)
     raw = np.frombuffer(b"\x00".join(data) + b"\x00", np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    owner = np.repeat(np.arange(len(data)), sizes + 1)
-    inner = np.arange(len(raw)) - begin[owner]
-    rest = sizes[owner] - inner
+    owner = np.repeat(np.arange(len(data), dtype=np.int32), sizes + 1)
+    inner = np.arange(len(raw), dtype=np.int32) - begin.astype(np.int32)[owner]
+    rest = sizes.astype(np.int32)[owner] - inner
     t = raw.astype(np.uint16) + 2
     t[begin + sizes] = 1
     sa = suffix_array(np.append(t, 0), 258)[1:]
     lcp = common_prefixes(raw, sa, rest, span)
     sa = sa[rest[sa] >= span]
-    # a class: neighbours in suffix order that share the whole string
-    cls = np.cumsum(lcp[sa] < span)
-    at, count = np.unique(cls, return_index=True, return_counts=True)[1:]
-    at, count = at[count > 1], count[count > 1]
-    if not len(at):
+    if not len(sa):
         return [], [], []
-    which = np.repeat(np.arange(len(at)), count)
-    rows = sa[np.repeat(at - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+    # a class: neighbours in suffix order that share the whole string
+    new = lcp[sa] < span
+    new[0] = True
+    edge, which = np.flatnonzero(new), np.cumsum(new) - 1
     text_no = pd.factorize(pd.Series(keys))[0]
-    place = text_no[owner[rows]].astype(np.int64) << 40 | lo[owner[rows]] + inner[rows]
-    edge = np.concatenate([[0], np.cumsum(count)[:-1]])
+    place = text_no[owner[sa]].astype(np.int64) << 40 | lo[owner[sa]] + inner[sa]
     # the same place seen from two contexts is one occurrence; a context that stands for several is several
-    repeats = (np.minimum.reduceat(place, edge) != np.maximum.reduceat(place, edge)) | (np.maximum.reduceat(n[owner[rows]], edge) > 1)
-    start = np.sort(rows[repeats[which]])
+    repeats = (np.minimum.reduceat(place, edge) != np.maximum.reduceat(place, edge)) | (np.maximum.reduceat(n[owner[sa]], edge) > 1)
+    start = np.sort(sa[repeats[which]])
     if not len(start):
         return [], [], []
     own = owner[start]
     new = np.flatnonzero(np.concatenate([[True], (np.diff(start) > span) | (np.diff(own) != 0)]))
     last = np.append(new[1:], len(start)) - 1
-    return ([keys[i] for i in own[new]], (lo[own[new]] + inner[start[new]]).tolist(), (lo[own[new]] + inner[start[last]] + span).tolist())
+    return own[new].tolist(), inner[start[new]].tolist(), (inner[start[last]] + span).tolist()
 
 
-def shard_spans(rows: DataFrame, span: int, shard_bytes: int) -> DataFrame:
+def shard_spans(rows: DataFrame, span: int, gram: int, shard_bytes: int) -> DataFrame:
     """Repeated ranges from suffix arrays over shards of whole anchor groups."""
+    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, lo = pdf["text_key"].to_numpy(), pdf["lo"].to_numpy(np.int64)
+        row, start, data, count, of = trim(pdf["h"].to_numpy(np.int64), pdf["a"].tolist(), pdf["n"].tolist(), pdf["data"].tolist(), span, gram)
+        row, start = np.array(row, np.int64), np.array(start, np.int64)
+        found: dict[int, list] = {}
+        count, group = np.array(count, np.int64), pdf["h"].to_numpy(np.int64)[row]
+        # whole groups to each suffix array, near shard_bytes at a time
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+        for p, q in tv.slices([int(total[b] - total[a]) for a, b in zip(edge, np.append(edge[1:], len(group)))], shard_bytes):
+            a, b = edge[p], edge[q] if q < len(edge) else len(group)
+            for x, i, j in zip(*shard_repeats([keys[r] for r in row[a:b]], (lo[row] + start)[a:b], count[a:b], data[a:b], span)):
+                found.setdefault(a + x, []).append((i, j))
+        # the anchor's place in the trimmed context puts the ranges into every context it stands for
+        anchor = pdf["a"].to_numpy(np.int64)
+        before = anchor[row] - start
+        out = [(keys[i], int(lo[i] + anchor[i] - before[x] + a), int(lo[i] + anchor[i] - before[x] + b))
+               for i, x in enumerate(of) if x >= 0 for a, b in found.get(x, ())]
+        return pd.DataFrame(out, columns=["text_key", "lo", "hi"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
-
-        def flush(parts):
-            pdf = pd.concat(parts)
-            k, a, b = shard_repeats(pdf["text_key"].tolist(), pdf["lo"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), pdf["data"].tolist(), span)
-            return pd.DataFrame({"text_key": k, "lo": a, "hi": b})
-
         for pdf in batches:
             held.append(pdf)
             size += sum(map(len, pdf["data"]))
-            if size >= shard_bytes:
+            if size >= 2 * shard_bytes:
                 whole = pd.concat(held)
                 open_group = whole["h"] == whole["h"].iloc[-1]
                 if not open_group.all():  # the last group may go on in the next batch
-                    yield flush([whole[~open_group]])
+                    yield shard(whole[~open_group])
                     held = [whole[open_group]]
                     size = sum(map(len, held[0]["data"]))
         if held:
-            yield flush(held)
+            yield shard(pd.concat(held))
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "h").sortWithinPartitions("h").select("h", "text_key", "n", "lo", "data").mapInPandas(
+    return rows.repartition(n, "h").sortWithinPartitions("h").select("h", "text_key", "n", "lo", "a", "data").mapInPandas(
         run, "text_key binary, lo long, hi long")
 
 
@@ -244,7 +312,7 @@ def repeated_ranges(docs: DataFrame, seen: DataFrame, span: int, gram: int, shar
     crowded = cut(differ.groupBy("h").count().filter(F.col("count") > group_contexts).select("h", F.lit(True).alias("crowded")))
     found = whole.distinct()
     cuts = cut(contexts(docs, differ, span, gram).join(crowded, "h", "left"))
-    found = found.union(shard_spans(cuts.filter("crowded IS NULL"), span, shard_bytes))
+    found = found.union(shard_spans(cuts.filter("crowded IS NULL"), span, gram, shard_bytes))
     if crowded.limit(1).count():
         found = found.union(counted_spans(cuts.filter("crowded"), span))
 

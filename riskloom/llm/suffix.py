@@ -1,9 +1,10 @@
 """Suffix arrays of byte shards by induced sorting, and permuted common prefixes.
 
-The byte level works bucket by bucket on whole arrays: a bucket's suffixes induce their left neighbours
-in one stable sort by symbol, which keeps the order of the sequential scan. Leftmost-smaller (LMS)
-substrings sorted this way are named; if names repeat, the string of names is sorted recursively (integer
-alphabet, sequential scans) and its order induces the final array. All steps are linear in the shard.
+Suffixes are classified; the leftmost-smaller (LMS) substrings are sorted and named; if names repeat, the
+string of names is sorted recursively; the order of the LMS suffixes then induces that of all others. At the
+byte level induction works bucket by bucket on whole arrays: a bucket's suffixes induce their left neighbours
+in one stable sort by symbol, which keeps the order of the sequential scan. Strings of names, with their
+large alphabets, are scanned one by one.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ U = np.uint64
 def smaller_types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than its right neighbour; the last symbol is the unique smallest."""
     n = len(t)
-    step = np.sign(t[1:].astype(np.int64) - t[:-1])
-    at = np.where(step != 0, np.arange(n - 1), n - 1)
-    nearest = np.minimum.accumulate(at[::-1])[::-1]
+    up = np.append(t[1:] > t[:-1], True)
+    at = np.where(t[1:] != t[:-1], np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
     out = np.ones(n, bool)
-    out[:-1] = np.append(step, 1)[nearest] > 0
+    out[:-1] = up[np.minimum.accumulate(at[::-1])[::-1]]
     return out
 
 
@@ -50,9 +50,9 @@ def induce(t: np.ndarray, small: np.ndarray, seeds: list[np.ndarray], size: int)
             i += 1
         if len(seeds[c]):
             push(larger, seeds[c], False)
-    up = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in larger]
+    up = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in larger]
     smaller: list[list] = [[] for _ in range(size)]
-    smaller[0].append(np.array([n - 1]))
+    smaller[0].append(np.array([n - 1], np.int32))
     for c in range(size - 1, -1, -1):
         i = 0
         if len(smaller[c]) > 1:
@@ -62,7 +62,7 @@ def induce(t: np.ndarray, small: np.ndarray, seeds: list[np.ndarray], size: int)
             i += 1
         if len(up[c]):
             push(smaller, up[c][::-1], True)
-    return up, [np.concatenate(x)[::-1] if x else np.zeros(0, np.int64) for x in smaller]
+    return up, [np.concatenate(x)[::-1] if x else np.zeros(0, np.int32) for x in smaller]
 
 
 def by_bucket(t: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
@@ -73,100 +73,95 @@ def by_bucket(t: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
 
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of symbols below ``size``; the last symbol is 0 and occurs nowhere else."""
-    t = t.astype(np.uint16)
-    n = len(t)
+    used = np.flatnonzero(np.bincount(t, minlength=size))
+    number = np.zeros(size, np.uint8 if len(used) <= 256 else np.uint16)
+    number[used] = np.arange(len(used))
+    t, size = number[t], len(used)
+    if len(t) == 1:
+        return np.zeros(1, np.int32)
     small = smaller_types(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if n == 1:
-        return np.zeros(1, np.int64)
-    _, low = induce(t, small, by_bucket(t, lms, size), size)
-    first = np.concatenate(low)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    ordered = first[is_lms[first]]
-    # names by a polynomial hash of the LMS substring (to the next LMS place, inclusive)
-    rng = np.random.default_rng(11)
-    value = rng.integers(1, 1 << 63, size, dtype=np.uint64) | U(1)
-    power = np.full(n, U(0x9E3779B97F4A7C15))
-    power[0] = 1
-    power = np.cumprod(power)
-    back = np.full(n, U(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
-    back[0] = 1
-    back = np.cumprod(back)
-    total = np.concatenate([[U(0)], np.cumsum(value[t] * power)])
-    end = np.append(lms[1:], n - 1) + 1
-    size_of = end - lms
-    h = (total[end] - total[lms]) * back[lms] + size_of.astype(np.uint64) * U(0xD6E8FEB86659FD93)
-    number = np.zeros(n, np.int64)
-    number[lms] = np.arange(len(lms))
-    ho = h[number[ordered]]
-    name_sorted = np.concatenate([[0], np.cumsum(ho[1:] != ho[:-1])])
-    names = np.empty(len(lms), np.int64)
-    names[number[ordered]] = name_sorted
-    if name_sorted[-1] + 1 == len(lms):
-        sorted_lms = ordered
-    else:
-        sorted_lms = lms[np.array(sort_names(names.tolist(), int(name_sorted[-1]) + 1))]
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
+    names, count = name_substrings(t, small, lms)
+    sorted_lms = lms[np.argsort(names) if count == len(lms) else sort_names(names)]
     up, low = induce(t, small, by_bucket(t, sorted_lms, size), size)
     return np.concatenate([x for pair in zip(up, low) for x in pair])
 
 
-def sort_names(s: list[int], size: int) -> list[int]:
+def name_substrings(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks of the LMS substrings (equal ones alike), in text order, and how many different there are.
+
+    Symbols count with their type, so no substring is the beginning of another. Only substrings that are
+    still tied look at their next symbol.
+    """
+    symbol = 2 * s.astype(np.int32) + small
+    end = np.append(lms[1:], lms[-1])
+    order = np.argsort(symbol[lms], kind="stable")
+    key = symbol[lms][order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    depth = 1
+    while True:
+        # groups of ties whose substrings go on (all of a group or none)
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(order)))
+        go = (size > 1) & (lms[order[first]] + depth <= end[order[first]])
+        if not go.any():
+            break
+        at = np.repeat(first[go] - np.concatenate([[0], np.cumsum(size[go])[:-1]]), size[go]) + np.arange(size[go].sum())
+        rows = order[at]
+        group = np.repeat(np.arange(go.sum()), size[go])
+        nxt = symbol[lms[rows] + depth]
+        by = np.lexsort((nxt, group))
+        order[at] = rows[by]
+        group, nxt = group[by], nxt[by]
+        new[at[1:]] |= nxt[1:] != nxt[:-1]
+        depth += 1
+    names = np.empty(len(lms), np.int64)
+    names[order] = np.cumsum(new) - 1
+    return names, int(new.sum())
+
+
+def sort_names(s: np.ndarray) -> np.ndarray:
     """Suffix array of a string of names; the last name is 0 and occurs nowhere else."""
+    if len(s) == 1:
+        return np.zeros(1, np.int64)
+    small = smaller_types(s)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    names, count = name_substrings(s, small, lms)
+    return scan(s, small, lms[np.argsort(names) if count == len(lms) else sort_names(names)])
+
+
+def scan(s: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Suffix array from sorted LMS places by two sequential passes over integer symbols."""
     n = len(s)
-    small = bytearray(n)
-    small[-1] = 1
-    for i in range(n - 2, -1, -1):
-        a, b = s[i], s[i + 1]
-        if a < b or a == b and small[i + 1]:
-            small[i] = 1
-    count = [0] * size
-    for c in s:
-        count[c] += 1
-    ends, total = [], 0
-    for c in count:
-        total += c
-        ends.append(total)
-    starts = [e - c for e, c in zip(ends, count)]
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-
-    def scan(seeds: list[int]) -> list[int]:
-        sa = [-1] * n
-        place = ends[:]
-        for i in reversed(seeds):
-            c = s[i]
-            place[c] -= 1
-            sa[place[c]] = i
-        place = starts[:]
-        for p in range(n):
-            j = sa[p] - 1
-            if j >= 0 and not small[j]:
-                c = s[j]
-                sa[place[c]] = j
-                place[c] += 1
-        place = ends[:]
-        for p in range(n - 1, -1, -1):
-            j = sa[p] - 1
-            if j >= 0 and small[j]:
-                c = s[j]
-                place[c] -= 1
-                sa[place[c]] = j
-        sa[0] = n - 1
-        return sa
-
-    number = dict(zip(lms, range(len(lms))))
-    ordered = [i for i in scan(lms) if i in number]
-    name, names, before = -1, [0] * len(lms), None
-    for i in ordered:
-        k = number[i]
-        piece = s[i:lms[k + 1] + 1] if k + 1 < len(lms) else s[i:]
-        if piece != before:
-            name += 1
-            before = piece
-        names[k] = name
-    if name + 1 < len(lms):
-        ordered = [lms[k] for k in sort_names(names, name + 1)]
-    return scan(ordered)
+    ends = np.cumsum(np.bincount(s))
+    starts = np.concatenate([[0], ends[:-1]])
+    sa = np.full(n, -1, np.int64)
+    c = s[seeds]
+    by = np.argsort(c, kind="stable")
+    c, left = c[by], np.concatenate([[0], np.cumsum(np.bincount(c, minlength=len(ends)))])
+    sa[ends[c] - left[c + 1] + np.arange(len(c))] = seeds[by]
+    sa = sa.tolist()
+    # symbol of the left neighbour if it is of the pass' type, else -1
+    before = np.concatenate([[-1], s[:-1]])
+    is_small = np.concatenate([[False], small[:-1]])
+    larger, place = np.where(is_small, -1, before).tolist(), starts.tolist()
+    for i in sa:
+        if i > 0:
+            c = larger[i]
+            if c >= 0:
+                p = place[c]
+                sa[p] = i - 1
+                place[c] = p + 1
+    smaller, place = np.where(is_small, before, -1).tolist(), ends.tolist()
+    for i in reversed(sa):
+        if i > 0:
+            c = smaller[i]
+            if c >= 0:
+                p = place[c] - 1
+                sa[p] = i - 1
+                place[c] = p
+    sa[0] = n - 1
+    return np.array(sa)
 
 
 def words8(raw: np.ndarray) -> np.ndarray:
@@ -183,7 +178,7 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, rest: np.ndarray, most: int
     """Permuted common prefixes: for each place, the prefix shared with its predecessor in suffix order, up to
     ``most``. Only places with ``most`` bytes left on both sides (``rest``) are compared; others get 0."""
     n = len(raw)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int32)
     a = np.flatnonzero((before >= 0) & (rest >= most))

@@ -16,7 +16,7 @@ import pandas as pd
 
 U = np.uint64
 # texts handed on at once, by bytes: a single longer text is one batch of its own
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _R = U(0x9E3779B97F4A7C15 | 1)
 _RINV = U(pow(int(_R), -1, 1 << 64))
