@@ -49,15 +49,21 @@ _pow_cache: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _pow_cache or len(_pow_cache["p"]) < n:
-        m = max(n, BATCH_BYTES + 65536)
-        p, q = np.full(m, _R, np.uint64), np.full(m, _RINV, np.uint64)
-        p[0] = q[0] = 1
-        p, q = np.cumprod(p), np.cumprod(q)
-        if m > 4 * BATCH_BYTES:  # a very long text: do not keep its tables
-            return p, q
+    """Powers of the hash base and of its inverse, at least ``n`` of each.
+
+    Tables of the usual batch size are kept in the worker; those of a few words (the driver's
+    templates travel with the tasks) and of a very long text are not.
+    """
+    usual = BATCH_BYTES + 65536
+    if 65536 < n <= usual and "p" in _pow_cache:
+        return _pow_cache["p"], _pow_cache["q"]
+    m = usual if 65536 < n <= usual else n
+    p, q = np.full(m, _R, np.uint64), np.full(m, _RINV, np.uint64)
+    p[:1] = q[:1] = 1
+    p, q = np.cumprod(p), np.cumprod(q)
+    if m == usual:
         _pow_cache["p"], _pow_cache["q"] = p, q
-    return _pow_cache["p"], _pow_cache["q"]
+    return p, q
 
 
 def to_bytes(text) -> bytes:
