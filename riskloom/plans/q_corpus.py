@@ -148,13 +148,13 @@ def register_remediation() -> None:
         files, el, merged, _ = _merged(spark, sf_dir)
         p = fx_.fix_proposals(merged, files)
         return p.select("repo_id", "commit_sha", "file_path", "line_start", "category", "title", "tier", "target_file",
-                        "has_change", F.length("updated_content").alias("updated_chars"), "guidance")
+                        "has_change", F.size("edits").alias("edits"), "guidance")
 
     @register("remediation_outcome")
     def q_remediation_outcome(spark, sf_dir):
         files, el = corpus(spark, sf_dir)
         merged = mg.merge_findings(mg.all_findings(files, el))
-        return fx_.remediation_outcomes(fx_.fix_proposals(merged, files))
+        return fx_.remediation_outcomes(fx_.fix_proposals(merged, files), files)
 
 
 register_remediation()
@@ -225,7 +225,7 @@ def register_remediation_views() -> None:
     def _outcomes(spark, sf_dir):
         files, el = corpus(spark, sf_dir)
         merged = cut_lineage(mg.merge_findings(mg.all_findings(files, el)))
-        outcomes = fx_.remediation_outcomes(fx_.fix_proposals(merged, files))
+        outcomes = fx_.remediation_outcomes(fx_.fix_proposals(merged, files), files)
         return merged, outcomes
 
     @register("report_findings")
