@@ -1,10 +1,10 @@
 """N-gram Jaccard join with several global token orders (operator 7).
 
 Documents with equal shingle sets are one node. Two different sets can only reach the threshold if,
-under *any* order of all tokens, they share a token among the first ``n - ceil(t n) + 1`` of each
-(and, in prefixes longer by ``MORE - 1``, at least ``MORE`` tokens). Candidates must pass this under
-three orders: A proposes them by an equi-join on prefix tokens, B and C are intersected as count filters
-on short sketches, and what is left is verified on the whole sets.
+under *any* order of all tokens, they share at least L tokens among the first ``n - ceil(t n) + L`` of
+each (or their whole overlap, for small sets). Candidates must pass this under three orders: A proposes
+them by equi-joins on prefix tokens (L = ``SHARED``), B and C are intersected as count filters on short
+sketches (L = ``MORE``), and what is left is verified on the whole sets.
 
 All orders put frequent shingles last (counted over all documents in a first pass: a shingle that holds
 at least ``1 / HEAVY`` of all occurrences, so the list is bounded), so a very common line or passage is
@@ -12,8 +12,9 @@ in a prefix only when little else is in the text.
 
 No pairs are made inside a group of copies: each node first meets one hub of the tokens it shares (the
 hub it shares most with); verified links give components. After that only nodes of *different*
-components that share an A token are compared, in cells of at most ``CELL`` nodes of like size, so the
-rest is complete without the pairs that could tell nothing new.
+components that share A tokens are compared, in cells of at most ``CELL`` nodes of like size; cells of
+more than ``SMALL`` nodes bound a pair's overlap by 16 bits of each token of the whole sets before they
+propose it. So the rest is complete without the pairs that could tell nothing new.
 
 Words are runs of non-blanks, A-Z lower-cased. With fewer words than a shingle the whole sequence is one
 shingle. Null and empty texts have no shingles and are linked with nothing: their component is their own
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import textvec as tv
@@ -35,10 +36,13 @@ from riskloom.llm.common import TEXT_HASH, bitmap, components, cut, id_text, in_
 
 SHINGLE = 3
 PERCENT = 90
-MORE = 32
+SHARED = 4
+MORE = 16
 HEAVY = 1 << 17
 LEAST_HEAVY = 64
 CELL = 1024
+SMALL = 64
+CELL_ROWS = 100_000
 SALTS = tuple(tv.U(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
 
 
@@ -79,18 +83,33 @@ def heavy_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix of a set under order A (whole hashes) and the longer sketches under B and C (32 bits)."""
+    """Prefix of a set under order A (whole hashes) and the longer sketches under B and C (16 bits a token, with
+    repeats: two sketches share at least as many values as tokens)."""
     n = len(s)
-    least = n - (percent * n + 99) // 100 + 1
+    least = n - (percent * n + 99) // 100
     rank = np.zeros(n, np.uint64)
     if len(heavy[0]):
         at = np.minimum(np.searchsorted(heavy[0], s), len(heavy[0]) - 1)
         rank = np.where(heavy[0][at] == s, heavy[1][at], tv.U(0))
     out = []
-    for salt, m in zip(SALTS, (least, least + MORE - 1, least + MORE - 1)):
+    for salt, m in zip(SALTS, (least + SHARED, least + MORE, least + MORE)):
         key = rank << tv.U(57) | tv.mix(s ^ salt) >> tv.U(7)
         out.append(s[np.argpartition(key, m - 1)[:m]] if m < n else s)
-    return out[0], *(np.unique(x & tv.U(0xFFFFFFFF)).astype(np.uint32) for x in out[1:])
+    return out[0], *(np.sort(x.astype(np.uint16)) for x in out[1:])
+
+
+def shared(p: np.ndarray, q: np.ndarray) -> int:
+    """Common values of two sorted sketches, with repeats."""
+    p, q = (x.astype(np.int64) << 16 | _nth(x) for x in (p, q))
+    return len(np.intersect1d(p, q, assume_unique=True))
+
+
+def _nth(x: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each value of a sorted array."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    return np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
 def digest_sets(docs: DataFrame, heavy: tuple, k: int, percent: int) -> DataFrame:
@@ -113,8 +132,8 @@ def digest_sets(docs: DataFrame, heavy: tuple, k: int, percent: int) -> DataFram
     return docs.mapInPandas(run, "doc_id long, n long, key binary, text_key binary, a array<long>, b binary, c binary")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(key, s): whole sorted sets of the wanted nodes (key, text_key). The texts are read again; a fixed-size
+def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, short: bool = False) -> DataFrame:
+    """(nid, s): whole sorted sets of the wanted nodes (nid, text_key), or (``short``) 16 bits of each token. The texts are read again; a fixed-size
     bit set of text keys passes few others, an equi-join is exact."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.expr(TEXT_HASH))))
 
@@ -125,55 +144,60 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             h = np.array([int.from_bytes(x[:8], "big") for x in keys], np.uint64)
             some = np.flatnonzero(in_bitmap(held.value, h)) if len(h) else []
             sets = shingle_sets([texts[i] for i in some], k)
-            yield pd.DataFrame({"text_key": [keys[i] for i in some], "s": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"text_key": [keys[i] for i in some],
+                                "s": [(np.sort(s.astype(np.uint16)) if short else s).tobytes() for s in sets]})
 
     read = docs.select("text").mapInPandas(run, "text_key binary, s binary").dropDuplicates(["text_key"])
-    return read.join(wanted.select("key", "text_key"), "text_key").select("key", "s")
+    return read.join(wanted.select("nid", "text_key"), "text_key").select("nid", "s")
 
 
 def count_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of like size whose sketches under B and C share as many tokens as the threshold needs."""
-    one = nodes.select(F.col("key").alias("x"), F.col("n").alias("nx"), F.col("b").alias("bx"), F.col("c").alias("cx"))
-    two = nodes.select(F.col("key").alias("y"), F.col("n").alias("ny"), F.col("b").alias("by"), F.col("c").alias("cy"))
+    one = nodes.select(F.col("nid").alias("x"), F.col("n").alias("nx"), F.col("b").alias("bx"), F.col("c").alias("cx"))
+    two = nodes.select(F.col("nid").alias("y"), F.col("n").alias("ny"), F.col("b").alias("by"), F.col("c").alias("cy"))
     fit = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = [all(len(np.intersect1d(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), assume_unique=True))
-                      >= need(max(nx, ny), percent) for p, q in ((bx, by), (cx, cy)))
+            ok = [all(shared(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)) >= need(max(nx, ny), percent, MORE)
+                      for p, q in ((bx, by), (cx, cy)))
                   for nx, ny, bx, by, cx, cy in pdf[["nx", "ny", "bx", "by", "cx", "cy"]].itertuples(index=False, name=None)]
             yield pdf.loc[ok, ["x", "y"]]
 
     both = pairs.join(one, "x").join(two, "y").filter(fit)
-    return both.select("x", "y", "nx", "ny", "bx", "by", "cx", "cy").mapInPandas(run, "x binary, y binary")
+    return both.select("x", "y", "nx", "ny", "bx", "by", "cx", "cy").mapInPandas(run, "x long, y long")
 
 
-def need(n: int, percent: int) -> int:
-    """Tokens that two sketches must share: MORE, or the whole overlap of small sets. Sketches keep 32 bits of a
-    token; tokens of one set that fall together (about n^2 / 2^33 of them) are allowed for by two."""
-    return max(1, min(MORE, (percent * n + 99) // 100) - 2)
+def need(n, percent: int, most: int):
+    """Tokens that two prefixes must share: ``most``, or the whole overlap of small sets (n: the larger size)."""
+    return np.minimum(most, (percent * n + 99) // 100)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) among the pairs: 100 * intersection >= percent * union on whole sets."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, short: bool = False) -> DataFrame:
+    """Pairs (x, y) with 100 * intersection >= percent * union on whole sets; on 16 bits of each token (``short``)
+    the intersection is never too small, so no link is lost."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
             for p, q in zip(pdf["sx"], pdf["sy"]):
-                a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
+                if short:
+                    a, b = np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)
+                    both = shared(a, b)
+                else:
+                    a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pdf.loc[ok, ["x", "y"]].rename(columns={"x": "u", "y": "v"})
+            yield pdf.loc[ok, ["x", "y"]]
 
-    one, two = sets.select(F.col("key").alias("x"), F.col("s").alias("sx")), sets.select(F.col("key").alias("y"), F.col("s").alias("sy"))
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy").mapInPandas(run, "u binary, v binary")
+    one, two = sets.select(F.col("nid").alias("x"), F.col("s").alias("sx")), sets.select(F.col("nid").alias("y"), F.col("s").alias("sy"))
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy").mapInPandas(run, "x long, y long")
 
 
 def shared_tokens(nodes: DataFrame) -> DataFrame:
-    """(token, key, n, hub, hub_n): A-prefix tokens that several nodes have, with the token's hub (smallest key)."""
+    """(token, nid, n): A-prefix tokens that several nodes have."""
     spark = nodes.sparkSession
-    counts = cut(nodes.select(F.explode("a").alias("token")).groupBy("token").agg(F.count("*").alias("members")).filter("members > 1"))
-    held = spark.sparkContext.broadcast(bitmap(counts.select("token")))
+    counts = cut(nodes.select(F.explode("a").alias("token")).groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token"))
+    held = spark.sparkContext.broadcast(bitmap(counts))
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -181,88 +205,159 @@ def shared_tokens(nodes: DataFrame) -> DataFrame:
             flat = np.concatenate(pdf["a"].to_list()).astype(np.int64) if len(pdf) else np.zeros(0, np.int64)
             ok = in_bitmap(held.value, flat.view(np.uint64))
             at = np.repeat(np.arange(len(pdf)), sizes)[ok]
-            yield pd.DataFrame({"token": flat[ok], "key": pdf["key"].to_numpy()[at], "n": pdf["n"].to_numpy()[at]})
+            yield pd.DataFrame({"token": flat[ok], "nid": pdf["nid"].to_numpy()[at], "n": pdf["n"].to_numpy()[at]})
 
-    rows = nodes.select("key", "n", "a").mapInPandas(thin, "token long, key binary, n long")
-    return cut(rows.join(counts.select("token", "members"), "token"))
+    rows = nodes.select("nid", "n", "a").mapInPandas(thin, "token long, nid long, n int")
+    return cut(rows.join(counts, "token"))
 
 
 def hub_pairs(rows: DataFrame) -> DataFrame:
-    """One pair per node: the hub (a token's smallest key of the node's size class or the one below) it meets most often."""
-    hubs = rows.groupBy("token", "band").agg(F.min("key").alias("hub"))
-    met = rows.join(hubs, ["token", "band"]).filter("hub <> key").groupBy("key", "hub").agg(F.count("*").alias("met"))
-    return met.groupBy("key").agg(F.max(F.struct("met", "hub")).alias("m")).select(F.col("key").alias("x"), F.col("m.hub").alias("y"))
-
-
-def rest_pairs(rows: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int, cell: int) -> DataFrame:
-    """Pairs of different components that share an A token, have like sizes and pass the count filter of order B."""
-    named = rows.select("token", "band", "key", "n").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn(
-        "component", F.coalesce("component", "key"))
-    # each node stands in its own size class and the next: sizes that can match differ by one class at most
-    twice = named.withColumn("class", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    mixed = cut(twice.groupBy("token", "class").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"),
-                                                    F.max("band").alias("top")).filter("c0 <> c1 AND top = class").select("token", "class", "m"))
-    # a bucket's members beyond one cell go to every pair of its blocks, each pair a task-sized group
-    spread = twice.join(mixed, ["token", "class"]).withColumn("nb", F.ceil(F.col("m") / cell)).withColumn(
-        "own", F.pmod(F.xxhash64("key"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    cells = spread.select("token", "class", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own",
-                          "key", "n", "component", "band").join(nodes.select("key", "b"), "key")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, band, own = (pdf[c].to_numpy(np.int64) for c in ("n", "band", "own"))
-        size, cls = len(pdf), int(pdf["class"].iloc[0])
-        comp_no = pd.factorize(pdf["component"])[0]
-        sketch = [np.frombuffer(b, np.uint32) for b in pdf["b"]]
-        tok, slot = np.unique(np.concatenate(sketch), return_inverse=True)
-        row = np.repeat(np.arange(size), [len(s) for s in sketch])
-        often = np.flatnonzero(np.bincount(slot) > 1)
-        number = np.full(len(tok), -1)
-        number[often] = np.arange(len(often))
-        col = number[slot]
-        row, col = row[col >= 0], col[col >= 0]
-        same = np.zeros((size, size), np.float32)
-        for lo in range(0, len(often), 4096):
-            part = (col >= lo) & (col < lo + 4096)
-            m = np.zeros((size, min(4096, len(often) - lo)), np.float32)
-            m[row[part], col[part] - lo] = 1
-            same += m @ m.T
-        big, small = np.maximum(n[:, None], n[None, :]), np.minimum(n[:, None], n[None, :])
-        least = np.maximum(1, np.minimum(MORE, (percent * big + 99) // 100) - 2)
-        ok = (small * 100 >= big * percent) & (same >= least) & (comp_no[:, None] != comp_no[None, :])
-        ok &= np.maximum(band[:, None], band[None, :]) == cls
-        if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
-            ok &= own[:, None] != own[None, :]
-        i, j = np.nonzero(np.triu(ok, 1))
-        key = pdf["key"].to_numpy()
-        return pd.DataFrame({"x": [max(key[a], key[b]) for a, b in zip(i, j)], "y": [min(key[a], key[b]) for a, b in zip(i, j)]})
-
-    return cells.groupBy("token", "class", "p", "q").applyInPandas(compare, "x binary, y binary").distinct()
+    """One pair per node: the hub (smallest node of a token and size class) it meets most often; and the hubs of
+    a token's neighbouring size classes, which one group of copies may straddle."""
+    hubs = cut(rows.groupBy("token", "band").agg(F.min("nid").alias("hub"), F.count("*").alias("members")))
+    met = rows.join(hubs.filter("members > 1").drop("members"), ["token", "band"]).filter("hub <> nid").groupBy("nid", "hub").agg(
+        F.count("*").alias("met"))
+    best = met.groupBy("nid").agg(F.max(F.struct("met", "hub")).alias("m")).select(F.col("nid").alias("x"), F.col("m.hub").alias("y"), "m.met")
+    # a token has few size classes: their number is the logarithm of the largest size
+    steps = hubs.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("band", "hub"))).alias("b")).filter(F.size("b") > 1).select(
+        F.explode(F.arrays_zip(F.expr("slice(b, 1, size(b) - 1)").alias("one"), F.expr("slice(b, 2, size(b) - 1)").alias("two"))).alias("z"))
+    across = steps.filter("z.two.band - z.one.band = 1 AND z.one.hub <> z.two.hub").groupBy(
+        F.col("z.one.hub").alias("x"), F.col("z.two.hub").alias("y")).agg(F.count("*").alias("met"))
+    # only a first guess at links: pairs that meet once are left to the complete second round
+    return best.union(across).filter("met > 1").select("x", "y").distinct()
+
+
+def rest_pairs(docs: DataFrame, rows: DataFrame, nodes: DataFrame, comp: DataFrame, k: int, percent: int, cell: int) -> DataFrame:
+    """Pairs of different components and like size that share as many A tokens as the threshold needs."""
+    named = rows.join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    mixed = named.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter(
+        "c0 <> c1").select("token", "m")
+    there = cut(named.join(mixed, "token"))
+    # Nodes of a token that many have stand in their own size class and the next: sizes that can match differ by
+    # one class at most. What goes beyond one cell goes to every pair of its blocks, each pair a task-sized group.
+    many = cut(there.filter(F.col("m") > SMALL).drop("m").withColumn("class", F.explode(F.array(F.col("band"), F.col("band") + 1))))
+    sized = many.groupBy("token", "class").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"),
+                                               F.max("band").alias("top")).filter("c0 <> c1 AND top = class").select("token", "class", "m")
+    many = many.join(sized, ["token", "class"])
+    zero = F.lit(0)
+    cols = ["token", "class", "p", "q", "own", "nid", "n", "component", "band"]
+    small = there.filter(F.col("m") <= SMALL).withColumn("class", F.lit(-1)).unionByName(many.filter(F.col("m") <= SMALL)).select(
+        "token", "class", zero.alias("p"), zero.alias("q"), zero.alias("own"), "nid", "n", "component", "band", F.lit(None).cast("binary").alias("b"))
+    large = cut(many.filter(F.col("m") > SMALL).withColumn("nb", F.ceil(F.col("m") / cell)).withColumn(
+        "own", F.pmod(F.xxhash64("nid"), F.col("nb")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1))).withColumn(
+        "p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select(*cols))
+    wanted = cut(nodes.select("nid", "text_key").join(large.select("nid").distinct(), "nid"))
+    large = large.join(whole_sets(docs, wanted, k, short=True).withColumnRenamed("s", "b"), "nid")
+    key = ["token", "class", "p", "q"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            if sum(map(len, held)) >= CELL_ROWS:
+                whole = pd.concat(held)
+                last = (whole[key] == whole[key].iloc[-1]).all(axis=1)
+                held = [whole[last]]  # the last cell may go on in the next batch
+                yield cell_pairs(whole[~last], percent)
+        if held:
+            yield cell_pairs(pd.concat(held), percent)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = small.unionByName(large.select(*small.columns)).repartition(n, *key).sortWithinPartitions(*key)
+    found = cells.mapInPandas(compare, "x long, y long, need int")
+    return found.groupBy("x", "y").agg(F.count("*").alias("met"), F.first("need").alias("need")).filter("met >= need").select("x", "y")
+
+
+def cell_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of whole cells (rows sorted by cell): components differ, sizes fit and, in large cells, 16 bits of each
+    token (at least as many in common as tokens) allow the overlap that the threshold asks for."""
+    if not len(pdf):
+        return pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64), "need": np.zeros(0, np.int32)})
+    token, cls, p, q, own, nid, n, comp, band = (pdf[c].to_numpy(np.int64) for c in (
+        "token", "class", "p", "q", "own", "nid", "n", "component", "band"))
+    new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (token, cls, p, q)], axis=0)])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(pdf)))
+    ones, twos = [], []
+    for m in np.unique(size[(size > 1) & (size <= SMALL)]):
+        at = first[size == m]
+        for i in range(m):
+            for j in range(i + 1, m):
+                ones.append(at + i)
+                twos.append(at + j)
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, twos))
+    ok = _fits(a, b, n, comp, band, cls, own, p, q, percent)
+    xs, ys = [a[ok]], [b[ok]]
+    sketches = pdf["b"].to_numpy()
+    for lo, m in zip(first[size > SMALL], size[size > SMALL]):
+        a, b = (x + lo for x in np.triu_indices(m, 1))
+        ok = _fits(a, b, n, comp, band, cls, own, p, q, percent)
+        if not ok.any():
+            continue
+        a, b = a[ok], b[ok]
+        if sketches[lo] is not None:
+            both = _sketch_counts([sketches[i] for i in range(lo, lo + m)])[a - lo, b - lo]
+            ok = 100 * both >= percent * (n[a] + n[b] - both)
+            a, b = a[ok], b[ok]
+        xs.append(a)
+        ys.append(b)
+    a, b = np.concatenate(xs), np.concatenate(ys)
+    return pd.DataFrame({"x": np.maximum(nid[a], nid[b]), "y": np.minimum(nid[a], nid[b]), "need": need(np.maximum(n[a], n[b]), percent, SHARED)})
+
+
+def _fits(a, b, n, comp, band, cls, own, p, q, percent: int) -> np.ndarray:
+    big, small = np.maximum(n[a], n[b]), np.minimum(n[a], n[b])
+    ok = (comp[a] != comp[b]) & (small * 100 >= big * percent) & ((cls[a] < 0) | (np.maximum(band[a], band[b]) == cls[a]))
+    return ok & ((p[a] == q[a]) | (own[a] != own[b]))
+
+
+def _sketch_counts(sketches: list[bytes]) -> np.ndarray:
+    """Shared values of each two sketches of a cell, as a product of their incidence matrix."""
+    parts = [np.frombuffer(x, np.uint16) for x in sketches]
+    flat = np.concatenate([x.astype(np.int64) << 16 | _nth(x) for x in parts])
+    row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    _, slot, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    keep = count[slot] > 1
+    row, col = row[keep], number[slot[keep]]
+    same = np.zeros((len(parts), len(parts)), np.float32)
+    for lo in range(0, int((count > 1).sum()), 2048):
+        part = (col >= lo) & (col < lo + 2048)
+        m = np.zeros((len(parts), 2048), np.float32)
+        m[row[part], col[part] - lo] = 1
+        same += m @ m.T
+    return same
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles, component_id of every document row, and ``n_copies`` (rows with an equal set),
-    ``text_key`` and ``component`` (key of the class; null without shingles)."""
+    ``text_key`` and ``component`` (number of the class; null without shingles)."""
     prepare(docs.sparkSession)
     docs = id_text(docs)
     seen = cut(digest_sets(docs, heavy_shingles(docs, k), k, percent))
+    # written once: the numbers given here stay
     nodes = cut(seen.filter("n > 0").groupBy("key").agg(
         F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("a").alias("a"), F.first("b").alias("b"),
-        F.first("c").alias("c"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")))
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+        F.first("c").alias("c"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")).withColumn("nid", F.monotonically_increasing_id()))
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     rows = shared_tokens(nodes).withColumn("band", band)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        ids = pairs.select(F.col("x").alias("key")).union(pairs.select(F.col("y").alias("key"))).distinct()
-        wanted = cut(nodes.select("key", "text_key").join(ids, "key"))
-        return cut(verify(pairs, whole_sets(docs, wanted, k), percent))
+        # short sets leave few pairs for the whole ones
+        for short in (True, False):
+            pairs = cut(pairs)
+            ids = pairs.select(F.col("x").alias("nid")).union(pairs.select(F.col("y").alias("nid"))).distinct()
+            wanted = cut(nodes.select("nid", "text_key").join(ids, "nid"))
+            pairs = verify(pairs, whole_sets(docs, wanted, k, short), percent, short)
+        return cut(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")))
 
     links = links_of(count_filter(hub_pairs(rows), nodes, percent))
     comp = cut(components(links))
-    more = links_of(count_filter(rest_pairs(rows, nodes, comp, percent, cell), nodes, percent))
+    more = links_of(count_filter(rest_pairs(docs, rows, nodes, comp, k, percent, cell), nodes, percent))
     comp = cut(components(links.union(more)))
-    named = nodes.select("key", "doc_id", "n_copies").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn(
-        "component", F.coalesce("component", "key"))
+    named = nodes.select("key", "nid", "doc_id", "n_copies").join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").withColumn(
+        "component", F.coalesce("component", "nid"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("key", "component", "component_id", "n_copies")
     return seen.select("doc_id", F.col("n").alias("n_shingles"), "key", "text_key").join(named, "key", "left").select(
