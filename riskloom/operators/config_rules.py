@@ -25,12 +25,6 @@ def is_env_file(name: Column) -> Column:
     return (name == ".env") | name.startswith(".env.")
 
 
-def config_scan_files(eligible: DataFrame) -> DataFrame:
-    """D3: named config files, env files, or application source."""
-    return eligible.where(F.lower("name").isin(src.CONFIG_FILENAMES) | is_env_file(F.col("name"))
-                          | F.col("suffix_l").isin(src.SOURCE_SUFFIXES))
-
-
 def config_debug(eligible: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Every ``debug = true`` / ``debug: true`` match in config-class files."""
     from riskloom.operators.textscan import text_hits
@@ -79,8 +73,3 @@ def env_committed(eligible: DataFrame, files: DataFrame) -> DataFrame:
     flagged = j.where(~ignored)
     return emit(flagged, "env_committed", line_start=F.lit(1), snippet=F.lit(ENV_SNIPPET),
                 description=F.lit(ENV_DESCRIPTION))
-
-
-def config_findings(eligible: DataFrame, files: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    return (config_debug(eligible, hits).unionByName(config_cors(eligible, hits))
-            .unionByName(env_committed(eligible, files)))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
 from riskloom.operators.catalog import emit
-from riskloom.sources import files as src
 
 # Patterns (Java spelling) and markers.
 JS_EXEC = "(?U)\\b(eval|new\\s+Function)\\s*\\("
@@ -23,10 +22,6 @@ AUTH_DESCRIPTION = ("An auth/token/admin-like value is compared to a hardcoded s
                     "This may create a static credential or hidden bypass.")
 
 
-def js_files(eligible: DataFrame) -> DataFrame:
-    return eligible.where(F.col("suffix_l").isin(src.JS_SUFFIXES))
-
-
 def decoded_variables(content: Column) -> Column:
     """Names assigned from atob(...) or Buffer.from(..base64..).toString."""
     return F.array_distinct(F.regexp_extract_all(content, F.lit(JS_DECODE), F.lit(1)))

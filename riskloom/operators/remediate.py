@@ -56,15 +56,6 @@ def tier_guidance(t: Column) -> Column:
     return expr
 
 
-def fix_guidance(df: DataFrame) -> DataFrame:
-    """M2: tier sentence plus the finding's own fix text or explanation."""
-    ctx = F.coalesce(F.nullif(F.col("fix_suggestion"), F.lit("")),
-                     F.nullif(F.col("ai_explanation"), F.lit("")) if "ai_explanation" in df.columns else F.lit(None))
-    g = F.when(ctx.isNotNull(), F.concat(tier_guidance(F.col("tier")), F.lit(" "), ctx)).otherwise(
-        tier_guidance(F.col("tier")))
-    return df.withColumn("guidance", g)
-
-
 def transitions_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ALLOWED_TRANSITIONS, "from_status string, to_status string")
 

@@ -166,12 +166,6 @@ def repo_over_limit(files: DataFrame, limit: int = MAX_REPOSITORY_BYTES) -> Data
                         (F.col("total_bytes") > F.lit(limit)).alias("over_limit"))
 
 
-def within_size_limit(files: DataFrame, limit: int = MAX_REPOSITORY_BYTES) -> DataFrame:
-    """Keep files of repositories under the cap (reject whole repos over it)."""
-    over = repo_over_limit(files, limit).where("over_limit").select("repo_id", "commit_sha")
-    return files.join(over, ["repo_id", "commit_sha"], "left_anti")
-
-
 def repo_inventory(eligible: DataFrame) -> DataFrame:
     """Eligible file count and their bytes per repository."""
     return (eligible.groupBy("repo_id", "commit_sha")
