@@ -14,7 +14,8 @@ No pairs are made inside a group of copies: each node first meets one hub of the
 hub it shares most with); verified links give components. After that only nodes of *different*
 components that share A tokens are compared, in cells of at most ``CELL`` nodes of like size; cells of
 more than ``SMALL`` nodes bound a pair's overlap by 16 bits of each token of the whole sets before they
-propose it. So the rest is complete without the pairs that could tell nothing new.
+propose it, and a pair that such a cell has judged is not looked at again in small ones. So the rest is
+complete without the pairs that could tell nothing new.
 
 Words are runs of non-blanks, A-Z lower-cased. With fewer words than a shingle the whole sequence is one
 shingle. Null and empty texts have no shingles and are linked with nothing: their component is their own
@@ -241,14 +242,19 @@ def rest_pairs(docs: DataFrame, rows: DataFrame, nodes: DataFrame, comp: DataFra
     many = many.join(sized, ["token", "class"])
     zero = F.lit(0)
     cols = ["token", "class", "p", "q", "own", "nid", "n", "component", "band"]
-    small = there.filter(F.col("m") <= SMALL).withColumn("class", F.lit(-1)).unionByName(many.filter(F.col("m") <= SMALL)).select(
-        "token", "class", zero.alias("p"), zero.alias("q"), zero.alias("own"), "nid", "n", "component", "band", F.lit(None).cast("binary").alias("b"))
     large = cut(many.filter(F.col("m") > SMALL).withColumn("nb", F.ceil(F.col("m") / cell)).withColumn(
         "own", F.pmod(F.xxhash64("nid"), F.col("nb")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1))).withColumn(
         "p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select(*cols))
-    wanted = cut(nodes.select("nid", "text_key").join(large.select("nid").distinct(), "nid"))
-    large = large.join(whole_sets(docs, wanted, k, short=True).withColumnRenamed("s", "b"), "nid")
+    # per node the large cells it stands in (at most two a prefix token); the last byte is the size class
+    judged = cut(large.groupBy("nid").agg(F.collect_set(F.xxhash64("token").bitwiseAND(F.lit(~255)).bitwiseOR(
+        F.pmod("class", F.lit(256)).cast("long"))).alias("judged")))
+    wanted = cut(nodes.select("nid", "text_key").join(judged.select("nid"), "nid"))
+    large = large.join(whole_sets(docs, wanted, k, short=True).withColumnRenamed("s", "b"), "nid").withColumn(
+        "judged", F.lit(None).cast("array<long>"))
+    small = there.filter(F.col("m") <= SMALL).withColumn("class", F.lit(-1)).unionByName(many.filter(F.col("m") <= SMALL)).select(
+        "token", "class", zero.alias("p"), zero.alias("q"), zero.alias("own"), "nid", "n", "component", "band", F.lit(None).cast("binary").alias("b"))
+    small = small.join(judged, "nid", "left")
     key = ["token", "class", "p", "q"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,7 +272,7 @@ def rest_pairs(docs: DataFrame, rows: DataFrame, nodes: DataFrame, comp: DataFra
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = small.unionByName(large.select(*small.columns)).repartition(n, *key).sortWithinPartitions(*key)
     found = cells.mapInPandas(compare, "x long, y long, need int")
-    return found.groupBy("x", "y").agg(F.count("*").alias("met"), F.first("need").alias("need")).filter("met >= need").select("x", "y")
+    return found.groupBy("x", "y").agg(F.count("*").alias("met"), F.min("need").alias("need")).filter("met >= need").select("x", "y")
 
 
 def cell_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -288,8 +294,10 @@ def cell_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
                 twos.append(at + j)
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, twos))
     ok = _fits(a, b, n, comp, band, cls, own, p, q, percent)
-    xs, ys = [a[ok]], [b[ok]]
+    a, b = _not_judged(a[ok], b[ok], pdf["judged"], band)
     sketches = pdf["b"].to_numpy()
+    judging = np.array([x is not None for x in sketches])  # small blocks of a large cell: no other cell looks at their pairs
+    xs, ys, needs = [a], [b], [np.where(judging[a], 1, need(np.maximum(n[a], n[b]), percent, SHARED))]
     for lo, m in zip(first[size > SMALL], size[size > SMALL]):
         a, b = (x + lo for x in np.triu_indices(m, 1))
         ok = _fits(a, b, n, comp, band, cls, own, p, q, percent)
@@ -302,8 +310,22 @@ def cell_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
             a, b = a[ok], b[ok]
         xs.append(a)
         ys.append(b)
+        needs.append(np.ones(len(a), np.int64))  # the bound is stronger than any count of shared tokens
     a, b = np.concatenate(xs), np.concatenate(ys)
-    return pd.DataFrame({"x": np.maximum(nid[a], nid[b]), "y": np.minimum(nid[a], nid[b]), "need": need(np.maximum(n[a], n[b]), percent, SHARED)})
+    return pd.DataFrame({"x": np.maximum(nid[a], nid[b]), "y": np.minimum(nid[a], nid[b]), "need": np.concatenate(needs)})
+
+
+def _not_judged(a: np.ndarray, b: np.ndarray, judged: pd.Series, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the pairs that a large cell of both (in the class of the larger) has judged."""
+    sets = [None if x is None else frozenset(x.tolist()) for x in judged]
+    has = np.array([x is not None for x in sets])
+    ok = np.ones(len(a), bool)
+    for i in np.flatnonzero(has[a] & has[b]):
+        x, y = sets[a[i]], sets[b[i]]
+        if not x.isdisjoint(y):
+            cls = int(max(band[a[i]], band[b[i]])) % 256
+            ok[i] = not any(c & 255 == cls for c in x & y)
+    return a[ok], b[ok]
 
 
 def _fits(a, b, n, comp, band, cls, own, p, q, percent: int) -> np.ndarray:

@@ -96,11 +96,6 @@ def word_hashes(buf: bytes, sep: np.ndarray, heads: tuple[int, ...] = ()) -> tup
     return mix((h[end] - h[start]) * q[start] + (end - start).astype(np.uint64)), start, end, *first
 
 
-def hash_words(words: list[str], sep: np.ndarray) -> np.ndarray:
-    """The same hashes for the words of one plain string list (template side of a join)."""
-    return np.concatenate([word_hashes(w.encode(), sep)[0] for w in words]) if words else np.zeros(0, np.uint64)
-
-
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each window of ``k`` consecutive values; empty when there are fewer."""
     m = len(h) - k + 1
