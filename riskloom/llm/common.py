@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and go on from the files.
 
-    Later passes read what was written, so a lost executor never changes task-numbered rows.
+    Later passes read what was written, so a lost executor never changes task-numbered rows. Spark removes
+    shuffle files and earlier cuts once the driver's JVM has collected their plans; operators of many steps
+    ask for that at each cut instead of holding all steps' files until the JVM happens to.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def id_text(docs: DataFrame, *more: str) -> DataFrame:

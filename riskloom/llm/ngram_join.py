@@ -134,7 +134,7 @@ def digest_sets(docs: DataFrame, heavy: tuple, k: int, percent: int) -> DataFram
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, short: bool = False) -> DataFrame:
-    """(nid, s): whole sorted sets of the wanted nodes (nid, text_key), or (``short``) 16 bits of each token. The texts are read again; a fixed-size
+    """(nid, s): whole sorted sets of the wanted nodes (nid, text_key, more), or (``short``) 16 bits of each token. The texts are read again; a fixed-size
     bit set of text keys passes few others, an equi-join is exact."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.expr(TEXT_HASH))))
 
@@ -149,24 +149,30 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, short: bool = False)
                                 "s": [(np.sort(s.astype(np.uint16)) if short else s).tobytes() for s in sets]})
 
     read = docs.select("text").mapInPandas(run, "text_key binary, s binary").dropDuplicates(["text_key"])
-    return read.join(wanted.select("nid", "text_key"), "text_key").select("nid", "s")
+    return read.join(wanted, "text_key").drop("text_key")
 
 
-def count_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of like size whose sketches under B and C share as many tokens as the threshold needs."""
-    one = nodes.select(F.col("nid").alias("x"), F.col("n").alias("nx"), F.col("b").alias("bx"), F.col("c").alias("cx"))
-    two = nodes.select(F.col("nid").alias("y"), F.col("n").alias("ny"), F.col("b").alias("by"), F.col("c").alias("cy"))
-    fit = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+def intersect_orders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of like size whose sketches under B and under C share as many tokens as the threshold needs,
+    and whose whole sets can reach it on 16 bits of each token (which never make an intersection too small)."""
+    one, two = (sets.select(F.col("nid").alias(i), *[F.col(c).alias(c + i) for c in ("n", "b", "c", "s")]) for i in "xy")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = [all(shared(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)) >= need(max(nx, ny), percent, MORE)
-                      for p, q in ((bx, by), (cx, cy)))
-                  for nx, ny, bx, by, cx, cy in pdf[["nx", "ny", "bx", "by", "cx", "cy"]].itertuples(index=False, name=None)]
+            ok = []
+            for nx, ny, *sketches in pdf[["nx", "ny", "bx", "by", "cx", "cy", "sx", "sy"]].itertuples(index=False, name=None):
+                bx, by, cx, cy, sx, sy = (np.frombuffer(x, np.uint16) for x in sketches)
+                least = need(max(nx, ny), percent, MORE)
+                good = shared(bx, by) >= least and shared(cx, cy) >= least
+                if good:
+                    both = shared(sx, sy)
+                    good = 100 * both >= percent * (nx + ny - both)
+                ok.append(good)
             yield pdf.loc[ok, ["x", "y"]]
 
-    both = pairs.join(one, "x").join(two, "y").filter(fit)
-    return both.select("x", "y", "nx", "ny", "bx", "by", "cx", "cy").mapInPandas(run, "x long, y long")
+    fit = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+    return pairs.join(one, "x").join(two, "y").filter(fit).select(
+        "x", "y", "nx", "ny", "bx", "by", "cx", "cy", "sx", "sy").mapInPandas(run, "x long, y long")
 
 
 def need(n, percent: int, most: int):
@@ -174,24 +180,19 @@ def need(n, percent: int, most: int):
     return np.minimum(most, (percent * n + 99) // 100)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, short: bool = False) -> DataFrame:
-    """Pairs (x, y) with 100 * intersection >= percent * union on whole sets; on 16 bits of each token (``short``)
-    the intersection is never too small, so no link is lost."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among the pairs: 100 * intersection >= percent * union on whole sets."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
             for p, q in zip(pdf["sx"], pdf["sy"]):
-                if short:
-                    a, b = np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)
-                    both = shared(a, b)
-                else:
-                    a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                    both = len(np.intersect1d(a, b, assume_unique=True))
+                a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pdf.loc[ok, ["x", "y"]]
+            yield pdf.loc[ok, ["x", "y"]].rename(columns={"x": "u", "y": "v"})
 
     one, two = sets.select(F.col("nid").alias("x"), F.col("s").alias("sx")), sets.select(F.col("nid").alias("y"), F.col("s").alias("sy"))
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy").mapInPandas(run, "x long, y long")
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy").mapInPandas(run, "u long, v long")
 
 
 def shared_tokens(nodes: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def shared_tokens(nodes: DataFrame) -> DataFrame:
     return cut(rows.join(counts, "token"))
 
 
-def hub_pairs(rows: DataFrame) -> DataFrame:
+def hub_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """One pair per node: the hub (smallest node of a token and size class) it meets most often; and the hubs of
     a token's neighbouring size classes, which one group of copies may straddle."""
     hubs = cut(rows.groupBy("token", "band").agg(F.min("nid").alias("hub"), F.count("*").alias("members")))
@@ -224,8 +225,9 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
         F.explode(F.arrays_zip(F.expr("slice(b, 1, size(b) - 1)").alias("one"), F.expr("slice(b, 2, size(b) - 1)").alias("two"))).alias("z"))
     across = steps.filter("z.two.band - z.one.band = 1 AND z.one.hub <> z.two.hub").groupBy(
         F.col("z.one.hub").alias("x"), F.col("z.two.hub").alias("y")).agg(F.count("*").alias("met"))
-    # only a first guess at links: pairs that meet once are left to the complete second round
-    return best.union(across).filter("met > 1").select("x", "y").distinct()
+    # only a first guess at links: nodes that share less than a third of a prefix are left to the complete second round
+    size = nodes.select(F.col("nid").alias("x"), (F.col("n") * (100 - percent) / 100 + SHARED).alias("prefix"))
+    return best.union(across).join(size, "x").filter("3 * met >= prefix").select("x", "y").distinct()
 
 
 def rest_pairs(docs: DataFrame, rows: DataFrame, nodes: DataFrame, comp: DataFrame, k: int, percent: int, cell: int) -> DataFrame:
@@ -366,17 +368,18 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, cell: int =
     rows = shared_tokens(nodes).withColumn("band", band)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        # short sets leave few pairs for the whole ones
-        for short in (True, False):
-            pairs = cut(pairs)
+        def sets_of(pairs: DataFrame, short: bool, *more: str) -> DataFrame:
             ids = pairs.select(F.col("x").alias("nid")).union(pairs.select(F.col("y").alias("nid"))).distinct()
-            wanted = cut(nodes.select("nid", "text_key").join(ids, "nid"))
-            pairs = verify(pairs, whole_sets(docs, wanted, k, short), percent, short)
-        return cut(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")))
+            wanted = cut(nodes.select("nid", "text_key", *more).join(ids, "nid"))
+            return whole_sets(docs, wanted, k, short)
+
+        pairs = cut(pairs)
+        left = cut(intersect_orders(pairs, sets_of(pairs, True, "n", "b", "c"), percent))
+        return cut(verify(left, sets_of(left, False), percent))
 
-    links = links_of(count_filter(hub_pairs(rows), nodes, percent))
+    links = links_of(hub_pairs(rows, nodes, percent))
     comp = cut(components(links))
-    more = links_of(count_filter(rest_pairs(docs, rows, nodes, comp, k, percent, cell), nodes, percent))
+    more = links_of(rest_pairs(docs, rows, nodes, comp, k, percent, cell))
     comp = cut(components(links.union(more)))
     named = nodes.select("key", "nid", "doc_id", "n_copies").join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").withColumn(
         "component", F.coalesce("component", "nid"))
