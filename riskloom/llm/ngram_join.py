@@ -380,9 +380,14 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, cell: int =
     links = links_of(hub_pairs(rows, nodes, percent))
     comp = cut(components(links))
     more = links_of(rest_pairs(docs, rows, nodes, comp, k, percent, cell))
-    comp = cut(components(links.union(more)))
+    # the later links join whole components: only those edges are left
+    for end in ("u", "v"):
+        more = more.join(comp.select(F.col("node").alias(end), "component"), end, "left").withColumn(
+            end, F.coalesce("component", end)).drop("component")
+    over = cut(components(more).withColumnRenamed("component", "whole"))
     named = nodes.select("key", "nid", "doc_id", "n_copies").join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").withColumn(
-        "component", F.coalesce("component", "nid"))
+        "component", F.coalesce("component", "nid")).join(over.withColumnRenamed("node", "component"), "component", "left").withColumn(
+        "component", F.coalesce("whole", "component")).drop("whole")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("key", "component", "component_id", "n_copies")
     return seen.select("doc_id", F.col("n").alias("n_shingles"), "key", "text_key").join(named, "key", "left").select(
