@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import cut, prepare, split_by_text, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+PASSAGE_WORDS = 51
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -52,11 +53,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every passage of 400 bytes or more that occurs elsewhere is cut out of the text, wherever it stands
-    (characters wholly inside it); n_chars follows the new text. No row goes, also when nothing is left of it."""
+    """Every passage of over 50 words, or of 400 bytes or more, that occurs elsewhere is cut out of the text, wherever
+    it stands (characters wholly inside it); n_chars follows the new text. No row goes, also when nothing is left of it."""
     from riskloom.llm.substrings import remove
     docs = _columns(docs)
-    changed = cut(remove(docs, with_text=True).filter("kept_text IS NOT NULL").select("text_key", "kept_text").dropDuplicates(["text_key"]))
+    changed = cut(remove(docs, with_text=True, words=PASSAGE_WORDS).filter("kept_text IS NOT NULL").select("text_key", "kept_text").dropDuplicates(["text_key"]))
     plain, hit = split_by_text(docs, changed)
     new = hit.join(changed, "text_key", "left")
     text = F.coalesce("kept_text", "text")

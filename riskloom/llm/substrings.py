@@ -16,6 +16,10 @@ A byte is removed if a 400-byte string that covers it also starts anywhere else,
    share) is not put into one shard: its strings are counted one by one by an aggregation, with the same result.
 5. Removed ranges are merged per distinct text; a second pass cuts them out.
 
+``words`` removes passages of that many words as well (runs of non-blanks, A-Z lower-cased) that occur anywhere
+else, whatever their bytes: the same steps run over the texts' 64-bit word hashes, eight bytes a word, and their
+ranges go from the first byte of the first word to the last byte of the last one.
+
 Null and empty texts have no bytes. Doc ids may be null or repeat; equal texts get equal results. Hashes are
 64 bits (anchors, contexts) and 128 bits (texts). Empty tables give no rows; extra columns are ignored.
 """
@@ -39,6 +43,7 @@ GRAM = 128
 SHARD_BYTES = 1 << 20
 CONTEXT = ["h", "text_key", "n", "lo", "a", "data"]
 GROUP_CONTEXTS = 8192
+WORD_BYTES = 8
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -75,14 +80,21 @@ def anchors(texts: list[bytes], span: int, gram: int) -> list[tuple[np.ndarray,
     return out
 
 
-def first_pass(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """doc_id, text_key, n_bytes, sha256 of the whole text, and the anchors as arrays."""
+def word_bytes(texts: list[bytes]) -> list[bytes]:
+    """The texts as the hashes of their words, ``WORD_BYTES`` each."""
+    return [h.tobytes() for h, _, _ in tv.batch_words(texts, tv.SPACE_SEP)]
+
+
+def first_pass(docs: DataFrame, span: int, gram: int, by_word: bool = False) -> DataFrame:
+    """doc_id, text_key, n_bytes, sha256 of the whole text, and the anchors as arrays; ``by_word``: n_bytes and
+    the anchors are those of the word hashes."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [tv.to_bytes(t) for t in pdf["text"].tolist()]
-            got = anchors(texts, span, gram)
+            read = word_bytes(texts) if by_word else texts
+            got = anchors(read, span, gram)
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "text_key": [tv.digest16(t) for t in texts], "n_bytes": [len(t) for t in texts],
+                "doc_id": pdf["doc_id"].astype("Int64"), "text_key": [tv.digest16(t) for t in texts], "n_bytes": [len(t) for t in read],
                 "sha": [hashlib.sha256(t).hexdigest() for t in texts], "h": [tv.signed(g[0]) for g in got],
                 "ctx": [tv.signed(g[1]) for g in got], "pos": [g[2] for g in got]})
 
@@ -130,7 +142,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "text_key binary, text binary").dropDuplicates(["text_key"]).join(wanted, "text_key")
 
 
-def contexts(docs: DataFrame, places: DataFrame, span: int, gram: int) -> DataFrame:
+def contexts(docs: DataFrame, places: DataFrame, span: int, gram: int, by_word: bool = False) -> DataFrame:
     """Cut out the context of each place (h, text_key, pos, n): adds where it starts (lo), the anchor in it (a) and the bytes."""
     reach = span - gram
     wanted = cut(places.groupBy("text_key").agg(F.collect_set(F.struct("h", "pos", "n")).alias("at")))
@@ -138,7 +150,8 @@ def contexts(docs: DataFrame, places: DataFrame, span: int, gram: int) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, t, at in zip(pdf["text_key"], pdf["text"], pdf["at"]):
+            texts = word_bytes(pdf["text"].tolist()) if by_word else pdf["text"]
+            for k, t, at in zip(pdf["text_key"], texts, pdf["at"]):
                 for x in at:
                     lo = max(0, x["pos"] - reach)
                     rows.append((x["h"], k, x["n"], lo, x["pos"] - lo, t[lo:x["pos"] + span]))
@@ -301,8 +314,9 @@ def counted_spans(rows: DataFrame, span: int) -> DataFrame:
     return strings.join(twice.select("s"), "s").select("text_key", "lo", (F.col("lo") + span).alias("hi"))
 
 
-def repeated_ranges(docs: DataFrame, seen: DataFrame, span: int, gram: int, shard_bytes: int, group_contexts: int) -> DataFrame:
-    """(text_key, ranges): merged byte ranges to remove, per distinct text that has any."""
+def repeated_ranges(docs: DataFrame, seen: DataFrame, span: int, gram: int, shard_bytes: int, group_contexts: int,
+                    by_word: bool = False) -> DataFrame:
+    """(text_key, ranges): merged byte ranges to remove, per distinct text that has any (``by_word``: of its word hashes)."""
     reach = span - gram
     live = live_anchors(seen)
     same = cut(live.groupBy("h", "ctx", "various").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "pos")).alias("one")))
@@ -311,7 +325,7 @@ def repeated_ranges(docs: DataFrame, seen: DataFrame, span: int, gram: int, shar
     differ = same.filter("various").select("h", "n", "one.text_key", "one.pos")
     crowded = cut(differ.groupBy("h").count().filter(F.col("count") > group_contexts).select("h", F.lit(True).alias("crowded")))
     found = whole.distinct()
-    cuts = cut(contexts(docs, differ, span, gram).join(crowded, "h", "left"))
+    cuts = cut(contexts(docs, differ, span, gram, by_word).join(crowded, "h", "left"))
     found = found.union(shard_spans(cuts.filter("crowded IS NULL"), span, gram, shard_bytes))
     if crowded.limit(1).count():
         found = found.union(counted_spans(cuts.filter("crowded"), span))
@@ -330,6 +344,23 @@ def repeated_ranges(docs: DataFrame, seen: DataFrame, span: int, gram: int, shar
         merge, "text_key binary, ranges array<struct<lo:long,hi:long>>")
 
 
+def _with_passages(t: bytes, ranges, passages) -> list[dict]:
+    """Byte ranges merged with ranges of word hashes (each of them null or a list)."""
+    if passages is None:
+        return ranges
+    _, start, end = tv.word_hashes(t, tv.SPACE_SEP)
+    at = [(r["lo"], r["hi"]) for r in (() if ranges is None else ranges)]
+    # whole words only
+    at += [(int(start[-(-r["lo"] // WORD_BYTES)]), int(end[r["hi"] // WORD_BYTES - 1])) for r in passages]
+    out: list[dict] = []
+    for lo, hi in sorted(at):
+        if out and lo <= out[-1]["hi"]:
+            out[-1]["hi"] = max(out[-1]["hi"], hi)
+        else:
+            out.append({"lo": lo, "hi": hi})
+    return out
+
+
 def _whole_characters(t: bytes, ranges) -> str:
     """The text without the characters that lie wholly in the ranges (the others stay whole)."""
     keep, at = [], 0
@@ -345,20 +376,32 @@ def _whole_characters(t: bytes, ranges) -> str:
 
 
 def remove(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_bytes: int = SHARD_BYTES,
-           group_contexts: int = GROUP_CONTEXTS, with_text: bool = False) -> DataFrame:
+           group_contexts: int = GROUP_CONTEXTS, with_text: bool = False, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row; ``with_text`` adds text_key and, for texts that
-    lost something, kept_text (characters that lie wholly in a removed range are gone)."""
+    lost something, kept_text (characters that lie wholly in a removed range are gone). ``words``: passages of
+    that many words that occur anywhere else go too."""
     prepare(docs.sparkSession)
     docs = id_text(docs)
+    passages = None
+    if words:  # first, so that its anchors are released before those of the bytes are written
+        wide, small = words * WORD_BYTES, max(1, min(gram, words * WORD_BYTES // 2))
+        passages = cut(repeated_ranges(docs, cut(first_pass(docs, wide, small, True)), wide, small, shard_bytes, group_contexts, True)
+                       .withColumnRenamed("ranges", "passages"))
     seen = cut(first_pass(docs, span, gram))
     ranges = cut(repeated_ranges(docs, seen, span, gram, shard_bytes, group_contexts))
     size = seen.select("text_key", "n_bytes").distinct()
-    known = cut(ranges.join(size, "text_key").withColumn("all", (F.size("ranges") == 1) & (F.col("ranges")[0]["hi"] - F.col("ranges")[0]["lo"] == F.col("n_bytes"))))
+    known = ranges.join(size, "text_key").withColumn("all", (F.size("ranges") == 1) & (F.col("ranges")[0]["hi"] - F.col("ranges")[0]["lo"] == F.col("n_bytes")))
+    if passages is None:
+        known = known.withColumn("passages", F.lit(None).cast("array<struct<lo:long,hi:long>>"))
+    else:
+        known = known.join(passages, "text_key", "full").withColumn("all", F.coalesce("all", F.lit(False)))
+    known = cut(known)
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, t, ranges_ in zip(pdf["text_key"], pdf["text"], pdf["ranges"]):
+            for k, t, bytes_, words_ in zip(pdf["text_key"], pdf["text"], pdf["ranges"], pdf["passages"]):
+                ranges_ = _with_passages(t, bytes_, words_)
                 sha, at, gone = hashlib.sha256(), 0, 0
                 for r in ranges_:
                     sha.update(t[at:r["lo"]])
@@ -369,7 +412,7 @@ def remove(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_bytes: int
             yield pd.DataFrame(rows, columns=["text_key", "n_removed", "n_spans", "kept", "kept_text"])
 
     schema = "text_key binary, n_removed long, n_spans long, kept string, kept_text string"
-    part = texts_of(docs, known.filter("NOT all").select("text_key", "ranges")).mapInPandas(cut_out, schema)
+    part = texts_of(docs, known.filter("NOT all").select("text_key", "ranges", "passages")).mapInPandas(cut_out, schema)
     full = known.filter("all").select("text_key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
                                       F.lit(EMPTY).alias("kept"), F.lit("").alias("kept_text"))
     out = seen.select("doc_id", "text_key", "n_bytes", "sha").join(part.union(full), "text_key", "left")
