@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import cut, prepare, split_by_text, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR_SHINGLE = 5
+NEAR_PERCENT = 80
 PASSAGE_WORDS = 51
 
 
@@ -35,10 +37,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shingle similarity the row with the smallest doc_id stays."""
+    """Of each group linked by five-word shingle similarity from 0.8 the row with the smallest doc_id stays."""
     from riskloom.llm.ngram_join import join
     docs = _columns(docs)
-    rows = cut(join(docs).filter("component IS NOT NULL").select("doc_id", "text_key", "component"))
+    rows = cut(join(docs, k=NEAR_SHINGLE, percent=NEAR_PERCENT).filter("component IS NOT NULL").select("doc_id", "text_key", "component"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     groups = rows.groupBy("component").agg(F.count("*").alias("n"), F.min(first).alias("stays")).filter("n > 1")
     fate = cut(rows.join(groups, "component").groupBy("doc_id", "text_key").agg(F.first("stays").alias("stays")).select(

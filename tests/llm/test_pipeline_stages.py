@@ -52,3 +52,48 @@ def test_cut_repeats_against_brute_force(spark, make_docs):
     assert all(r.n_chars == len(r.text or "") for r in got)
     left = {r.doc_id: r.text for r in got}
     assert len(shared[60]) < 400 and shared[60] not in left[12] and shared[50] in left[2] and left[134] == "" and left[131] == ""
+
+
+def near_copies_brute(rows):
+    """doc_ids that stay: the least of each component of five-word Jaccard similarity from 0.8 (ids are distinct)."""
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        k = min(5, len(w))
+        sets[i] = {tuple(w[p:p + k]) for p in range(len(w) - k + 1)} if w else set()
+    stands_for = {i: i for i in sets}
+
+    def find(i):
+        while stands_for[i] != i:
+            i = stands_for[i]
+        return i
+
+    ids = sorted(i for i in sets if sets[i])
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                stands_for[y] = x
+    return Counter(i for i in sets if find(i) == i)
+
+
+def test_drop_near_copies_against_brute_force(spark, make_docs):
+    """Near copies of 0.7 to 1.0: replaced words, added blocks, chains."""
+    rng = random.Random(5)
+    rows = [(1, None), (2, ""), (3, "one"), (4, "ONE")]
+    for base in range(40):
+        t = some_text(rng, rng.choice([30, 100, 250]), 7).split(" ")
+        rows.append((len(rows) + 1, " ".join(t)))
+        for _ in range(3):
+            u = list(t)
+            for _ in range(rng.randint(0, max(1, len(t) // 25))):
+                u[rng.randrange(len(u))] = some_text(rng, 1, 9)
+            if base % 2:
+                u += some_text(rng, round(len(t) * rng.uniform(0.05, 0.3)), 7).split(" ")
+            rows.append((len(rows) + 1, " ".join(u)))
+    rng.shuffle(rows)
+    got = cp.drop_near_copies(spark, make_docs(rows), None).select("doc_id").collect()
+    want = near_copies_brute(rows)
+    assert Counter(r.doc_id for r in got) == want
+    assert 60 < sum(want.values()) < len(rows) - 30
