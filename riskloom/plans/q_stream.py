@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from riskloom.operators.catalog import RULE_OUTPUT
+from riskloom.plans.q_corpus import PYTHON_KEYS
 from riskloom.plans.registry import ORACLES, register
 from riskloom.session import ensure_checkpoint_dir
 from riskloom.sources import fixtures as fx
@@ -12,7 +13,7 @@ from riskloom.streaming import incremental as inc
 
 STREAM_KEYS = ["config_debug", "config_cors", "js_dynamic_exec", "js_auth_bypass", "raw_ip_url", "raw_ip_socket",
                   "install_script", "secret_signatures", "secret_entropy", "js_prompt_injection",
-                  "env_committed", "isolated_domain", "typosquat", "obscure_dependency"]
+                  "env_committed", "isolated_domain", "typosquat", "obscure_dependency", *PYTHON_KEYS]
 
 
 def _stream_findings_oracle() -> str:
@@ -35,8 +36,7 @@ def _code_files_stream(spark):
 def register_all() -> None:
     @register("stream_findings", _stream_findings_oracle())
     def q_stream_findings(spark, sf_dir):
-        # the Python rules have no SQL form: tests hold the full stream to the batch operators
-        out = inc.stream_findings(spark, sf_dir, _code_files_stream(spark), _work_dir(spark, "findings"), python=False)
+        out = inc.stream_findings(spark, sf_dir, _code_files_stream(spark), _work_dir(spark, "findings"))
         return out.select(*RULE_OUTPUT).distinct()
 
     @register("stream_scan_status", ORACLES["remediation_status_current"])
