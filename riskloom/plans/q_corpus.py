@@ -48,6 +48,12 @@ def _merged(spark, sf_dir):
     return files, el, mg.merge_findings(mg.static_findings(files, el, rejected=rejected)), rejected
 
 
+def _merged_all(spark, sf_dir):
+    files, el = corpus(spark, sf_dir)
+    rejected = mg.rejected_repos(files)
+    return files, el, mg.merge_findings(mg.all_findings(files, el, rejected)), rejected
+
+
 def merged_oracle(keys: list[str] | None = None) -> str:
     return _merged_sql(keys) + "SELECT * FROM merged"
 
@@ -114,6 +120,26 @@ def split_scan(df):
     return df.select("scan.repo_id", "scan.commit_sha", *rest)
 
 
+FINDING_KEY = ["repo_id", "commit_sha", "file_path", "line_start", "title"]
+
+
+def with_latest_remediation(findings, outcomes, key):
+    """Findings with the status and tier of their latest remediation (left outer join, null keys match)."""
+    rems = outcomes.select(*key, F.col("status"), F.col("tier"),
+                           F.xxhash64(*key).alias("remediation_id"),
+                           F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    latest = (rems.groupBy(*key)
+              .agg(F.max_by(F.struct("status", "tier", "remediation_id"),
+                            F.struct(F.coalesce("created_at", F.lit("0001-01-01").cast("timestamp_ntz")),
+                                     "remediation_id")).alias("r"))
+              .select(*key, F.col("r.status").alias("remediation_status"),
+                      F.col("r.tier").alias("remediation_tier")))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(f"m.{k}").eqNullSafe(F.col(f"l.{k}"))
+    return findings.alias("m").join(latest.alias("l"), same, "left").select("m.*", "l.remediation_status", "l.remediation_tier")
+
+
 def register_all() -> None:
     @register("static_findings", merged_oracle())
     def q_static_findings(spark, sf_dir):
@@ -145,7 +171,7 @@ def register_remediation() -> None:
 
     @register("fix_proposals")
     def q_fix_proposals(spark, sf_dir):
-        files, el, merged, _ = _merged(spark, sf_dir)
+        files, el, merged, _ = _merged_all(spark, sf_dir)
         p = fx_.fix_proposals(merged, files)
         return p.select("repo_id", "commit_sha", "file_path", "line_start", "category", "title", "tier", "target_file",
                         "has_change", F.size("edits").alias("edits"), "guidance")
@@ -164,7 +190,7 @@ def register_context() -> None:
     from riskloom.operators import enrich as en
     from riskloom.plans import oracle_parts as op
 
-    ctx_oracle = _merged_sql().rstrip() + ",\n" + op.code_prefix().replace("WITH ", "", 1).rstrip() + f""",
+    ctx_oracle = _merged_sql(STATIC_KEYS + PYTHON_KEYS).rstrip() + ",\n" + op.code_prefix().replace("WITH ", "", 1).rstrip() + f""",
 fl AS (
   SELECT m.repo_id, m.commit_sha, m.file_path, m.line_start, m.line_end, m.title, m.detector,
          coalesce(m.line_start, 1) AS a0, x.line_no, x.ltext,
@@ -183,7 +209,7 @@ GROUP BY repo_id, commit_sha, file_path, line_start, title, detector, s, e"""
 
     @register("code_context", ctx_oracle)
     def q_code_context(spark, sf_dir):
-        files, el, merged, _ = _merged(spark, sf_dir)
+        files, el, merged, _ = _merged_all(spark, sf_dir)
         c = en.code_context(merged, files)
         return c.where(F.col("context").isNotNull()).select(
             "repo_id", "commit_sha", "file_path", "line_start", "title", "detector", F.col("context_start").cast("int"),
@@ -191,20 +217,23 @@ GROUP BY repo_id, commit_sha, file_path, line_start, title, detector, s, e"""
 
     @register("reasoning_requests")
     def q_reasoning_requests(spark, sf_dir):
-        files, el, merged, _ = _merged(spark, sf_dir)
+        files, el, merged, _ = _merged_all(spark, sf_dir)
         return en.reasoning_requests(en.code_context(merged, files))
 
     @register("report_markdown")
     def q_report_markdown(spark, sf_dir):
         from riskloom.operators import findings as fnd
+        from riskloom.operators import fixes as fx_
         from riskloom.session import cut_lineage
-        files, el, merged, rejected = _merged(spark, sf_dir)
+        files, el, merged, rejected = _merged_all(spark, sf_dir)
         # merged findings and the per-scan report rows are read by many branches: materialise once
-        keyed = cut_lineage(with_scan(merged.withColumn("_det", mg.detector_rank(F.col("detector")))))
+        merged = cut_lineage(merged)
+        keyed = with_scan(merged.withColumn("_det", mg.detector_rank(F.col("detector"))))
         inv = with_scan(mg.gate(src.repo_inventory(el), rejected=rejected)).select("scan", "files_scanned")
         reports = cut_lineage(rpt.scan_reports(keyed, inv, scan_col="scan", tie=CORPUS_TIE))
-        ranked = (keyed.withColumn("finding_id", F.xxhash64("file_path", "line_start", "title", "category"))
-                  .withColumn("remediation_status", F.lit(None).cast("string")))
+        outcomes = fx_.remediation_outcomes(fx_.fix_proposals(merged, files), files)
+        ranked = with_latest_remediation(keyed, outcomes, [*FINDING_KEY, "category"]).withColumn(
+            "finding_id", F.xxhash64("file_path", "line_start", "title", "category"))
         ranked = fnd.row_number_skew_safe(
             ranked.withColumn("_sev", rpt.severity_rank(F.col("severity"))).withColumn("_nc", -F.col("confidence")),
             ["scan", "_sev"], ["_nc", "file_path", "_det", "line_start", "title"], out="sev_position")
@@ -232,20 +261,7 @@ def register_remediation_views() -> None:
     def q_report_findings(spark, sf_dir):
         """Every merged finding with its latest remediation (left outer join)."""
         merged, outcomes = _outcomes(spark, sf_dir)
-        key = ["repo_id", "commit_sha", "file_path", "line_start", "title"]
-        rems = outcomes.select(*key, F.col("status"), F.col("tier"),
-                               F.xxhash64(*key).alias("remediation_id"),
-                               F.lit(None).cast("timestamp_ntz").alias("created_at"))
-        latest = (rems.groupBy(*key)
-                  .agg(F.max_by(F.struct("status", "tier", "remediation_id"),
-                                F.struct(F.coalesce("created_at", F.lit("0001-01-01").cast("timestamp_ntz")),
-                                         "remediation_id")).alias("r"))
-                  .select(*key, F.col("r.status").alias("remediation_status"),
-                          F.col("r.tier").alias("remediation_tier")))
-        same = F.lit(True)
-        for k in key:
-            same = same & F.col(f"m.{k}").eqNullSafe(F.col(f"l.{k}"))
-        joined = merged.alias("m").join(latest.alias("l"), same, "left").select("m.*", "l.remediation_status", "l.remediation_tier")
+        joined = with_latest_remediation(merged, outcomes, FINDING_KEY)
         return joined.select(*RULE_OUTPUT, "description", "fix_suggestion",
                                                        "remediation_status", "remediation_tier")
 
