@@ -106,7 +106,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an edge list (u, v): alternating large-star and small-star rounds.
 
     Every round is a grouped minimum and an equi-join; only edges move and each round is cut into the
-    shared folder. Stops when a round changes nothing.
+    shared folder. Stops when a round changes nothing; an error if ``max_rounds`` do not get there.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -130,5 +130,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         then, seen = seen, state(now)
         if then == seen:
             break
+    else:
+        raise RuntimeError(f"components: the edges still change after {max_rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
