@@ -5,7 +5,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import pattern_hits
+from scan_probe import pattern_hits
 
 ALPHABET = st.sampled_from(list("ab =:\nTtruedebugDEBUG\r\t\"'*[]xhttp://1.2.3.4/"))
 PATTERNS = [

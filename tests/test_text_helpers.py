@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
-from conftest import pattern_hits
+from scan_probe import pattern_hits
 from riskloom.operators.scan import check_pattern
 
 CASES = [
@@ -120,6 +120,7 @@ def test_repository_url_must_match_whole(spark):
 
 
 def test_snippets_are_linear_in_matches(spark, make_files):
+    import statistics
     import time
 
     from riskloom.operators.textscan import text_hits
@@ -132,8 +133,11 @@ def test_snippets_are_linear_in_matches(spark, make_files):
         assert text_hits(el, ["url"]).agg(F.count("snippet")).collect()[0][0] == n
         return time.time() - t0
 
+    def middle(n):
+        return statistics.median(seconds(n) for _ in range(3))
+
     seconds(100)
-    assert seconds(16_000) < 12 * max(0.5, seconds(2_000))
+    assert middle(16_000) < 12 * max(0.5, middle(2_000))
 
 
 def test_redaction_reaches_the_cut(spark, make_files):
