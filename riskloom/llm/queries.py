@@ -138,3 +138,10 @@ def _op8(spark, sf_dir):
     from riskloom.llm.common import table
     from riskloom.llm.substrings import remove
     return remove(table(spark, sf_dir, "documents"))
+
+
+@query("op11_sentencepiece")
+def _op11(spark, sf_dir):
+    from riskloom.llm.common import table
+    from riskloom.llm.pieces import decode, digests, encode
+    return digests(decode(encode(table(spark, sf_dir, "documents"))))
