@@ -145,3 +145,69 @@ def _op11(spark, sf_dir):
     from riskloom.llm.common import table
     from riskloom.llm.pieces import decode, digests, encode
     return digests(decode(encode(table(spark, sf_dir, "documents"))))
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of a text; ``tab`` is the list of 256 table values."""
+    byte = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {byte}), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)"
+
+
+_CRC_TABLE = """rounds(n, c, k) AS (SELECT n, n, 0 FROM (SELECT unnest(range(256)) AS n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM rounds WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS tab FROM rounds WHERE k = 8)"""
+
+_OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS word FROM d),
+bw AS (SELECT unnest({_ALNUM}) AS word FROM benchmark),
+vocabulary AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)),
+hashed AS (SELECT word, {_crc_sql('word')} % 10000 AS bucket FROM vocabulary, crc_table),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT count(*) FROM dw) + 10000))::DOUBLE
+  / ((coalesce(s, 0) + 1) * ((SELECT count(*) FROM bw) + 10000))::DOUBLE))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM dw JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM ranked) THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
+@query("op12_importance_resampling", _OP12_SQL)
+def _op12(spark, sf_dir):
+    from riskloom.llm.common import table
+    from riskloom.llm.importance import resample
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+per AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE len(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM per, crc_table),
+spelt AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word FROM hashed),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, unnest(range(1, len(word) + 1))::INT AS i FROM w)),
+pairs AS (SELECT DISTINCT x, y FROM (
+  SELECT p.word AS x, q.word AS y FROM cuts p JOIN cuts q USING (i, a, b) WHERE p.word <> q.word
+  UNION ALL SELECT c.word, w.word FROM cuts c JOIN w ON w.word = c.a || c.b
+  UNION ALL SELECT w.word, c.word FROM cuts c JOIN w ON w.word = c.a || c.b)),
+best AS (SELECT x, count(*) AS n_near, first(struct_pack(y, n) ORDER BY n DESC, encode(y)) AS top FROM pairs JOIN w ON w.word = y GROUP BY x),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 5 * w.n THEN top.y END AS form,
+  CASE WHEN top.n >= 5 * w.n THEN top.n END AS form_n FROM w LEFT JOIN best ON x = w.word),
+follow(word, dest) AS (SELECT word, word FROM formed UNION ALL SELECT follow.word, formed.form FROM follow JOIN formed ON formed.word = dest WHERE form IS NOT NULL)
+SELECT formed.word, formed.form, dest AS root, formed.n, formed.n_near, formed.form_n
+FROM formed JOIN follow ON follow.word = formed.word JOIN formed e ON e.word = dest WHERE e.form IS NULL
+"""
+
+
+@query("op13_spelling_variants", _OP13_SQL)
+def _op13(spark, sf_dir):
+    from riskloom.llm.common import table
+    from riskloom.llm.spelling import variants
+    return variants(table(spark, sf_dir, "documents"))
