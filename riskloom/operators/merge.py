@@ -43,33 +43,44 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def static_findings(files: DataFrame, eligible: DataFrame, hits: DataFrame | None = None,
-                    rejected: DataFrame | None = None) -> DataFrame:
-    """Regex/JSON/text detectors (everything except the Python AST rules).
+def scan_tables(files: DataFrame, eligible: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(regex hits, files read whole, URL references): what the text rules read instead of the corpus.
 
-    The content of the corpus is scanned once (``text_hits``); the hit table
-    is checkpointed so the detectors below read it instead of the corpus.
+    The content of the corpus is scanned once for the hit table, which is checkpointed; manifests, .gitignore,
+    env files and package.json are one small checkpointed extract.
     """
-    if hits is None:
-        hits = cut_lineage(text_hits(eligible))
-    if rejected is None:
-        rejected = rejected_repos(files)
-    # manifests, .gitignore, env files and package.json: one small checkpointed extract
-    special = cut_lineage(src.special_files(files))
+    hits = cut_lineage(text_hits(eligible))
+    return hits, cut_lineage(src.special_files(files)), net.url_refs(eligible, hits)
+
+
+def local_findings(eligible: DataFrame, hits: DataFrame, special: DataFrame, refs: DataFrame) -> DataFrame:
+    """Text rules that look at one file only."""
     special_el = special.where("eligible")
     manifests = src.manifest_files(special.drop("eligible", "name", "suffix", "suffix_l", "is_source"))
-    refs = net.url_refs(eligible, hits)
     backdoor = net.backdoor_dedupe(_union([
-        net.raw_ip_url(eligible, refs), net.raw_ip_socket(eligible, hits), net.isolated_domain(eligible, refs),
-        net.install_script(special_el)]))
-    return gate(_union([
-        sec.secret_findings(eligible, hits),
-        cr.config_debug(eligible, hits), cr.config_cors(eligible, hits), cr.env_committed(special_el, special),
-        dep.dependency_findings(manifests),
-        js.js_dynamic_exec(eligible, hits), js.js_auth_bypass(eligible, hits),
-        backdoor,
-        pr.js_prompt_injection(eligible, hits),
-    ]), rejected=rejected)
+        net.raw_ip_url(eligible, refs), net.raw_ip_socket(eligible, hits), net.install_script(special_el)]))
+    return _union([
+        sec.secret_findings(eligible, hits), cr.config_debug(eligible, hits), cr.config_cors(eligible, hits),
+        dep.dependency_findings(manifests), js.js_dynamic_exec(eligible, hits), js.js_auth_bypass(eligible, hits),
+        backdoor, pr.js_prompt_injection(eligible, hits)])
+
+
+def cross_file_findings(special: DataFrame, refs: DataFrame) -> DataFrame:
+    """Rules that look at a whole scan: env files against .gitignore, hosts that occur once. (Their local merge
+    has keys of its own: titles differ from those of the other network rules.)"""
+    return cr.env_committed(special.where("eligible"), special).unionByName(net.backdoor_dedupe(net.isolated_domain(refs, refs)))
+
+
+def static_findings(files: DataFrame, eligible: DataFrame, hits: DataFrame | None = None,
+                    rejected: DataFrame | None = None) -> DataFrame:
+    """Regex/JSON/text detectors (everything except the Python AST rules)."""
+    if hits is None:
+        hits, special, refs = scan_tables(files, eligible)
+    else:
+        special, refs = cut_lineage(src.special_files(files)), net.url_refs(eligible, hits)
+    if rejected is None:
+        rejected = rejected_repos(files)
+    return gate(local_findings(eligible, hits, special, refs).unionByName(cross_file_findings(special, refs)), rejected=rejected)
 
 
 def all_findings(files: DataFrame, eligible: DataFrame, rejected: DataFrame | None = None) -> DataFrame:

@@ -116,10 +116,20 @@ SELECT event_id, user_id AS remediation_id, ts,
 FROM {events}
 """
 
+# Status events of scans: the users of `events` stand for the two scans (commits) of each repository.
+SCAN_EVENTS_TEMPLATE = r"""
+SELECT 'repo-' || lpad(CAST(repo AS STRING), 5, '0') AS repo_id, md5('repo-' || CAST(repo AS STRING) || '@' || CAST(rev AS STRING)) AS commit_sha,
+  event_id, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'cloning' WHEN 'purchase' THEN 'complete'
+    WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN 'static_scan' WHEN 1 THEN 'ai_review' ELSE 'merging' END ELSE 'failed' END AS status
+FROM (SELECT event_id, ts, event_type, user_id % repos AS repo, CAST(floor(user_id / repos) AS BIGINT) % 2 AS rev
+      FROM {events} CROSS JOIN (SELECT CAST(floor(max(doc_id) / 50) AS BIGINT) + 1 AS repos FROM {documents}) AS n) AS e
+"""
+
 VIEW_TEMPLATES = {
     "code_files": (CODE_FILES_TEMPLATE, ("documents",)),
     "findings_base": (FINDINGS_BASE_TEMPLATE, ("lineitem",)),
     "remediation_events": (REMEDIATION_EVENTS_TEMPLATE, ("events",)),
+    "scan_events": (SCAN_EVENTS_TEMPLATE, ("events", "documents")),
 }
 
 
@@ -163,3 +173,10 @@ def reasoning_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remediation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     return spark.sql(REMEDIATION_EVENTS_TEMPLATE, events=ev)
+
+
+def scan_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Scan status events of the whole events table, or of a given (streamed) one."""
+    ev = read_table(spark, sf_dir, "events") if events is None else events
+    docs = read_table(spark, sf_dir, "documents").select("doc_id")
+    return spark.sql(SCAN_EVENTS_TEMPLATE, events=ev.select("event_id", "ts", "user_id", "event_type"), documents=docs)

@@ -87,22 +87,6 @@ def test_duration_and_error_text(spark):
     assert len(e.select(tx.error_text(F.col("k"), F.col("m"))).first()[0]) == 1000
 
 
-def test_findings_sink_replaces_scans_and_keeps_others(spark, tmp_path):
-    from riskloom.sources.sinks import write_findings
-    schema = "repo_id string, commit_sha string, file_path string, line_start int"
-    out = str(tmp_path / "findings")
-
-    def write(day, *rows):
-        write_findings(spark.createDataFrame(rows, schema), out, day, buckets=1)
-
-    write("2024-01-01", ("a", "c1", "a.py", 1), ("a", "c1", "a.py", 2))
-    write("2024-01-01", ("b", "c1", "b.py", 1))
-    write("2024-01-02", ("a", "c1", "a.py", 1))
-    write("2024-01-01", ("a", "c1", "a.py", 3), ("a", "c2", "a.py", 9))
-    got = sorted((str(r.scan_date), r.repo_id, r.commit_sha, r.line_start) for r in spark.read.parquet(out).collect())
-    assert got == [("2024-01-01", "a", "c1", 3), ("2024-01-01", "a", "c2", 9), ("2024-01-01", "b", "c1", 1), ("2024-01-02", "a", "c1", 1)]
-
-
 def test_cut_lineage_keeps_partitions_and_null_groups_are_numbered(spark):
     from riskloom.operators.findings import row_number_skew_safe
     from riskloom.session import cut_lineage
