@@ -59,16 +59,16 @@ def replace_rows(rows: DataFrame, path: str, key: list[str], days: list[str] | N
     new = cut_lineage(rows.withColumn("part", part))
     gone = new.select("part", *days, *key).distinct() if keys is None else cut_lineage(
         keys.select(part.alias("part"), *days, *key).distinct())
-    touched = sorted(r[0] for r in gone.select("part").distinct().collect())
+    touched = {f"part={r[0]}" for r in gone.select("part").distinct().collect()}
     base, folder, schema = None, "", new.drop("part").schema
     for _ in range(ATTEMPTS):
         now = snap.current(spark, path)
         if base is None or any(now.parts.get(p) != base.parts.get(p) for p in touched):
             folder = f"data-{uuid.uuid4().hex}"
-            _write_parts(new, gone, snap.read(spark, path, now, [f"part={p}" for p in touched]), f"{path}/{folder}", part, [*days, *key], order or [], newest)
+            _write_parts(new, gone, snap.read(spark, path, now, sorted(touched)), f"{path}/{folder}", part, [*days, *key], order or [], newest)
         base = now
         written = {n: folder for n in snap.Folder(spark, f"{path}/{folder}").names() if n.startswith("part=")}
-        parts = {n: d for n, d in now.parts.items() if n not in {f"part={p}" for p in touched}} | written
+        parts = {n: d for n, d in now.parts.items() if n not in touched} | written
         if between is not None:
             between()
         if snap.commit(spark, path, now, parts, schema):

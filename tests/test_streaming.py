@@ -44,50 +44,27 @@ class Corpus:
         return found(mg.all_findings(files, eligible_files(files)))
 
 
-def test_stream_equals_batch_through_restarts(spark, tmp_path):
+def test_stream_equals_batch_through_restarts(spark, tmp_path, monkeypatch):
     c = Corpus(spark, tmp_path)
     first = rows({"settings.py": "DEBUG = True\n", "k.py": f'K = "{KEY}"\n', "d.py": "eval('a' + 'b')\n", "requirements.txt": "reqeusts==1\n",
                   "a.py": 'get("https://one.example.net/x")\n'})
-    c.add(first + rows({".env": "A=1\n"}, sha="s2") + rows({"c.py": "eval(a + b)\n"}, "r2"))
+    # one file comes with two contents in one batch: the later one counts
+    c.add(first + rows({".env": "A=1\n"}, sha="s2") + rows({"c.py": "eval(a + b)\n", "o.py": "DEBUG = True\n"}, "r2")
+          + rows({"o.py": "y = 2\n"}, "r2", at="2024-01-01 00:00:09") + rows({"d.py": "eval('a' + 'b')\n"}, "r9"))
     got = c.drain()
-    assert got == c.batch() and len(got) == len(set(got)) >= 6
-    # the same files again, a late .gitignore, a second reference to a host and a corrected file
-    c.add(first)
-    c.add(rows({".gitignore": ".env\n"}, sha="s2") + rows({"b.py": 'get("https://one.example.net/y")\n', "settings.py": "x = 1\n"}, at="2024-01-01 01:00:00"))
-    then = c.drain()
-    assert then == c.batch() and not set(then) & {r for r in got if ".env" in r or "settings.py" in r}
-    # a repeat after the watermark has forgotten the file: its rows are replaced, not added
-    c.add(rows({"z.py": "pass\n"}, "r3", at="2024-02-01 00:00:00"))
-    c.drain()
+    assert got == c.batch() and len(got) == len(set(got)) >= 8 and any(r[0] == "r9" for r in got)
+    # repeats alone are dropped by the state: no rule runs
+    with monkeypatch.context() as m:
+        m.setattr(mg, "scan_tables", lambda *a: pytest.fail("a repeated file was read again"))
+        c.add([(*r[:5], "2024-01-01 00:30:00") for r in first])
+        assert c.drain() == got
+    # a late .gitignore, a second reference to a host, a corrected file, a scan that grows beyond the size limit,
+    # and a repeat after the watermark has forgotten the file: its rows are replaced, not added
+    c.add(rows({".gitignore": ".env\n"}, sha="s2") + rows({"b.py": 'get("https://one.example.net/y")\n', "settings.py": "x = 1\n"}, at="2024-01-01 01:00:00")
+          + [("r9", "s1", "big.bin", "", 600 * 1024 * 1024, "2024-01-01 00:00:00")] + rows({"z.py": "pass\n"}, "r3", at="2024-02-01 00:00:00"))
     c.add(rows({"d.py": "eval('a' + 'b')\n"}, at="2024-02-01 00:10:00"))
-    assert c.drain() == c.batch()
-
-
-def test_two_contents_of_a_file_in_one_batch(spark, tmp_path):
-    c = Corpus(spark, tmp_path)
-    c.add(rows({"settings.py": "DEBUG = True\n", "o.py": "eval('a' + 'b')\n"}) + rows({"settings.py": "y = 2\n"}, at="2024-01-01 00:00:09"))
-    assert c.drain() == c.batch() != []
-
-
-def test_repeats_do_no_work(spark, tmp_path, monkeypatch):
-    c = Corpus(spark, tmp_path)
-    c.add(rows({"a.py": "eval('a' + 'b')\n"}))
-    c.drain()
-    seen = []
-    scan = mg.scan_tables
-    monkeypatch.setattr(mg, "scan_tables", lambda files, el: seen.append(files.count()) or scan(files, el))
-    c.add(rows({"a.py": "eval('a' + 'b')\n"}, at="2024-01-01 00:30:00"))
-    got = c.drain()
-    assert sum(seen) == 0 and got == c.batch()
-
-
-def test_over_limit_scan_has_no_findings(spark, tmp_path):
-    c = Corpus(spark, tmp_path)
-    c.add(rows({"a.py": "eval('a' + 'b')\n"}) + [("r9", "s", "b.py", "eval('a' + 'b')\n", 10, "2024-01-01 00:00:00")])
-    assert len(c.drain()) == 2
-    c.add([("r9", "s", "big.bin", "", 600 * 1024 * 1024, "2024-01-01 00:00:00")])
-    got = c.drain()
-    assert got == c.batch() and len(got) == 1
+    then = c.drain()
+    assert then == c.batch() and not any(r[0] == "r9" for r in then) and not {r for r in then if ".env" in r or "settings.py" in r}
 
 
 def test_nothing_written_is_an_error(spark, tmp_path):
