@@ -6,18 +6,21 @@
 - shell exec and joblib string values: as-of lookups (assignments and uses of
   a name in one ordered window, last assignment seen so far);
 - joblib parameters: a left-semi join against the scope's parameters;
-- prompt injection: an ordered fold of one scope's assignments and LLM calls
-  (bounded: a scope lives in one file of at most 1 MB).
+- prompt injection: parameters, assignments and LLM calls of a scope pass through
+  one task in order (a scope lives in one file of at most 1 MB).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.functions import text as tx
 from riskloom.operators.catalog import emit
+from riskloom.session import ship_package_code
 
 # Fixed values (rule constants).
 DYNAMIC_FUNCTIONS = ["eval", "exec"]
@@ -232,53 +235,58 @@ def is_llm_call(call_name: Column) -> Column:
     return ends | (tx.contains_any(low, LLM_MARKERS) & method)
 
 
-EVENT_TYPE = T.StructType([
-    T.StructField("seq", T.IntegerType()), T.StructField("is_call", T.BooleanType()),
-    T.StructField("name", T.StringType()), T.StructField("deps", T.ArrayType(T.StringType())),
-    T.StructField("const_taint", T.BooleanType()), T.StructField("line", T.IntegerType()),
-    T.StructField("snippet", T.StringType()),
-])
+TAINT_ROW = "repo_id string, commit_sha string, file_path string, line int, snippet string"
+
+
+def carry_taint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Calls with a tainted argument, from events in order of (file, scope, seq).
+
+    One pass with the names that are tainted now: a parameter starts tainted, an assignment sets or clears its
+    name, a call looks. An event costs its own names only, whatever has gone before it in the scope.
+    """
+    scope, tainted = None, set()
+    for batch in batches:
+        hits: list[tuple] = []
+        for e in batch.to_pylist():
+            here = (e["repo_id"], e["commit_sha"], e["file_path"], e["scope"])
+            if here != scope:
+                scope, tainted = here, set()
+            now = e["source"] or not tainted.isdisjoint(e["deps"])
+            if e["is_call"]:
+                if now:
+                    hits.append((*here[:3], e["line"], e["snippet"]))
+            elif now:
+                tainted.add(e["name"])
+            else:
+                tainted.discard(e["name"])
+        cols = list(zip(*hits)) if hits else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.string()) for i, c in enumerate(cols)],
+                                         ["repo_id", "commit_sha", "file_path", "line", "snippet"])
 
 
 def py_prompt_injection(facts: DataFrame) -> DataFrame:
-    """LLM calls whose prompt arguments are tainted, by an ordered fold of
-    each scope's events starting from the scope's parameters."""
+    """LLM calls whose prompt arguments are tainted. Parameters, assignments and calls of a scope pass through
+    its task once, in order; a scope lies in one file, so in one task."""
     f = _body_scope(facts)
+    none, nothing = F.lit(False), F.lit(None)
     prompt_args = F.filter("args", lambda a: a["kw"].isNull() | a["kw"].isin(PROMPT_KEYWORDS))
-    calls = (f.where((F.col("kind") == "call") & is_llm_call(F.col("name")))
-              .select(*FILE, "scope", F.struct(
-                  F.col("seq"), F.lit(True).alias("is_call"), F.col("name"),
-                  F.array_distinct(F.flatten(F.transform(prompt_args, lambda a: taint_names(a["value"])))).alias("deps"),
-                  F.exists(prompt_args, lambda a: taint_source(a["value"])).alias("const_taint"),
-                  F.col("line"), F.col("snippet")).alias("ev")))
-    assigns = (f.where(F.col("kind") == "assign")
-                .select(*FILE, "scope", F.struct(
-                    F.col("seq"), F.lit(False).alias("is_call"), F.col("name"), taint_names(F.col("value")).alias("deps"),
-                    taint_source(F.col("value")).alias("const_taint"), F.col("line"), F.col("snippet")).alias("ev")))
-    # only scopes that contain an LLM call need folding
-    scopes_with_calls = calls.select(*FILE, "scope").distinct()
-    events = (calls.unionByName(assigns).join(scopes_with_calls, [*FILE, "scope"], "left_semi")
-              .groupBy(*FILE, "scope").agg(F.sort_array(F.collect_list("ev")).alias("events")))
-    params = (f.where(F.col("kind") == "param").groupBy(*FILE, "scope")
-               .agg(F.collect_set("name").alias("params")))
-    scoped = events.join(params, [*FILE, "scope"], "left")
-    init = F.struct(F.coalesce(F.col("params"), F.array().cast("array<string>")).alias("tainted"),
-                    F.array().cast(T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()),
-                                                             T.StructField("snippet", T.StringType())]))).alias("hits"))
-
-    def step(acc, ev):
-        tainted_now = ev["const_taint"] | F.exists(ev["deps"], lambda d: F.array_contains(acc["tainted"], d))
-        new_set = F.when(ev["is_call"], acc["tainted"]).when(
-            tainted_now, F.array_union(acc["tainted"], F.array(ev["name"]))).otherwise(
-            F.array_remove(acc["tainted"], ev["name"]))
-        new_hits = F.when(ev["is_call"] & tainted_now, F.concat(acc["hits"], F.array(
-            F.struct(ev["line"].alias("line"), ev["snippet"].alias("snippet"))))).otherwise(acc["hits"])
-        return F.struct(new_set.alias("tainted"), new_hits.alias("hits"))
-
-    flagged = scoped.select(*FILE, F.explode(F.aggregate(F.col("events"), init, step,
-                                                         lambda acc: acc["hits"])).alias("h"))
-    per_line = (flagged.select(*FILE, "h.line", "h.snippet").groupBy(*FILE, "line")
-                .agg(F.min("snippet").alias("snippet")))
+    cols = [*FILE, "scope", "seq", "is_call", "name", "deps", "source", "line", "snippet"]
+    calls = f.where((F.col("kind") == "call") & is_llm_call(F.col("name"))).withColumn("is_call", F.lit(True)).withColumn(
+        "deps", F.array_distinct(F.flatten(F.transform(prompt_args, lambda a: taint_names(a["value"]))))).withColumn(
+        "source", F.exists(prompt_args, lambda a: taint_source(a["value"]))).select(*cols)
+    assigns = f.where(F.col("kind") == "assign").withColumn("is_call", none).withColumn("deps", taint_names(F.col("value"))).withColumn(
+        "source", taint_source(F.col("value"))).select(*cols)
+    params = f.where(F.col("kind") == "param").select(
+        *FILE, "scope", F.lit(-1).alias("seq"), none.alias("is_call"), "name", F.array().cast("array<string>").alias("deps"),
+        F.lit(True).alias("source"), nothing.cast("int").alias("line"), nothing.cast("string").alias("snippet"))
+    # only scopes that contain an LLM call are followed
+    scopes = calls.select(*FILE, "scope").distinct()
+    events = calls.unionByName(assigns).unionByName(params).join(scopes, [*FILE, "scope"], "left_semi").withColumn(
+        "source", F.coalesce("source", none)).withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
+    ordered = events.repartition(*FILE, "scope").sortWithinPartitions(*FILE, "scope", "seq", "is_call", "name")
+    ship_package_code()
+    flagged = ordered.mapInArrow(carry_taint, TAINT_ROW)
+    per_line = flagged.groupBy(*FILE, "line").agg(F.min("snippet").alias("snippet"))
     return emit(per_line, "py_prompt_injection", line_start=F.col("line"), snippet=F.col("snippet"),
                 description=F.lit(DESC_PROMPT))
 

@@ -31,5 +31,5 @@ def register(key: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from riskloom.plans import (  # noqa: F401
-        q_code, q_findings, q_rules, q_python, q_corpus, q_review, q_more, q_stream,
+        q_code, q_findings, q_rules, q_python, q_corpus, q_review, q_more, q_stream, q_registry,
     )

@@ -43,8 +43,8 @@ def replace_rows(rows: DataFrame, path: str, key: list[str], days: list[str] | N
     """Write ``rows`` as the next version; every key among ``keys`` (default: those of ``rows``) loses its
     earlier rows, all others keep theirs. Returns the version.
 
-    Parts are ``days`` (date columns) and a hash bucket of ``by`` (default: the key), so their number is bounded;
-    only touched parts are written again, the version names the others where they lie. Rows are range-partitioned,
+    Parts are ``days`` (date columns) and a hash bucket of ``by`` (default: the key): days times ``buckets`` folders,
+    so a table of many days takes few buckets. Only touched parts are written again, the version names the others where they lie. Rows are range-partitioned,
     so one key with very many rows is written by many tasks. Repeating a write changes nothing.
 
     ``newest``: instead of replacing, each key keeps the row for which this order is largest, old or new.
