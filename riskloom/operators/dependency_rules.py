@@ -110,6 +110,38 @@ def _closest_popular_sql(candidate: str) -> str:
             f"THEN array_min({scored}) END")
 
 
+def _deletions(text: Column, most: int) -> Column:
+    """The text and all texts with up to ``most`` of its characters deleted, each once."""
+    out = last = F.array(text)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda t: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))))))
+        out = F.array_union(out, last)
+    return out
+
+
+def close_names(names: DataFrame, catalogue: DataFrame, most: int = MAX_TYPO_DISTANCE) -> DataFrame:
+    """(name, popular, dist): for every name that is not in the catalogue the closest catalogue name within ``most``
+    edits (ties: the alphabetically first); ``names`` and ``catalogue`` have one column of texts.
+
+    Two texts within k edits share a text that both become by at most k deletions. Distinct names and catalogue
+    names meet on a hash of those signatures in an equi-join, whatever the size of either; distances are taken of
+    what meets. Names longer than the longest catalogue name by more than ``most`` have no signatures.
+    """
+    known = catalogue.select(F.col(catalogue.columns[0]).alias("popular")).where("popular IS NOT NULL AND popular <> ''").distinct()
+    longest = known.agg(F.max(F.length("popular"))).collect()[0][0] or 0
+    asked = names.select(F.col(names.columns[0]).alias("name")).where("name IS NOT NULL AND name <> ''").distinct().where(
+        F.length("name") <= longest + most)
+
+    def signed(df: DataFrame, column: str) -> DataFrame:
+        return df.select(column, F.explode(_deletions(F.col(column), most)).alias("s")).select(column, F.xxhash64("s").alias("s"))
+
+    met = signed(asked, "name").join(signed(known, "popular"), "s").select("name", "popular")
+    near = met.withColumn("dist", F.levenshtein("name", "popular", most)).where("dist >= 0")
+    best = near.groupBy("name").agg(F.min(F.struct("dist", "popular")).alias("b"))
+    return best.where("b.dist > 0").select("name", "b.popular", "b.dist")
+
+
 def typosquat_match(dep_name: Column) -> Column:
     """First segment (full name, then last path part) with a close popular name."""
     full = "regexp_replace(lower(dep_name), '[^a-z0-9]', '')"
@@ -139,6 +171,19 @@ def dependency_findings(manifests: DataFrame) -> DataFrame:
                               description=obscure_desc)))
 
 
+def catalogue_typosquats(manifests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """J5 against a catalogue of any size (one column, canonical names): (repo_id, commit_sha, file_path, line,
+    dep_name, popular, dist); the whole name is looked up first, then its last path segment."""
+    deps = dependencies(manifests).withColumn("whole", tx.canonicalize(F.col("dep_name"))).withColumn(
+        "last", tx.canonicalize(F.element_at(F.split("dep_name", "/"), -1)))
+    found = close_names(deps.select(F.explode(F.array("whole", "last")).alias("name")), catalogue)
+    for side in ("whole", "last"):
+        deps = deps.join(found.select(F.col("name").alias(side), F.struct("dist", "popular").alias(f"{side}_hit")), side, "left")
+    hit = F.coalesce("whole_hit", "last_hit")
+    return deps.withColumn("hit", hit).where("hit IS NOT NULL").select(
+        "repo_id", "commit_sha", "file_path", "line", "dep_name", "hit.popular", "hit.dist")
+
+
 def typosquat(manifests: DataFrame) -> DataFrame:
     return dependency_findings(manifests).where(F.col("category") == "typosquatted_dependency")
 

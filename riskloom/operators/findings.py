@@ -135,11 +135,29 @@ def recommendations(findings: DataFrame, scan_col: str = "scan_id", tie: Sequenc
     return numbered.select(scan_col, F.col("rec_no").cast("int").alias("rec_no"), "fix_suggestion")
 
 
+MARK_ORDER = ["marked_at", "user_id", "mark_id"]
+
+
+def latest_marks(marks: DataFrame) -> DataFrame:
+    """One mark per finding, the last one written: by time, then user, then mark (those of the columns that there
+    are); marks that cannot be told apart count as set if any of them is. An aggregation, combined per task."""
+    order = F.struct(*[c for c in MARK_ORDER if c in marks.columns], "is_false_positive")
+    return marks.where(F.col("finding_id").isNotNull()).groupBy("finding_id").agg(F.max_by("is_false_positive", order).alias("is_false_positive"))
+
+
+def record_marks(marks: DataFrame, path: str, buckets: int = 64) -> int:
+    """Append marks (finding_id, marked_at, user_id, mark_id, is_false_positive) to the mark table at ``path``, compacted:
+    each finding keeps its last mark, whatever order the writes come in."""
+    from riskloom.sources.sinks import replace_rows
+    rows = marks.where(F.col("finding_id").isNotNull()).select("finding_id", *MARK_ORDER, "is_false_positive")
+    return replace_rows(rows, path, ["finding_id"], buckets=buckets, newest=lambda: F.struct(*MARK_ORDER, "is_false_positive"))
+
+
 def mark_false_positive(findings: DataFrame, marks: DataFrame) -> DataFrame:
-    """Apply (finding_id, is_false_positive) updates; unmarked rows keep their flag."""
+    """Apply (finding_id, is_false_positive) marks, the last one of each finding; unmarked rows keep their flag."""
     base = findings if "is_false_positive" in findings.columns else \
         findings.withColumn("is_false_positive", F.lit(False))
-    m = marks.select("finding_id", F.col("is_false_positive").alias("_fp"))
+    m = latest_marks(marks).withColumnRenamed("is_false_positive", "_fp")
     return (base.join(m, "finding_id", "left")
                 .withColumn("is_false_positive", F.coalesce("_fp", "is_false_positive")).drop("_fp"))
 
