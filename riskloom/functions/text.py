@@ -172,8 +172,9 @@ def redact(line: Column, patterns: Iterable[tuple[str, str]]) -> Column:
 
 
 def duration_ms(started: Column, completed: Column) -> Column:
-    """max(0, milliseconds between two timestamps), NULL when the start is unknown."""
-    return F.when(started.isNotNull(), F.greatest(F.lit(0), F.unix_millis(completed) - F.unix_millis(started)))
+    """max(0, whole milliseconds between two timestamps), NULL when the start is unknown."""
+    between = F.unix_micros(completed) - F.unix_micros(started)
+    return F.when(started.isNotNull(), F.floor(F.greatest(F.lit(0), between) / 1000))
 
 
 def error_text(kind: Column, message: Column) -> Column:

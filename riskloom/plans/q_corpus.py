@@ -166,17 +166,23 @@ def register_all() -> None:
 register_all()
 
 
+def _outcomes_sql() -> str:
+    from riskloom.plans.oracle_fixes import proposals_sql
+    from riskloom.sources.fixtures import duck_view
+    return proposals_sql(_merged_sql(STATIC_KEYS + PYTHON_KEYS), duck_view("code_files"))
+
+
 def register_remediation() -> None:
     from riskloom.operators import fixes as fx_
 
-    @register("fix_proposals")
+    @register("fix_proposals", _outcomes_sql() + "SELECT * FROM proposals")
     def q_fix_proposals(spark, sf_dir):
         files, el, merged, _ = _merged_all(spark, sf_dir)
         p = fx_.fix_proposals(merged, files)
         return p.select("repo_id", "commit_sha", "file_path", "line_start", "category", "title", "tier", "target_file",
                         "has_change", F.size("edits").alias("edits"), "guidance")
 
-    @register("remediation_outcome")
+    @register("remediation_outcome", _outcomes_sql() + "SELECT * FROM outcomes")
     def q_remediation_outcome(spark, sf_dir):
         files, el = corpus(spark, sf_dir)
         merged = mg.merge_findings(mg.all_findings(files, el))
@@ -265,6 +271,15 @@ def register_remediation_views() -> None:
         return joined.select(*RULE_OUTPUT, "description", "fix_suggestion",
                                                        "remediation_status", "remediation_tier")
 
+    @register("report_finding_status", _outcomes_sql() + f"""
+SELECT {', '.join('m.' + c for c in RULE_OUTPUT)}, o.status AS remediation_status, o.tier AS remediation_tier
+FROM merged m LEFT JOIN (SELECT repo_id, commit_sha, file_path, line_start, title, max(status) AS status, max(tier) AS tier FROM outcomes GROUP BY ALL) o
+  ON o.repo_id = m.repo_id AND o.commit_sha = m.commit_sha AND o.file_path = m.file_path AND o.line_start IS NOT DISTINCT FROM m.line_start AND o.title = m.title""")
+    def q_report_finding_status(spark, sf_dir):
+        """Findings with status and tier of their latest remediation (report_findings without its prose columns)."""
+        merged, outcomes = _outcomes(spark, sf_dir)
+        return with_latest_remediation(merged, outcomes, FINDING_KEY).select(*RULE_OUTPUT, "remediation_status", "remediation_tier")
+
     # fixed values: categories whose fixes need approval
     tier_two = op.sql_in(["hardcoded_auth_bypass", "auth_bypass", "obfuscated_dynamic_execution", "obfuscated_code",
                           "suspicious_dynamic_execution"])

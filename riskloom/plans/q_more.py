@@ -91,3 +91,56 @@ def q_latest_remediation(spark, sf_dir):
     events = fx.remediation_events(spark, sf_dir)
     return rpt.latest_remediation(spark.sql(REMEDIATIONS, remediation_events=events)).select(
         "finding_id", "remediation_id", "status", "created_at")
+
+
+# verification results as stored JSON, one per event; some without a reason
+VERIFICATIONS = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{{"notes":" note ' || event_id || ' ","error":"e"}}' WHEN 1 THEN '{{"notes":"","error":"error ' || event_id || '"}}'
+  WHEN 2 THEN '{{"error":"  ","message":"message ' || event_id || '"}}' WHEN 3 THEN '{{"other":1}}' WHEN 4 THEN '{{"notes":null,"message":"' || event_type || '"}}' END AS verification
+FROM {events}"""
+
+
+@register("failure_reasons", f"""
+WITH v AS ({VERIFICATIONS.format(events='events')}),
+r AS (SELECT event_id, list_transform(['notes', 'error', 'message'], lambda k: nullif(trim(json_extract_string(verification, '$.' || k)), '')) AS c FROM v)
+SELECT event_id, coalesce(c[1], c[2], c[3]) AS reason FROM r""")
+def q_failure_reasons(spark, sf_dir):
+    """Why a remediation failed, from its verification result."""
+    from riskloom.operators.remediate import failure_reason
+    rows = spark.sql(VERIFICATIONS, events=fx.read_table(spark, sf_dir, "events"))
+    return rows.select("event_id", failure_reason(F.try_parse_json("verification")).alias("reason"))
+
+
+@register("scan_times", f"""
+WITH s AS (SELECT user_id % 50 AS scan, min(ts) FILTER (WHERE event_type <> 'error') AS started, max(ts) AS completed, count(*) AS n FROM events GROUP BY 1)
+SELECT scan, CASE WHEN started IS NOT NULL THEN greatest(0, epoch_us(completed) - epoch_us(started)) // 1000 END AS duration_ms,
+       left('RuntimeError' || ': ' || repeat('x', CAST(n AS INTEGER) * 7), 1000) AS error_text,
+       left(concat_ws('; ', repeat('a', CAST(n AS INTEGER)), 'b', repeat('c', CAST(n AS INTEGER) * 4)), 900) AS warnings_text FROM s""")
+def q_scan_times(spark, sf_dir):
+    """durations and the cut texts of errors and warnings."""
+    from riskloom.functions import text as tx
+    events = fx.read_table(spark, sf_dir, "events")
+    s = events.groupBy((F.col("user_id") % 50).alias("scan")).agg(
+        F.min(F.when(F.col("event_type") != "error", F.col("ts"))).alias("started"), F.max("ts").alias("completed"), F.count(F.lit(1)).cast("int").alias("n"))
+    stamp = lambda c: F.col(c).cast("timestamp")
+    return s.select("scan", tx.duration_ms(stamp("started"), stamp("completed")).alias("duration_ms"),
+                    tx.error_text(F.lit("RuntimeError"), F.repeat(F.lit("x"), F.col("n") * 7)).alias("error_text"),
+                    tx.warnings_text(F.array(F.repeat(F.lit("a"), F.col("n")), F.lit("b"), F.repeat(F.lit("c"), F.col("n") * 4))).alias("warnings_text"))
+
+
+_BYTES = f"""SELECT repo_id, commit_sha, file_path, size_bytes, content FROM ({fx.duck_view('code_files')}) c"""
+
+
+@register("decoded_files", f"""
+SELECT repo_id, commit_sha, 'pkg/' || file_path AS file_path, md5(replace(content, ' ', chr(65533))) AS text_md5, length(content) AS n
+FROM ({_BYTES}) b WHERE NOT list_has_any(string_split(file_path, '/'), {op.NOISE}) AND NOT ends_with(file_path, 'go.mod') AND size_bytes <= 1000000""")
+def q_decoded_files(spark, sf_dir):
+    """Files as bytes below a root folder, every blank an invalid byte and every go.mod with a NUL byte: relative
+    paths, binary files dropped, each invalid byte one replacement character."""
+    files = fx.code_files(spark, sf_dir)
+    hexed = F.regexp_replace(F.hex(F.encode("content", "utf-8")), "(..)", "$1 ")
+    data = F.unhex(F.replace(F.replace(hexed, F.lit("20 "), F.lit("FF ")), F.lit(" "), F.lit("")))
+    data = F.when(F.col("file_path").endswith("go.mod"), F.concat(F.unhex(F.lit("00")), data)).otherwise(data)
+    raw = files.select("repo_id", "commit_sha", F.concat(F.lit("file:/corpus/repo/pkg/"), "file_path").alias("path"), "size_bytes", data.alias("content"))
+    raw = raw.withColumn("file_path", src.relative_path(F.col("path"), "/corpus/repo/"))
+    return src.eligible_files(raw).select("repo_id", "commit_sha", "file_path", F.md5(F.encode("content", "utf-8")).alias("text_md5"),
+                                          F.length("content").cast("long").alias("n"))

@@ -49,14 +49,18 @@ def read_code_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """A file's path below ``root``, with or without the scheme of a local file."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:", ""), "^" + _re_escape(root.rstrip("/")) + "/", "")
+
+
 def read_repository_tree(spark: SparkSession, root: str, repo_id: str, commit_sha: str = "") -> DataFrame:
     """Walk a checked-out tree with the ``binaryFile`` source (bytes stay bytes)."""
     root = root.rstrip("/")
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
            .select("path", "length", "content"))
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + _re_escape(root) + "/", "")
     return raw.select(F.lit(repo_id).alias("repo_id"), F.lit(commit_sha).alias("commit_sha"),
-                      rel.alias("file_path"), F.col("content"), F.col("length").alias("size_bytes"))
+                      relative_path(F.col("path"), root).alias("file_path"), F.col("content"), F.col("length").alias("size_bytes"))
 
 
 def _re_escape(s: str) -> str:
