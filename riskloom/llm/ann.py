@@ -74,6 +74,16 @@ class Tree:
         self.centres = np.array(self.centres)
         self.half = 0.5 * (self.centres ** 2).sum(axis=1)
 
+    def state(self) -> dict:
+        """Plain arrays and lists: what is broadcast, so that a worker needs no importable copy of this class."""
+        return dict(self.__dict__)
+
+    @classmethod
+    def of(cls, state: dict) -> "Tree":
+        tree = cls.__new__(cls)
+        tree.__dict__.update(state)
+        return tree
+
     @staticmethod
     def _split(x: np.ndarray, branch: int, rng) -> list[np.ndarray]:
         c = x[rng.choice(len(x), min(branch, len(x)), replace=False)]
@@ -100,18 +110,19 @@ class Tree:
                 todo += [k for k in kids.tolist() if self.children[k]]
         return np.array(self.leaf)[at]
 
-    def visits(self, q: np.ndarray, most: int) -> list[list[int]]:
-        """For each query the first ``most`` leaves, best bin first."""
+    def visits(self, q: np.ndarray, most: int, rows: dict[int, int] | None = None, least: int = 0) -> list[list[int]]:
+        """For each query the first ``most`` leaves, best bin first; more of them until they hold ``least`` of ``rows``."""
         near, out = q @ self.centres.T, []
         for s in near:
-            queue, found = [(0.0, 0)], []
-            while queue and len(found) < most:
+            queue, found, holds = [(0.0, 0)], [], 0
+            while queue and (len(found) < most or (rows is not None and holds < least)):
                 _, node = heapq.heappop(queue)
                 if self.children[node]:
                     for kid in self.children[node]:
                         heapq.heappush(queue, (-s[kid], kid))
                 else:
                     found.append(self.leaf[node])
+                    holds += rows.get(self.leaf[node], 0) if rows is not None else 0
             out.append(found)
         return out
 
@@ -236,45 +247,57 @@ def search(rows: DataFrame, query_filter, k: int = K, target: float = TARGET, fi
     d = len(fitted["embedding"].iloc[0])
     tree = Tree(_matrix(fitted["embedding"], d))
     visits = calibrate(vectors, queries, tree, k, target)
-    held = spark.sparkContext.broadcast(tree)
+    held = spark.sparkContext.broadcast(tree.state())
 
     def to_leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(leaf=held.value.assign(_matrix(pdf["embedding"], d)))
+            yield pdf.assign(leaf=Tree.of(held.value).assign(_matrix(pdf["embedding"], d)))
 
     placed = cut(vectors.mapInPandas(to_leaf, "vec_id long, embedding array<double>, leaf int"))
     # one number per leaf reaches the driver; the tree has a bounded number of leaves
-    cells = {r["leaf"]: max(1, math.ceil(r["count"] / CELL)) for r in placed.groupBy("leaf").count().collect()}
+    rows_of = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    cells = {leaf: max(1, math.ceil(c / CELL)) for leaf, c in rows_of.items()}
     groups = max(spark.sparkContext.defaultParallelism, math.ceil(n / GROUP_ROWS))
-    blocks = math.ceil(n_queries / QUERY_BLOCK)
 
     def group_of(leaf: int, cell: int) -> int:
         return (leaf * 2654435761 + cell * 40503) % 4294967296 * groups >> 32
 
-    def to_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cell = [int(i % 1000003 % cells[leaf]) for i, leaf in zip(pdf["vec_id"], pdf["leaf"])]
-            g = [group_of(leaf, c) for leaf, c in zip(pdf["leaf"].tolist(), cell)]
-            for b in range(blocks):
-                yield pdf.assign(grp=g, block=b)
-
     def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = Tree.of(held.value)
         for pdf in batches:
             out = []
-            for i, e, leaves in zip(pdf["vec_id"].tolist(), pdf["embedding"], held.value.visits(_matrix(pdf["embedding"], d), visits)):
+            # a walk goes on until its leaves hold the query itself and k others
+            walks = tree.visits(_matrix(pdf["embedding"], d), visits, rows_of, k + 1)
+            for i, e, leaves in zip(pdf["vec_id"].tolist(), pdf["embedding"], walks):
                 go: dict[int, list[int]] = {}
                 for leaf in leaves:
                     for c in range(cells.get(leaf, 0)):
                         go.setdefault(group_of(leaf, c), []).append(leaf)
-                out += [(g, i % 1000003 % blocks, i, e, sorted(set(ls))) for g, ls in go.items()]
-            yield pd.DataFrame(out, columns=["grp", "block", "query_id", "q", "leaves"])
+                out += [(g, i, e, sorted(set(ls))) for g, ls in go.items()]
+            yield pd.DataFrame(out, columns=["grp", "query_id", "q", "leaves"])
+
+    asked = cut(queries.mapInPandas(to_visits, "grp int, query_id long, q array<double>, leaves array<int>"))
+    # a group's vectors are copied once per block of the queries that come to it, not of all queries
+    blocks = {r["grp"]: math.ceil(r["count"] / QUERY_BLOCK) for r in asked.groupBy("grp").count().collect()}
+
+    def to_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cell = [int(i % 1000003 % cells[leaf]) for i, leaf in zip(pdf["vec_id"], pdf["leaf"])]
+            pdf = pdf.assign(grp=[group_of(leaf, c) for leaf, c in zip(pdf["leaf"].tolist(), cell)])
+            copies = pdf["grp"].map(blocks).fillna(0).astype(int).to_numpy()
+            for b in range(int(copies.max(initial=0))):
+                yield pdf[copies > b].assign(block=b)
+
+    def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(block=[i % 1000003 % blocks[g] for i, g in zip(pdf["query_id"].tolist(), pdf["grp"].tolist())])
 
     def product(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         return best_pairs(q["query_id"].to_numpy(np.int64), _matrix(q["q"], d), v["vec_id"].to_numpy(np.int64),
                           _matrix(v["embedding"], d), k, v["leaf"].to_numpy(np.int64), [np.asarray(x, np.int64) for x in q["leaves"]])
 
     left = placed.mapInPandas(to_groups, "vec_id long, embedding array<double>, leaf int, grp int, block int")
-    right = queries.mapInPandas(to_visits, "grp int, block int, query_id long, q array<double>, leaves array<int>")
+    right = asked.mapInPandas(to_blocks, "grp int, query_id long, q array<double>, leaves array<int>, block int")
     found = left.groupBy("grp", "block").cogroup(right.groupBy("grp", "block")).applyInPandas(
         product, "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", "rank", "vec_id", "score")

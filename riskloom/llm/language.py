@@ -69,7 +69,12 @@ def letter_words(texts: list) -> tuple[np.ndarray, ...]:
     h = h[at]
     h ^= h >> np.uint32(15)
     three = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
-    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    # a word ends where letters end or their script changes (kana and han are written together; letters of no
+    # listed script go with those before them)
+    shown = np.where(script[at] == NAMES.index("kana"), NAMES.index("han"), script[at])
+    turn = np.zeros(len(at), bool)
+    turn[1:] = (shown[1:] != shown[:-1]) & (shown[1:] > 1) & (shown[:-1] > 1)
+    first = np.flatnonzero((np.diff(at, prepend=-2) != 1) | turn)
     begin = np.cumsum([0] + [len(t) + 1 for t in low])
     which = np.searchsorted(begin, at[first], side="right") - 1
     sizes = np.diff(np.append(first, len(at)))

@@ -2,8 +2,10 @@
 
 Terms are the lower-cased words of a text and the first 4 and 6 bytes of each word, hashed into
 ``BUCKETS`` buckets. Over the labelled training rows Spark counts, per bucket, the toxic and the other
-documents that have it; the ``TERMS`` buckets with the clearest difference become the features. The
-machine score is ``w0 + sum(w) + 1/2 * sum_f((sum v_f)^2 - sum v_f^2)`` over the features a text has, so
+documents that have it. Features are the ``TERMS`` buckets with the clearest difference, and buckets that say
+nothing alone but do in pairs: among the ``PAIR_TERMS`` buckets that split the documents most evenly, those of
+every pair whose interaction (the log odds ratio of having both, toxic against other documents) is ``PAIR_CLEAR``
+standard errors from none. The machine score is ``w0 + sum(w) + 1/2 * sum_f((sum v_f)^2 - sum v_f^2)`` over the features a text has, so
 besides single terms it learns pairs (an insult beside a group) that add up to more than their parts.
 
 Fitting uses a sample of about ``FIT_ROWS`` labelled rows, chosen by a hash of the id (a documented
@@ -29,6 +31,8 @@ from riskloom.llm.common import cut, held_out, id_text, prepare
 
 BUCKETS = 1 << 18
 TERMS = 4096
+PAIR_TERMS = 512
+PAIR_CLEAR = 7.0
 FACTORS = 4
 FIT_ROWS = 20_000
 EPOCHS = 12
@@ -111,6 +115,28 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, y: np.ndarray, n_terms: int,
     return w0, w, v
 
 
+def pair_terms(doc: np.ndarray, term: np.ndarray, y: np.ndarray, n_terms: int) -> np.ndarray:
+    """Terms of the pairs that interact: having both is more or less usual among toxic documents than the two
+    terms alone make it. Counts of both, one and none per class come from products of the incidence matrix."""
+    z = np.zeros((n_terms, n_terms))
+    error = np.zeros((n_terms, n_terms))
+    for label, sign in ((1, 1.0), (0, -1.0)):
+        rows = np.flatnonzero(y == label)
+        place = np.full(len(y), -1)
+        place[rows] = np.arange(len(rows))
+        mine = place[doc] >= 0
+        m = np.zeros((len(rows), n_terms), np.float32)
+        m[place[doc[mine]], term[mine]] = 1
+        both, one = (m.T @ m).astype(float), m.sum(axis=0, dtype=float)
+        cells = both, one[:, None] - both, one[None, :] - both, len(rows) - one[:, None] - one[None, :] + both
+        logs = [np.log(x + 0.5) for x in cells]
+        z += sign * (logs[0] - logs[1] - logs[2] + logs[3])
+        error += sum(1 / (x + 0.5) for x in cells)
+    z = np.abs(z) / np.sqrt(error)
+    np.fill_diagonal(z, 0)
+    return np.flatnonzero((z > PAIR_CLEAR).any(axis=1)) if n_terms else np.zeros(0, np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """Model parameters (at most TERMS * (FACTORS + 1) numbers) learned from rows that are not held out."""
     toxic = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
@@ -128,9 +154,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     p1, p0 = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("other") + 0.5) / (n0 + 1)
     clear = F.abs(F.log(p1 / p0)) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     best = counts.select("bucket", clear.alias("clear")).filter("clear > 2").orderBy(F.desc("clear"), "bucket").limit(TERMS)
-    buckets = np.sort(np.array([r["bucket"] for r in best.collect()], np.int64))
+    alone = np.array([r["bucket"] for r in best.collect()], np.int64)
+    share_of = (F.col("toxic") + F.col("other")) / (n1 + n0)
+    even = counts.select("bucket", (share_of * (1 - share_of)).alias("even")).filter("even > 0.01").orderBy(F.desc("even"), "bucket").limit(PAIR_TERMS)
+    paired = np.setdiff1d(np.array([r["bucket"] for r in even.collect()], np.int64), alone)
+    # numbers: first the terms that say something alone, then those looked at in pairs
     number = np.full(BUCKETS, -1, np.int32)
-    number[buckets] = np.arange(len(buckets))
+    number[np.concatenate([alone, paired])] = np.arange(len(alone) + len(paired))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -138,15 +168,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
             ok = number[bucket] >= 0
             doc, term = doc[ok], number[bucket[ok]]
             at = np.searchsorted(doc, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [term[a:b].tolist() for a, b in zip(at, at[1:])]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [np.sort(term[a:b]).tolist() for a, b in zip(at, at[1:])]})
 
-    # the bounded sample, a few selected terms a row, in a fixed order
+    # the bounded sample, its selected terms, in a fixed order
     sample = rows.mapInPandas(features, "toxic int, terms array<int>").toPandas()
     sample = sample.assign(k=[",".join(map(str, t)) for t in sample["terms"]]).sort_values(["toxic", "k"], kind="stable")
     terms = [np.asarray(t, np.int64) for t in sample["terms"]]
     doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    w0, w, v = fit_machine(doc, np.concatenate(terms) if terms else np.zeros(0, np.int64),
-                           sample["toxic"].to_numpy(float), max(1, len(buckets)))
+    term, y = np.concatenate(terms) if terms else np.zeros(0, np.int64), sample["toxic"].to_numpy(float)
+    near = term >= len(alone)
+    together = pair_terms(doc[near], term[near] - len(alone), y, len(paired)) + len(alone)
+    renumber = np.full(len(alone) + len(paired) + 1, -1, np.int32)
+    renumber[np.concatenate([np.arange(len(alone)), together]).astype(np.int64)] = np.arange(len(alone) + len(together))
+    number, term = renumber[number], renumber[term]
+    w0, w, v = fit_machine(doc[term >= 0], term[term >= 0], y, max(1, len(alone) + len(together)))
     return {"n": n1 + n0, "number": number, "w0": w0, "w": w, "v": v}
 
 

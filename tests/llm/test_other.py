@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,36 @@ def test_toxicity_learns_pairs(spark, make_docs):
     assert (got.predicted == (got.score >= 0.3)).all()
 
 
+def area(score, y):
+    """Area under the curve of true against false positives."""
+    rank = pd.Series(np.asarray(score)).rank().to_numpy()
+    y = np.asarray(y)
+    return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum())
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_toxicity_learns_pairs_that_say_nothing_alone(spark, make_docs, same):
+    """Toxic if and only if two terms are both there or both missing (or the reverse): additive weights cannot tell."""
+    rng = random.Random(5)
+    plain = [f"w{i}" for i in range(60)]
+    rows, truth = [], {}
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        t = [rng.choice(plain) for _ in range(15)] + ["insult"] * a + ["group"] * b
+        rng.shuffle(t)
+        rows.append((i, " ".join(t)))
+        truth[i] = int((a == b) is same)
+    got = toxicity.score(make_docs(rows), spark.createDataFrame([(i, 0, y) for i, y in truth.items()], "doc_id long, quality int, toxic int")).toPandas()
+    test = got[got.held_out]
+    assert area(test.score, test.doc_id.map(truth)) >= 0.9
+    # additive weights (log odds of every term) stay near chance
+    doc, bucket = toxicity.doc_terms([t for _, t in rows])
+    y = np.array(list(truth.values()), float)
+    n1, n0 = (np.bincount(bucket[(doc < 3000) & (y[doc] == k)], minlength=toxicity.BUCKETS) + 0.5 for k in (1, 0))
+    additive = np.bincount(doc[doc >= 3000] - 3000, np.log(n1 / n0)[bucket[doc >= 3000]], 1000)
+    assert abs(area(additive, y[3000:]) - 0.5) < 0.1
+
+
 def test_toxicity_without_labels(spark, make_docs):
     rows = [(1, "a b"), (2, None)]
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -43,6 +74,17 @@ def test_toxicity_without_labels(spark, make_docs):
     assert toxicity.score(make_docs([]), none).count() == 0
 
 
+def test_language_words_end_where_the_script_changes(spark, make_docs):
+    rng = random.Random(9)
+    parts = {"en": ["the", "and", "ing", "er"], "ru": ["при", "вет", "мир"], "zh": list("漢字文中国人大学生")}
+    say = lambda lang, n: "".join(rng.choice(parts[lang]) for _ in range(n))
+    rows = [(i, " ".join(say(lang, rng.randint(2, 5)) for _ in range(20)), lang) for i in range(600) for lang in [rng.choice(list(parts))]]
+    rows += [(7000, "the" + say("zh", 18), None), (7001, "привет" + "мир" + say("zh", 30), None)]
+    got = {r.doc_id: r for r in language.identify(make_docs(rows)).collect()}
+    assert [s.lang for s in got[7000].spans] == ["en", "zh"] and got[7000].lang_pred == "zh"
+    assert [s.lang for s in got[7001].spans] == ["ru", "zh"] and got[7001].lang_pred == "zh" and got[7001].score < 1
+
+
 def test_language_spans(spark, make_docs):
     rng = random.Random(2)
     parts = {"xx": ["ba", "do", "gu"], "yy": ["ski", "tro", "vle"], "ru": ["при", "вет", "мир"]}
@@ -106,6 +148,31 @@ def test_ann_recall_and_exact_scores(spark):
     assert found / len(got) >= 0.9
 
 
+def test_tree_travels_as_plain_data():
+    """Workers without an importable copy of the package can read what is broadcast."""
+    import pickle
+    x = np.random.default_rng(1).normal(size=(500, 4))
+    tree = ann.Tree(x)
+    data = pickle.dumps(tree.state())
+    assert b"riskloom" not in data
+    again = ann.Tree.of(pickle.loads(data))
+    assert (again.assign(x) == tree.assign(x)).all() and again.visits(x[:5], 3) == tree.visits(x[:5], 3)
+
+
+def test_ann_lonely_queries_find_k(spark, monkeypatch):
+    """Dense groups of copies and a few far points: every query gets its k; blocks of few queries change nothing."""
+    rng = np.random.default_rng(3)
+    dense = [(i, (np.eye(8)[i % 8] * 5).tolist(), 0) for i in range(1600)]
+    far = [(2000 + 20 * i, (rng.normal(size=8) * 3).tolist(), 0) for i in range(30)]
+    table = vectors(spark, dense + far)
+    got = ann.search(table, "vec_id % 20 = 0").toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got.query_id.nunique() == 110
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 8)
+    again = ann.search(table, "vec_id % 20 = 0").toPandas()
+    key = ["query_id", "rank"]
+    assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+
+
 def test_ann_small_tables(spark):
     assert ann.search(vectors(spark, []), "vec_id % 20 = 0").count() == 0
     assert ann.search(vectors(spark, [(0, [1.0, 2.0], 0)]), "vec_id % 20 = 0").count() == 0
