@@ -264,9 +264,8 @@ def carry_taint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["repo_id", "commit_sha", "file_path", "line", "snippet"])
 
 
-def py_prompt_injection(facts: DataFrame) -> DataFrame:
-    """LLM calls whose prompt arguments are tainted. Parameters, assignments and calls of a scope pass through
-    its task once, in order; a scope lies in one file, so in one task."""
+def taint_events(facts: DataFrame) -> DataFrame:
+    """Parameters, assignments and LLM calls of the scopes that hold an LLM call."""
     f = _body_scope(facts)
     none, nothing = F.lit(False), F.lit(None)
     prompt_args = F.filter("args", lambda a: a["kw"].isNull() | a["kw"].isin(PROMPT_KEYWORDS))
@@ -281,9 +280,17 @@ def py_prompt_injection(facts: DataFrame) -> DataFrame:
         F.lit(True).alias("source"), nothing.cast("int").alias("line"), nothing.cast("string").alias("snippet"))
     # only scopes that contain an LLM call are followed
     scopes = calls.select(*FILE, "scope").distinct()
-    events = calls.unionByName(assigns).unionByName(params).join(scopes, [*FILE, "scope"], "left_semi").withColumn(
+    return calls.unionByName(assigns).unionByName(params).join(scopes, [*FILE, "scope"], "left_semi").withColumn(
         "source", F.coalesce("source", none)).withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
-    ordered = events.repartition(*FILE, "scope").sortWithinPartitions(*FILE, "scope", "seq", "is_call", "name")
+
+
+def py_prompt_injection(facts: DataFrame) -> DataFrame:
+    """LLM calls whose prompt arguments are tainted. The events of a scope pass through its task once, in
+    order; a scope lies in one file, so in one task."""
+    # dealt out by a hash of the scope: an exchange by the columns themselves is dropped where the joins above have
+    # one already, and adaptive execution may then read their output in other pieces
+    dealt = taint_events(facts).withColumn("dealt", F.xxhash64(*FILE, "scope")).repartition("dealt").drop("dealt")
+    ordered = dealt.sortWithinPartitions(*FILE, "scope", "seq", "is_call", "name")
     ship_package_code()
     flagged = ordered.mapInArrow(carry_taint, TAINT_ROW)
     per_line = flagged.groupBy(*FILE, "line").agg(F.min("snippet").alias("snippet"))
