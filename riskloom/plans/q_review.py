@@ -132,6 +132,25 @@ def q_project_import(spark, sf_dir):
                       F.coalesce(F.col("valid"), F.lit(False)).alias("valid"))
 
 
+# repository URLs of suppliers: valid ones in three spellings, and four kinds that are not valid
+REPO_URLS = """SELECT s_suppkey AS id, CASE s_suppkey % 7 WHEN 0 THEN 'https://github.com/' || owner || '/' || name WHEN 1 THEN 'https://github.com/' || owner || '/' || name || '.git'
+  WHEN 2 THEN 'https://github.com/' || owner || '/' || name || '/' WHEN 3 THEN 'http://github.com/' || owner || '/' || name
+  WHEN 4 THEN 'https://github.com/' || owner || '/..' WHEN 5 THEN 'https://github.com/' || owner || '/' || name || '/tree/main'
+  ELSE 'https://github.com/' || owner END AS url
+FROM (SELECT s_suppkey, 'owner-' || CAST(s_nationkey AS STRING) AS owner, 'repo_' || CAST(s_suppkey AS STRING) || '.py' AS name FROM {supplier}) AS s"""
+
+
+@register("project_import_repos", f"""
+SELECT id, url, CASE WHEN ok THEN string_split(url, '/')[4] END AS owner, CASE WHEN ok THEN regexp_replace(string_split(url, '/')[5], '\\.git$', '') END AS name,
+  CASE WHEN ok THEN 'https://github.com/' || string_split(url, '/')[4] || '/' || regexp_replace(string_split(url, '/')[5], '\\.git$', '') END AS canonical_url, ok AS valid
+FROM (SELECT *, id % 7 < 3 AS ok FROM ({REPO_URLS.format(supplier='supplier')}) u) v""")
+def q_project_import_repos(spark, sf_dir):
+    """S14 over URLs of which three spellings are valid."""
+    from riskloom.sources import files as src
+    urls = spark.sql(REPO_URLS, supplier=fx.read_table(spark, sf_dir, "supplier"))
+    return src.project_import(urls).select("id", "url", "owner", "name", "canonical_url", F.coalesce("valid", F.lit(False)).alias("valid"))
+
+
 @register("dq_violations", RESP + """
 SELECT finding_id, 'confidence_out_of_range' AS reason FROM findings_base WHERE confidence < 0 OR confidence > 1
 UNION ALL

@@ -49,6 +49,22 @@ def read_code_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+CORPUS_KEY = ["repo_id", "commit_sha", "file_path"]
+
+
+def write_corpus(files: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Store ``files`` as a table bucketed and sorted by file key, and return it.
+
+    Contents move once, here. Joins of the stored table on the file key (code context, fix proposals) leave them
+    where they are: the other side, which has no contents, is dealt to the buckets. A repository's files spread
+    over all buckets. ``path`` is the table's folder (default: the warehouse).
+    """
+    rows = files.repartition(buckets, *CORPUS_KEY)
+    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, *CORPUS_KEY).sortBy(*CORPUS_KEY)
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+    return files.sparkSession.table(table)
+
+
 def relative_path(path: Column, root: str) -> Column:
     """A file's path below ``root``, with or without the scheme of a local file."""
     return F.regexp_replace(F.regexp_replace(path, "^file:", ""), "^" + _re_escape(root.rstrip("/")) + "/", "")

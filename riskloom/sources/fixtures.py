@@ -76,7 +76,9 @@ SELECT 'repo-' || lpad(CAST(repo AS STRING), 5, '0') AS repo_id,
              || 'requests.get("https://telemetry-' || CAST(repo AS STRING) || '.example.invalid/c")' || chr(10)
              || 'socket.create_connection(("203.0.113.77", 4444))'
     WHEN 14 THEN '# readme' || chr(10) || CASE repo % 2 WHEN 0 THEN 'none' ELSE 'See https://telemetry-' || CAST(repo AS STRING) || '.example.invalid/docs' END
-    WHEN 15 THEN 'AWS_ACCESS_KEY_ID = "AKIA' || upper(substr(md5(CAST(doc_id AS STRING)), 1, 16)) || '"'
+    WHEN 15 THEN 'AWS_ACCESS_KEY_ID = "AKIA' || upper(substr(md5(CAST(doc_id AS STRING)), 1, 16)) || '"' || CASE repo % 3 WHEN 0 THEN '' ELSE chr(10)
+             || 'SESSION = "eyJ' || md5(CAST(doc_id AS STRING)) || '.' || md5('b') || '.' || md5('c') || '"' || chr(10)
+             || '# -----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'PAYMENT = "sk_test_' || md5(CAST(doc_id AS STRING)) || '"' END
     WHEN 16 THEN 'eval(atob("eA=="))'
     WHEN 17 THEN 'def unfinished('
     END) || CASE WHEN slot = 10 THEN '' WHEN slot = 14 THEN chr(10) || text WHEN slot IN (7, 8, 9, 12, 16) THEN @SLASHES@ ELSE @HASHES@ END
