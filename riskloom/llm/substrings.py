@@ -10,15 +10,17 @@ A byte is removed if a 400-byte string that covers it also starts anywhere else,
    count: each of their strings repeats, so they are removed whole; copies of any number cost one row.
 3. Where an anchor has different contexts, one text of each is cut out and sorted into shards by anchor. A
    context is first trimmed to what some other context of its anchor can share with it (sorted left and right
-   sides bound the reach); equal trimmed contexts are one with a count. A suffix array (induced sorting) with
-   permuted common prefixes over the shard then finds the strings that repeat.
+   sides bound the reach); equal trimmed contexts are one with a count. Where one context is left
+   for all, its strings repeat; otherwise a suffix array (induced sorting) with permuted common prefixes over the
+   shard finds the strings that do.
 4. An anchor with more than ``GROUP_CONTEXTS`` different contexts (a passage that very many different texts
    share) is not put into one shard: its strings are counted one by one by an aggregation, with the same result.
 5. Removed ranges are merged per distinct text; a second pass cuts them out.
 
-``words`` removes passages of that many words as well (runs of non-blanks, A-Z lower-cased) that occur anywhere
-else, whatever their bytes: the same steps run over the texts' 64-bit word hashes, eight bytes a word, and their
-ranges go from the first byte of the first word to the last byte of the last one.
+``words`` finds passages of that many words as well (runs of non-blanks, A-Z lower-cased) that occur anywhere
+else, whatever their bytes: the same steps run over the texts' 64-bit word hashes, one symbol a word, in the same
+passes over the texts; their ranges go from the first byte of the first word to the last byte of the last one.
+They are reported (n_passages, n_passage_bytes) and, with ``cut_passages``, removed.
 
 Null and empty texts have no bytes. Doc ids may be null or repeat; equal texts get equal results. Hashes are
 64 bits (anchors, contexts) and 128 bits (texts). Empty tables give no rows; extra columns are ignored.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,47 +39,91 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import textvec as tv
 from riskloom.llm.common import TEXT_HASH, bitmap, cut, id_text, in_bitmap, prepare
-from riskloom.llm.suffix import common_prefixes, suffix_array
+from riskloom.llm.suffix import common_prefixes, common_symbols, sort_names, suffix_array
 
 SPAN = 400
 GRAM = 128
+WORD_GRAM = 16
 SHARD_BYTES = 1 << 20
-CONTEXT = ["h", "text_key", "n", "lo", "a", "data"]
+CONTEXT = ["kind", "h", "text_key", "n", "lo", "a", "data"]
 GROUP_CONTEXTS = 8192
 WORD_BYTES = 8
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p, q = tv._powers(len(raw) + 1)
-    h = np.empty(len(raw) + 1, np.uint64)
+@dataclass(frozen=True)
+class Kind:
+    """What a text is read as: its bytes, or the hashes of its words; spans and grams count its symbols."""
+
+    name: str
+    span: int
+    gram: int
+    unit: int  # bytes a symbol
+
+    @property
+    def reach(self) -> int:
+        return self.span - self.gram
+
+
+def kinds(span: int, gram: int, words: int | None) -> list[Kind]:
+    return [Kind("bytes", span, gram, 1)] + ([Kind("words", words, max(1, min(WORD_GRAM, words // 2)), WORD_BYTES)] if words else [])
+
+
+def symbols(data: bytes, unit: int) -> np.ndarray:
+    """A 64-bit value for every symbol."""
+    return tv._BYTE[np.frombuffer(data, np.uint8)] if unit == 1 else np.frombuffer(data, np.uint64)
+
+
+def _prefix_sums(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p, q = tv._powers(len(v) + 1)
+    h = np.empty(len(v) + 1, np.uint64)
     h[0] = 0
-    np.cumsum(tv._BYTE[raw] * p[:len(raw)], out=h[1:])
+    np.cumsum(v * p[:len(v)], out=h[1:])
     return h, q
 
 
-def anchors(texts: list[bytes], span: int, gram: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per text: anchor hash, context hash and place of its anchors."""
+def window_minima(key: np.ndarray, w: int) -> np.ndarray:
+    """The least value of every window of ``w`` values, from minima of blocks to both sides."""
+    n = len(key)
+    blocks = np.concatenate([key, np.full(-n % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n - w + 1], ahead[w - 1:n])
+
+
+def anchors(texts: list[bytes], span: int, gram: int, unit: int = 1) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per text: anchor hash, context hash and place of its anchors. The windows of a batch are looked through at
+    once (values are compared by their upper 40 bits, as ``textvec.window_min_positions`` does); those that reach into another
+    text are left out."""
     out = []
     reach = span - gram
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    low24 = tv.U((1 << 24) - 1)
     for lo, hi in tv.slices([len(t) for t in texts]):
         part = texts[lo:hi]
-        raw = np.frombuffer(b"".join(part), np.uint8)
-        h, q = _prefix_sums(raw)
+        h, q = _prefix_sums(symbols(b"".join(part), unit))
         grams = tv.mix((h[gram:] - h[:-gram]) * q[:len(h) - gram]) if len(h) > gram else h[:0]
-        at = 0
-        for t in part:
-            n = len(t)
-            if n < span:
-                out.append(none)
-            else:
-                v = grams[at:at + n - gram + 1]
-                pos = tv.window_min_positions(v, reach + 1)
-                a, b = np.maximum(0, pos - reach), np.minimum(n, pos + span)
-                ctx = tv.mix((h[at + b] - h[at + a]) * q[at + a] + ((b - a) * 1024 + pos - a).astype(np.uint64))
-                out.append((v[pos], ctx, pos))
-            at += n
+        size = np.array([len(t) // unit for t in part], np.int64)
+        first = np.cumsum(size) - size
+        fit = np.flatnonzero(size >= span)
+        if not len(fit):
+            out += [none] * len(part)
+            continue
+        if len(grams) <= 1 << 18:
+            lows = window_minima((grams & ~low24) | np.arange(len(grams), dtype=np.uint64), reach + 1)
+            count = size[fit] - span + 1
+            starts, doc = ragged_groups(first[fit], count), np.repeat(fit, count)
+            at = (lows[starts] & low24).astype(np.int64)
+            new = np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
+            at, doc = at[new], doc[new]
+        else:  # longer arrays go text by text, which keeps them in the cache
+            each = [tv.window_min_positions(grams[first[d]:first[d] + size[d] - gram + 1], reach + 1) + first[d] for d in fit]
+            at, doc = np.concatenate(each), np.repeat(fit, [len(x) for x in each])
+        pos = at - first[doc]
+        a, b = np.maximum(0, pos - reach), np.minimum(size[doc], pos + span)
+        ctx = tv.mix((h[first[doc] + b] - h[first[doc] + a]) * q[first[doc] + a] + ((b - a) * 1024 + pos - a).astype(np.uint64))
+        found, edge = grams[at], np.searchsorted(doc, np.arange(len(part) + 1))
+        out += [(found[x:y], ctx[x:y], pos[x:y]) for x, y in zip(edge, edge[1:])]
     return out
 
 
@@ -85,25 +132,32 @@ def word_bytes(texts: list[bytes]) -> list[bytes]:
     return [h.tobytes() for h, _, _ in tv.batch_words(texts, tv.SPACE_SEP)]
 
 
-def first_pass(docs: DataFrame, span: int, gram: int, by_word: bool = False) -> DataFrame:
-    """doc_id, text_key, n_bytes, sha256 of the whole text, and the anchors as arrays; ``by_word``: n_bytes and
-    the anchors are those of the word hashes."""
+def read_as(texts: list[bytes], kind: Kind) -> list[bytes]:
+    return texts if kind.unit == 1 else word_bytes(texts)
+
+
+def first_pass(docs: DataFrame, how: list[Kind]) -> DataFrame:
+    """doc_id, text_key, n_bytes, sha256 of the whole text, and for each kind its length and anchors as arrays."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [tv.to_bytes(t) for t in pdf["text"].tolist()]
-            read = word_bytes(texts) if by_word else texts
-            got = anchors(read, span, gram)
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "text_key": [tv.digest16(t) for t in texts], "n_bytes": [len(t) for t in read],
-                "sha": [hashlib.sha256(t).hexdigest() for t in texts], "h": [tv.signed(g[0]) for g in got],
-                "ctx": [tv.signed(g[1]) for g in got], "pos": [g[2] for g in got]})
+            out = {"doc_id": pdf["doc_id"].astype("Int64"), "text_key": [tv.digest16(t) for t in texts], "n_bytes": [len(t) for t in texts],
+                   "sha": [hashlib.sha256(t).hexdigest() for t in texts]}
+            for kind in how:
+                read = read_as(texts, kind)
+                got = anchors(read, kind.span, kind.gram, kind.unit)
+                out |= {f"{kind.name}_n": [len(t) // kind.unit for t in read], f"{kind.name}_h": [tv.signed(g[0]) for g in got],
+                        f"{kind.name}_ctx": [tv.signed(g[1]) for g in got], f"{kind.name}_pos": [g[2] for g in got]}
+            yield pd.DataFrame(out)
 
-    return docs.mapInPandas(run, "doc_id long, text_key binary, n_bytes long, sha string, h array<long>, ctx array<long>, pos array<long>")
+    more = "".join(f", {k.name}_n long, {k.name}_h array<long>, {k.name}_ctx array<long>, {k.name}_pos array<long>" for k in how)
+    return docs.mapInPandas(run, "doc_id long, text_key binary, n_bytes long, sha string" + more)
 
 
-def live_anchors(seen: DataFrame) -> DataFrame:
-    """(h, ctx, text_key, n_bytes, pos, various) of anchors that occur more than once."""
+def live_anchors(seen: DataFrame, kind: Kind) -> DataFrame:
+    """(h, ctx, text_key, size, pos, various) of anchors of a kind that occur more than once."""
     spark = seen.sparkSession
+    seen = seen.select("text_key", *[F.col(f"{kind.name}_{c}").alias(x) for c, x in (("n", "size"), ("h", "h"), ("ctx", "ctx"), ("pos", "pos"))])
     count = seen.select(F.explode(F.arrays_zip("h", "ctx")).alias("x")).groupBy("x.h").agg(
         F.count("*").alias("n"), F.min("x.ctx").alias("c0"), F.max("x.ctx").alias("c1"))
     count = cut(count.filter("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("various")))
@@ -116,10 +170,10 @@ def live_anchors(seen: DataFrame) -> DataFrame:
             ok = in_bitmap(held.value, h.view(np.uint64))
             at = np.repeat(np.arange(len(pdf)), sizes)[ok]
             yield pd.DataFrame({"h": h[ok], "ctx": ctx[ok], "pos": pos[ok], "text_key": pdf["text_key"].to_numpy()[at],
-                                "n_bytes": pdf["n_bytes"].to_numpy()[at]})
+                                "size": pdf["size"].to_numpy()[at]})
 
-    rows = seen.filter(F.size("h") > 0).select("h", "ctx", "pos", "text_key", "n_bytes").mapInPandas(
-        thin, "h long, ctx long, pos long, text_key binary, n_bytes long")
+    rows = seen.filter(F.size("h") > 0).select("h", "ctx", "pos", "text_key", "size").mapInPandas(
+        thin, "h long, ctx long, pos long, text_key binary, size long")
     return cut(rows.join(count, "h"))
 
 
@@ -142,40 +196,36 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "text_key binary, text binary").dropDuplicates(["text_key"]).join(wanted, "text_key")
 
 
-def contexts(docs: DataFrame, places: DataFrame, span: int, gram: int, by_word: bool = False) -> DataFrame:
-    """Cut out the context of each place (h, text_key, pos, n): adds where it starts (lo), the anchor in it (a) and the bytes."""
-    reach = span - gram
-    wanted = cut(places.groupBy("text_key").agg(F.collect_set(F.struct("h", "pos", "n")).alias("at")))
+def contexts(docs: DataFrame, places: DataFrame, how: list[Kind]) -> DataFrame:
+    """Cut out the context of each place (kind, h, text_key, pos, n): adds where it starts (lo), the anchor in it (a)
+    and the bytes of its symbols."""
+    wanted = cut(places.groupBy("text_key").agg(F.collect_set(F.struct("kind", "h", "pos", "n")).alias("at")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            texts = word_bytes(pdf["text"].tolist()) if by_word else pdf["text"]
-            for k, t, at in zip(pdf["text_key"], texts, pdf["at"]):
+            for k, t, at in zip(pdf["text_key"], pdf["text"], pdf["at"]):
+                read: dict[int, bytes] = {}
                 for x in at:
-                    lo = max(0, x["pos"] - reach)
-                    rows.append((x["h"], k, x["n"], lo, x["pos"] - lo, t[lo:x["pos"] + span]))
+                    i, kind = x["kind"], how[x["kind"]]
+                    if i not in read:
+                        read[i] = read_as([t], kind)[0]
+                    lo = max(0, x["pos"] - kind.reach)
+                    rows.append((i, x["h"], k, x["n"], lo, x["pos"] - lo, read[i][lo * kind.unit:(x["pos"] + kind.span) * kind.unit]))
                     if len(rows) == 4096:
                         yield pd.DataFrame(rows, columns=CONTEXT)
                         rows = []
             yield pd.DataFrame(rows, columns=CONTEXT)
 
     got = texts_of(docs, wanted)
-    return got.select("text_key", "text", "at").mapInPandas(run, "h long, text_key binary, n long, lo long, a int, data binary")
+    return got.select("text_key", "text", "at").mapInPandas(run, "kind int, h long, text_key binary, n long, lo long, a int, data binary")
 
 
 def _common(x: bytes, y: bytes) -> int:
-    """Length of the common prefix."""
-    lo, hi = 0, min(len(x), len(y))
-    if x[:hi] == y[:hi]:
-        return hi
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if x[lo:mid] == y[lo:mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
+    """Length of the common prefix: the lowest bit in which the two differ as numbers."""
+    n = min(len(x), len(y))
+    differ = int.from_bytes(x[:n], "little") ^ int.from_bytes(y[:n], "little")
+    return n if not differ else ((differ & -differ).bit_length() - 1) >> 3
 
 
 def _reach(sides: list[bytes]) -> list[int]:
@@ -188,7 +238,7 @@ def _reach(sides: list[bytes]) -> list[int]:
     return out
 
 
-def trim(h: np.ndarray, at: list[int], n: list[int], data: list[bytes], span: int, gram: int) -> tuple[list, list, list, list, list]:
+def trim(h: np.ndarray, at: list[int], n: list[int], data: list[bytes], span: int, gram: int, unit: int = 1) -> tuple[list, list, list, list, list]:
     """Contexts (rows sorted by anchor) cut to what another context of the anchor can share.
 
     Returns (row, start in the context, bytes, count) of each different trimmed context and, per input row, which
@@ -200,13 +250,14 @@ def trim(h: np.ndarray, at: list[int], n: list[int], data: list[bytes], span: in
     for lo, hi in zip(edge, edge[1:]):
         if hi - lo < 2 and n[lo] < 2:
             continue
-        left = _reach([data[i][at[i] - 1::-1] if at[i] else b"" for i in range(lo, hi)])
-        right = _reach([data[i][at[i] + gram:] for i in range(lo, hi)])
+        left = _reach([data[i][at[i] * unit - 1::-1] if at[i] else b"" for i in range(lo, hi)])
+        right = _reach([data[i][(at[i] + gram) * unit:] for i in range(lo, hi)])
         seen: dict[tuple[int, bytes], int] = {}
         for i, p, q in zip(range(lo, hi), left, right):
+            p, q = p // unit, q // unit
             if p + gram + q < span:
                 continue
-            part = data[i][at[i] - p:at[i] + gram + q]
+            part = data[i][(at[i] - p) * unit:(at[i] + gram + q) * unit]
             x = seen.get((p, part))
             if x is None:
                 x = seen[p, part] = len(rows)
@@ -216,20 +267,27 @@ def trim(h: np.ndarray, at: list[int], n: list[int], data: list[bytes], span: in
     return rows, starts, parts, counts, of
 
 
-def shard_repeats(keys: list[bytes], lo: np.ndarray, n: np.ndarray, data: list[bytes], span: int) -> tuple[list, list, list]:
-    """Ranges (context, from, to) of one shard's contexts that strings of ``span`` bytes repeating in it cover."""
+def shard_repeats(keys: list[bytes], lo: np.ndarray, n: np.ndarray, data: list[bytes], span: int, unit: int = 1) -> tuple[list, list, list]:
+    """Ranges (context, from, to) of one shard's contexts that strings of ``span`` symbols repeating in it cover."""
     if not data:
         return [], [], []
-    sizes = np.array([len(d) for d in data], np.int64)
-    raw = np.frombuffer(b"\x00".join(data) + b"\x00", np.uint8)
+    sizes = np.array([len(d) // unit for d in data], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     owner = np.repeat(np.arange(len(data), dtype=np.int32), sizes + 1)
-    inner = np.arange(len(raw), dtype=np.int32) - begin.astype(np.int32)[owner]
+    inner = np.arange(len(owner), dtype=np.int32) - begin.astype(np.int32)[owner]
     rest = sizes.astype(np.int32)[owner] - inner
-    t = raw.astype(np.uint16) + 2
-    t[begin + sizes] = 1
-    sa = suffix_array(np.append(t, 0), 258)[1:]
-    lcp = common_prefixes(raw, sa, rest, span)
+    if unit == 1:
+        raw = np.frombuffer(b"\x00".join(data) + b"\x00", np.uint8)
+        t = raw.astype(np.uint16) + 2
+        t[begin + sizes] = 1
+        sa = suffix_array(np.append(t, 0), 258)[1:]
+        lcp = common_prefixes(raw, sa, rest, span)
+    else:
+        # words are numbered; the string of numbers is sorted as strings of names are
+        t = np.ones(len(owner), np.int64)
+        t[rest > 0] = pd.factorize(np.frombuffer(b"".join(data), np.uint64), sort=True)[0] + 2
+        sa = sort_names(np.append(t, 0))[1:]
+        lcp = common_symbols(t, sa, rest, span)
     sa = sa[rest[sa] >= span]
     if not len(sa):
         return [], [], []
@@ -250,21 +308,38 @@ def shard_repeats(keys: list[bytes], lo: np.ndarray, n: np.ndarray, data: list[b
     return own[new].tolist(), inner[start[new]].tolist(), (inner[start[last]] + span).tolist()
 
 
-def shard_spans(rows: DataFrame, span: int, gram: int, shard_bytes: int) -> DataFrame:
+def ragged_groups(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Row numbers of groups given by their first row and size."""
+    end = np.cumsum(size)
+    return (np.repeat(first - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)).astype(np.int64)
+
+
+def shard_spans(rows: DataFrame, kind: Kind, shard_bytes: int) -> DataFrame:
     """Repeated ranges from suffix arrays over shards of whole anchor groups."""
+    span, gram, unit = kind.span, kind.gram, kind.unit
+
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, lo = pdf["text_key"].to_numpy(), pdf["lo"].to_numpy(np.int64)
-        row, start, data, count, of = trim(pdf["h"].to_numpy(np.int64), pdf["a"].tolist(), pdf["n"].tolist(), pdf["data"].tolist(), span, gram)
+        row, start, data, count, of = trim(pdf["h"].to_numpy(np.int64), pdf["a"].tolist(), pdf["n"].tolist(), pdf["data"].tolist(), span, gram, unit)
         row, start = np.array(row, np.int64), np.array(start, np.int64)
         found: dict[int, list] = {}
         count, group = np.array(count, np.int64), pdf["h"].to_numpy(np.int64)[row]
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        size = np.diff(np.append(edge, len(group)))
+        # one context left that stands for several: all its strings repeat, there is nothing to sort
+        alone = (size == 1) & (count[edge] > 1) if len(edge) else np.zeros(0, bool)
+        for x in edge[alone].tolist():
+            found[x] = [(0, len(data[x]) // unit)]
         # whole groups to each suffix array, near shard_bytes at a time
+        rest = ragged_groups(edge[~alone], size[~alone])
+        parts, group = [data[x] for x in rest.tolist()], group[rest]
         edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-        total = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+        total = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         for p, q in tv.slices([int(total[b] - total[a]) for a, b in zip(edge, np.append(edge[1:], len(group)))], shard_bytes):
             a, b = edge[p], edge[q] if q < len(edge) else len(group)
-            for x, i, j in zip(*shard_repeats([keys[r] for r in row[a:b]], (lo[row] + start)[a:b], count[a:b], data[a:b], span)):
-                found.setdefault(a + x, []).append((i, j))
+            some = rest[a:b]
+            for x, i, j in zip(*shard_repeats([keys[r] for r in row[some]], (lo[row] + start)[some], count[some], parts[a:b], span, unit)):
+                found.setdefault(int(some[x]), []).append((i, j))
         # the anchor's place in the trimmed context puts the ranges into every context it stands for
         anchor = pdf["a"].to_numpy(np.int64)
         before = anchor[row] - start
@@ -292,14 +367,16 @@ def shard_spans(rows: DataFrame, span: int, gram: int, shard_bytes: int) -> Data
         run, "text_key binary, lo long, hi long")
 
 
-def counted_spans(rows: DataFrame, span: int) -> DataFrame:
+def counted_spans(rows: DataFrame, kind: Kind) -> DataFrame:
     """The same ranges by counting every string of the contexts: for anchors with too many contexts for one shard."""
+    span, unit = kind.span, kind.unit
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             s, where, key, at, n = [], [], [], [], []
             for k, lo, c, d in zip(pdf["text_key"], pdf["lo"], pdf["n"], pdf["data"]):
-                h, q = _prefix_sums(np.frombuffer(d, np.uint8))
-                m = len(d) - span + 1
+                h, q = _prefix_sums(symbols(d, unit))
+                m = len(d) // unit - span + 1
                 s.append(tv.mix((h[span:] - h[:m]) * q[:m]))
                 at.append(lo + np.arange(m))
                 where.append(tv.mix(at[-1].astype(np.uint64) * tv._R + tv.U(int.from_bytes(k[:8], "big"))))
@@ -314,21 +391,21 @@ def counted_spans(rows: DataFrame, span: int) -> DataFrame:
     return strings.join(twice.select("s"), "s").select("text_key", "lo", (F.col("lo") + span).alias("hi"))
 
 
-def repeated_ranges(docs: DataFrame, seen: DataFrame, span: int, gram: int, shard_bytes: int, group_contexts: int,
-                    by_word: bool = False) -> DataFrame:
-    """(text_key, ranges): merged byte ranges to remove, per distinct text that has any (``by_word``: of its word hashes)."""
-    reach = span - gram
-    live = live_anchors(seen)
-    same = cut(live.groupBy("h", "ctx", "various").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "pos")).alias("one")))
-    whole = live.join(same.filter("n > 1").select("h", "ctx"), ["h", "ctx"]).select(
-        "text_key", F.greatest(F.lit(0), F.col("pos") - reach).alias("lo"), F.least("n_bytes", F.col("pos") + span).alias("hi"))
-    differ = same.filter("various").select("h", "n", "one.text_key", "one.pos")
-    crowded = cut(differ.groupBy("h").count().filter(F.col("count") > group_contexts).select("h", F.lit(True).alias("crowded")))
-    found = whole.distinct()
-    cuts = cut(contexts(docs, differ, span, gram, by_word).join(crowded, "h", "left"))
-    found = found.union(shard_spans(cuts.filter("crowded IS NULL"), span, gram, shard_bytes))
-    if crowded.limit(1).count():
-        found = found.union(counted_spans(cuts.filter("crowded"), span))
+def repeated_ranges(docs: DataFrame, seen: DataFrame, how: list[Kind], shard_bytes: int, group_contexts: int) -> list[DataFrame]:
+    """For each kind (text_key, ranges): merged ranges of its symbols that repeat, per distinct text that has any."""
+    whole, differ = [], []
+    for i, kind in enumerate(how):
+        live = live_anchors(seen, kind)
+        same = cut(live.groupBy("h", "ctx", "various").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "pos")).alias("one")))
+        whole.append(live.join(same.filter("n > 1").select("h", "ctx"), ["h", "ctx"]).select(
+            "text_key", F.greatest(F.lit(0), F.col("pos") - kind.reach).alias("lo"), F.least("size", F.col("pos") + kind.span).alias("hi")).distinct())
+        differ.append(same.filter("various").select(F.lit(i).alias("kind"), "h", "n", "one.text_key", "one.pos"))
+    places = differ[0]
+    for more in differ[1:]:
+        places = places.union(more)
+    crowded = cut(places.groupBy("kind", "h").count().filter(F.col("count") > group_contexts).select("kind", "h", F.lit(True).alias("crowded")))
+    cuts = cut(contexts(docs, places, how).join(crowded, ["kind", "h"], "left"))
+    some = {r.kind for r in crowded.select("kind").distinct().collect()}
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -340,32 +417,39 @@ def repeated_ranges(docs: DataFrame, seen: DataFrame, span: int, gram: int, shar
                 out.append([{"lo": int(a), "hi": int(b)} for a, b in zip(x[new, 0], high[np.append(new[1:], len(x)) - 1])])
             yield pd.DataFrame({"text_key": pdf["text_key"], "ranges": out})
 
-    return found.groupBy("text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("raw")).mapInPandas(
-        merge, "text_key binary, ranges array<struct<lo:long,hi:long>>")
+    result = []
+    for i, kind in enumerate(how):
+        mine = cuts.filter(F.col("kind") == i)
+        found = whole[i].union(shard_spans(mine.filter("crowded IS NULL"), kind, shard_bytes))
+        if i in some:
+            found = found.union(counted_spans(mine.filter("crowded"), kind))
+        result.append(cut(found.groupBy("text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("raw")).mapInPandas(
+            merge, "text_key binary, ranges array<struct<lo:long,hi:long>>")))
+    return result
+
+
+def _passage_bytes(t: bytes, passages) -> list[tuple[int, int]]:
+    """Byte ranges of ranges of words."""
+    if passages is None or not len(passages):
+        return []
+    _, start, end = tv.word_hashes(t, tv.SPACE_SEP)
+    return [(int(start[r["lo"]]), int(end[r["hi"] - 1])) for r in passages]
 
 
-def _with_passages(t: bytes, ranges, passages) -> list[dict]:
-    """Byte ranges merged with ranges of word hashes (each of them null or a list)."""
-    if passages is None:
-        return ranges
-    _, start, end = tv.word_hashes(t, tv.SPACE_SEP)
-    at = [(r["lo"], r["hi"]) for r in (() if ranges is None else ranges)]
-    # whole words only
-    at += [(int(start[-(-r["lo"] // WORD_BYTES)]), int(end[r["hi"] // WORD_BYTES - 1])) for r in passages]
-    out: list[dict] = []
-    for lo, hi in sorted(at):
-        if out and lo <= out[-1]["hi"]:
-            out[-1]["hi"] = max(out[-1]["hi"], hi)
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], hi)
         else:
-            out.append({"lo": lo, "hi": hi})
+            out.append((lo, hi))
     return out
 
 
 def _whole_characters(t: bytes, ranges) -> str:
     """The text without the characters that lie wholly in the ranges (the others stay whole)."""
     keep, at = [], 0
-    for r in ranges:
-        lo, hi = r["lo"], r["hi"]
+    for lo, hi in ranges:
         while lo < hi and t[lo] & 0xC0 == 0x80:
             lo += 1
         while hi > lo and hi < len(t) and t[hi] & 0xC0 == 0x80:
@@ -376,46 +460,49 @@ def _whole_characters(t: bytes, ranges) -> str:
 
 
 def remove(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_bytes: int = SHARD_BYTES,
-           group_contexts: int = GROUP_CONTEXTS, with_text: bool = False, words: int | None = None) -> DataFrame:
+           group_contexts: int = GROUP_CONTEXTS, with_text: bool = False, words: int | None = None, cut_passages: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row; ``with_text`` adds text_key and, for texts that
-    lost something, kept_text (characters that lie wholly in a removed range are gone). ``words``: passages of
-    that many words that occur anywhere else go too."""
+    lost something, kept_text (characters that lie wholly in a removed range are gone). ``words`` adds n_passages
+    and n_passage_bytes, the runs and bytes of passages of that many words that occur anywhere else; with
+    ``cut_passages`` they are removed too."""
     prepare(docs.sparkSession)
     docs = id_text(docs)
-    passages = None
-    if words:  # first, so that its anchors are released before those of the bytes are written
-        wide, small = words * WORD_BYTES, max(1, min(gram, words * WORD_BYTES // 2))
-        passages = cut(repeated_ranges(docs, cut(first_pass(docs, wide, small, True)), wide, small, shard_bytes, group_contexts, True)
-                       .withColumnRenamed("ranges", "passages"))
-    seen = cut(first_pass(docs, span, gram))
-    ranges = cut(repeated_ranges(docs, seen, span, gram, shard_bytes, group_contexts))
+    how = kinds(span, gram, words)
+    seen = cut(first_pass(docs, how))
+    ranges, *more = repeated_ranges(docs, seen, how, shard_bytes, group_contexts)
     size = seen.select("text_key", "n_bytes").distinct()
     known = ranges.join(size, "text_key").withColumn("all", (F.size("ranges") == 1) & (F.col("ranges")[0]["hi"] - F.col("ranges")[0]["lo"] == F.col("n_bytes")))
-    if passages is None:
-        known = known.withColumn("passages", F.lit(None).cast("array<struct<lo:long,hi:long>>"))
+    if more:
+        known = known.join(more[0].withColumnRenamed("ranges", "passages"), "text_key", "full").withColumn(
+            "all", F.coalesce("all", F.lit(False)) & F.col("passages").isNull())
     else:
-        known = known.join(passages, "text_key", "full").withColumn("all", F.coalesce("all", F.lit(False)))
+        known = known.withColumn("passages", F.lit(None).cast("array<struct<lo:long,hi:long>>"))
     known = cut(known)
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for k, t, bytes_, words_ in zip(pdf["text_key"], pdf["text"], pdf["ranges"], pdf["passages"]):
-                ranges_ = _with_passages(t, bytes_, words_)
+                gone_ = [(r["lo"], r["hi"]) for r in (() if bytes_ is None else bytes_)]
+                passages = _merged(_passage_bytes(t, words_))
+                if cut_passages:
+                    gone_ = _merged(gone_ + passages)
                 sha, at, gone = hashlib.sha256(), 0, 0
-                for r in ranges_:
-                    sha.update(t[at:r["lo"]])
-                    at = r["hi"]
-                    gone += r["hi"] - r["lo"]
+                for lo, hi in gone_:
+                    sha.update(t[at:lo])
+                    at = hi
+                    gone += hi - lo
                 sha.update(t[at:])
-                rows.append((k, gone, len(ranges_), sha.hexdigest(), _whole_characters(t, ranges_) if with_text else None))
-            yield pd.DataFrame(rows, columns=["text_key", "n_removed", "n_spans", "kept", "kept_text"])
+                rows.append((k, gone, len(gone_), sha.hexdigest(), _whole_characters(t, gone_) if with_text and gone_ else None,
+                             len(passages), sum(hi - lo for lo, hi in passages)))
+            yield pd.DataFrame(rows, columns=["text_key", "n_removed", "n_spans", "kept", "kept_text", "n_passages", "n_passage_bytes"])
 
-    schema = "text_key binary, n_removed long, n_spans long, kept string, kept_text string"
+    schema = "text_key binary, n_removed long, n_spans long, kept string, kept_text string, n_passages long, n_passage_bytes long"
     part = texts_of(docs, known.filter("NOT all").select("text_key", "ranges", "passages")).mapInPandas(cut_out, schema)
+    none = F.lit(0).cast("long")
     full = known.filter("all").select("text_key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
-                                      F.lit(EMPTY).alias("kept"), F.lit("").alias("kept_text"))
+                                      F.lit(EMPTY).alias("kept"), F.lit("").alias("kept_text"), none.alias("n_passages"), none.alias("n_passage_bytes"))
     out = seen.select("doc_id", "text_key", "n_bytes", "sha").join(part.union(full), "text_key", "left")
-    more = ["text_key", "kept_text"] if with_text else []
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-                      F.coalesce("kept", "sha").alias("kept_sha256"), *more)
+    adds = (["n_passages", "n_passage_bytes"] if words else [])
+    return out.select("doc_id", "n_bytes", *[F.coalesce(c, F.lit(0)).alias(c) for c in ["n_removed", "n_spans", *adds]],
+                      F.coalesce("kept", "sha").alias("kept_sha256"), *(["text_key", "kept_text"] if with_text else []))

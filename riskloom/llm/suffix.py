@@ -193,3 +193,19 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, rest: np.ndarray, most: int
         a, b = a[~differ], b[~differ]
     out[a] = most
     return out
+
+
+def common_symbols(t: np.ndarray, sa: np.ndarray, rest: np.ndarray, most: int) -> np.ndarray:
+    """The same for strings of numbered symbols."""
+    before = np.full(len(t), -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    out = np.zeros(len(t), np.int32)
+    a = np.flatnonzero((before >= 0) & (rest >= most))
+    a = a[rest[before[a]] >= most]
+    b = before[a]
+    for done in range(most):
+        same = t[a + done] == t[b + done]
+        out[a[~same]] = done
+        a, b = a[same], b[same]
+    out[a] = most
+    return out

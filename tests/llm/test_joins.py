@@ -190,3 +190,41 @@ def test_decontaminate(spark, make_docs, monkeypatch, bound):
     assert decontaminate.hits(make_docs([]), bench).count() == 0
     none = decontaminate.hits(make_docs(docs), bench.filter("false")).collect()
     assert len(none) == len(docs) and all(r.n_hit == 0 for r in none)
+
+
+def repeated_passages(rows, words):
+    """(runs, bytes) of passages of ``words`` words that stand anywhere else, per row."""
+    import re
+    split = [[(m.group().lower(), m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for _, t in rows]
+    count = Counter(tuple(w for w, _, _ in s[i:i + words]) for s in split for i in range(len(s) - words + 1))
+    out = []
+    for s in split:
+        merged = []
+        for i in range(len(s) - words + 1):
+            if count[tuple(w for w, _, _ in s[i:i + words])] > 1:
+                if merged and i <= merged[-1][1]:  # passages that touch are one run
+                    merged[-1][1] = i + words
+                else:
+                    merged.append([i, i + words])
+        out.append((len(merged), sum(s[j - 1][2] - s[i][1] for i, j in merged)))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [2, 8192])
+def test_passages(spark, make_docs, crowd):
+    rng = random.Random(crowd)
+    word = lambda: rng.choice(["a", "Bee", "cé", "dddd", "漢字", "f,"]) + str(rng.randrange(30))
+    shared = [[word() for _ in range(rng.choice([4, 5, 6, 9, 20]))] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        text = [word() for _ in range(rng.choice([0, 3, 30]))]
+        for _ in range(rng.choice([0, 1, 2])):
+            text += rng.choice(shared) + [word() for _ in range(rng.choice([0, 7]))]
+        rows.append((i, (" " if i % 2 else "\n ").join(text if i % 3 else [w.upper() for w in text])))
+    rows += [(100, None), (101, ""), (None, rows[5][1]), (102, rows[6][1]), (103, "q " * 3000), (104, " ".join(f"w{i % 700}" for i in range(20_000)))]
+    got = substrings.remove(make_docs(rows), span=40, gram=16, words=5, group_contexts=crowd).collect()
+    plain = substrings.remove(make_docs(rows), span=40, gram=16, group_contexts=crowd).collect()
+    want = Counter((d, n, b) for (d, _), (n, b) in zip(rows, repeated_passages(rows, 5)))
+    assert Counter((r.doc_id, r.n_passages, r.n_passage_bytes) for r in got) == want
+    contract = lambda rs: Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rs)
+    assert contract(got) == contract(plain)
