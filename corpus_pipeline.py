@@ -59,7 +59,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     it stands (characters wholly inside it); n_chars follows the new text. No row goes, also when nothing is left of it."""
     from riskloom.llm.substrings import remove
     docs = _columns(docs)
-    changed = cut(remove(docs, with_text=True, words=PASSAGE_WORDS).filter("kept_text IS NOT NULL").select("text_key", "kept_text").dropDuplicates(["text_key"]))
+    changed = cut(remove(docs, with_text=True, words=PASSAGE_WORDS, cut_passages=True).filter("kept_text IS NOT NULL").select("text_key", "kept_text").dropDuplicates(["text_key"]))
     plain, hit = split_by_text(docs, changed)
     new = hit.join(changed, "text_key", "left")
     text = F.coalesce("kept_text", "text")
