@@ -40,7 +40,7 @@ def _code_files_stream(spark):
 
 
 def _events_stream(spark, sf_dir):
-    return spark.readStream.format("parquet").schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").load(sf_dir)
+    return inc.table_stream(spark, sf_dir, "events.parquet", EVENTS_SCHEMA)
 
 
 SCAN_STATUS_SQL = op.code_prefix(f"scan_events AS ({fx.duck_view('scan_events')})") + f""",

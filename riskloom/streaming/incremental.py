@@ -27,6 +27,18 @@ FILE = [*SCAN, "file_path"]
 REPEATS_WITHIN = "1 day"
 
 
+def table_stream(spark: SparkSession, folder: str, table: str, schema: str, max_files: int | None = None) -> DataFrame:
+    """A stream of the parquet table ``table`` (a name or glob) in ``folder``, be it one file or a folder of files.
+
+    The path is always a glob (its last letter as a class): a stream over a plain path takes it for a folder.
+    """
+    reader = spark.readStream.format("parquet").schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    name = f"{table[:-1]}[{table[-1]}]" if table[-1].isalnum() else table
+    return reader.load(f"{folder.rstrip('/')}/{name}")
+
+
 def fresh_files(stream: DataFrame, seen_at: str, within: str = REPEATS_WITHIN) -> DataFrame:
     """Files of a stream without repeats: path and content are kept as state until the watermark has passed them."""
     return (stream.withColumn("content_key", F.xxhash64("content", "size_bytes")).withWatermark(seen_at, within)
@@ -112,10 +124,8 @@ def stream_findings(spark: SparkSession, docs_dir: str, files_builder: Callable[
     micro-batch. ``work_dir`` holds the output and the stream's checkpoint: a second call with the same folder
     goes on where the first one stopped.
     """
-    reader = spark.readStream.format("parquet").schema(docs_schema).option("pathGlobFilter", docs_glob)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = files_builder(reader.load(docs_dir)).withColumn("seen_at", F.current_timestamp())
+    docs = table_stream(spark, docs_dir, docs_glob, docs_schema, max_files)
+    stream = files_builder(docs).withColumn("seen_at", F.current_timestamp())
     q = start_findings_stream(stream, f"{work_dir}/out", f"{work_dir}/ckpt", python=python)
     q.awaitTermination()
     return read_stream_output(spark, f"{work_dir}/out")

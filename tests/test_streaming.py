@@ -1,9 +1,11 @@
 """Structured Streaming operators drained with availableNow."""
 
+import pandas as pd
 import pytest
 
 from riskloom.operators import merge as mg
 from riskloom.operators.catalog import FINDING_COLUMNS
+from riskloom.sources import fixtures as fx
 from riskloom.sources.files import eligible_files
 from riskloom.streaming import incremental as inc
 
@@ -116,3 +118,28 @@ def test_status_merges_changed_keys(spark, tmp_path):
     assert drain() == [(7, "failed", 2), (8, "proposed", 1)]
     add((4, "2024-01-02 00:00:00", 8, "approved"))
     assert drain() == [(7, "failed", 2), (8, "approved", 2)]
+
+
+def test_stream_reads_tables_of_one_file_and_of_many(spark, tmp_path):
+    for i, name in enumerate(["one.parquet", "many.parquet/part-0.parquet", "many.parquet/part-1.parquet"]):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        pd.DataFrame({"id": [2 * i, 2 * i + 1]}).to_parquet(tmp_path / name)
+
+    def ids(table):
+        got = []
+        q = inc.table_stream(spark, f"{tmp_path}/", table, "id BIGINT").writeStream.foreachBatch(
+            lambda batch, _: got.extend(r.id for r in batch.collect())).option("checkpointLocation", f"{tmp_path}/ckpt-{table}")
+        q.trigger(availableNow=True).start().awaitTermination()
+        return sorted(got)
+
+    assert ids("one.parquet") == [0, 1] and ids("many.parquet") == [2, 3, 4, 5]
+
+
+def test_findings_stream_of_a_folder_of_documents(spark, tmp_path):
+    (tmp_path / "documents.parquet").mkdir()
+    for i in range(2):
+        pd.DataFrame([(d, "Plain words.", "en", "s", 12) for d in range(25 * i, 25 * i + 25)],
+                     columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(tmp_path / f"documents.parquet/part-{i}.parquet")
+    out = inc.stream_findings(spark, str(tmp_path), lambda docs: spark.sql(fx.CODE_FILES_TEMPLATE, documents=docs.select("doc_id", "text")),
+                              str(tmp_path / "work"), python=False)
+    assert out.select("commit_sha").distinct().count() == 2
