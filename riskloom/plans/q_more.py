@@ -137,8 +137,8 @@ def q_decoded_files(spark, sf_dir):
     """Files as bytes below a root folder, every blank an invalid byte and every go.mod with a NUL byte: relative
     paths, binary files dropped, each invalid byte one replacement character."""
     files = fx.code_files(spark, sf_dir)
-    hexed = F.regexp_replace(F.hex(F.encode("content", "utf-8")), "(..)", "$1 ")
-    data = F.unhex(F.replace(F.replace(hexed, F.lit("20 "), F.lit("FF ")), F.lit(" "), F.lit("")))
+    one_per_byte = F.decode(F.encode("content", "utf-8"), "ISO-8859-1")  # a character per byte: blanks are bytes 20, \u00ff is byte FF
+    data = F.encode(F.translate(one_per_byte, " ", "\u00ff"), "ISO-8859-1")
     data = F.when(F.col("file_path").endswith("go.mod"), F.concat(F.unhex(F.lit("00")), data)).otherwise(data)
     raw = files.select("repo_id", "commit_sha", F.concat(F.lit("file:/corpus/repo/pkg/"), "file_path").alias("path"), "size_bytes", data.alias("content"))
     raw = raw.withColumn("file_path", src.relative_path(F.col("path"), "/corpus/repo/"))
