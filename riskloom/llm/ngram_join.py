@@ -11,11 +11,15 @@ at least ``1 / HEAVY`` of all occurrences, so the list is bounded), so a very co
 in a prefix only when little else is in the text.
 
 No pairs are made inside a group of copies: each node first meets one hub of the tokens it shares (the
-hub it shares most with); verified links give components. After that only nodes of *different*
-components that share A tokens are compared, in cells of at most ``CELL`` nodes of like size; cells of
-more than ``SMALL`` nodes bound a pair's overlap by 16 bits of each token of the whole sets before they
-propose it, and a pair that such a cell has judged is not looked at again in small ones. So the rest is
-complete without the pairs that could tell nothing new.
+hub it shares most with); verified links give components. Then each cell (the nodes of like size that
+share an A token, at most ``CELL``) of more than ``SMALL`` nodes proposes a spanning forest of its closest
+pairs, so a group of near copies of each other gives as many pairs as it has nodes. After that only nodes of
+*different* components that share A tokens are compared, all of them; large cells bound a pair's distance
+by the parity sketches of the whole sets before they propose it, and a pair that such a cell has judged is
+not looked at again in small ones. So the rest is complete without the pairs that could tell nothing new.
+
+A parity sketch has one bit for each slot: whether an odd number of the set's tokens fall into it. Two
+sketches differ in no more bits than the sets in tokens, so what it rejects is no link.
 
 Words are runs of non-blanks, A-Z lower-cased. With fewer words than a shingle the whole sequence is one
 shingle. Null and empty texts have no shingles and are linked with nothing: their component is their own
@@ -113,8 +117,26 @@ def _nth(x: np.ndarray) -> np.ndarray:
     return np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Parity sketch of a set, of a power of two of bits, as many as tokens at least."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s >> tv.U(16) & tv.U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch as one of ``size`` bytes: slots that are equal in fewer bits fall together."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0)
+
+
+def reach(nx, ny, differ, percent: int):
+    """Whether sets of these sizes that differ in so many tokens at least can reach the threshold."""
+    both = (nx + ny - differ) // 2
+    return 100 * both >= percent * (nx + ny - both)
+
+
 def digest_sets(docs: DataFrame, heavy: tuple, k: int, percent: int) -> DataFrame:
-    """Per document row: size and key of its set, key of its text, prefix A and sketches B, C."""
+    """Per document row: size and key of its set, key of its text, prefix A, sketches B, C and parity sketch."""
     held = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,17 +146,17 @@ def digest_sets(docs: DataFrame, heavy: tuple, k: int, percent: int) -> DataFram
             for d, t, s in zip(pdf["doc_id"].tolist(), texts, shingle_sets(texts, k)):
                 if len(s):
                     a, b, c = prefixes(s, held.value, percent)
-                    rows.append((d, len(s), tv.digest16(s.tobytes()), tv.digest16(t), tv.signed(a), b.tobytes(), c.tobytes()))
+                    rows.append((d, len(s), tv.digest16(s.tobytes()), tv.digest16(t), tv.signed(a), b.tobytes(), c.tobytes(), parity(s)))
                 else:
-                    rows.append((d, 0, None, None, np.zeros(0, np.int64), None, None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "text_key", "a", "b", "c"])
+                    rows.append((d, 0, None, None, np.zeros(0, np.int64), None, None, None))
+            out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "text_key", "a", "b", "c", "s"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.mapInPandas(run, "doc_id long, n long, key binary, text_key binary, a array<long>, b binary, c binary")
+    return docs.mapInPandas(run, "doc_id long, n long, key binary, text_key binary, a array<long>, b binary, c binary, s binary")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, short: bool = False) -> DataFrame:
-    """(nid, s): whole sorted sets of the wanted nodes (nid, text_key, more), or (``short``) 16 bits of each token. The texts are read again; a fixed-size
+def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(nid, s): whole sorted sets of the wanted nodes (nid, text_key). The texts are read again; a fixed-size
     bit set of text keys passes few others, an equi-join is exact."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.expr(TEXT_HASH))))
 
@@ -146,7 +168,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, short: bool = False)
             some = np.flatnonzero(in_bitmap(held.value, h)) if len(h) else []
             sets = shingle_sets([texts[i] for i in some], k)
             yield pd.DataFrame({"text_key": [keys[i] for i in some],
-                                "s": [(np.sort(s.astype(np.uint16)) if short else s).tobytes() for s in sets]})
+                                "s": [s.tobytes() for s in sets]})
 
     read = docs.select("text").mapInPandas(run, "text_key binary, s binary").dropDuplicates(["text_key"])
     return read.join(wanted, "text_key").drop("text_key")
@@ -154,20 +176,18 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int, short: bool = False)
 
 def intersect_orders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of like size whose sketches under B and under C share as many tokens as the threshold needs,
-    and whose whole sets can reach it on 16 bits of each token (which never make an intersection too small)."""
+    and whose whole sets can reach it by their parity sketches."""
     one, two = (sets.select(F.col("nid").alias(i), *[F.col(c).alias(c + i) for c in ("n", "b", "c", "s")]) for i in "xy")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
             for nx, ny, *sketches in pdf[["nx", "ny", "bx", "by", "cx", "cy", "sx", "sy"]].itertuples(index=False, name=None):
-                bx, by, cx, cy, sx, sy = (np.frombuffer(x, np.uint16) for x in sketches)
+                size = min(map(len, sketches[4:]))
+                differ = int(np.bitwise_count(np.bitwise_xor(*(folded(x, size) for x in sketches[4:]))).sum())
+                bx, by, cx, cy = (np.frombuffer(x, np.uint16) for x in sketches[:4])
                 least = need(max(nx, ny), percent, MORE)
-                good = shared(bx, by) >= least and shared(cx, cy) >= least
-                if good:
-                    both = shared(sx, sy)
-                    good = 100 * both >= percent * (nx + ny - both)
-                ok.append(good)
+                ok.append(reach(nx, ny, differ, percent) and shared(bx, by) >= least and shared(cx, cy) >= least)
             yield pdf.loc[ok, ["x", "y"]]
 
     fit = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
@@ -230,18 +250,64 @@ def hub_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return best.union(across).join(size, "x").filter("3 * met >= prefix").select("x", "y").distinct()
 
 
-def rest_pairs(docs: DataFrame, rows: DataFrame, nodes: DataFrame, comp: DataFrame, k: int, percent: int, cell: int) -> DataFrame:
-    """Pairs of different components and like size that share as many A tokens as the threshold needs."""
+def mixed_rows(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (with their component and the token's rows, m) of tokens that nodes of different components have."""
     named = rows.join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     mixed = named.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter(
         "c0 <> c1").select("token", "m")
-    there = cut(named.join(mixed, "token"))
-    # Nodes of a token that many have stand in their own size class and the next: sizes that can match differ by
-    # one class at most. What goes beyond one cell goes to every pair of its blocks, each pair a task-sized group.
+    return cut(named.join(mixed, "token"))
+
+
+def size_classes(there: DataFrame) -> DataFrame:
+    """Nodes of a token that many have stand in their own size class and the next (m: rows of token and class):
+    sizes that can match differ by one class at most."""
     many = cut(there.filter(F.col("m") > SMALL).drop("m").withColumn("class", F.explode(F.array(F.col("band"), F.col("band") + 1))))
     sized = many.groupBy("token", "class").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"),
                                                F.max("band").alias("top")).filter("c0 <> c1 AND top = class").select("token", "class", "m")
-    many = many.join(sized, ["token", "class"])
+    return many.join(sized, ["token", "class"])
+
+
+KEY = ["token", "class", "p", "q"]
+
+
+def in_cells(cells: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(x, y, need) of ``cell_pairs`` over whole cells."""
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            if sum(map(len, held)) >= CELL_ROWS:
+                whole = pd.concat(held)
+                last = (whole[KEY] == whole[KEY].iloc[-1]).all(axis=1)
+                held = [whole[last]]  # the last cell may go on in the next batch
+                yield cell_pairs(whole[~last], percent, forest)
+        if held:
+            yield cell_pairs(pd.concat(held), percent, forest)
+
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(n, *KEY).sortWithinPartitions(*KEY).mapInPandas(compare, "x long, y long, need int")
+
+
+def near_pairs(rows: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int, cell: int) -> DataFrame:
+    """Closest pairs of different components in large cells, a spanning forest of each. Only a guess at links that
+    leaves few components to the complete round: a row stands in one cell, of two size classes and at most some
+    ``cell`` nodes; which classes and nodes stand together differs by token, and near copies share many tokens."""
+    there = mixed_rows(rows, comp).filter(F.col("m") > SMALL).drop("m").withColumn(
+        "sizes", F.floor((F.col("band") + F.pmod(F.xxhash64("token"), F.lit(2))) / 2).cast("int"))
+    sized = there.groupBy("token", "sizes").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter(
+        F.expr(f"c0 <> c1 AND m > {SMALL}")).select("token", "sizes", F.ceil(F.col("m") / cell).alias("nb"))
+    own = (F.col("sizes") * F.col("nb") + F.pmod(F.xxhash64("nid", "token"), F.col("nb"))).cast("int")
+    cells = there.join(sized, ["token", "sizes"]).select(
+        "token", F.lit(-1).alias("class"), own.alias("p"), own.alias("q"), own.alias("own"), "nid", "n", "component", "band",
+        F.lit(None).cast("array<long>").alias("judged"))
+    return in_cells(cells.join(nodes.select("nid", F.col("s").alias("b")), "nid"), percent, True).select("x", "y").distinct()
+
+
+def rest_pairs(rows: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int, cell: int) -> DataFrame:
+    """Pairs of different components and like size that share as many A tokens as the threshold needs."""
+    there = mixed_rows(rows, comp)
+    # What goes beyond one cell goes to every pair of its blocks, each pair a task-sized group.
+    many = size_classes(there)
     zero = F.lit(0)
     cols = ["token", "class", "p", "q", "own", "nid", "n", "component", "band"]
     large = cut(many.filter(F.col("m") > SMALL).withColumn("nb", F.ceil(F.col("m") / cell)).withColumn(
@@ -251,35 +317,17 @@ def rest_pairs(docs: DataFrame, rows: DataFrame, nodes: DataFrame, comp: DataFra
     # per node the large cells it stands in (at most two a prefix token); the last byte is the size class
     judged = cut(large.groupBy("nid").agg(F.collect_set(F.xxhash64("token").bitwiseAND(F.lit(~255)).bitwiseOR(
         F.pmod("class", F.lit(256)).cast("long"))).alias("judged")))
-    wanted = cut(nodes.select("nid", "text_key").join(judged.select("nid"), "nid"))
-    large = large.join(whole_sets(docs, wanted, k, short=True).withColumnRenamed("s", "b"), "nid").withColumn(
-        "judged", F.lit(None).cast("array<long>"))
+    large = large.join(nodes.select("nid", F.col("s").alias("b")), "nid").withColumn("judged", F.lit(None).cast("array<long>"))
     small = there.filter(F.col("m") <= SMALL).withColumn("class", F.lit(-1)).unionByName(many.filter(F.col("m") <= SMALL)).select(
         "token", "class", zero.alias("p"), zero.alias("q"), zero.alias("own"), "nid", "n", "component", "band", F.lit(None).cast("binary").alias("b"))
     small = small.join(judged, "nid", "left")
-    key = ["token", "class", "p", "q"]
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            held.append(pdf)
-            if sum(map(len, held)) >= CELL_ROWS:
-                whole = pd.concat(held)
-                last = (whole[key] == whole[key].iloc[-1]).all(axis=1)
-                held = [whole[last]]  # the last cell may go on in the next batch
-                yield cell_pairs(whole[~last], percent)
-        if held:
-            yield cell_pairs(pd.concat(held), percent)
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = small.unionByName(large.select(*small.columns)).repartition(n, *key).sortWithinPartitions(*key)
-    found = cells.mapInPandas(compare, "x long, y long, need int")
+    found = in_cells(small.unionByName(large.select(*small.columns)), percent, False)
     return found.groupBy("x", "y").agg(F.count("*").alias("met"), F.min("need").alias("need")).filter("met >= need").select("x", "y")
 
 
-def cell_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of whole cells (rows sorted by cell): components differ, sizes fit and, in large cells, 16 bits of each
-    token (at least as many in common as tokens) allow the overlap that the threshold asks for."""
+def cell_pairs(pdf: pd.DataFrame, percent: int, forest: bool = False) -> pd.DataFrame:
+    """Pairs of whole cells (rows sorted by cell): components differ, sizes fit and, in large cells, the parity
+    sketches allow the overlap that the threshold asks for. ``forest``: of large cells only a spanning forest of the closest."""
     if not len(pdf):
         return pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64), "need": np.zeros(0, np.int32)})
     token, cls, p, q, own, nid, n, comp, band = (pdf[c].to_numpy(np.int64) for c in (
@@ -287,9 +335,12 @@ def cell_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (token, cls, p, q)], axis=0)])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(pdf)))
+    sketches = pdf["b"].to_numpy()
+    judging = np.array([x is not None for x in sketches])  # also small blocks of a large cell: no other cell looks at their pairs
+    by_cell = (size > SMALL) | judging[first] & (size > 1)
     ones, twos = [], []
-    for m in np.unique(size[(size > 1) & (size <= SMALL)]):
-        at = first[size == m]
+    for m in np.unique(size[(size > 1) & ~by_cell]):
+        at = first[(size == m) & ~by_cell]
         for i in range(m):
             for j in range(i + 1, m):
                 ones.append(at + i)
@@ -297,19 +348,19 @@ def cell_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, twos))
     ok = _fits(a, b, n, comp, band, cls, own, p, q, percent)
     a, b = _not_judged(a[ok], b[ok], pdf["judged"], band)
-    sketches = pdf["b"].to_numpy()
-    judging = np.array([x is not None for x in sketches])  # small blocks of a large cell: no other cell looks at their pairs
-    xs, ys, needs = [a], [b], [np.where(judging[a], 1, need(np.maximum(n[a], n[b]), percent, SHARED))]
-    for lo, m in zip(first[size > SMALL], size[size > SMALL]):
+    xs, ys, needs = [a], [b], [need(np.maximum(n[a], n[b]), percent, SHARED)]
+    for lo, m in zip(first[by_cell], size[by_cell]):
         a, b = (x + lo for x in np.triu_indices(m, 1))
         ok = _fits(a, b, n, comp, band, cls, own, p, q, percent)
         if not ok.any():
             continue
         a, b = a[ok], b[ok]
-        if sketches[lo] is not None:
-            both = _sketch_counts([sketches[i] for i in range(lo, lo + m)])[a - lo, b - lo]
-            ok = 100 * both >= percent * (n[a] + n[b] - both)
+        if judging[lo]:
+            differ = _sketch_distances(sketches[lo:lo + m])[a - lo, b - lo]
+            ok = reach(n[a], n[b], differ, percent)
             a, b = a[ok], b[ok]
+            if forest and len(a) >= m:
+                a, b = (x + lo for x in _forest(a - lo, b - lo, differ[ok], comp[lo:lo + m]))
         xs.append(a)
         ys.append(b)
         needs.append(np.ones(len(a), np.int64))  # the bound is stronger than any count of shared tokens
@@ -336,22 +387,47 @@ def _fits(a, b, n, comp, band, cls, own, p, q, percent: int) -> np.ndarray:
     return ok & ((p[a] == q[a]) | (own[a] != own[b]))
 
 
-def _sketch_counts(sketches: list[bytes]) -> np.ndarray:
-    """Shared values of each two sketches of a cell, as a product of their incidence matrix."""
-    parts = [np.frombuffer(x, np.uint16) for x in sketches]
-    flat = np.concatenate([x.astype(np.int64) << 16 | _nth(x) for x in parts])
-    row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    _, slot, count = np.unique(flat, return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1
-    keep = count[slot] > 1
-    row, col = row[keep], number[slot[keep]]
-    same = np.zeros((len(parts), len(parts)), np.float32)
-    for lo in range(0, int((count > 1).sum()), 2048):
-        part = (col >= lo) & (col < lo + 2048)
-        m = np.zeros((len(parts), 2048), np.float32)
-        m[row[part], col[part] - lo] = 1
+def _sketch_distances(sketches: np.ndarray) -> np.ndarray:
+    """Bits in which each two parity sketches of a cell differ, as a product of their bit matrix."""
+    size = min(map(len, sketches))
+    packed = np.array([folded(x, size) for x in sketches])
+    same = np.zeros((len(packed), len(packed)), np.float32)
+    for lo in range(0, size, 256):
+        m = np.unpackbits(packed[:, lo:lo + 256], axis=1).astype(np.float32)
         same += m @ m.T
-    return same
+    each = np.diag(same)
+    return (each[:, None] + each - 2 * same).astype(np.int64)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, differ: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a minimum spanning forest of the pairs (Prim), nodes of equal components taken as one."""
+    m, none = len(comp), np.iinfo(np.int64).max
+    far = np.full((m, m), none)
+    far[a, b] = far[b, a] = differ + 1
+    far[comp[:, None] == comp] = 0
+    best, near, left = np.full(m, none), np.full(m, -1), np.arange(m)
+    ones, twos = [], []
+    while len(left):
+        at = np.argmin(best[left])
+        i = left[at]
+        left = np.delete(left, at)
+        if 0 < best[i] < none:
+            ones.append(near[i])
+            twos.append(i)
+        closer = far[i] < best
+        best[closer], near[closer] = far[i][closer], i
+    return np.array(ones, np.int64), np.array(twos, np.int64)
+
+
+def join_components(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) with further links, which join whole components: only those edges are left."""
+    for end in ("u", "v"):
+        links = links.join(comp.select(F.col("node").alias(end), "component"), end, "left").withColumn(
+            end, F.coalesce("component", end)).drop("component")
+    over = cut(components(links))
+    grown = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select(
+        "node", F.coalesce("whole", "component").alias("component"))
+    return cut(grown.union(over.join(comp.select("node"), "node", "left_anti")))
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
@@ -363,31 +439,20 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, cell: int =
     # written once: the numbers given here stay
     nodes = cut(seen.filter("n > 0").groupBy("key").agg(
         F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("a").alias("a"), F.first("b").alias("b"),
-        F.first("c").alias("c"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")).withColumn("nid", F.monotonically_increasing_id()))
+        F.first("c").alias("c"), F.first("s").alias("s"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")).withColumn("nid", F.monotonically_increasing_id()))
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     rows = shared_tokens(nodes).withColumn("band", band)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        def sets_of(pairs: DataFrame, short: bool, *more: str) -> DataFrame:
-            ids = pairs.select(F.col("x").alias("nid")).union(pairs.select(F.col("y").alias("nid"))).distinct()
-            wanted = cut(nodes.select("nid", "text_key", *more).join(ids, "nid"))
-            return whole_sets(docs, wanted, k, short)
-
-        pairs = cut(pairs)
-        left = cut(intersect_orders(pairs, sets_of(pairs, True, "n", "b", "c"), percent))
-        return cut(verify(left, sets_of(left, False), percent))
-
-    links = links_of(hub_pairs(rows, nodes, percent))
-    comp = cut(components(links))
-    more = links_of(rest_pairs(docs, rows, nodes, comp, k, percent, cell))
-    # the later links join whole components: only those edges are left
-    for end in ("u", "v"):
-        more = more.join(comp.select(F.col("node").alias(end), "component"), end, "left").withColumn(
-            end, F.coalesce("component", end)).drop("component")
-    over = cut(components(more).withColumnRenamed("component", "whole"))
+        left = cut(intersect_orders(cut(pairs), nodes, percent))
+        ids = left.select(F.col("x").alias("nid")).union(left.select(F.col("y").alias("nid"))).distinct()
+        return cut(verify(left, whole_sets(docs, cut(nodes.select("nid", "text_key").join(ids, "nid")), k), percent))
+
+    comp = cut(components(links_of(hub_pairs(rows, nodes, percent))))
+    for propose in (near_pairs, rest_pairs):
+        comp = join_components(comp, links_of(propose(rows, nodes, comp, percent, cell)))
     named = nodes.select("key", "nid", "doc_id", "n_copies").join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").withColumn(
-        "component", F.coalesce("component", "nid")).join(over.withColumnRenamed("node", "component"), "component", "left").withColumn(
-        "component", F.coalesce("whole", "component")).drop("whole")
+        "component", F.coalesce("component", "nid"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("key", "component", "component_id", "n_copies")
     return seen.select("doc_id", F.col("n").alias("n_shingles"), "key", "text_key").join(named, "key", "left").select(

@@ -90,6 +90,67 @@ def test_ngram_join_repeats_and_null_ids(spark, make_docs):
     assert ngram_join.join(make_docs([])).count() == 0
 
 
+def near_copies(rng, n, words=200, edits=5):
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for at in rng.sample(range(words), edits if i else 0):
+            t[at] = f"x{rng.random()}"
+        rows.append((i, " ".join(t)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("edits,cell", [(3, 1024), (3, 40)])
+def test_ngram_join_proposes_few_pairs_of_near_copies(spark, make_docs, monkeypatch, edits, cell):
+    """A group of near copies of each other gives pairs in proportion to its nodes, not to their square."""
+    rows = near_copies(random.Random(edits), 240, edits=edits)
+    proposed, old = [], ngram_join.intersect_orders
+    monkeypatch.setattr(ngram_join, "intersect_orders", lambda pairs, *a: proposed.append(pairs.count()) or old(pairs, *a))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(make_docs(rows), cell=cell).collect()}
+    want = components({i: shingles(t) for i, t in rows})
+    assert got == want
+    assert sum(proposed) < 20 * len(rows)
+
+
+def test_parity_sketches_reject_no_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 64, 65, 300, 2000):
+        for percent in (50, 80, 90):
+            x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            for drop in (0, n // 30, n // 8, n // 4):
+                y = np.unique(np.append(x[drop:], rng.integers(0, 1 << 63, drop // 2).astype(np.uint64)))
+                p, q = ngram_join.parity(np.unique(x)), ngram_join.parity(y)
+                size = min(len(p), len(q))
+                differ = int(ngram_join._sketch_distances(np.array([p, q], object))[0, 1])
+                assert differ == sum(bin(a ^ b).count("1") for a, b in zip(ngram_join.folded(p, size), ngram_join.folded(q, size)))
+                both = len(np.intersect1d(x, y))
+                assert differ <= len(x) + len(y) - 2 * both
+                assert ngram_join.reach(len(x), len(y), differ, percent) or 100 * both < percent * (len(x) + len(y) - both)
+    assert len(ngram_join.parity(x)) * 8 < 2 * len(x)
+
+
+def test_forest_joins_what_its_pairs_join():
+    rng = random.Random(2)
+    for _ in range(50):
+        m = rng.randint(2, 12)
+        comp = np.array([rng.randrange(m) for _ in range(m)])
+        pairs = [(i, j) for i in range(m) for j in range(i + 1, m) if comp[i] != comp[j] and rng.random() < 0.3]
+        a, b = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ([], [])))
+        ones, twos = ngram_join._forest(a, b, np.array([rng.randrange(4) for _ in pairs], np.int64), comp)
+
+        def groups(edges):
+            at = list(comp)
+            for i, j in edges:
+                at = [at[i] if x == at[j] else x for x in at]
+            return {tuple(x == y for y in at) for x in at}
+
+        edges = list(zip(ones.tolist(), twos.tolist()))
+        assert set(map(frozenset, edges)) <= set(map(frozenset, pairs)) and groups(edges) == groups(pairs)
+        assert len(edges) <= len(set(comp.tolist())) - 1
+
+
 def cut_brute(rows, span):
     data = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[p:p + span] for _, b in data for p in range(len(b) - span + 1))
