@@ -57,15 +57,16 @@ def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS):
     """A fixed-size bit set (4 MB) of a column of longs, built by aggregation.
 
     A filter only: it may let more through, never less, so it thins rows before an exact join. Its
-    size does not grow with the data; when it fills up it merely stops helping.
+    size does not grow with the data; when it fills up it merely stops helping. Its words (up to half a
+    million) come to the driver as Arrow columns: row objects would take many times their bytes there.
     """
     import numpy as np
     h = hashes.select(F.col(hashes.columns[0]).alias("h"))
     slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     words = h.select((slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, CAST(h & 63 AS INT))").alias("b")).groupBy("w").agg(
-        F.bit_or("b").alias("b")).toPandas()
+        F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return out
 
 

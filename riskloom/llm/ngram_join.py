@@ -81,10 +81,10 @@ def heavy_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     total = counted.filter("token IS NULL").agg(F.sum("n")).collect()[0][0] or 0
     least = max(LEAST_HEAVY, total // HEAVY)
     # at most HEAVY rows: each holds at least 1 / HEAVY of all occurrences
-    got = counted.filter((F.col("n") >= least) & F.col("token").isNotNull()).toPandas()
-    tok = got["token"].to_numpy(np.int64).view(np.uint64)
+    got = counted.filter((F.col("n") >= least) & F.col("token").isNotNull()).toArrow()
+    tok = got["token"].to_numpy().view(np.uint64)
     order = np.argsort(tok)
-    return tok[order], np.log2(got["n"].to_numpy(float))[order].astype(np.uint64) if len(tok) else np.zeros(0, np.uint64)
+    return tok[order], np.log2(got["n"].to_numpy().astype(float))[order].astype(np.uint64) if len(tok) else np.zeros(0, np.uint64)
 
 
 def prefixes(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

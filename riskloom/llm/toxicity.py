@@ -91,7 +91,7 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, y: np.ndarray, n_terms: int,
     rate0 = min(max(y.mean(), 1e-6), 1 - 1e-6)
     w0, w, v = float(np.log(rate0 / (1 - rate0))), np.zeros(n_terms), rng.normal(0, 0.01, (n_terms, factors))
     gw, gv, g0 = np.full(n_terms, 1e-3), np.full((n_terms, factors), 1e-3), 1e-3
-    begin = np.searchsorted(doc, np.arange(len(y) + 1))
+    begin = np.searchsorted(doc, np.arange(len(y) + 1, dtype=doc.dtype))
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             sizes = begin[part + 1] - begin[part]
@@ -137,6 +137,32 @@ def pair_terms(doc: np.ndarray, term: np.ndarray, y: np.ndarray, n_terms: int) -
     return np.flatnonzero((z > PAIR_CLEAR).any(axis=1)) if n_terms else np.zeros(0, np.int64)
 
 
+def sample_terms(rows: DataFrame, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, term number) pairs and labels of the bounded sample. Its order is fixed: by label, then by the
+    terms as text. It comes to the driver as Arrow columns and stays flat there: lists of numbers would take many
+    times their bytes."""
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            doc, bucket = doc_terms(pdf["text"].tolist())
+            ok = number[bucket] >= 0
+            doc, term = doc[ok], number[bucket[ok]]
+            at = np.searchsorted(doc, np.arange(len(pdf) + 1))
+            yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [np.sort(term[a:b]) for a, b in zip(at, at[1:])]})
+
+    got = rows.mapInPandas(features, "toxic int, terms array<int>").toArrow()
+    y, lists = got["toxic"].to_numpy(), got["terms"].combine_chunks()
+    flat = lists.flatten().to_numpy()
+    end = np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)
+    begin = np.append(0, end)[:-1]
+    # big-endian places of the numbers as text: their bytes compare as the comma-joined numbers do
+    place = np.empty(int(number.max()) + 1, ">u2")
+    place[np.argsort(np.arange(len(place)).astype(str))] = np.arange(len(place))
+    key = place[flat].tobytes()
+    order = np.array(sorted(range(len(y)), key=lambda i: (y[i], key[2 * begin[i]:2 * end[i]])), np.int64)
+    term = np.concatenate([flat[begin[i]:end[i]] for i in order]) if len(order) else np.zeros(0, np.int32)
+    return np.repeat(np.arange(len(order), dtype=np.int32), (end - begin)[order]), term, y[order].astype(float)
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """Model parameters (at most TERMS * (FACTORS + 1) numbers) learned from rows that are not held out."""
     toxic = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
@@ -162,26 +188,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     number = np.full(BUCKETS, -1, np.int32)
     number[np.concatenate([alone, paired])] = np.arange(len(alone) + len(paired))
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            doc, bucket = doc_terms(pdf["text"].tolist())
-            ok = number[bucket] >= 0
-            doc, term = doc[ok], number[bucket[ok]]
-            at = np.searchsorted(doc, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [np.sort(term[a:b]).tolist() for a, b in zip(at, at[1:])]})
-
-    # the bounded sample, its selected terms, in a fixed order
-    sample = rows.mapInPandas(features, "toxic int, terms array<int>").toPandas()
-    sample = sample.assign(k=[",".join(map(str, t)) for t in sample["terms"]]).sort_values(["toxic", "k"], kind="stable")
-    terms = [np.asarray(t, np.int64) for t in sample["terms"]]
-    doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    term, y = np.concatenate(terms) if terms else np.zeros(0, np.int64), sample["toxic"].to_numpy(float)
+    doc, term, y = sample_terms(rows, number)
     near = term >= len(alone)
     together = pair_terms(doc[near], term[near] - len(alone), y, len(paired)) + len(alone)
     renumber = np.full(len(alone) + len(paired) + 1, -1, np.int32)
     renumber[np.concatenate([np.arange(len(alone)), together]).astype(np.int64)] = np.arange(len(alone) + len(together))
     number, term = renumber[number], renumber[term]
-    w0, w, v = fit_machine(doc[term >= 0], term[term >= 0], y, max(1, len(alone) + len(together)))
+    doc, term = doc[term >= 0], term[term >= 0]
+    w0, w, v = fit_machine(doc, term, y, max(1, len(alone) + len(together)))
     return {"n": n1 + n0, "number": number, "w0": w0, "w": w, "v": v}
 
 

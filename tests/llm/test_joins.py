@@ -2,12 +2,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, ngram_join, substrings
+from riskloom.llm import common, decontaminate, ngram_join, substrings
 from riskloom.llm.suffix import common_prefixes, suffix_array
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -290,3 +292,19 @@ def test_passages(spark, make_docs, crowd):
     assert Counter((r.doc_id, r.n_passages, r.n_passage_bytes) for r in got) == want
     contract = lambda rs: Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rs)
     assert contract(got) == contract(plain)
+
+
+def test_bitmap_needs_little_memory_on_the_driver(spark):
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "false")  # Spark's own setting; the tests' session has it on
+    tracemalloc.start()
+    bits = common.bitmap(spark.range(1 << 19).select(F.expr("xxhash64(id)").alias("h")))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    spark.conf.set(key, held)
+    hashes = np.array([r.h for r in spark.range(0, 1 << 19, 97).select(F.expr("xxhash64(id)").alias("h")).collect()], np.int64).view(np.uint64)
+    assert common.in_bitmap(bits, hashes).all()
+    assert 0 < np.bitwise_count(bits).sum() <= 1 << 19
+    assert peak < 32 << 20, peak
+    assert not common.bitmap(spark.range(0).select(F.col("id").alias("h"))).any()

@@ -1,6 +1,7 @@
 """Classifiers, search, archives and license scans: exact checks where possible, held-out quality otherwise."""
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -74,6 +75,27 @@ def test_toxicity_without_labels(spark, make_docs):
     assert toxicity.score(make_docs([]), none).count() == 0
 
 
+def test_toxicity_sample_is_flat_and_in_its_order(spark):
+    rng = random.Random(5)
+    rows = [(" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice([0, 1, 2, 300, 300]))), rng.randrange(2)) for _ in range(3000)] * 2
+    table = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    doc, bucket = toxicity.doc_terms([t for t, _ in rows])
+    number = np.full(toxicity.BUCKETS, -1, np.int32)
+    used = np.unique(bucket)[::2]
+    number[used] = np.random.default_rng(1).permutation(len(used))
+    tracemalloc.start()
+    got_doc, got_term, y = toxicity.sample_terms(table, number)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    begin = np.searchsorted(doc, np.arange(len(rows) + 1))
+    lists = [np.sort(number[bucket[a:b]]) for a, b in zip(begin, begin[1:])]
+    want = sorted(((y, ",".join(map(str, t[t >= 0]))) for t, (_, y) in zip(lists, rows)))
+    at = np.searchsorted(got_doc, np.arange(len(y) + 1))
+    assert [(int(k), ",".join(map(str, got_term[a:b]))) for k, a, b in zip(y, at, at[1:])] == want
+    # flat columns need a few bytes a term; the fixed part is the way of the lookup table to the tasks
+    assert len(got_term) > 600_000 and peak < 16 * len(got_term) + (20 << 20), (peak, len(got_term))
+
+
 def test_language_words_end_where_the_script_changes(spark, make_docs):
     rng = random.Random(9)
     parts = {"en": ["the", "and", "ing", "er"], "ru": ["при", "вет", "мир"], "zh": list("漢字文中国人大学生")}
