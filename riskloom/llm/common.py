@@ -40,6 +40,21 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+TASK_ROWS = 1 << 16
+
+
+def sized(df: DataFrame, n: int | None = None, small: bool = True) -> DataFrame:
+    """A cut of ``n`` narrow rows, read by one task per ``TASK_ROWS`` rows however many wrote it; ``small``: joins may
+    send one of a single task's rows to the tasks of the other side.
+
+    Links and components are few beside the texts. Dealt over all partitions, the rounds that join and group
+    them were most of a run's tasks, and the driver holds and logs every task.
+    """
+    n = df.count() if n is None else n
+    out = df.coalesce(max(1, -(-n // TASK_ROWS)))
+    return F.broadcast(out) if small and n <= TASK_ROWS else out
+
+
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
     """The columns an operator reads; other columns of the input are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
@@ -107,16 +122,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an edge list (u, v): alternating large-star and small-star rounds.
 
     Every round is a grouped minimum and an equi-join; only edges move and each round is cut into the
-    shared folder. Stops when a round changes nothing; an error if ``max_rounds`` do not get there.
+    shared folder. Its rows are made in place, without unions, so edges that one task holds are not dealt out.
+    Stops when a round changes nothing; an error if ``max_rounds`` do not get there.
     """
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both if large else both.filter("v <= u")
+    def rows(e: DataFrame, *pairs: tuple[str, str], names: tuple[str, str] = ("u", "v")) -> DataFrame:
+        return e.select(F.inline(F.array(*[F.struct(*[F.col(c).alias(x) for c, x in zip(p, names)]) for p in pairs])))
+
+    def star(e: DataFrame, large: bool, few: bool) -> DataFrame:
+        # edges go from the larger node u to the smaller v
+        near = rows(e, ("u", "v"), ("v", "u")) if large else rows(e, ("u", "v"), ("u", "u"))
         low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = near.join(low, "u")
-        if large:
-            return out.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return out.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        out = near.join(F.broadcast(low) if few else low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("by"))
+        return (out.filter("u > by") if large else out).select("u", "v")
 
     def state(e: DataFrame) -> tuple:
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).collect()[0]
@@ -127,11 +144,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = cut(star(star(now, True), False).filter("u <> v").distinct())
+        few, now = seen[0] <= TASK_ROWS, sized(now, seen[0], small=False)
+        now = cut(star(star(now, True, few), False, few).filter("u <> v").distinct())
         then, seen = seen, state(now)
         if then == seen:
             break
     else:
         raise RuntimeError(f"components: the edges still change after {max_rounds} rounds")
-    return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    now = sized(now, seen[0], small=False)
+    return rows(now, ("u", "v"), ("v", "v"), names=("node", "component")).groupBy("node").agg(F.min("component").alias("component"))

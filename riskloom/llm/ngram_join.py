@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import textvec as tv
-from riskloom.llm.common import TEXT_HASH, bitmap, components, cut, id_text, in_bitmap, prepare
+from riskloom.llm.common import TEXT_HASH, bitmap, components, cut, id_text, in_bitmap, prepare, sized
 
 SHINGLE = 3
 PERCENT = 90
@@ -424,10 +424,10 @@ def join_components(comp: DataFrame, links: DataFrame) -> DataFrame:
     for end in ("u", "v"):
         links = links.join(comp.select(F.col("node").alias(end), "component"), end, "left").withColumn(
             end, F.coalesce("component", end)).drop("component")
-    over = cut(components(links))
+    over = sized(cut(components(links)))
     grown = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select(
         "node", F.coalesce("whole", "component").alias("component"))
-    return cut(grown.union(over.join(comp.select("node"), "node", "left_anti")))
+    return sized(cut(grown.union(over.join(comp.select("node"), "node", "left_anti"))))
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
@@ -444,11 +444,11 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, cell: int =
     rows = shared_tokens(nodes).withColumn("band", band)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        left = cut(intersect_orders(cut(pairs), nodes, percent))
-        ids = left.select(F.col("x").alias("nid")).union(left.select(F.col("y").alias("nid"))).distinct()
-        return cut(verify(left, whole_sets(docs, cut(nodes.select("nid", "text_key").join(ids, "nid")), k), percent))
+        left = sized(cut(intersect_orders(sized(cut(pairs), small=False), nodes, percent)), small=False)
+        ids = left.select(F.explode(F.array("x", "y")).alias("nid")).distinct()
+        return sized(cut(verify(left, whole_sets(docs, cut(nodes.select("nid", "text_key").join(ids, "nid")), k), percent)))
 
-    comp = cut(components(links_of(hub_pairs(rows, nodes, percent))))
+    comp = sized(cut(components(links_of(hub_pairs(rows, nodes, percent)))))
     for propose in (near_pairs, rest_pairs):
         comp = join_components(comp, links_of(propose(rows, nodes, comp, percent, cell)))
     named = nodes.select("key", "nid", "doc_id", "n_copies").join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").withColumn(
