@@ -55,6 +55,53 @@ def test_runs_of_a_failing_rule_are_bounded(spark, monkeypatch):
     assert found.count() == 60 and sorted(r.repo_id for r in warned.collect()) == sorted(f"r{i}" for i in range(60))
 
 
+def picky_rule(bad):
+    """A rule that raises on some texts."""
+    return lambda x: rows(x, F.when(F.col("content").isin(bad), F.raise_error(F.concat(F.lit("cannot read "), "content"))).otherwise(F.col("content")))
+
+
+def test_no_scan_loses_its_findings_to_the_number_of_runs(spark, monkeypatch):
+    monkeypatch.setattr(rl, "MOST_RUNS", 20)
+    bad = {f"r{i}" for i in range(0, 60, 5)}
+    found, warned = rl.run_rules(inputs(spark, 60), {"picky": picky_rule([f"text {r[1:]}" for r in bad])})
+    warnings = {r.repo_id: r.warning for r in warned.collect()}
+    assert sorted(r.repo_id for r in found.collect()) == sorted({f"r{i}" for i in range(60)} - bad)
+    assert set(warnings) == bad and warned.count() == len(bad)
+    assert all(f"cannot read text {r[1:]}" in w for r, w in warnings.items())
+
+
+def test_scans_of_one_hash_are_run_by_their_keys(spark):
+    """The hash leaves nulls out: these two keys have the same one."""
+    keys = [(None, "x", 0), ("x", None, 1), ("y", "z", 2), (None, None, 3)]
+    files = spark.createDataFrame([(r, c, "a.py", f"text {i}") for r, c, i in keys], "repo_id string, commit_sha string, file_path string, content string")
+    found, warned = rl.run_rules(rl.ScanInputs(*[files] * 6), {"picky": picky_rule(["text 1", "text 3"])})
+    assert {(r.repo_id, r.commit_sha) for r in found.collect()} == {(None, "x"), ("y", "z")} and found.count() == 2
+    assert sorted((r.repo_id or "", r.commit_sha or "", r.rule) for r in warned.collect()) == [("", "", "picky"), ("x", "", "picky")]
+
+
+def test_rows_that_cannot_be_read_cost_their_own_scans(spark):
+    x = inputs(spark, 60)
+    broken = x.eligible.withColumn("content", F.when(F.col("repo_id").isin("r7", "r11"), F.raise_error(F.lit("broken"))).otherwise(F.col("content")))
+    found, warned = rl.run_rules(rl.ScanInputs(x.files, broken, x.hits, x.special, x.refs, x.facts), {"plain": rows, "other": lambda i: rows(i).select("*")})
+    per_scan = {r.repo_id: r["count"] for r in found.groupBy("repo_id").count().collect()}
+    assert per_scan == {f"r{i}": 2 for i in range(60) if i not in (7, 11)}
+    assert sorted((r.repo_id, r.rule) for r in warned.collect()) == [(r, k) for r in ("r11", "r7") for k in ("other", "plain")]
+
+
+def test_a_run_reads_the_rows_of_its_scans(spark):
+    """Below the first cut a run takes its rows from a table that lies apart by group, not from the input."""
+    read = []
+
+    def rule(x):
+        read.append(x.eligible.inputFiles())
+        return picky_rule(["text 3"])(x)
+
+    found, warned = rl.run_rules(inputs(spark, 100), {"picky": rule})
+    assert found.count() == 99 and warned.count() == 1
+    below = [r for r in read if r]
+    assert below and all("/rows/" in f and "_scan_group=" in f for r in below for f in r)
+
+
 def test_registering(spark):
     rules = rl.RuleSet()
     assert list(rules.rules) == ["secret_scan", "config_audit", "dependency_audit", "ast_rules", "js_pattern_rules", "backdoor_heuristics",
