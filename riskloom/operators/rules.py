@@ -34,7 +34,7 @@ from riskloom.operators import pyfacts as pf
 from riskloom.operators import pyrules as prl
 from riskloom.operators import secret_rules as sec
 from riskloom.operators.catalog import FINDING_COLUMNS
-from riskloom.session import cut_lineage, ensure_checkpoint_dir
+from riskloom.session import cut_lineage, ensure_checkpoint_dir, free_plans
 from riskloom.sources import files as src
 from riskloom.sources.snapshots import Folder
 
@@ -45,9 +45,11 @@ FINDING = ", ".join(f"{c} {t}" for c, t in TYPES.items())
 # a failing group of scans is cut into 2 ** SPLIT_BITS groups by the next bits of its scans' hashes
 SPLIT_BITS = 3
 HASH_BITS = 63
-# runs of one round, some of them side by side; a rule gets as many rounds as it takes to have its failing scans alone
+# runs of one round, some of them side by side, and how many are held before their findings are written; a rule gets as
+# many rounds as it takes to have its failing scans alone
 MOST_RUNS = 256
-RUNS_AT_ONCE = 8
+RUNS_AT_ONCE = 2
+RUNS_KEPT = 64
 GROUP = "_scan_group"
 MESSAGE = 900
 
@@ -245,13 +247,18 @@ class _Runs:
             except _FAILS as error:
                 return message(self.name, error)
 
-        with ThreadPoolExecutor(RUNS_AT_ONCE) as pool:
-            runs = [pool.submit(inheritable_thread_target(self.spark)(one), g) for g in groups]
-            done = [r.result() for r in runs]
-        found = [d for d in done if isinstance(d, DataFrame)]
-        if found:
-            self._keep("found", _union(*found))
-        return [d if isinstance(d, str) else None for d in done]
+        errors = []
+        for some in _batches(groups, RUNS_KEPT):
+            with ThreadPoolExecutor(RUNS_AT_ONCE) as pool:
+                runs = [pool.submit(inheritable_thread_target(self.spark)(one), g) for g in some]
+                done = [r.result() for r in runs]
+            errors += [d if isinstance(d, str) else None for d in done]
+            found = [d for d in done if isinstance(d, DataFrame)]
+            if found:
+                self._keep("found", _union(*found))
+            del found, done, runs
+            free_plans(self.spark)
+        return errors
 
 
 class _Later(ScanInputs):
@@ -279,7 +286,7 @@ def _taken(fn: Rule, inputs: ScanInputs) -> list[str]:
     return [k for k in tables if k in taken]
 
 
-def _batches(items: list[int], size: int) -> Iterable[list[int]]:
+def _batches(items: list, size: int) -> Iterable[list]:
     return (items[i:i + size] for i in range(0, len(items), size))
 
 
